@@ -1,0 +1 @@
+"""Empty on purpose: the modelled workload is batch only (no unbounded input)."""
