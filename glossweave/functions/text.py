@@ -31,6 +31,11 @@ def squeeze(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
 
 
+def strip(col: Column) -> Column:
+    """Drop whitespace of any kind at both ends."""
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+
+
 def lookup_key(col: Column) -> Column:
     """NFKC, casefold, collapsed whitespace.
 

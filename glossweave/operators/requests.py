@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import lookup_key, request_language
+from ..functions.text import lookup_key, request_language, strip
 from ..schemas import MAX_BUDGET, MAX_TEXT_LENGTH
 
 
@@ -52,7 +52,7 @@ def answer_shared(
 
 
 def _text_problem(name: str, required: bool = True) -> list[tuple[Column, str]]:
-    value = F.trim(F.col(name))
+    value = strip(F.col(name))
     blank = value == ""
     problems = [
         (blank, f"{name} cannot be empty"),
@@ -118,7 +118,7 @@ def validate(
     judged = requests.withColumn("reason", reason)
     valid = judged.filter(F.col("reason").isNull()).drop("reason")
     for name in (*texts, *optional_texts):
-        valid = valid.withColumn(name, lookup_key(F.trim(F.col(name))))
+        valid = valid.withColumn(name, lookup_key(strip(F.col(name))))
     for name in (*languages, *optional_languages):
         valid = valid.withColumn(name, request_language(F.col(name)))
     return valid, judged.filter(F.col("reason").isNotNull()).select("request_id", "reason")
