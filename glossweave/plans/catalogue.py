@@ -54,7 +54,7 @@ def _text(values: Column) -> Column:
 # ------------------------------------------------------------------ terms and keys
 @query
 def intern_terms(spark, folder):
-    return tables.document_terms(spark, folder)
+    return tables.word_corpus(spark, folder).terms
 
 
 @query
@@ -73,12 +73,12 @@ def language_tags(spark, folder):
 
 @query
 def wordplay_index(spark, folder):
-    return wordplay.letter_index(tables.document_terms(spark, folder))
+    return wordplay.letter_index(tables.word_corpus(spark, folder).terms)
 
 
 @query
 def spoken_keys(spark, folder):
-    corpus = tables.spoken_corpus(spark, folder)
+    corpus = tables.word_corpus(spark, folder)
     return wordplay.spoken_terms(corpus).select(
         "term", "phonemes", "rhyme_key", onset(F.col("phonemes")).alias("onset"),
         remainder(F.col("phonemes")).alias("remainder"),
@@ -113,44 +113,44 @@ def request_rejects(spark, folder):
 # ------------------------------------------------------------------------ wordplay
 @query
 def anagram_groups(spark, folder):
-    return wordplay.anagram_groups(tables.document_terms(spark, folder))
+    return wordplay.anagram_groups(tables.word_corpus(spark, folder).terms)
 
 
 @query
 def anagrams(spark, folder):
-    corpus = tables.spoken_corpus(spark, folder, full=True)
+    corpus = tables.word_corpus(spark, folder)
     found = wordplay.anagrams(corpus, tables.english_words(corpus), tables.SPOKEN, already_distinct=True)
     return found.withColumn("provenance", _text(F.col("provenance")))
 
 
 @query
 def palindromes(spark, folder):
-    corpus = tables.spoken_corpus(spark, folder, full=True)
+    corpus = tables.word_corpus(spark, folder)
     found = wordplay.palindromes(corpus, tables.english_words(corpus), tables.SPOKEN, already_distinct=True)
     return found.withColumn("provenance", _text(F.col("provenance")))
 
 
 @query
 def rhymes_exact(spark, folder):
-    corpus = tables.spoken_corpus(spark, folder)
+    corpus = tables.word_corpus(spark, folder)
     return wordplay.rhymes(corpus, tables.english_words(corpus), already_distinct=True)
 
 
 @query
 def rhymes_near(spark, folder):
-    corpus = tables.spoken_corpus(spark, folder)
+    corpus = tables.word_corpus(spark, folder)
     return wordplay.near_rhymes(corpus, tables.english_words(corpus), already_distinct=True)
 
 
 @query
 def sounds_like(spark, folder):
-    corpus = tables.spoken_corpus(spark, folder)
+    corpus = tables.word_corpus(spark, folder)
     return wordplay.sounds_like(corpus, tables.english_words(corpus), already_distinct=True)
 
 
 @query
 def prefix_match(spark, folder):
-    corpus = tables.spoken_corpus(spark, folder)
+    corpus = tables.word_corpus(spark, folder)
     words = tables.benchmark_words(spark, folder).select(F.col("word").alias("text"))
     return wordplay.prefixed(corpus, words.withColumn("request_id", F.col("text")), already_distinct=True)
 
@@ -158,7 +158,7 @@ def prefix_match(spark, folder):
 @query
 def spelled_like(spark, folder):
     """Three patterns out of each benchmark word: open middle, any first letter, inner run."""
-    corpus = tables.spoken_corpus(spark, folder)
+    corpus = tables.word_corpus(spark, folder)
     word = F.col("word")
     patterns = F.array(
         F.concat(F.substring(word, 1, 2), F.lit("*"), F.right(word, F.lit(1))),
@@ -171,7 +171,7 @@ def spelled_like(spark, folder):
 
 @query
 def spoonerisms(spark, folder):
-    corpus = tables.spoken_corpus(spark, folder)
+    corpus = tables.word_corpus(spark, folder)
     found = wordplay.spoonerisms(corpus, tables.benchmark_pairs(spark, folder), already_distinct=True)
     return found.withColumn("swapped_left_terms", _text(F.col("swapped_left_terms"))).withColumn(
         "swapped_right_terms", _text(F.col("swapped_right_terms"))
@@ -180,7 +180,7 @@ def spoonerisms(spark, folder):
 
 @query
 def puns(spark, folder):
-    corpus = tables.spoken_corpus(spark, folder, full=True)
+    corpus = tables.word_corpus(spark, folder)
     found = wordplay.puns(corpus, tables.english_words(corpus), tables.SPOKEN, already_distinct=True)
     arrays = ["query_sense_ids", "candidate_sense_ids", "provenance"]
     return found.withColumns({name: _text(F.col(name)) for name in arrays})
@@ -188,7 +188,7 @@ def puns(spark, folder):
 
 @query
 def wordplay_partition(spark, folder):
-    corpus = tables.spoken_corpus(spark, folder, full=True)
+    corpus = tables.word_corpus(spark, folder)
     parts = layout.wordplay_partition(corpus, "en")
     counts = None
     for name, part in parts.items():
@@ -385,7 +385,7 @@ def term_counts(spark, folder):
 
 @query
 def language_sizes(spark, folder):
-    return layout.language_sizes(tables.document_terms(spark, folder))
+    return layout.language_sizes(tables.word_corpus(spark, folder).terms)
 
 
 @query

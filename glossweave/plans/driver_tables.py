@@ -2,12 +2,13 @@
 
 documents -> multilingual dictionary; its English words -> pronunciations; parts ->
 synsets; regions, nations, customers, suppliers and parts -> a relation graph;
-embeddings -> word vectors. Every table is derived from whole input tables.
+embeddings -> word vectors. Every table is derived from whole input tables, written once
+per application and read back by the queries, as a dictionary is built before it is asked.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -16,6 +17,7 @@ from ..functions.phonetics import rhyme_key
 from ..functions.text import is_eligible, lookup_key
 from ..operators.graph import synset_synonyms
 from ..schemas import DIRECTION_CODES, RELATION_CODES, Corpus, conform
+from ..session import stored_table
 from .layout import term_counts
 
 PROVENANCE = [
@@ -63,6 +65,23 @@ def _named(df: DataFrame) -> DataFrame:
     )
 
 
+def _stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return stored_table(spark, folder, name, build)
+
+
+def _corpus(spark: SparkSession, folder: str, prefix: str, **builders: Callable[[], DataFrame]) -> Corpus:
+    """Corpus whose tables are written once and then read back."""
+
+    def reader(name: str, build: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+        return lambda: _stored(spark, folder, f"{prefix}_{name}", build)
+
+    tables = {name: reader(name, build) for name, build in builders.items()}
+    corpus = Corpus(provenance=lambda: provenance(spark), **tables)
+    return corpus.extended(
+        term_counts=reader("term_counts", lambda: term_counts(corpus))
+    ) if "entries" in builders else corpus
+
+
 # ------------------------------------------------------------------- documents
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
@@ -70,19 +89,16 @@ def _tokens(text: Column) -> Column:
 
 def occurrences(spark: SparkSession, folder: str) -> DataFrame:
     """Uses of each word per language and document source."""
-    return (
-        read_texts(spark, folder)
-        .select(F.col("lang").alias("language"), "source", F.explode(_tokens(F.col("text"))).alias("term"))
-        .groupBy("language", "term", "source")
-        .agg(F.count(F.lit(1)).alias("uses"))
-    )
 
+    def build() -> DataFrame:
+        return (
+            read_texts(spark, folder)
+            .select(F.col("lang").alias("language"), "source", F.explode(_tokens(F.col("text"))).alias("term"))
+            .groupBy("language", "term", "source")
+            .agg(F.count(F.lit(1)).alias("uses"))
+        )
 
-def document_terms(spark: SparkSession, folder: str) -> DataFrame:
-    words = read_texts(spark, folder).select(
-        F.col("lang").alias("language"), F.explode(_tokens(F.col("text"))).alias("term")
-    )
-    return _named(words)
+    return _stored(spark, folder, "uses", build)
 
 
 def _entry_id() -> Column:
@@ -90,85 +106,105 @@ def _entry_id() -> Column:
 
 
 def _sense_id() -> Column:
-    mark = F.when(F.col("uses") == 1, ":unsensed:").otherwise(":")
+    mark = F.when(F.col("term") == F.lower("term"), ":").otherwise(":unsensed:")
     return F.concat(F.lit("s:"), "language", F.lit(":"), "term", mark, "source")
 
 
 def word_corpus(spark: SparkSession, folder: str) -> Corpus:
     """Dictionary of the documents: one entry per word, one sense per source using it."""
-    uses = occurrences(spark, folder)
-    terms = _named(uses)
-    plain = F.col("term") == F.lower("term")
-    entries = terms.select(
-        _entry_id().alias("entry_id"), "term_id",
-        F.when(plain, "noun").otherwise("Name").alias("part_of_speech"),
-        F.lit(None).alias("etymology"),
-        F.when(plain, 5).otherwise(6).alias("provenance_id"),
-    )
-    sensed = uses.select(
-        "language", "term", _sense_id().alias("sense_id"), _entry_id().alias("entry_id"),
-        F.when(F.col("uses") >= 3, F.concat("source", F.lit(" x"), F.col("uses").cast("string"))).alias("gloss"),
-    )
-    # words of one normalised form: case variants per language, and other languages
-    other = terms.select(
-        F.col("term_id").alias("target_term_id"), F.col("term").alias("target_term"),
-        "normalized_term", F.col("language").alias("target_language"),
-    )
-    paired = terms.join(other, "normalized_term").filter(F.col("term_id") != F.col("target_term_id"))
-    foreign = paired.filter(F.col("language") != F.col("target_language"))
-    variants = paired.filter(F.col("language") == F.col("target_language"))
+
+    def entries() -> DataFrame:
+        plain = F.col("term") == F.lower("term")
+        return conform(
+            corpus.terms.select(
+                _entry_id().alias("entry_id"), "term_id",
+                F.when(plain, "noun").otherwise("Name").alias("part_of_speech"),
+                F.lit(None).alias("etymology"),
+                F.when(plain, 5).otherwise(6).alias("provenance_id"),
+            ),
+            "entries",
+        )
+
+    def senses() -> DataFrame:
+        gloss = F.concat("source", F.lit(" x"), F.col("uses").cast("string"))
+        return conform(
+            occurrences(spark, folder).select(
+                _sense_id().alias("sense_id"), _entry_id().alias("entry_id"),
+                F.when(F.col("uses") >= 3, gloss).alias("gloss"),
+            ),
+            "senses",
+        )
+
+    def paired() -> DataFrame:
+        """Words of one normalised form: case variants, and words of other languages."""
+        other = corpus.terms.select(
+            F.col("term_id").alias("target_term_id"), F.col("term").alias("target_term"),
+            "normalized_term", F.col("language").alias("target_language"),
+        )
+        return corpus.terms.join(other, "normalized_term").filter(F.col("term_id") != F.col("target_term_id"))
+
+    same_language = F.col("language") == F.col("target_language")
 
     def links(pairs: DataFrame, source: int) -> DataFrame:
         order = Window.partitionBy("language", "term").orderBy("target_language", "target_term")
         placed = pairs.select(
             "language", "term", "target_term_id", (F.row_number().over(order) - 1).alias("position")
         )
-        return placed.join(sensed.select("language", "term", "sense_id"), ["language", "term"]).select(
-            "sense_id", "target_term_id", F.lit(None).alias("part_of_speech"),
-            F.lit(source).alias("provenance_id"), "position",
+        return placed.join(occurrences(spark, folder).drop("uses"), ["language", "term"]).select(
+            _sense_id().alias("sense_id"), "target_term_id", F.lit(None).cast("string").alias("part_of_speech"),
+            F.lit(source).alias("provenance_id"), F.col("position").cast("bigint").alias("position"),
         )
 
-    none = F.lit(None).alias("sense")
-    related = foreign.filter(F.col("language") < F.col("target_language")).select(
-        F.col("term_id").alias("source_term_id"), none.alias("source_sense_id"),
-        F.lit(RELATION_CODES["related"]).alias("relation_code"), "target_term_id",
-        none.alias("target_sense_id"), F.lit(DIRECTION_CODES["symmetric"]).alias("direction_code"),
-        F.lit(7).alias("provenance_id"),
-    )
-    derived = variants.filter(F.col("target_term") == F.col("normalized_term")).select(
-        F.col("term_id").alias("source_term_id"), none.alias("source_sense_id"),
-        F.lit(RELATION_CODES["derived_from"]).alias("relation_code"), "target_term_id",
-        none.alias("target_sense_id"), F.lit(DIRECTION_CODES["outbound"]).alias("direction_code"),
-        F.lit(8).alias("provenance_id"),
-    )
-    lines = (
-        read_texts(spark, folder)
-        .select(F.col("lang").alias("language"), "source", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "example"))
-        .select(
+    def edges(pairs: DataFrame, relation: str, direction: str, source: int) -> DataFrame:
+        none = F.lit(None)
+        return conform(
+            pairs.select(
+                F.col("term_id").alias("source_term_id"), none.alias("source_sense_id"),
+                F.lit(RELATION_CODES[relation]).alias("relation_code"), "target_term_id",
+                none.alias("target_sense_id"), F.lit(DIRECTION_CODES[direction]).alias("direction_code"),
+                F.lit(source).alias("provenance_id"),
+            ),
+            "relations",
+        )
+
+    def relations() -> DataFrame:
+        shared = paired().filter(F.col("language") < F.col("target_language"))
+        cased = paired().filter(same_language & (F.col("target_term") == F.col("normalized_term")))
+        return edges(shared, "related", "symmetric", 7).unionByName(edges(cased, "derived_from", "outbound", 8))
+
+    def examples() -> DataFrame:
+        """Lines using a word; the place of a line in its document orders them."""
+        lines = read_texts(spark, folder).select(
+            F.col("lang").alias("language"), "source", "doc_id",
+            F.posexplode(F.split("text", "\n")).alias("line_no", "example"),
+        )
+        used = lines.select(
             "language", "source", "example",
             (F.col("doc_id") * LINE_STEP + F.col("line_no")).alias("position"),
             F.explode(F.array_distinct(_tokens(F.col("example")))).alias("term"),
         )
+        return conform(used.withColumn("sense_id", _sense_id()), "examples")
+
+    def pronunciations() -> DataFrame:
+        heard = occurrences(spark, folder).join(corpus.terms, ["language", "term"]).select(
+            _entry_id().alias("entry_id"), F.concat(F.lit("/"), "normalized_term", F.lit("/")).alias("ipa"),
+            F.col("source").alias("region"), F.substring("source", 4, 10).cast("bigint").alias("position"),
+        )
+        return conform(heard, "pronunciations")
+
+    corpus = _corpus(
+        spark, folder, "word",
+        terms=lambda: _named(occurrences(spark, folder)),
+        entries=entries,
+        senses=senses,
+        translations=lambda: links(paired().filter(~same_language), 7),
+        synonyms=lambda: links(paired().filter(same_language), 8),
+        relations=relations,
+        pronunciations=pronunciations,
+        spoken=lambda: spoken(corpus.terms),
     )
-    examples = lines.join(
-        uses.select("language", "term", "source", _sense_id().alias("sense_id")), ["language", "term", "source"]
-    )
-    heard = uses.join(terms, ["language", "term"]).select(
-        _entry_id().alias("entry_id"), F.concat(F.lit("/"), "normalized_term", F.lit("/")).alias("ipa"),
-        F.col("source").alias("region"), F.substring("source", 4, 10).cast("bigint").alias("position"),
-    )
-    corpus = Corpus(
-        provenance=provenance(spark),
-        terms=conform(terms, "terms"),
-        entries=conform(entries, "entries"),
-        senses=conform(sensed, "senses"),
-        examples=conform(examples, "examples"),
-        pronunciations=conform(heard, "pronunciations"),
-        translations=conform(links(foreign, 7), "translations"),
-        synonyms=conform(links(variants, 8), "synonyms"),
-        relations=conform(related.unionByName(derived), "relations"),
-    )
-    return replace(corpus, term_counts=term_counts(corpus))
+    # examples repeat whole lines per word, so they are read off the texts when needed
+    return corpus.extended(examples=examples)
 
 
 # letters read as sounds: vowels take a token and a stress, these consonants a token
@@ -202,15 +238,6 @@ def spoken(terms: DataFrame) -> DataFrame:
     return conform(rows.withColumn("rhyme_key", rhyme_key(F.col("phonemes"))), "spoken")
 
 
-def spoken_corpus(spark: SparkSession, folder: str, full: bool = False) -> Corpus:
-    """Terms and pronunciations; with ``full`` also entries and senses."""
-    if full:
-        corpus = word_corpus(spark, folder)
-        return replace(corpus, spoken=spoken(corpus.terms))
-    terms = document_terms(spark, folder)
-    return Corpus(provenance=provenance(spark), terms=terms, spoken=spoken(terms))
-
-
 def english_words(corpus: Corpus) -> DataFrame:
     """Every distinct eligible English word as a request table."""
     words = corpus.terms.filter(
@@ -288,12 +315,14 @@ def part_corpus(spark: SparkSession, folder: str) -> Corpus:
         "target_term_id", none.alias("target_sense_id"),
         F.lit(DIRECTION_CODES["symmetric"]).alias("direction_code"), F.lit(4).alias("provenance_id"),
     )
-    corpus = Corpus(
-        provenance=provenance(spark), terms=terms, entries=conform(entries, "entries"),
-        senses=conform(senses, "senses"), synonyms=conform(links, "synonyms"),
-        relations=conform(edges, "relations"),
+    return _corpus(
+        spark, folder, "part",
+        terms=lambda: terms,
+        entries=lambda: conform(entries, "entries"),
+        senses=lambda: conform(senses, "senses"),
+        synonyms=lambda: conform(links, "synonyms"),
+        relations=lambda: conform(edges, "relations"),
     )
-    return replace(corpus, term_counts=term_counts(corpus))
 
 
 # ----------------------------------------------------------------------- graph
@@ -361,11 +390,13 @@ def graph_corpus(spark: SparkSession, folder: str) -> Corpus:
         _part_sense().alias("sense_id"), F.concat(F.lit("ge:"), "p_name", F.lit(":"), "p_brand").alias("entry_id"),
         c("p_type").alias("gloss"),
     )
-    corpus = Corpus(
-        provenance=provenance(spark), terms=terms, entries=conform(entries, "entries"),
-        senses=conform(senses, "senses"), relations=conform(relations, "relations"),
+    return _corpus(
+        spark, folder, "graph",
+        terms=lambda: terms,
+        entries=lambda: conform(entries, "entries"),
+        senses=lambda: conform(senses, "senses"),
+        relations=lambda: conform(relations, "relations"),
     )
-    return replace(corpus, term_counts=term_counts(corpus))
 
 
 def graph_requests(corpus: Corpus, names: list[str]) -> DataFrame:
@@ -388,6 +419,8 @@ def vector_corpus(spark: SparkSession, folder: str) -> Corpus:
         F.col("vec_id").alias("semantic_id"),
         F.concat(F.lit("/c/"), "language", F.lit("/"), "term").alias("concept"), "term_id", "embedding",
     )
-    return Corpus(
-        provenance=provenance(spark), terms=conform(rows, "terms"), vectors=conform(vectors, "vectors")
+    return _corpus(
+        spark, folder, "vector",
+        terms=lambda: conform(rows, "terms"),
+        vectors=lambda: conform(vectors, "vectors"),
     )

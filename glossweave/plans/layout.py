@@ -113,9 +113,8 @@ def repartition_by_language(corpus: Corpus, plan: DataFrame) -> dict[str, DataFr
         ("translations", "sense_id", sense_owner),
         ("synonyms", "sense_id", sense_owner),
     ):
-        table = getattr(corpus, name)
-        if table is not None:
-            tables[name] = table.join(owners, parent)
+        if corpus.has(name):
+            tables[name] = getattr(corpus, name).join(owners, parent)
     ends = corpus.relations.join(
         owns.select(F.col("term_id").alias("source_term_id"), F.col("pack_id").alias("__source_pack")),
         "source_term_id",

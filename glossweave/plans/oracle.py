@@ -29,7 +29,7 @@ WORDS = f"""{TERMS},
 entries AS (SELECT 'e:'||language||':'||term AS entry_id, term_id, language, term, norm,
   CASE WHEN term = lower(term) THEN 'noun' ELSE 'Name' END AS pos,
   CASE WHEN term = lower(term) THEN 5 ELSE 6 END AS prov FROM terms),
-senses AS (SELECT 's:'||u.language||':'||u.term||CASE WHEN uses = 1 THEN ':unsensed:' ELSE ':' END||source AS sense_id,
+senses AS (SELECT 's:'||u.language||':'||u.term||CASE WHEN u.term = lower(u.term) THEN ':' ELSE ':unsensed:' END||source AS sense_id,
   'e:'||u.language||':'||u.term AS entry_id, u.language, u.term, t.norm, t.term_id, source, uses,
   CASE WHEN uses >= 3 THEN source||' x'||uses END AS gloss
   FROM uses u JOIN terms t ON t.language = u.language AND t.term = u.term),
@@ -153,7 +153,7 @@ ORACLES["sounds_like"] = _with(SPOKEN, ENGLISH) + _spoken_answer("""
 
 ORACLES["rhymes_near"] = f"""{_with(SPOKEN, ENGLISH)},
 keys AS (SELECT DISTINCT rkey, string_split(rkey, ' ') AS kt FROM spoken),
-codes AS (SELECT token, chr((row_number() OVER (ORDER BY token) + 300)::INT) AS code FROM (SELECT DISTINCT unnest(kt) AS token FROM keys)),
+codes AS (SELECT token, chr((row_number() OVER (ORDER BY token) + 40)::INT) AS code FROM (SELECT DISTINCT unnest(kt) AS token FROM keys)),
 coded AS (SELECT rkey, string_agg(code, '' ORDER BY i) AS ck FROM
   (SELECT rkey, unnest(kt) AS token, generate_subscripts(kt, 1) AS i FROM keys) JOIN codes USING (token) GROUP BY rkey),
 sigs AS (SELECT DISTINCT rkey, ck, unnest(list_concat([ck], list_transform(range(1, length(ck) + 1),
@@ -163,9 +163,9 @@ own AS (SELECT norm, list_sort(list(DISTINCT rkey)) AS ks FROM spoken GROUP BY n
 sets AS (SELECT DISTINCT ks FROM own),
 reach AS (SELECT DISTINCT ks, n FROM (SELECT ks, unnest(ks) AS k FROM sets) JOIN near USING (k) WHERE NOT list_contains(ks, n)),
 listed AS (SELECT ks, norm, min(term) AS term, min(phonemes) AS phonemes FROM reach JOIN spoken ON rkey = n GROUP BY ks, norm),
-topped AS (SELECT *, row_number() OVER (PARTITION BY ks ORDER BY norm) AS at FROM listed)
+topped AS (SELECT *, row_number() OVER (PARTITION BY ks ORDER BY norm) AS spot FROM listed)
 """ + _spoken_answer("""
-  SELECT o.norm AS request_id, t.norm, t.term, t.phonemes FROM own o JOIN topped t ON t.ks = o.ks AND t.at <= 21 AND t.norm <> o.norm""", "near")
+  SELECT o.norm AS request_id, t.norm, t.term, t.phonemes FROM own o JOIN topped t ON t.ks = o.ks AND t.spot <= 21 AND t.norm <> o.norm""", "near")
 
 ORACLES["prefix_match"] = _with(SPOKEN, BENCH, _HEADS) + _spoken_answer("""
   SELECT word AS request_id, norm, term, phonemes FROM bwords JOIN heads ON starts_with(norm, word) AND norm <> word""", "prefix")
@@ -179,14 +179,14 @@ bt AS (SELECT regexp_extract_all(text, '\\p{{L}}+') AS w FROM benchmark),
 bi AS (SELECT DISTINCT replace(lower(w[i]),'ß','ss') AS l, replace(lower(w[i+1]),'ß','ss') AS r
   FROM (SELECT w, unnest(range(1, len(w))) AS i FROM bt)),
 alts AS (SELECT * FROM (SELECT norm, phonemes, min(term) AS term, any_value(onset) AS onset, any_value(remainder) AS rem,
-  row_number() OVER (PARTITION BY norm ORDER BY phonemes) AS at FROM sounded GROUP BY norm, phonemes) WHERE at <= 8),
+  row_number() OVER (PARTITION BY norm ORDER BY phonemes) AS spot FROM sounded GROUP BY norm, phonemes) WHERE spot <= 8),
 cand AS (SELECT bi.l||' '||bi.r AS request_id, a.term AS left_term, a.phonemes AS left_phonemes, b.term AS right_term, b.phonemes AS right_phonemes,
-  trim(b.onset||' '||a.rem) AS swapped_left, trim(a.onset||' '||b.rem) AS swapped_right, a.onset AS onset_left, b.onset AS onset_right, a.at AS la, b.at AS ra
+  trim(b.onset||' '||a.rem) AS swapped_left, trim(a.onset||' '||b.rem) AS swapped_right, a.onset AS onset_left, b.onset AS onset_right, a.spot AS la, b.spot AS ra
   FROM bi JOIN alts a ON a.norm = bi.l JOIN alts b ON b.norm = bi.r WHERE a.onset <> b.onset),
 uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, swapped_left, swapped_right ORDER BY la, ra) AS u FROM cand) WHERE u = 1),
 rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY la, ra) AS rank FROM uniq),
 res AS (SELECT phonemes, array_to_string(list_sort(list(norm)), ',') AS names FROM
-  (SELECT *, row_number() OVER (PARTITION BY phonemes ORDER BY norm) AS at FROM (SELECT DISTINCT phonemes, norm FROM spoken)) WHERE at <= 8 GROUP BY phonemes)
+  (SELECT *, row_number() OVER (PARTITION BY phonemes ORDER BY norm) AS spot FROM (SELECT DISTINCT phonemes, norm FROM spoken)) WHERE spot <= 8 GROUP BY phonemes)
 SELECT request_id, rank, left_term, left_phonemes, right_term, right_phonemes, swapped_left, swapped_right,
   coalesce(x.names,'') AS swapped_left_terms, coalesce(y.names,'') AS swapped_right_terms, onset_left, onset_right,
   CASE WHEN x.names IS NOT NULL AND y.names IS NOT NULL THEN 'lexical_term' ELSE 'generated_candidate' END AS lexicality_scope
@@ -196,13 +196,13 @@ _SPOKEN_ONLY = SPOKEN[len(TERMS):].lstrip(",\n")
 ORACLES["puns"] = f"""{_with(WORDS, _SPOKEN_ONLY)},
 own AS (SELECT DISTINCT norm, phonemes FROM spoken),
 found AS (SELECT a.norm AS request_id, b.norm, a.phonemes, min(b.term) AS term FROM own a JOIN spoken b ON a.phonemes = b.phonemes AND a.norm <> b.norm GROUP BY ALL),
-scanned AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY norm, phonemes) AS at FROM found),
+scanned AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY norm, phonemes) AS spot FROM found),
 first_senses AS (SELECT norm, list_sort(list(sense_id)) AS ids FROM (SELECT norm, sense_id, row_number() OVER (PARTITION BY norm ORDER BY sense_id) AS rn
   FROM senses WHERE language = 'en') WHERE rn <= 8 GROUP BY norm),
 sources AS (SELECT norm, list(DISTINCT prov) AS ps FROM entries WHERE language = 'en' GROUP BY norm),
 kept AS (SELECT s.*, c.ids AS cids, q.ids AS qids FROM scanned s JOIN first_senses c ON c.norm = s.norm JOIN first_senses q ON q.norm = s.request_id
-  WHERE at <= 80 AND NOT list_has_any(c.ids, q.ids)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY at) AS rank FROM kept)
+  WHERE spot <= 80 AND NOT list_has_any(c.ids, q.ids)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY spot) AS rank FROM kept)
 SELECT request_id, rank, term, phonemes, array_to_string(qids, ',') AS query_sense_ids, array_to_string(cids, ',') AS candidate_sense_ids,
   'uncontextualized' AS context_scope,
   array_to_string(list_concat([9], list_sort(list_distinct(list_concat(a.ps, b.ps)))), ',') AS provenance
@@ -265,12 +265,12 @@ wd AS (SELECT DISTINCT norm AS word, language FROM terms),
 asked AS (SELECT a.language||':'||a.word||':'||b.language AS request_id, a.word, a.language, b.language AS wanted FROM wd a JOIN wd b ON a.word = b.word AND a.language <> b.language),
 sn AS (SELECT * FROM (SELECT r.request_id, r.wanted, s.*, row_number() OVER (PARTITION BY r.request_id ORDER BY s.gloss IS NULL, s.sense_id) AS sr
   FROM asked r JOIN senses s ON s.norm = r.word AND s.language = r.language) WHERE sr <= 100),
-hits AS (SELECT sn.*, t.tlang, t.tterm, t.tnorm, row_number() OVER (PARTITION BY request_id, sr ORDER BY t.position, t.tlang, t.tnorm, t.tterm) AS at
+hits AS (SELECT sn.*, t.tlang, t.tterm, t.tnorm, row_number() OVER (PARTITION BY request_id, sr ORDER BY t.position, t.tlang, t.tnorm, t.tterm) AS spot
   FROM sn JOIN transl t ON t.sense_id = sn.sense_id AND t.tlang = sn.wanted),
-uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, sr, tnorm, tlang ORDER BY at) AS u FROM hits WHERE at <= 20) WHERE u = 1),
-turns AS (SELECT *, row_number() OVER (PARTITION BY request_id, sr ORDER BY at) AS turn FROM uniq),
+uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, sr, tnorm, tlang ORDER BY spot) AS u FROM hits WHERE spot <= 20) WHERE u = 1),
+turns AS (SELECT *, row_number() OVER (PARTITION BY request_id, sr ORDER BY spot) AS turn FROM uniq),
 won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY turn, sr) AS w FROM turns) WHERE w <= 20)
-SELECT request_id, dense_rank() OVER (PARTITION BY request_id ORDER BY sr) AS group_index, row_number() OVER (PARTITION BY request_id, sr ORDER BY at) AS position,
+SELECT request_id, dense_rank() OVER (PARTITION BY request_id ORDER BY sr) AS group_index, row_number() OVER (PARTITION BY request_id, sr ORDER BY spot) AS position,
   sense_id, {_SCOPE.format('sense_id')} AS sense_scope, won.term AS word, e.pos AS part_of_speech, gloss, tterm AS term, tlang AS language, 7::BIGINT AS provenance_id
 FROM won JOIN entries e USING (entry_id)"""
 
@@ -287,8 +287,8 @@ counts AS (SELECT p_name, count(DISTINCT p_brand) AS ec, count(*) AS sc FROM pt
 sn AS (SELECT * FROM (SELECT p_name AS q, sense_id, CASE WHEN p_size >= 25 THEN p_type END AS gloss,
   CASE WHEN p_size < 10 THEN 'unsensed' ELSE 'sense' END AS scope,
   row_number() OVER (PARTITION BY p_name ORDER BY p_size < 25, sense_id) AS sr FROM pt) WHERE sr <= 20),
-cand AS (SELECT sn.*, s.tterm, s.position AS at FROM sn JOIN syn s USING (sense_id) WHERE s.position < 100),
-turns AS (SELECT *, row_number() OVER (PARTITION BY q, sr ORDER BY at) AS turn FROM cand),
+cand AS (SELECT sn.*, s.tterm, s.position AS spot FROM sn JOIN syn s USING (sense_id) WHERE s.position < 100),
+turns AS (SELECT *, row_number() OVER (PARTITION BY q, sr ORDER BY spot) AS turn FROM cand),
 native AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY turn, sr) AS w FROM turns WHERE scope = 'unsensed') WHERE w <= 5),
 nc AS (SELECT q, count(*) AS n FROM native GROUP BY q),
 support AS (SELECT q, tterm, count(*) AS support FROM cand GROUP BY ALL),
@@ -302,7 +302,7 @@ rc AS (SELECT q, count(*) AS n FROM rel GROUP BY q),
 bud AS (SELECT a.q, least(5 - coalesce(nc.n, 0), coalesce(rc.n, 0)) AS slots, 20 - coalesce(nc.n, 0) - least(5 - coalesce(nc.n, 0), coalesce(rc.n, 0)) AS scoped
   FROM asked a LEFT JOIN nc USING (q) LEFT JOIN rc USING (q)),
 scoped AS (SELECT * FROM (SELECT t.*, b.scoped AS budget, row_number() OVER (PARTITION BY t.q ORDER BY turn, sr) AS w FROM turns t JOIN bud b USING (q) WHERE scope = 'sense') WHERE w <= budget),
-sel AS (SELECT q, sr, at, sense_id, scope, gloss, tterm, 2 AS prov FROM native UNION ALL SELECT q, sr, at, sense_id, scope, gloss, tterm, 2 FROM scoped),
+sel AS (SELECT q, sr, spot, sense_id, scope, gloss, tterm, 2 AS prov FROM native UNION ALL SELECT q, sr, spot, sense_id, scope, gloss, tterm, 2 FROM scoped),
 flag AS (SELECT rel.*, EXISTS (SELECT 1 FROM sel WHERE sel.q = rel.q AND sel.tterm = rel.t) AS used, c.ec FROM rel JOIN counts c ON c.p_name = rel.t),
 tk AS (SELECT *, row_number() OVER (PARTITION BY q, used, sides = 1, CASE WHEN sides = 1 THEN o END
   ORDER BY sc = 0, NOT (starts_with(t, q) OR starts_with(q, t)), support = 0, sc DESC, support DESC, ec DESC,
@@ -310,7 +310,7 @@ tk AS (SELECT *, row_number() OVER (PARTITION BY q, used, sides = 1, CASE WHEN s
 extra AS (SELECT * FROM (SELECT tk.*, b.slots, row_number() OVER (PARTITION BY tk.q ORDER BY used, sides = 1, turn, CASE WHEN sides = 1 THEN o ELSE 0 END) AS w
   FROM tk JOIN bud b USING (q)) WHERE w <= slots),
 outp AS (SELECT * FROM sel UNION ALL SELECT q, 101, w, NULL, 'unsensed', NULL, t, 4 FROM extra)
-SELECT q AS request_id, dense_rank() OVER (PARTITION BY q ORDER BY sr) AS group_index, row_number() OVER (PARTITION BY q, sr ORDER BY at) AS position,
+SELECT q AS request_id, dense_rank() OVER (PARTITION BY q ORDER BY sr) AS group_index, row_number() OVER (PARTITION BY q, sr ORDER BY spot) AS position,
   sense_id, scope AS sense_scope, gloss, tterm AS term, 'en' AS language, prov::BIGINT AS provenance_id FROM outp"""
 
 # --------------------------------------------------------------------------- graph
@@ -411,15 +411,15 @@ def _knn(condition: str, floor: str) -> str:
     return f"""{_with(VECTORS)},
 sims AS (SELECT a.word AS request_id, b.vec_id AS semantic_id, b.language, list_inner_product(a.v, b.v) AS sim FROM un a JOIN un b ON a.vec_id <> b.vec_id {condition}),
 rk AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY sim DESC, semantic_id) AS rank FROM sims)
-SELECT request_id, rank, semantic_id, language, round(sim, 4) AS similarity FROM rk WHERE rank <= 20 {floor}"""
+SELECT request_id, rank, semantic_id, language, round(round(sim, 6), 4) AS similarity FROM rk WHERE rank <= 20 {floor}"""
 
 
 ORACLES["knn_exact"] = _knn("", "")
 ORACLES["knn_by_language"] = _knn("AND a.language = b.language", "AND sim >= 0.1")
 ORACLES["recall_seeds"] = """
-WITH r AS (SELECT 'l'||label AS language, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS at, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+WITH r AS (SELECT 'l'||label AS language, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS spot, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
 s AS (SELECT unnest(range(0, 10)) AS stratum)
-SELECT language, stratum::BIGINT AS stratum, vec_id AS semantic_id FROM r JOIN s ON at = ((2 * stratum + 1) * n) // 20 WHERE n >= 10"""
+SELECT language, stratum::BIGINT AS stratum, vec_id AS semantic_id FROM r JOIN s ON spot = ((2 * stratum + 1) * n) // 20 WHERE n >= 10"""
 ORACLES["identity_multiplicity"] = """
 SELECT language, max(n) AS max_multiplicity FROM (SELECT 'l'||label AS language, 'v'||vec_id AS w, count(*) AS n FROM embeddings GROUP BY ALL) GROUP BY language"""
 ORACLES["vector_partition"] = """
@@ -505,8 +505,8 @@ FROM packs LEFT JOIN dang d USING (pack_id) LEFT JOIN fsyn f USING (pack_id) LEF
 
 # ------------------------------------------------------------------------- quality
 SAMPLED = f"""
-rich AS (SELECT language, norm AS word FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY sense_count DESC, term_id) AS at FROM tcounts WHERE sense_count > 0) WHERE at <= 100),
-spread AS (SELECT language, norm AS word FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY {_hash("'20260816'", "term_id::VARCHAR")}, term_id) AS at FROM tcounts) WHERE at <= 100),
+rich AS (SELECT language, norm AS word FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY sense_count DESC, term_id) AS spot FROM tcounts WHERE sense_count > 0) WHERE spot <= 100),
+spread AS (SELECT language, norm AS word FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY {_hash("'20260816'", "term_id::VARCHAR")}, term_id) AS spot FROM tcounts) WHERE spot <= 100),
 sampled AS (SELECT * FROM rich UNION SELECT * FROM spread)"""
 ORACLES["sampled_words"] = f"{_with(WORDS, COUNTS, SAMPLED)} SELECT language, word FROM sampled"
 ORACLES["differential_check"] = f"""{_with(WORDS, COUNTS, SAMPLED)},

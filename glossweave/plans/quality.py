@@ -76,7 +76,6 @@ def stage_counts(corpus: Corpus) -> DataFrame:
     Child tables are counted per parent first and then carried up, so the joins move one
     row per parent.
     """
-    tables = corpus.present()
     entry_source = corpus.entries.select("entry_id", "provenance_id")
     sense_source = corpus.senses.select("sense_id", "entry_id").join(entry_source, "entry_id")
     counted = [
@@ -91,16 +90,16 @@ def stage_counts(corpus: Corpus) -> DataFrame:
         ("examples", sense_source.select("sense_id", "provenance_id"), "sense_id"),
         ("pronunciations", entry_source, "entry_id"),
     ):
-        if name in tables:
-            per_parent = tables[name].groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        if corpus.has(name):
+            per_parent = getattr(corpus, name).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
             counted.append(
                 per_parent.join(parents, key).groupBy("provenance_id")
                 .agg(F.sum("n").alias("observed")).withColumn("metric", F.lit(name))
             )
     for name in ("translations", "synonyms", "relations"):
-        if name in tables:
+        if corpus.has(name):
             counted.append(
-                tables[name].groupBy("provenance_id").agg(F.count(F.lit(1)).alias("observed"))
+                getattr(corpus, name).groupBy("provenance_id").agg(F.count(F.lit(1)).alias("observed"))
                 .withColumn("metric", F.lit(name))
             )
     result = counted[0]

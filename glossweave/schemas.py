@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -104,25 +104,35 @@ TABLES: dict[str, T.StructType] = {
 }
 
 
-@dataclass(frozen=True)
 class Corpus:
-    """The tables of one corpus; a query uses only those it needs."""
-
-    provenance: DataFrame | None = None
-    terms: DataFrame | None = None
-    entries: DataFrame | None = None
-    senses: DataFrame | None = None
-    examples: DataFrame | None = None
-    pronunciations: DataFrame | None = None
-    translations: DataFrame | None = None
-    synonyms: DataFrame | None = None
-    relations: DataFrame | None = None
-    spoken: DataFrame | None = None
-    vectors: DataFrame | None = None
-    term_counts: DataFrame | None = None
-
-    def present(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self) if getattr(self, f.name) is not None}
+    """The tables of one corpus, each a DataFrame or a function that makes one.
+
+    A function runs when its table is first used, so a query pays for its own tables
+    only. A table the corpus lacks reads as None.
+    """
+
+    NAMES = (*TABLES, "term_counts")
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        unknown = set(tables) - set(self.NAMES)
+        if unknown:
+            raise ValueError(f"unknown tables {sorted(unknown)}")
+        self._tables = dict(tables)
+
+    def __getattr__(self, name: str) -> DataFrame | None:
+        if name not in Corpus.NAMES:
+            raise AttributeError(name)
+        table = self._tables.get(name)
+        if callable(table) and not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table
+
+    def has(self, name: str) -> bool:
+        return name in self._tables
+
+    def extended(self, **tables: DataFrame | Callable[[], DataFrame]) -> Corpus:
+        """The same corpus with some tables added or replaced."""
+        return Corpus(**{**self._tables, **tables})
 
 
 def assert_schema(df: DataFrame, table: str) -> DataFrame:

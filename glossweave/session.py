@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,20 +31,42 @@ def build_session(app: str = "glossweave", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def reliable_cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can read, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own: on a cluster a
+    Only a local session without that setting gets a folder of its own: on a cluster a
     machine-local folder would be lost together with its executor.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def reliable_cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def stored_table(spark: SparkSession, scope: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table built once per application and read back from Parquet by every later query.
+
+    Queries then start from real columns with known sizes: scans are pruned to the
+    columns in use and joins are chosen by table size.
+    """
+    key = (spark.sparkContext.applicationId, scope, name)
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}/{name}"
+        frame = build()
+        frame.write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
