@@ -75,40 +75,47 @@ def _matrix(values: pd.Series) -> np.ndarray:
 
 def _score_cell(queries: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
     """Best ``keep`` identities per query within one bounded cell."""
+    none = pd.DataFrame(columns=["question", "semantic_id", "identity", "similarity"])
     if queries.empty or stored.empty:
-        return pd.DataFrame(columns=["question", "semantic_id", "identity", "similarity"])
+        return none
     stored = stored.sort_values(["identity", "semantic_id"], kind="stable")
     ids = stored["semantic_id"].to_numpy()
     identity = stored["identity"].to_numpy()
     starts = np.flatnonzero(np.r_[True, identity[1:] != identity[:-1]])
     ends = np.r_[starts[1:], len(identity)]
     columns = _matrix(stored["embedding"]).T
-    parts = []
+    parts = [none]
     for low in range(0, len(queries), _TILE):
         tile = queries.iloc[low : low + _TILE]
         scores = np.clip(_matrix(tile["embedding"]) @ columns, -1.0, 1.0)
         best = np.maximum.reduceat(scores, starts, axis=1)
         best[tile["identity"].to_numpy()[:, None] == identity[starts][None, :]] = -np.inf
-        for row, (question, keep) in enumerate(zip(tile["question"], tile["keep"], strict=True)):
-            # a tie at the edge must not be cut by position: take every equal score
-            line = best[row]
-            keep = min(int(keep), len(line))
-            edge = np.partition(line, len(line) - keep)[len(line) - keep]
-            picked = np.flatnonzero((line >= edge) & np.isfinite(line))
-            first = [
-                starts[g] + int(np.argmax(scores[row, starts[g] : ends[g]])) for g in picked
-            ]
-            hits = pd.DataFrame(
+        keep = np.minimum(tile["keep"].to_numpy(), len(starts))
+        # every score equal to the last kept one stays in until ties are broken by id
+        sorted_from = len(starts) - int(keep.max())
+        tails = np.sort(np.partition(best, sorted_from, axis=1)[:, sorted_from:], axis=1)
+        edge = tails[np.arange(len(tile)), tails.shape[1] - keep]
+        row, group = np.nonzero((best >= edge[:, None]) & np.isfinite(best))
+        column = starts[group]
+        for at in np.flatnonzero(ends[group] - starts[group] > 1):
+            span = scores[row[at], starts[group[at]] : ends[group[at]]]
+            column[at] += int(np.argmax(span))
+        similarity = best[row, group]
+        order = np.lexsort((ids[column], -similarity, row))
+        row, column, similarity = row[order], column[order], similarity[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        kept = place < keep[row]
+        parts.append(
+            pd.DataFrame(
                 {
-                    "question": question,
-                    "semantic_id": ids[first],
-                    "identity": identity[first],
-                    "similarity": line[picked],
+                    "question": tile["question"].to_numpy()[row[kept]],
+                    "semantic_id": ids[column[kept]],
+                    "identity": identity[column[kept]],
+                    "similarity": similarity[kept],
                 }
             )
-            hits = hits.sort_values(["similarity", "semantic_id"], ascending=[False, True])
-            parts.append(hits.head(keep))
-    return pd.concat(parts, ignore_index=True)
+        )
+    return pd.concat([p for p in parts if len(p)] or [none], ignore_index=True)
 
 
 def _score_grid(queries: DataFrame, stored: DataFrame) -> DataFrame:
@@ -152,7 +159,7 @@ def _questions(requests: DataFrame, vectors: DataFrame) -> DataFrame:
     return requests.join(seeds.drop("semantic_id"), ["word", "source_language"])
 
 
-def _finish(hits: DataFrame, asked: DataFrame, vectors: DataFrame) -> DataFrame:
+def _finish(hits: DataFrame, asked: DataFrame, vectors: DataFrame, decimals: int) -> DataFrame:
     """Best row per identity over all cells, then similarity descending, id ascending."""
     order = [F.desc("similarity"), "semantic_id"]
     unique = first_per(hits, ["question", "identity"], order)
@@ -165,12 +172,14 @@ def _finish(hits: DataFrame, asked: DataFrame, vectors: DataFrame) -> DataFrame:
     names = vectors.select("semantic_id", "concept", "term", "normalized_term", "language")
     return ranked.join(names, "semantic_id").select(
         Q, "rank", "semantic_id", "concept", "term", "normalized_term", "language",
-        F.round("similarity", 6).alias("similarity"), F.lit("unsensed").alias("sense_scope"),
+        F.round("similarity", decimals).alias("similarity"), F.lit("unsensed").alias("sense_scope"),
     )
 
 
 # ------------------------------------------------------------------------- exact
-def neighbours(corpus: Corpus, requests: DataFrame, already_distinct: bool = False) -> DataFrame:
+def neighbours(
+    corpus: Corpus, requests: DataFrame, already_distinct: bool = False, decimals: int = 6
+) -> DataFrame:
     """Exact nearest neighbours.
 
     Stored blocks are cut per language, so a request for one language meets that
@@ -217,7 +226,7 @@ def neighbours(corpus: Corpus, requests: DataFrame, already_distinct: bool = Fal
             .join(grid.select("language", "block", "cell"), ["language", "block"])
             .select("cell", "semantic_id", "identity", "embedding")
         )
-        return _finish(_score_grid(query_side, stored_side), asked, vectors)
+        return _finish(_score_grid(query_side, stored_side), asked, vectors, decimals)
 
     return answer_shared(requests, params, answer, already_distinct)
 
@@ -267,6 +276,7 @@ def approximate_neighbours(
     coverage: float = 1.5,
     seed: int = 17,
     already_distinct: bool = False,
+    decimals: int = 6,
 ) -> DataFrame:
     """Neighbours among the vectors of the cells nearest to the query, re-ranked exactly.
 
@@ -339,7 +349,7 @@ def approximate_neighbours(
             ["question"], [F.desc("similarity"), "semantic_id"],
             ANN_MAX_CANDIDATES, F.col("keep"), "__candidate",
         )
-        return _finish(pooled.drop("keep", "__candidate"), asked, vectors)
+        return _finish(pooled.drop("keep", "__candidate"), asked, vectors, decimals)
 
     return answer_shared(requests, params, answer, already_distinct)
 

@@ -316,16 +316,14 @@ def _vector_requests(corpus: Corpus) -> DataFrame:
     )
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(
-        "request_id", "rank", "semantic_id", "language", F.round("similarity", 4).alias("similarity")
-    )
+_NEIGHBOUR_COLUMNS = ["request_id", "rank", "semantic_id", "language", "similarity"]
 
 
 @query
 def knn_exact(spark, folder):
     corpus = tables.vector_corpus(spark, folder)
-    return _rounded(vectors.neighbours(corpus, _vector_requests(corpus), already_distinct=True))
+    found = vectors.neighbours(corpus, _vector_requests(corpus), already_distinct=True, decimals=4)
+    return found.select(*_NEIGHBOUR_COLUMNS)
 
 
 @query
@@ -334,17 +332,17 @@ def knn_by_language(spark, folder):
     asked = _vector_requests(corpus).withColumn("target_language", F.col("source_language")).withColumn(
         "min_similarity", F.lit(0.1)
     )
-    return _rounded(vectors.neighbours(corpus, asked, already_distinct=True))
+    found = vectors.neighbours(corpus, asked, already_distinct=True, decimals=4)
+    return found.select(*_NEIGHBOUR_COLUMNS)
 
 
 @query
 def knn_approximate(spark, folder):
     corpus = tables.vector_corpus(spark, folder)
-    return _rounded(
-        vectors.approximate_neighbours(
-            corpus, _vector_requests(corpus), _ANN_CELLS, _ANN_PROBES, already_distinct=True
-        )
+    found = vectors.approximate_neighbours(
+        corpus, _vector_requests(corpus), _ANN_CELLS, _ANN_PROBES, already_distinct=True
     )
+    return found.select(*_NEIGHBOUR_COLUMNS)
 
 
 @query
