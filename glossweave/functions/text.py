@@ -76,16 +76,22 @@ def space_count(col: Column) -> Column:
     return F.length(col) - F.length(F.replace(col, F.lit(" "), F.lit("")))
 
 
-def concept_parts(uri: Column) -> tuple[Column, Column]:
-    """(language, term) of a ``/c/<language>/<term>[/…]`` address; NULLs when malformed."""
+def concept_parts(uri: Column, strict: bool = True) -> tuple[Column, Column]:
+    """(language, term) of a ``/c/<language>/<term>[/…]`` address; NULLs when malformed.
+
+    Strict addresses are graph nodes: their tag is mapped to stored form and may not be
+    ``und``. Otherwise the tag only has to be a lower-cased tag.
+    """
     pieces = F.split(uri, "/")
     shaped = (F.size(pieces) >= 4) & (F.get(pieces, F.lit(1)) == "c")
-    language = F.when(shaped, language_tag(F.get(pieces, F.lit(2))))
+    tag = F.get(pieces, F.lit(2))
+    language = F.when(shaped, language_tag(tag) if strict else F.lower(tag))
+    known = (language != "und") if strict else language.rlike(_LANGUAGE_TAG)
     raw = F.get(pieces, F.lit(3))
     # form decoding would turn '+' into a space, percent decoding must not
     decoded = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
     term = F.trim(F.replace(decoded, F.lit("_"), F.lit(" ")))
-    ok = (language != "und") & (term != "")
+    ok = known & (term != "")
     return F.when(ok, language), F.when(ok, term)
 
 

@@ -18,6 +18,7 @@ from ..functions.text import is_eligible, lookup_key
 from ..operators.graph import synset_synonyms
 from ..schemas import DIRECTION_CODES, RELATION_CODES, Corpus, conform
 from ..session import stored_table
+from ..sources.common import intern
 from .layout import term_counts
 
 PROVENANCE = [
@@ -57,14 +58,6 @@ def provenance(spark: SparkSession) -> DataFrame:
     )
 
 
-def _named(df: DataFrame) -> DataFrame:
-    """terms out of distinct (language, term)."""
-    keyed = df.select("language", "term").distinct().withColumn("normalized_term", lookup_key(F.col("term")))
-    return keyed.withColumn("term_id", term_id("language", "normalized_term", "term")).select(
-        "term_id", "term", "normalized_term", "language"
-    )
-
-
 def _stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     return stored_table(spark, folder, name, build)
 
@@ -194,7 +187,7 @@ def word_corpus(spark: SparkSession, folder: str) -> Corpus:
 
     corpus = _corpus(
         spark, folder, "word",
-        terms=lambda: _named(occurrences(spark, folder)),
+        terms=lambda: intern(occurrences(spark, folder)),
         entries=entries,
         senses=senses,
         translations=lambda: links(paired().filter(~same_language), 7),
@@ -289,7 +282,7 @@ def part_members(spark: SparkSession, folder: str) -> DataFrame:
 def part_corpus(spark: SparkSession, folder: str) -> Corpus:
     """Part names as headwords: a sense per part, synonyms from shared type and size."""
     parts = read(spark, folder, "part")
-    terms = _named(parts.select(F.lit("en").alias("language"), F.col("p_name").alias("term")))
+    terms = intern(parts.select(F.lit("en").alias("language"), F.col("p_name").alias("term")))
     ids = terms.select("term_id", F.col("term").alias("p_name"))
     entry = F.concat(F.lit("pe:"), "p_name", F.lit(":"), "p_brand")
     entries = parts.select("p_name", "p_brand").distinct().join(ids, "p_name").select(
@@ -373,7 +366,7 @@ def graph_corpus(spark: SparkSession, folder: str) -> Corpus:
         .union(part.select("p_name")).union(part.select("p_type"))
         .union(part.select(root.alias("p_type")))
     )
-    terms = _named(names.withColumn("language", F.lit("en")))
+    terms = intern(names.withColumn("language", F.lit("en")))
     # every name is its own key here, so ids are computed instead of joined
     key = lambda name: term_id(F.lit("en"), F.lower(name), name)
     relations = edges.withColumn("source_term_id", key(c("source"))).withColumn("target_term_id", key(c("target")))
