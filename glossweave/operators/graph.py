@@ -443,6 +443,16 @@ def _two_hop(corpus: Corpus, first_hops: DataFrame, catalogue: DataFrame | None)
     )
 
 
+def frontier_of(rows: DataFrame) -> DataFrame:
+    """Next frontier: the distinct targets of relation rows, per request.
+
+    Targets without a partition of their own stay in, so that expansion can list them.
+    """
+    return rows.select(
+        Q, F.col("target_language").alias("language"), F.col("target_normalized").alias("word")
+    ).distinct()
+
+
 def expand_frontier(
     corpus: Corpus,
     frontier: DataFrame,

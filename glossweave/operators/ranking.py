@@ -68,36 +68,54 @@ def diversify(
     return flagged.withColumn(rank, F.row_number().over(over)).drop("__repeat")
 
 
-def global_index(df: DataFrame, order: Keys, index: str = "index") -> DataFrame:
-    """0-based position in one total order, without ever sorting in one task.
+def _globally_sorted(df: DataFrame, order: Keys) -> DataFrame:
+    """Rows with the number of their range partition (``__part``) and their place in it.
 
-    Range-partition and sort, note each row's place inside its partition, then shift
-    by the row counts of the partitions before it. The sorted rows are checkpointed
-    so that both uses below see the very same partitions, also after a lost executor.
+    Checkpointed, so that every later use sees the very same partitions, also after a
+    lost executor.
     """
-    sorted_rows = (
-        df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order])
-        .sortWithinPartitions(*order)
-        .withColumn("__at", F.monotonically_increasing_id())
-    )
-    sorted_rows = reliable_cut(sorted_rows)
-    part = F.shiftrightunsigned("__at", 33)
-    rows = sorted_rows.withColumn("__part", part).withColumn(
-        "__place", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order])
+    numbered = ranged.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    return (
+        reliable_cut(numbered)
+        .withColumn("__part", F.shiftrightunsigned("__at", 33))
+        .withColumn("__place", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+        .drop("__at")
     )
-    sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
-    # one row per partition of the sort, so this window is bounded by the partition count
-    before = F.coalesce(
-        F.sum("__rows").over(
-            Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
+
+
+def _sum_before(part_totals: DataFrame, column: str) -> DataFrame:
+    """Sum of ``column`` over earlier partitions; one row per partition of the sort."""
+    earlier = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return part_totals.select(
+        "__part", F.coalesce(F.sum(column).over(earlier), F.lit(0)).alias("__before")
     )
-    shifts = sizes.select("__part", before.alias("__before"))
+
+
+def global_index(df: DataFrame, order: Keys, index: str = "index") -> DataFrame:
+    """0-based position in one total order, without ever sorting in one task."""
+    rows = _globally_sorted(df, order)
+    before = _sum_before(rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")), "__n")
     return (
-        rows.join(shifts, "__part")
+        rows.join(before, "__part")
         .withColumn(index, (F.col("__before") + F.col("__place")).cast("bigint"))
-        .drop("__part", "__before", "__place", "__at")
+        .drop("__part", "__before", "__place")
+    )
+
+
+def count_before(df: DataFrame, order: Keys, flag: str, name: str) -> DataFrame:
+    """How many rows with ``flag`` = 1 precede each row in one total order.
+
+    The inner window covers one range partition, which the sort keeps to an even share.
+    """
+    rows = _globally_sorted(df, order)
+    before = _sum_before(rows.groupBy("__part").agg(F.sum(flag).alias("__n")), "__n")
+    inside = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.withColumn("__inside", F.coalesce(F.sum(flag).over(inside), F.lit(0)))
+        .join(before, "__part")
+        .withColumn(name, (F.col("__before") + F.col("__inside")).cast("bigint"))
+        .drop("__part", "__before", "__place", "__inside")
     )
 
 

@@ -20,7 +20,7 @@ from ..schemas import (
     SPOONERISM_RESOLVED_TERMS,
     Corpus,
 )
-from .ranking import first_per, global_index, top_k
+from .ranking import count_before, first_per, top_k
 from .requests import answer_shared, with_defaults
 
 Q = "request_id"
@@ -391,31 +391,27 @@ def palindromes(
 ) -> DataFrame:
     """A page of stored palindromes that starts at the text's letters and wraps once.
 
-    Both the palindromes and the mix of palindromes and request keys get a global
-    index; the difference of two indexes is the place where a request's page starts,
-    and the page is an equi-join on ``limit`` consecutive index values.
+    Palindromes and request keys are put in one total order. The number of palindromes
+    before a row is a palindrome's slot, and for a request the slot its page starts at;
+    the page is an equi-join on ``limit`` consecutive slots.
     """
     requests = with_defaults(requests, _LIMIT)
 
     def answer(questions: DataFrame) -> DataFrame:
-        index = letter_index(corpus.terms).filter("palindrome")
-        stored = global_index(_by_letters(index), ["letters"], "slot")
-        total = stored.agg(F.count(F.lit(1)).alias("n")).scalar()
+        stored = _by_letters(letter_index(corpus.terms).filter("palindrome"))
         asked = questions.withColumn("own_letters", letters_of(F.col("text"))).filter(
             F.length("own_letters") >= 2
         )
         keys = asked.select(F.col("own_letters").alias("letters")).distinct()
-        mixed = global_index(
-            keys.withColumn("stored", F.lit(0)).unionByName(
-                stored.select("letters", F.lit(1).alias("stored"))
-            ),
-            ["letters", "stored"],
-            "mixed_at",
-        ).filter("stored = 0")
-        starts = mixed.join(global_index(keys, ["letters"], "key_at"), "letters").select(
-            F.col("letters").alias("own_letters"),
-            (F.col("mixed_at") - F.col("key_at")).alias("start"),
+        mixed = keys.withColumn("stored", F.lit(0)).unionByName(
+            stored.withColumn("stored", F.lit(1)), allowMissingColumns=True
+        )
+        placed = count_before(mixed, ["letters", "stored"], "stored", "slot")
+        slots = placed.filter("stored = 1").select("slot", "letters", "term", "normalized_term")
+        starts = placed.filter("stored = 0").select(
+            F.col("letters").alias("own_letters"), F.col("slot").alias("start")
         )
+        total = slots.agg(F.count(F.lit(1))).scalar()
         # one extra place, because the text itself may be among the palindromes
         span = F.least(F.col("limit") + 1, total)
         page = (
@@ -423,7 +419,7 @@ def palindromes(
             .filter(total > 0)
             .withColumn("step", F.explode(F.sequence(F.lit(0), F.greatest(span - 1, F.lit(0)).cast("int"))))
             .withColumn("slot", (F.col("start") + F.col("step")) % total)
-            .join(stored, "slot")
+            .join(slots, "slot")
             .filter(F.col("letters") != F.col("own_letters"))
         )
         ranked = top_k(page, [Q], ["step"], MAX_BUDGET, F.col("limit"))

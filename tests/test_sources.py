@@ -192,3 +192,27 @@ def test_refresh_replaces_one_source(spark, tmp_path):
     refresh_source(make([("c", 2), ("d", 2)]), path)
     got = sorted((r["value"], r["provenance_id"]) for r in spark.read.parquet(path).collect())
     assert got == [("a", 1), ("c", 2), ("d", 2)]
+
+
+def test_profiles_ignore_layout(spark, tmp_path):
+    from glossweave.sources import profiles
+
+    def digest(df):
+        row = df.collect()[0]
+        return row["row_count"], row["malformed"], row["row_digest"]
+
+    (tmp_path / "a.jsonl").write_text('{"b": 1, "a": [1, 2]}\n{"a": {"y": 1, "x": null}}\nbroken\n[1]\n')
+    with gzip.open(tmp_path / "b.jsonl.gz", "wt") as out:
+        out.write('{"a":{"x":null,"y":1}}\n\n[1]\nbroken\n{"a":[1,2],"b":1}\n')
+    one = digest(profiles.profile_wiktionary(spark, str(tmp_path / "a.jsonl")))
+    assert one == digest(profiles.profile_wiktionary(spark, str(tmp_path / "b.jsonl.gz"))) and one[:2] == (2, 2)
+    (tmp_path / "w1.xml").write_text(WORDNET, encoding="utf-8")
+    (tmp_path / "w2.xml").write_text(WORDNET.replace("><", ">\n  <").replace('id="w-boat"', 'id = "w-boat"'), encoding="utf-8")
+    assert digest(profiles.profile_wordnet(spark, str(tmp_path / "w1.xml"))) == digest(
+        profiles.profile_wordnet(spark, str(tmp_path / "w2.xml")))
+    (tmp_path / "v.txt").write_text("3 2\n/c/en/a 1 2\n/c/en/b nan 2\n/c/en/c 1\n")
+    assert digest(profiles.profile_vectors(spark, str(tmp_path / "v.txt"), 2))[:2] == (1, 2)
+    (tmp_path / "c.tsv").write_text("a\tb\tc\td\nx\ty\n\n")
+    assert digest(profiles.profile_conceptnet(spark, str(tmp_path / "c.tsv")))[:2] == (1, 1)
+    (tmp_path / "d.dict").write_text(";;; c\nword  W  ER1 D\nlonely\n")
+    assert digest(profiles.profile_cmudict(spark, str(tmp_path / "d.dict")))[:2] == (1, 1)
