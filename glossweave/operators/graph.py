@@ -17,6 +17,7 @@ from ..schemas import (
     inverse_relation,
     name_of,
 )
+from ..session import reliable_cut
 from .ranking import diversify, first_per, round_robin, top_k
 from .requests import answer_shared, with_defaults
 
@@ -242,7 +243,8 @@ def _relations(corpus: Corpus, questions: DataFrame, catalogue: DataFrame | None
     ).withColumn(
         "target_language_filter", F.when(F.col("kind") == "direct", F.col("target_language_filter"))
     )
-    ranked = ranked_edges(corpus, scans, [Q, "kind"], catalogue)
+    # read for the direct rows and for the frontier; at most 512 rows per request
+    ranked = reliable_cut(ranked_edges(corpus, scans, [Q, "kind"], catalogue))
     direct = diversify(
         ranked.filter(F.col("kind") == "direct"), [Q], _IDENTITY, _TARGET, ["edge_rank"], "__order"
     )
@@ -251,29 +253,20 @@ def _relations(corpus: Corpus, questions: DataFrame, catalogue: DataFrame | None
         & (F.col("edge_rank") <= _FRONTIER_SCAN)
         & ((F.col("kind") == "frontier") | F.col("final_language").isNull())
     )
-    paths = _two_hop(corpus, first_hops, catalogue)
-    fresh = paths.join(
-        direct.select(Q, *[F.col(c).alias(f"d_{c}") for c in _IDENTITY]).withColumnRenamed(Q, "d_q"),
-        (F.col(Q) == F.col("d_q"))
-        & (F.col("target_normalized") == F.col("d_target_normalized"))
-        & (F.col("target_language") == F.col("d_target_language"))
-        & F.col("source_sense_id").eqNullSafe(F.col("d_source_sense_id"))
-        & F.col("target_sense_id").eqNullSafe(F.col("d_target_sense_id")),
-        "left_anti",
-    )
-    spread = diversify(fresh, [Q], _IDENTITY, _TARGET, ["path_rank"], "__order")
-    transitive = spread.filter(F.col("__order") <= F.col("path_limit"))
     columns = [
         Q, "limit", "__order", "source_term", F.col("language").alias("source_language"),
         "source_sense_id", "relation_code", "target_term", "target_language", "target_sense_id",
         "direction_code", "provenance_id",
     ]
+    none = F.lit(None).cast("string")
     rows = direct.select(
-        *columns, F.lit(1).alias("distance"), F.lit(None).cast("string").alias("middle_term"),
-        F.lit(None).cast("string").alias("middle_sense_id"),
-    ).unionByName(
-        transitive.select(*columns, F.lit(2).alias("distance"), "middle_term", "middle_sense_id")
+        *columns, F.lit(1).alias("distance"), none.alias("middle_term"), none.alias("middle_sense_id")
     )
+    if not first_hops.isEmpty():
+        paths = _fresh_paths(_two_hop(corpus, first_hops, catalogue), direct)
+        rows = rows.unionByName(
+            paths.select(*columns, F.lit(2).alias("distance"), "middle_term", "middle_sense_id")
+        )
     # bounded per request: at most 512 direct rows and 100 paths
     paths_found = F.count(F.when(F.col("distance") == 2, 1)).over(Window.partitionBy(Q))
     kept = rows.withColumn("__paths", paths_found).filter(
@@ -290,6 +283,21 @@ def _relations(corpus: Corpus, questions: DataFrame, catalogue: DataFrame | None
     )
 
 
+def _fresh_paths(paths: DataFrame, direct: DataFrame) -> DataFrame:
+    """Paths to what no direct row reaches, in diverse order, within their budget."""
+    fresh = paths.join(
+        direct.select(Q, *[F.col(c).alias(f"d_{c}") for c in _IDENTITY]).withColumnRenamed(Q, "d_q"),
+        (F.col(Q) == F.col("d_q"))
+        & (F.col("target_normalized") == F.col("d_target_normalized"))
+        & (F.col("target_language") == F.col("d_target_language"))
+        & F.col("source_sense_id").eqNullSafe(F.col("d_source_sense_id"))
+        & F.col("target_sense_id").eqNullSafe(F.col("d_target_sense_id")),
+        "left_anti",
+    )
+    spread = diversify(fresh, [Q], _IDENTITY, _TARGET, ["path_rank"], "__order")
+    return spread.filter(F.col("__order") <= F.col("path_limit"))
+
+
 def _preferred(direction: Column, relation_code: Column) -> Column:
     """0 when the edge points the way the relation is asked for."""
     wanted = F.when(relation_code == RELATION_CODES["hypernym"], DIRECTION_CODES["outbound"]).otherwise(
@@ -359,7 +367,7 @@ def _two_hop(corpus: Corpus, first_hops: DataFrame, catalogue: DataFrame | None)
         "branch", F.greatest(F.lit(16), F.least(F.lit(_BRANCH_CEILING), F.col("path_limit") * 2))
     )
     keys = ["mid_word", "mid_language", "relation_code", "final_language", "branch"]
-    firsts = frontier.select(
+    firsts = reliable_cut(frontier).select(
         Q, "word", "language", "limit", "path_limit", "relation_code", "final_language", "branch",
         F.col("target_normalized").alias("mid_word"), F.col("target_language").alias("mid_language"),
         F.col("target_term").alias("middle_term"), F.col("target_term_id").alias("mid_term_id"),

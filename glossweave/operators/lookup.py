@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import lexical_affinity, sense_scope
 from ..schemas import MAX_BUDGET, RELATION_CODES, RELATION_SCAN_CEILING, Corpus
+from ..session import reliable_cut
 from . import graph
 from .ranking import first_per, round_robin, top_k
 from .requests import answer_shared, with_defaults
@@ -165,8 +166,13 @@ def lookup_details(
     requests = with_defaults(requests, LOOKUP_DEFAULTS)
     params = ["word", *LOOKUP_DEFAULTS]
 
+    built: list[DataFrame] = []
+
     def build(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-        senses = _pick_senses(corpus, questions)
+        # read by every class below; at most ``limit`` rows per request
+        if not built:
+            built.append(reliable_cut(_pick_senses(corpus, questions)))
+        senses = built[0]
         targets = corpus.translations.join(
             corpus.terms.select(
                 F.col("term_id").alias("target_term_id"), F.col("term").alias("value"),
@@ -272,6 +278,8 @@ def _synonyms(corpus: Corpus, questions: DataFrame) -> DataFrame:
     candidates = first_per(
         senses.join(links, "sense_id").filter(~same_word), [Q, "sense_rank", *_IDENTITY], ["__at"]
     ).withColumn("sense_scope", sense_scope(F.col("sense_id")))
+    # read four times below; at most 100 rows per chosen sense
+    candidates = reliable_cut(candidates)
 
     native = round_robin(
         candidates.filter(F.col("sense_scope") == "unsensed"),
@@ -285,7 +293,7 @@ def _synonyms(corpus: Corpus, questions: DataFrame) -> DataFrame:
         .join(native_counts, Q, "left")
         .filter(F.coalesce("native_count", F.lit(0)) < F.col("unsensed_limit"))
     )
-    related = _graph_synonyms(corpus, open_requests, support)
+    related = reliable_cut(_graph_synonyms(corpus, open_requests, support))
     related_counts = related.groupBy(Q).agg(F.count(F.lit(1)).alias("related_count"))
     budgets = (
         asked.select(Q, "limit", "unsensed_limit")

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import lookup_key, request_language, strip
-from ..schemas import MAX_BUDGET, MAX_TEXT_LENGTH
+from ..schemas import MAX_BUDGET, MAX_CONTEXT_LENGTH, MAX_TEXT_LENGTH
 
 
 def with_defaults(requests: DataFrame, defaults: Mapping[str, Any]) -> DataFrame:
@@ -80,6 +80,7 @@ def validate(
     limits: Sequence[str] = (),
     budgets: Sequence[str] = (),
     allocations: Sequence[str] = (),
+    contexts: Sequence[str] = (),
     bounded: Mapping[str, tuple[int, int]] | None = None,
     names: Mapping[str, Sequence[str]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
@@ -108,6 +109,9 @@ def validate(
             _range_problem(name, 0),
             (F.col(name) > F.col("limit"), f"{name} must not exceed limit"),
         ]
+    for name in contexts:
+        size = F.length(strip(F.col(name)))
+        problems.append((~size.between(1, MAX_CONTEXT_LENGTH), f"{name} must have 1 to {MAX_CONTEXT_LENGTH} characters"))
     for name, (low, high) in (bounded or {}).items():
         problems.append(_range_problem(name, low, high))
     for name, allowed in (names or {}).items():

@@ -327,6 +327,26 @@ def prefixed(corpus: Corpus, requests: DataFrame, already_distinct: bool = False
     return answer_shared(requests, ["text", "limit"], answer, already_distinct)
 
 
+_MODES = {
+    "rhyme": rhymes,
+    "near_rhyme": near_rhymes,
+    "sounds_like": sounds_like,
+    "spelled_like": spelled_like,
+    "prefix": prefixed,
+}
+SEARCH_MODES = tuple(_MODES)
+
+
+def search(corpus: Corpus, requests: DataFrame, already_distinct: bool = False) -> DataFrame:
+    """Sound and spelling matches for a request table with a ``mode`` per row."""
+    answers = None
+    for mode, operator in _MODES.items():
+        asked = requests.filter(F.col("mode") == mode).drop("mode")
+        found = operator(corpus, asked, already_distinct).withColumn("mode", F.lit(mode))
+        answers = found if answers is None else answers.unionByName(found)
+    return answers
+
+
 # ------------------------------------------------------------ anagrams, palindromes
 def _by_letters(index: DataFrame, *keys: str) -> DataFrame:
     """One row per letter string; the least spelling also names the normalised term."""

@@ -402,3 +402,28 @@ def test_plans_prune_before_the_shuffle(spark):
     for frame in (wordplay.near_rhymes(spoken, words), wordplay.spelled_like(spoken, words)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_front_door_rejects_and_answers(spark):
+    from glossweave.operators.front import OPERATORS, ask
+
+    corpus = graph_corpus(spark, [("en:a", None, 3, "en:b", None, 1, 1)])
+    asked = spark.createDataFrame(
+        [(1, " A ", "hypernym", "en"), (2, "a", "synonym", "en"), (3, "a", "hypernym", "fr"), (4, "", "hypernym", "en")],
+        "request_id int, word string, relation string, language string",
+    )
+    in_place = spark.createDataFrame([("lexical", "en", "installed"), ("lexical", "fr", "language_not_installed")],
+                                     "capability string, language string, reason string")
+    rows, rejects = ask("relations", corpus, asked, in_place)
+    assert [(r["request_id"], r["target_term"]) for r in rows.collect()] == [(1, "b")]
+    assert {r["request_id"]: r["reason"] for r in rejects.collect()} == {
+        2: "relation is not supported", 3: "language: language_not_installed", 4: "word cannot be empty"}
+    spoken = spoken_corpus(spark, WORDS)
+    modes = spark.createDataFrame([(1, "prefix", "le"), (2, "rhyme", "light"), (3, "other", "x")], "request_id int, mode string, text string")
+    rows, rejects = ask("search", spoken, modes)
+    assert {(r["request_id"], r["mode"], r["normalized_term"]) for r in rows.collect()} == {
+        (1, "prefix", "leap"), (1, "prefix", "level"), (2, "rhyme", "right"), (2, "rhyme", "write")}
+    assert [r["request_id"] for r in rejects.collect()] == [3]
+    contexts = spark.createDataFrame([(1, "right", "c" * 513)], "request_id int, text string, context string")
+    assert ask("puns", spoken, contexts, spoken_provenance=9)[1].count() == 1
+    assert set(OPERATORS) >= {"lookup", "synonyms", "translate", "neighbours", "spoonerisms", "anagrams"}
