@@ -36,15 +36,29 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
+def is_simple(col: Column) -> Column:
+    """Text whose lookup key needs no Unicode tables beyond lower-casing."""
+    return col.rlike(_SIMPLE_TEXT)
+
+
+def simple_key(col: Column) -> Column:
+    """Lookup key of simple text, in the JVM."""
+    return squeeze(F.replace(F.lower(col), F.lit("ß"), F.lit("ss")))
+
+
+def full_key(col: Column) -> Column:
+    """Lookup key of any text, by the Arrow function."""
+    return _compatibility_casefold(col)
+
+
 def lookup_key(col: Column) -> Column:
     """NFKC, casefold, collapsed whitespace.
 
-    Spark has no NFKC or casefold, so only text outside ASCII and Latin-1 letters
-    takes the Arrow function; call it on distinct terms.
+    Spark has no NFKC or casefold, so text outside ASCII and Latin-1 letters takes the
+    Arrow function; the other rows only pass NULLs through it.
     """
-    simple = col.rlike(_SIMPLE_TEXT)
-    fast = squeeze(F.replace(F.lower(col), F.lit("ß"), F.lit("ss")))
-    return F.when(simple, fast).otherwise(_compatibility_casefold(F.when(~simple, col)))
+    simple = is_simple(col)
+    return F.when(simple, simple_key(col)).otherwise(full_key(F.when(~simple, col)))
 
 
 def compatibility_text(col: Column) -> Column:

@@ -12,6 +12,7 @@ from ..operators import graph, lookup, vectors, wordplay
 from ..operators.ranking import nearest_rank
 from ..operators.requests import validate
 from ..schemas import RELATION_CODES, Corpus
+from ..session import stored_table
 from . import driver_tables as tables
 from . import layout, quality
 
@@ -419,7 +420,12 @@ def _partitioned(spark, folder):
     corpus = tables.word_corpus(spark, folder)
     sizes = layout.language_sizes(corpus.terms)
     plan = layout.assign_partitions(sizes, 3_000_000, 4_000_000)
-    return corpus, plan, layout.repartition_by_language(corpus, plan)
+
+    def keep(name: str, table: DataFrame) -> DataFrame:
+        # examples repeat whole lines, so they are not written a second time
+        return table if name == "examples" else stored_table(spark, folder, f"pack_{name}", lambda: table)
+
+    return corpus, plan, layout.repartition_by_language(corpus, plan, keep)
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import request_language
@@ -91,20 +93,25 @@ def assign_partitions(
     return single.unionByName(bundled)
 
 
-def repartition_by_language(corpus: Corpus, plan: DataFrame) -> dict[str, DataFrame]:
+def repartition_by_language(
+    corpus: Corpus,
+    plan: DataFrame,
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, table: table,
+) -> dict[str, DataFrame]:
     """Every table with a ``pack_id``, plus ``target_catalogue`` stubs for foreign terms.
 
     All partitions come out of the same joins: no loop over partitions. Edges go to the
     owner of either end (once when both ends share it). Stub counts come from the whole
     corpus, so ranking inside a partition equals ranking over everything.
     """
-    owner = corpus.terms.join(plan.select("language", "pack_id"), "language").select(
-        "pack_id", *corpus.terms.columns
+    owner = keep(
+        "terms",
+        corpus.terms.join(plan.select("language", "pack_id"), "language").select("pack_id", *corpus.terms.columns),
     )
     owns = owner.select("term_id", "pack_id")
-    entries = corpus.entries.join(owns, "term_id")
+    entries = keep("entries", corpus.entries.join(owns, "term_id"))
     entry_owner = entries.select("entry_id", "pack_id")
-    senses = corpus.senses.join(entry_owner, "entry_id")
+    senses = keep("senses", corpus.senses.join(entry_owner, "entry_id"))
     sense_owner = senses.select("sense_id", "pack_id")
     tables = {"terms": owner, "entries": entries, "senses": senses}
     for name, parent, owners in (
@@ -114,7 +121,7 @@ def repartition_by_language(corpus: Corpus, plan: DataFrame) -> dict[str, DataFr
         ("synonyms", "sense_id", sense_owner),
     ):
         if corpus.has(name):
-            tables[name] = getattr(corpus, name).join(owners, parent)
+            tables[name] = keep(name, getattr(corpus, name).join(owners, parent))
     ends = corpus.relations.join(
         owns.select(F.col("term_id").alias("source_term_id"), F.col("pack_id").alias("__source_pack")),
         "source_term_id",
@@ -123,16 +130,19 @@ def repartition_by_language(corpus: Corpus, plan: DataFrame) -> dict[str, DataFr
         "target_term_id",
     )
     packs = F.array_distinct(F.array("__source_pack", "__target_pack"))
-    tables["relations"] = ends.withColumn("pack_id", F.explode(packs)).drop("__source_pack", "__target_pack")
+    tables["relations"] = keep(
+        "relations", ends.withColumn("pack_id", F.explode(packs)).drop("__source_pack", "__target_pack")
+    )
     referenced = _referenced(tables)
     foreign = referenced.join(owns, ["pack_id", "term_id"], "left_anti")
-    tables["target_catalogue"] = foreign.join(
+    stubs = foreign.join(
         term_catalogue(corpus).withColumnRenamed("target_term_id", "term_id"), "term_id"
     ).select(
         "pack_id", "term_id", F.col("target_term").alias("term"),
         F.col("target_normalized").alias("normalized_term"), F.col("target_language").alias("language"),
         F.col("target_entry_count").alias("entry_count"), F.col("target_sense_count").alias("sense_count"),
     )
+    tables["target_catalogue"] = keep("target_catalogue", stubs)
     return tables
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.ids import term_id
-from ..functions.text import lookup_key
+from ..functions.text import full_key, is_simple, lookup_key, simple_key
 from ..schemas import TABLES, conform
 
 # --- fixed values: provenance of the public corpora ---------------------------
@@ -41,10 +41,18 @@ def term_key(language: Column, term: Column) -> Column:
 
 
 def intern(*names: DataFrame) -> DataFrame:
-    """terms out of (language, term) mentions; each distinct mention is normalised once."""
+    """terms out of (language, term) mentions; each distinct mention is normalised once.
+
+    Terms that need the Python function are a branch of their own: adaptive execution
+    drops it, workers and all, when its input turns out to be empty.
+    """
     mentions = reduce(DataFrame.unionByName, [n.select("language", "term") for n in names])
-    distinct = mentions.filter(F.col("term").isNotNull()).distinct()
-    keyed = distinct.withColumn("normalized_term", lookup_key(F.col("term")))
+    term = F.col("term")
+    plain = mentions.filter(is_simple(term)).distinct()
+    other = mentions.filter(~is_simple(term)).distinct()
+    keyed = plain.withColumn("normalized_term", simple_key(term)).unionByName(
+        other.withColumn("normalized_term", full_key(term))
+    )
     rows = keyed.withColumn("term_id", term_id("language", "normalized_term", "term"))
     return conform(rows, "terms")
 
