@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, sharding
+from . import bpe, dedup, packing, secrets, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,37 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.exact_groups(table(spark, folder, "documents"))
+
+
+ORACLES["op2_exact_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
+
+@query
+def op4_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, folder, "documents"))
+
+
+@query
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer("byte_bpe_50k.json")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    decoded = bpe.decode_documents(bpe.encode_documents(docs, path), path)
+    return decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op10_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, folder, "documents"))
