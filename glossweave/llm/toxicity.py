@@ -24,8 +24,9 @@ FIT_ROWS = 20_000
 #: Most lexicon entries.
 ENTRIES = 5_000
 _STEM = range(4, 13)
+_MASS = 30.0  # hits beyond this sum say nothing more
 _CONFIDENT = 14.0  # nats of evidence that an entry must bring
-_PURE = 0.8  # least share of toxic documents among those that hold an entry
+_LIFT = 2.5  # an entry's share of toxic documents, over that of all documents, at least
 
 #: Phrases in which a lexicon word is no insult (fixed list; matched in folded text).
 EXCEPTIONS = (
@@ -98,30 +99,32 @@ class Lexicon:
         return self._automaton
 
     def features(self, text: str) -> tuple[float, float]:
-        """Logarithms of the weighted sum of hits and of its share per hundred words."""
+        """The weighted sum of hits up to a ceiling, and the logarithm of its share per hundred words."""
         automaton = self.automaton()
-        folded = fold(text)
+        folded = fold(text) + " "
         total = 0.0
         if len(automaton):
-            hits: list[tuple[int, int, float]] = []
+            best: dict[int, float] = {}  # start of a word -> weight of its best entry
             spared: list[tuple[int, int]] = []
-            size = len(folded)
             for end, (length, kinds) in automaton.iter(folded):
                 start = end - length + 1
                 if start and folded[start - 1] != " ":
                     continue
-                whole = end + 1 == size or folded[end + 1] == " "
+                whole = folded[end + 1] == " "
                 if whole and "exception" in kinds:
                     spared.append((start, end))
                 weight = kinds.get("stem", 0.0)
                 if whole:
                     weight = max(weight, kinds.get("word", 0.0))
-                if weight:
-                    hits.append((start, end, weight))
-            if spared:
-                hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
-            total = sum(weight for _, _, weight in hits)
-        return math.log1p(total), (math.log1p(100 * total / (folded.count(" ") + 1)) if total else 0.0)
+                if weight > best.get(start, 0.0):
+                    best[start] = weight
+            words = {  # a word that is said again counts once
+                folded[start : folded.find(" ", start)]: weight
+                for start, weight in best.items()
+                if not any(a <= start <= b for a, b in spared)
+            }
+            total = sum(words.values())
+        return min(total, _MASS), (math.log1p(100 * total / folded.count(" ")) if total else 0.0)
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         a, b, c = self.coefficients
@@ -190,7 +193,7 @@ def learn_lexicon(
     evidence = F.col("toxic") * F.log(part / share) + F.when(
         F.col("clean") > 0, F.col("clean") * F.log((1 - part) / (1 - share))
     ).otherwise(0.0)
-    strong = counted.where((F.col("toxic") > 0) & (part >= _PURE)).withColumn("evidence", evidence).where(
+    strong = counted.where((F.col("toxic") > 0) & (part >= F.least(F.lit(_LIFT * share), F.lit((1 + share) / 2)))).withColumn("evidence", evidence).where(
         F.col("evidence") >= _CONFIDENT
     )
     found = strong.orderBy(F.desc("evidence"), F.length("entry").desc(), "entry").limit(ENTRIES).collect()
@@ -200,23 +203,37 @@ def learn_lexicon(
 
 
 def _generalised(found: list, toxic: int, clean: int) -> dict[str, float]:
-    """Weights of the entries that say most: a stem stands for all words that begin with it,
-    unless one of them has nearly all of its documents and so says the same more exactly."""
+    """Weights of the entries that say something of their own.
+
+    A stem goes if a longer entry has nearly all of its toxic documents; an entry goes if a
+    stem it begins with weighs about as much. A word counts with its best entry only.
+    """
     by = {r["entry"]: (r["toxic"], r["clean"]) for r in found}
-    covered: list[str] = []
+    weight = {
+        e: math.log((hits + 0.5) / (toxic + 1)) - math.log((misses + 0.5) / (clean + 1))
+        for e, (hits, misses) in by.items()
+    }
+    ordered = sorted(by, key=lambda e: (e.rstrip("*"), e))
     weights: dict[str, float] = {}
-    for entry in sorted(by, key=lambda e: (len(e.rstrip("*")), e)):
+    open_: list[str] = []  # stems kept, each a beginning of the next
+    for k, entry in enumerate(ordered):
         plain = entry.rstrip("*")
-        if any(plain.startswith(stem) for stem in covered):
-            continue
+        while open_ and not plain.startswith(open_[-1]):
+            open_.pop()
         if entry.endswith("*"):
-            longer = [e for e in by if e != entry and e.startswith(plain)]
-            if any(by[e][0] >= 0.97 * by[entry][0] and by[e][1] <= by[entry][1] for e in longer):
+            same = False
+            for other in ordered[k + 1 :]:
+                if not other.startswith(plain):
+                    break
+                same |= by[other][0] >= 0.97 * by[entry][0] and by[other][1] <= by[entry][1]
+            if same:
                 continue
-            covered.append(plain)
-        hits, misses = by[entry]
-        weights[entry] = math.log((hits + 0.5) / (toxic + 1)) - math.log((misses + 0.5) / (clean + 1))
-    return {e: w for e, w in weights.items() if w > 0}
+        if weight[entry] <= max((weights[s + "*"] for s in open_), default=0.0) + 1.0:
+            continue
+        weights[entry] = weight[entry]
+        if entry.endswith("*"):
+            open_.append(plain)
+    return weights
 
 
 def _featured(lexicon: Lexicon, column: int):
