@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, dedup, packing, secrets, sharding, toxicity
+from . import bpe, chat, dedup, near, packing, secrets, sharding, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op4_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_documents(table(spark, folder, "documents"))
 
 
+@query
+def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_classes(near.near_join(table(spark, folder, "documents"))).drop("text_hash")
+
+
 @query
 def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
