@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, dedup, near, packing, secrets, sharding, toxicity
+from . import bpe, chat, dedup, near, packing, secrets, sharding, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,31 @@ def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(turns))
 
 
+@query
+def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.whole_numbers(table(spark, folder, "embeddings"))
+    queries = vectors.where(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id")
+    return topk.exact_top_k(vectors, queries)
+
+
+ORACLES["op8_exact_top_k"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+  FROM s
+)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
 @query
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer("byte_bpe_50k.json")
