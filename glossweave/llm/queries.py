@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, dedup, near, packing, secrets, sharding, topk, toxicity
+from . import bpe, chat, dedup, licenses, near, packing, secrets, sharding, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(turns))
 
 
+@query
+def op7_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
 @query
 def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.whole_numbers(table(spark, folder, "embeddings"))
