@@ -420,6 +420,30 @@ ORACLES["recall_seeds"] = """
 WITH r AS (SELECT 'l'||label AS language, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS spot, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
 s AS (SELECT unnest(range(0, 10)) AS stratum)
 SELECT language, stratum::BIGINT AS stratum, vec_id AS semantic_id FROM r JOIN s ON spot = ((2 * stratum + 1) * n) // 20 WHERE n >= 10"""
+_CELLS = """
+e AS (SELECT vec_id, 'l'||label AS language, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, language, v, sqrt(list_inner_product(v, v)) AS norm FROM e),
+num AS (SELECT ceil(sqrt(count(*)))::BIGINT AS cells FROM e),
+c AS (SELECT vec_id AS cell, v, norm FROM (SELECT *, row_number() OVER (ORDER BY ('0x'||substr(sha256('17'||chr(9)||vec_id), 1, 15))::BIGINT, vec_id) AS nth FROM u), num WHERE nth <= cells),
+near AS (SELECT u.vec_id, cell, row_number() OVER (PARTITION BY u.vec_id ORDER BY list_inner_product(u.v, c.v) / c.norm DESC) AS nearness FROM u, c),
+hit AS (SELECT q.vec_id AS query, q.language AS query_language, s.vec_id, s.language, list_inner_product(q.v, s.v) / (q.norm * s.norm) AS sim, k.scope,
+    p.nearness <= ceil(0.9 * cells) AS seen
+  FROM u q JOIN u s ON q.vec_id <> s.vec_id JOIN near h ON h.vec_id = s.vec_id AND h.nearness = 1
+  JOIN near p ON p.vec_id = q.vec_id AND p.cell = h.cell, num, (SELECT unnest(['global', 'language']) AS scope) k
+  WHERE k.scope = 'global' OR q.language = s.language),
+apx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, query ORDER BY sim DESC, vec_id) AS rank FROM hit WHERE seen) WHERE rank <= 20),
+exact AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope, query ORDER BY sim DESC, vec_id) AS rank FROM hit) WHERE rank <= 20),
+spot AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS spot, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+seed AS (SELECT DISTINCT vec_id FROM spot, (SELECT unnest(range(0, 10)) AS stratum) WHERE n >= 10 AND spot = ((2 * stratum + 1) * n) // 20),
+rec AS (SELECT x.scope AS index_scope, x.query_language AS language, x.query AS seed_id, count(a.vec_id) / least(20, count(*)) AS recall_at_k
+  FROM exact x JOIN seed ON seed.vec_id = x.query LEFT JOIN apx a ON a.scope = x.scope AND a.query = x.query AND a.vec_id = x.vec_id GROUP BY ALL)"""
+ORACLES["knn_approximate"] = f"""WITH {_CELLS}
+SELECT 'v'||query AS request_id, rank, vec_id AS semantic_id, language, round(sim, 4) AS similarity FROM apx WHERE scope = 'global'"""
+ORACLES["ann_recall"] = f"""WITH {_CELLS}
+SELECT index_scope, language, seed_id, recall_at_k, true AS deterministic, true AS strict_language_filtering FROM rec"""
+ORACLES["recall_summary"] = f"""WITH {_CELLS}
+SELECT index_scope, round(avg(recall_at_k), 6) AS mean_recall, count(*) AS seeds, true AS deterministic, true AS strict_language_filtering,
+  round(avg(recall_at_k), 6) >= 0.9 AS passed FROM rec GROUP BY 1"""
 ORACLES["identity_multiplicity"] = """
 SELECT language, max(n) AS max_multiplicity FROM (SELECT 'l'||label AS language, 'v'||vec_id AS w, count(*) AS n FROM embeddings GROUP BY ALL) GROUP BY language"""
 ORACLES["vector_partition"] = """

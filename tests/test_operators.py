@@ -325,14 +325,33 @@ def test_neighbours(spark, monkeypatch, target):
     assert got == {n: brute_force(rows, w, lang, target, 5) for n, (w, lang) in enumerate(words)}
 
 
-def test_approximate_recall(spark):
+def clustered(spark, n, d, clusters):
+    """Vectors around a few hundred directions, as word vectors are, in three languages."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(clusters, d))
+    points = centres[rng.integers(0, clusters, n)] + 0.35 * rng.normal(size=(n, d))
+    rows = [(k, f"w{k}", ("en", "fr", "de")[k % 3], [float(x) for x in p]) for k, p in enumerate(points)]
+    frame = spark.createDataFrame(rows, "semantic_id long, term string, language string, embedding array<float>")
+    frame = frame.withColumn("term_id", F.col("semantic_id")).withColumn("normalized_term", F.col("term")).cache()
+    return Corpus(
+        terms=lambda: frame.select("term_id", "term", "normalized_term", "language"),
+        vectors=lambda: frame.select("semantic_id", F.col("term").alias("concept"), "term_id", "embedding"),
+    )
+
+
+def test_approximate_recall_of_clustered_vectors_at_a_tenth_of_the_cells(spark):
+    corpus = clustered(spark, 20_000, 24, 150)
+    report = vectors.recall_report(corpus, 10, 20, 0.1)
+    summary = {r["index_scope"]: r for r in vectors.recall_summary(report).collect()}
+    assert set(summary) == {"global", "language"} and all(r["passed"] for r in summary.values())
+    assert all(r["mean_recall"] >= 0.9 for r in summary.values())
+
+
+def test_recall_bar_can_fail(spark):
     corpus, _ = vector_corpus(spark, n=900, d=12)
-    report = vectors.recall_report(corpus, 10, 20, 16, 16).collect()
-    assert len(report) == 60
-    assert all(r["deterministic"] and r["strict_language_filtering"] for r in report)
-    for scope in ("global", "language"):
-        values = [r["recall_at_k"] for r in report if r["index_scope"] == scope]
-        assert sum(values) / len(values) >= 0.9
+    report = vectors.recall_report(corpus, 10, 20, 0.05, check_repeat=False)
+    report = report.withColumn("deterministic", F.lit(True))
+    assert not any(r["passed"] for r in vectors.recall_summary(report).collect())
 
 
 def test_partition_assignment_equals_loop(spark):
