@@ -40,6 +40,8 @@ BUCKET = 2_000
 BLOCK_MEMBERS = 512
 BLOCK_GRAMS = 500_000
 _COLUMNS = 8_192
+#: Slots of the filter in front of the join that fetches texts; bounds what it broadcasts.
+SLOTS = 1 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -380,9 +382,13 @@ def near_join(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id "), _text_hash().alias("hash "),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    texts = member.withColumn("id ", F.coalesce("rep_id", F.lit(-1))).withColumnRenamed("text_hash", "hash ").join(
-        asked, ["id ", "hash "]
-    )
+    wanted = member.withColumn("id ", F.coalesce("rep_id", F.lit(-1))).withColumnRenamed("text_hash", "hash ")
+    # most texts are in no group: those whose slot no member has are not shuffled at all;
+    # there are at most SLOTS of them to broadcast, and the join that follows is exact
+    slot = F.pmod(F.xxhash64("id ", "hash "), F.lit(SLOTS)).alias("slot ")
+    slots = wanted.select(slot).distinct()
+    asked = asked.withColumn("slot ", slot).join(F.broadcast(slots), "slot ", "left_semi").drop("slot ")
+    texts = wanted.join(asked.hint("merge"), ["id ", "hash "])
     paired = texts.select(
         "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.col("rep").alias("row"),
         "copies", "set_key", "text",
