@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from .common import code_points, gather, range_hashes, row_slices, text_bytes
+from .common import arrow_map, code_points, gather, range_hashes, row_slices, text_bytes
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = 1, 2, 3, 4, 5
 _NONE = np.int64(1 << 40)
@@ -391,7 +391,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
 
     # the name with a blank cannot clash with a column that passes through
     chosen = docs.select(*[docs[f"`{k}`"] for k in kept], docs[f"`{text}`"].cast("string").alias("text "))
-    return chosen.mapInArrow(run, schema)
+    return chosen.transform(arrow_map, run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -416,4 +416,4 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", text: str
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([*part.columns, own], names=[*kept, text])
 
-    return encoded.select(*[encoded[f"`{k}`"] for k in kept]).mapInArrow(run, schema)
+    return encoded.select(*[encoded[f"`{k}`"] for k in kept]).transform(arrow_map, run, schema)

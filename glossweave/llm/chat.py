@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import BLOCK_BYTES, gather, row_slices, text_bytes
+from .common import BLOCK_BYTES, arrow_map, gather, row_slices, text_bytes
 
 # fixed values: the marks of a turn
 START, END = "<|im_start|>", "<|im_end|>"
@@ -108,7 +108,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
     count = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(count, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(_formatted, TURNS)
+    return dealt.transform(arrow_map, _formatted, TURNS)
 
 
 def parse_turn(formatted: str) -> tuple[str, str]:
@@ -167,4 +167,4 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
     """Per conversation what its formatted turns read back as; ``formatted`` as made above."""
-    return formatted.mapInArrow(_read_back, DIGESTS)
+    return formatted.transform(arrow_map, _read_back, DIGESTS)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..session import shared_folder
 
+#: Bytes of a batch that a Python worker receives at a time (a longer single row is a batch of its own).
+BATCH_BYTES = 4 << 20
 #: Bytes of text that one numpy pass works on; a longer single text is one pass of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -33,6 +35,18 @@ def land(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded by bytes, so that long texts do not swell a worker.
+
+    The bound is a setting of the session; a smaller one that is already set stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(name).strip().lower().removesuffix("b")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import mixed, range_hashes, row_slices, shingle_hashes, text_bytes
+from .common import arrow_map, mixed, range_hashes, row_slices, shingle_hashes, text_bytes
 
 WORDS = 5
 CONTAINED = 0.8
@@ -240,4 +240,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, word
                     names=_SPANS.names,
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SPANS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow_map, run, _SPANS)

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import land, mixed, range_hashes, row_slices, shingle_hashes, text_bytes
+from .common import arrow_map, land, mixed, range_hashes, row_slices, shingle_hashes, text_bytes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -334,7 +334,7 @@ def near_join(
         F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
         _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"),
     )
-    prints = land(source.mapInArrow(_printed(bands, rows, words), _PRINTS), "prints")
+    prints = land(source.transform(arrow_map, _printed(bands, rows, words), _PRINTS), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "row", "text_hash", "grams", "bands", "sketch")
     classes = land(
         prints.groupBy("set_key").agg(F.min(first).alias("r"), F.count(F.lit(1)).alias("copies")).select(
@@ -354,7 +354,7 @@ def near_join(
 
     def tied(bucketed: DataFrame, least: float, lead: float) -> DataFrame:
         dealt = bucketed.select("key", "salt", "rep", "sketch").repartition("key", "salt")
-        return land(dealt.sortWithinPartitions("key", "salt", "rep").mapInArrow(_tie(least, lead), _TIES), "ties")
+        return land(dealt.sortWithinPartitions("key", "salt", "rep").transform(arrow_map, _tie(least, lead), _TIES), "ties")
 
     # a pair at the threshold d apart: a leader within (1 - d) / 2 of one is within 1.5 (1 - d) of the other
     apart = 1 - threshold

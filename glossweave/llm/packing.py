@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .bpe import bpe
-from .common import land
+from .common import arrow_map, land
 
 SEQUENCE_LENGTH = 4096
 END_ID = 1
@@ -83,7 +83,7 @@ def token_pieces(
                     columns.append(pa.array([raw[a:b] for a, b in spans], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow_map, run, schema)
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -165,7 +165,7 @@ def pack_pieces(pieces: DataFrame, length: int = SEQUENCE_LENGTH) -> DataFrame:
     ranked = pieces.join(tally.drop("n"), ["length", "part"]).select(
         *[F.col(f.name) for f in kept], (F.col("place") + F.col("before")).alias("rank ")
     )
-    return ranked.mapInArrow(run, schema)
+    return ranked.transform(arrow_map, run, schema)
 
 
 def pack_documents(

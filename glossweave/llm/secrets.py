@@ -19,6 +19,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import arrow_map
+
 ASSIGN, ACCESS, HEX = "assign", "access", "hex"
 BASE_KINDS = (ASSIGN, ACCESS, HEX)
 #: Kinds that the method adds, each with an embedded checksum.
@@ -163,7 +165,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     Null text counts as empty and has no spans; each row is scanned by itself, so repeated
     rows and ties need no rule; other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scanned, _SCAN)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow_map, _scanned, _SCAN)
 
 
 def _masked(text: str, marker: str) -> str:
@@ -190,7 +192,7 @@ def mask_documents(docs: DataFrame, marker: str = "[secret]") -> DataFrame:
             columns[place] = pa.array(texts, batch.column(place).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    masked = docs.mapInArrow(run, docs.schema)
+    masked = docs.transform(arrow_map, run, docs.schema)
     if "n_chars" not in docs.columns:
         return masked
     length = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))

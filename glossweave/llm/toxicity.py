@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .common import arrow_map
+
 THRESHOLD = 0.3
 #: Most labelled rows that the lexicon and the score are fitted on, chosen by a hash of their id.
 FIT_ROWS = 20_000
@@ -25,6 +27,7 @@ FIT_ROWS = 20_000
 ENTRIES = 5_000
 _STEM = range(4, 13)
 _MASS = 30.0  # hits beyond this sum say nothing more
+_COUNTED = 100  # documents whose entries are held at a time
 _CONFIDENT = 14.0  # nats of evidence that an entry must bring
 _LIFT = 2.5  # an entry's share of toxic documents, over that of all documents, at least
 
@@ -143,9 +146,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per entry and label, added up per batch before they are shuffled."""
     for batch in batches:
         texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for first in range(0, len(texts), 500):
+        for first in range(0, len(texts), _COUNTED):
             toxic, clean = Counter(), Counter()
-            for text, label in zip(texts[first : first + 500], labels[first : first + 500], strict=True):
+            for text, label in zip(texts[first : first + _COUNTED], labels[first : first + _COUNTED], strict=True):
                 (toxic if label else clean).update(_entries(text))
             names = list(toxic.keys() | clean.keys())
             yield pa.RecordBatch.from_arrays(
@@ -184,7 +187,7 @@ def learn_lexicon(
     if not toxic or not clean:
         return lexicon
     share = toxic / (toxic + clean)
-    counted = sample.mapInArrow(_counted, _COUNTS).groupBy("entry").agg(
+    counted = sample.transform(arrow_map, _counted, _COUNTS).groupBy("entry").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
     held = F.col("toxic") + F.col("clean")
@@ -252,7 +255,7 @@ def _featured(lexicon: Lexicon, column: int):
 
 def _fit(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
     """Logistic regression with a small ridge, by Newton steps, on the sampled rows' features."""
-    rows = sample.mapInArrow(
+    rows = sample.transform(arrow_map, 
         _featured(lexicon, 0), "toxic int, score double, mass double, density double"
     ).toPandas()
     x = np.column_stack([np.ones(len(rows)), rows["mass"], rows["density"]])
@@ -278,7 +281,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         [T.StructField("doc_id", T.LongType())]
         + [T.StructField(n, T.DoubleType(), False) for n in ("score", "mass", "density")]
     )
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow_map, 
         _featured(lexicon, 1), schema
     )
     return scored.select(
@@ -296,4 +299,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD)
             found = np.array([lexicon.features(t or "") for t in batch.column(place).to_pylist()]).reshape(-1, 2)
             yield batch.filter(pa.array(lexicon.scores(found) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(arrow_map, run, docs.schema)
