@@ -27,6 +27,16 @@ def stable_id(prefix: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(body, 256), 1, 24))
 
 
+def framed_row(*parts: Column | str) -> Column:
+    """Row as one text from which its fields can be told: length and value, or - for NULL."""
+
+    def framed(part: Column | str) -> Column:
+        value = _text(part).cast("string")
+        return F.coalesce(F.concat(F.char_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.concat(*[framed(p) for p in parts])
+
+
 def summed_digest(row_text: Column) -> Column:
-    """Order-independent digest of a row set: exact sum of per-row 60-bit hashes."""
-    return F.sum(hash60(row_text).cast("decimal(28,0)")).cast("string")
+    """Order-independent digest of a row set: exact sum of per-row 60-bit hashes; NULL rows add nothing."""
+    return F.sum(F.when(row_text.isNotNull(), hash60(row_text)).cast("decimal(28,0)")).cast("string")

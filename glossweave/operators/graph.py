@@ -127,12 +127,14 @@ def anchored_edges(
     catalogue: DataFrame | None = None,
     shard: Sequence[str] = (),
     resolve: Callable[[DataFrame], DataFrame] | None = None,
+    ceiling: int | None = RELATION_SCAN_CEILING,
 ) -> DataFrame:
     """Edges of each scan's word, with target names, counts and variant ranks.
 
     ``scans``: keys + word, language, relation_code, target_language_filter,
-    sense_filter. Only variants that can still enter a scan of 512 rows survive: the
-    variant rank is the first sort key of every later cut. ``shard`` columns confine
+    sense_filter. With a ``ceiling`` only variants that can still enter a scan of as many
+    rows survive; that holds where the variant rank is the first sort key of every later
+    cut, and callers that cut in another order pass None. ``shard`` columns confine
     every join to one partition; ``resolve`` then names the targets instead of the
     corpus-wide catalogue.
     """
@@ -166,7 +168,7 @@ def anchored_edges(
             "stored_direction",
             "source_term",
         ],
-        RELATION_SCAN_CEILING,
+        ceiling,
         rank="target_variant_rank",
     )
     return ranked.withColumn("target_spaces", space_count(F.col("target_normalized"))).withColumn(
@@ -262,11 +264,10 @@ def _relations(corpus: Corpus, questions: DataFrame, catalogue: DataFrame | None
     rows = direct.select(
         *columns, F.lit(1).alias("distance"), none.alias("middle_term"), none.alias("middle_sense_id")
     )
-    if not first_hops.isEmpty():
-        paths = _fresh_paths(_two_hop(corpus, first_hops, catalogue), direct)
-        rows = rows.unionByName(
-            paths.select(*columns, F.lit(2).alias("distance"), "middle_term", "middle_sense_id")
-        )
+    paths = _fresh_paths(_two_hop(corpus, first_hops, catalogue), direct)
+    rows = rows.unionByName(
+        paths.select(*columns, F.lit(2).alias("distance"), "middle_term", "middle_sense_id")
+    )
     # bounded per request: at most 512 direct rows and 100 paths
     paths_found = F.count(F.when(F.col("distance") == 2, 1)).over(Window.partitionBy(Q))
     kept = rows.withColumn("__paths", paths_found).filter(
@@ -339,7 +340,8 @@ def _frontier(first_hops: DataFrame) -> DataFrame:
 
 def _second_hops(corpus: Corpus, sources: DataFrame, keys: list[str], catalogue: DataFrame | None) -> DataFrame:
     """Bounded edges of each distinct source word (computed once, whoever asks)."""
-    edges = anchored_edges(corpus, sources, keys, catalogue)
+    # the prefetch has an order of its own, so no variant may be cut before it
+    edges = anchored_edges(corpus, sources, keys, catalogue, ceiling=None)
     both_unsensed = F.col("source_sense_id").isNull() & F.col("target_sense_id").isNull()
     prefetch = top_k(
         edges,
@@ -451,16 +453,6 @@ def _two_hop(corpus: Corpus, first_hops: DataFrame, catalogue: DataFrame | None)
     )
 
 
-def frontier_of(rows: DataFrame) -> DataFrame:
-    """Next frontier: the distinct targets of relation rows, per request.
-
-    Targets without a partition of their own stay in, so that expansion can list them.
-    """
-    return rows.select(
-        Q, F.col("target_language").alias("language"), F.col("target_normalized").alias("word")
-    ).distinct()
-
-
 def expand_frontier(
     corpus: Corpus,
     frontier: DataFrame,
@@ -472,7 +464,8 @@ def expand_frontier(
 
     ``frontier``(request_id, language, word, relation_code), ``limits``(request_id,
     limit), ``expandable``(language). Returns (rows, unexpanded(request_id, language)):
-    languages without data are listed, never dropped silently.
+    languages without data are listed, never dropped silently; ``layout.unexpanded_reasons``
+    says why.
     """
     nodes = frontier.select(Q, "language", "word", "relation_code").distinct()
     missing = (

@@ -68,10 +68,13 @@ def sense_candidates(corpus: Corpus, requests: DataFrame, scan: Column) -> DataF
     return ranked.drop("__scan", "__wanted_sense", "__wanted_pos")
 
 
-def translation_coverage(corpus: Corpus) -> DataFrame:
-    """Distinct target languages and rows of translations per sense."""
+def translation_coverage(corpus: Corpus, senses: DataFrame | None = None) -> DataFrame:
+    """Distinct target languages and rows of translations per sense, of all or of the given senses."""
+    rows = corpus.translations
+    if senses is not None:
+        rows = rows.join(senses.select("sense_id").distinct(), "sense_id", "left_semi")
     return (
-        corpus.translations.join(
+        rows.join(
             corpus.terms.select(F.col("term_id").alias("target_term_id"), "language"),
             "target_term_id",
         )
@@ -88,7 +91,7 @@ def _pick_senses(corpus: Corpus, requests: DataFrame) -> DataFrame:
     translated = F.col("translations_limit") > 0
     scan = F.when(translated, MAX_BUDGET).otherwise(F.col("limit"))
     found = sense_candidates(corpus, requests.withColumn("sense_id", F.lit(None).cast("string")), scan)
-    found = found.join(translation_coverage(corpus), "sense_id", "left")
+    found = found.join(translation_coverage(corpus, found), "sense_id", "left")
     by_coverage = Window.partitionBy(Q).orderBy(
         F.desc_nulls_last("language_count"), F.desc_nulls_last("translation_count"), "sense_rank"
     )

@@ -20,13 +20,13 @@ def top_k(
     df: DataFrame,
     keys: Keys,
     order: Keys,
-    ceiling: int,
+    ceiling: int | None,
     limit: Column | None = None,
     rank: str = "rank",
 ) -> DataFrame:
-    """First rows per key in ``order``; rank starts at 1."""
+    """First rows per key in ``order``; rank starts at 1. Without a ceiling all rows are ranked."""
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    kept = F.col(rank) <= ceiling
+    kept = F.col(rank) <= ceiling if ceiling is not None else F.lit(True)
     return ranked.filter(kept if limit is None else kept & (F.col(rank) <= limit))
 
 
@@ -122,23 +122,25 @@ def count_before(df: DataFrame, order: Keys, flag: str, name: str) -> DataFrame:
 def nearest_rank(df: DataFrame, key: str, value: str, quantiles: Sequence[float]) -> DataFrame:
     """Nearest-rank percentiles per key: the value at sorted position ceil(n·q).
 
-    Groups are read out of one distributed sort, so a key holding most rows is spread
-    over many tasks.
+    Rows are counted per (key, value) before anything is sorted, so neither a key nor a
+    single value that most rows share is gathered anywhere; ranks are running counts.
     """
-    indexed = global_index(df.select(key, value), [key, value])
-    bounds = indexed.groupBy(key).agg(
-        F.min("index").alias("__start"), F.count(F.lit(1)).alias("__n")
-    )
+    tallies = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("__rows"))
+    placed = count_before(tallies, [key, value], "__rows", "__from")
+    bounds = placed.groupBy(key).agg(F.min("__from").alias("__start"), F.sum("__rows").alias("__n"))
     wanted = bounds.withColumn("quantile", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])))
     wanted = wanted.withColumn(
-        "index",
+        "__index",
         F.col("__start")
         + F.greatest(F.lit(1), F.ceil(F.col("__n") * F.col("quantile"))).cast("bigint")
         - 1,
-    )
-    return wanted.join(indexed.select("index", value), "index").select(
-        key, "quantile", F.col("__n").alias("n"), F.col(value).alias("value")
-    )
+    ).withColumnRenamed(key, "__key")
+    return placed.join(
+        wanted,
+        F.col(key).eqNullSafe(F.col("__key"))
+        & (F.col("__from") <= F.col("__index"))
+        & (F.col("__index") < F.col("__from") + F.col("__rows")),
+    ).select(key, "quantile", F.col("__n").alias("n"), F.col(value).alias("value"))
 
 
 def quantile_picks(df: DataFrame, key: str, order: str, count: int) -> DataFrame:

@@ -12,6 +12,13 @@ from ..functions.text import lookup_key, request_language, strip
 from ..schemas import MAX_BUDGET, MAX_CONTEXT_LENGTH, MAX_TEXT_LENGTH
 
 
+def within_budget(name: str) -> Column:
+    """The column, or an error where it is out of bounds: answers are never cut silently."""
+    value = F.col(name)
+    refusal = F.concat(F.lit(f"{name} must be between 0 and {MAX_BUDGET}, not "), value.cast("string"))
+    return F.when(value.between(0, MAX_BUDGET), value).otherwise(F.raise_error(refusal).cast("int"))
+
+
 def with_defaults(requests: DataFrame, defaults: Mapping[str, Any]) -> DataFrame:
     """Add missing optional columns and fill NULLs of columns that have a default."""
     for name, (kind, value) in defaults.items():
@@ -21,6 +28,8 @@ def with_defaults(requests: DataFrame, defaults: Mapping[str, Any]) -> DataFrame
             requests = requests.withColumn(name, F.coalesce(F.col(name).cast(kind), F.lit(value)))
         else:
             requests = requests.withColumn(name, F.col(name).cast(kind))
+        if name == "limit":
+            requests = requests.withColumn(name, within_budget(name))
     return requests
 
 

@@ -14,7 +14,6 @@ from ..functions.phonetics import deletions, in_inventory, onset, remainder
 from ..functions.text import is_eligible, is_palindrome, letter_signature, letters_of, like_pattern
 from ..schemas import (
     MAX_BUDGET,
-    MAX_TEXT_LENGTH,
     PUN_SENSE_FETCH,
     SPOONERISM_ALTERNATIVES,
     SPOONERISM_RESOLVED_TERMS,
@@ -45,14 +44,6 @@ def letter_index(terms: DataFrame) -> DataFrame:
     )
 
 
-def onset_index(spoken: DataFrame) -> DataFrame:
-    """Onset and remainder of every pronunciation."""
-    return spoken.select(
-        "term_id", "phonemes", onset(F.col("phonemes")).alias("onset"),
-        remainder(F.col("phonemes")).alias("remainder"),
-    )
-
-
 def spoken_terms(corpus: Corpus) -> DataFrame:
     """English pronunciations with the names of their terms."""
     english = corpus.terms.filter(F.col("language") == _ENGLISH)
@@ -311,7 +302,7 @@ def prefixed(corpus: Corpus, requests: DataFrame, already_distinct: bool = False
     requests = with_defaults(requests, _LIMIT)
 
     def answer(questions: DataFrame) -> DataFrame:
-        sized = questions.withColumn("width", F.least(F.length("text"), F.lit(MAX_TEXT_LENGTH)))
+        sized = questions.withColumn("width", F.length("text"))
         lengths = sized.agg(F.collect_set("width").alias("w")).scalar()
         word = F.col("normalized_term")
         prefixes = F.transform(

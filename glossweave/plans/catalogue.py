@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.ids import framed_row
 from ..functions.phonetics import onset, remainder
 from ..functions.text import language_tag
 from ..operators import graph, lookup, vectors, wordplay
@@ -290,7 +291,12 @@ def multi_hop_expand(spark, folder):
 
 @query
 def multi_hop_unexpanded(spark, folder):
-    return _expansion(spark, folder)[1]
+    """Languages that were not entered, with the reason: Spanish is known but not in place."""
+    catalogue = layout.language_catalogue(tables.word_corpus(spark, folder), _flags(spark, folder))
+    selected = _flags(spark, folder).filter(F.col("language") != "es").select(
+        "language", F.lit("lexical").alias("capability")
+    )
+    return layout.unexpanded_reasons(_expansion(spark, folder)[1], catalogue, selected)
 
 
 def _expansion(spark, folder):
@@ -483,19 +489,40 @@ def differential_check(spark, folder):
     return quality.differential_summary(quality.differential_check(corpus, parts, plan))
 
 
-@query
-def source_profile(spark, folder):
+def damaged_events(spark, folder) -> DataFrame:
+    """Events as a source with faults: some JSON cut short, some missing, some fields NULL."""
+    event = F.col("event_id")
+    props = F.when(event % 97 == 0, F.substring("props", 1, F.length("props") - 1)).when(event % 101 != 0, F.col("props"))
+    return tables.read(spark, folder, "events").select(
+        "event_id", F.when(event % 89 != 0, F.col("event_type")).alias("event_type"), props.alias("props")
+    )
+
+
+def _json(column: str) -> Column:
+    return F.try_parse_json(column)
+
+
+def _profiles(spark, folder, events: DataFrame) -> DataFrame:
     documents = tables.read(spark, folder, "documents")
-    columns = ["doc_id", "lang", "n_chars", "source", "text"]
-    text = F.concat_ws("\t", *[F.col(c).cast("string") for c in columns])
+    text = framed_row("doc_id", "lang", "n_chars", "source", "text")
     malformed = F.col("text").isNull() | (F.trim("text") == "")
-    events = tables.read(spark, folder, "events")
-    props = F.concat_ws("\t", F.col("event_id").cast("string"), "event_type", "props")
     return quality.source_profile(documents, "documents", text, malformed).unionByName(
-        quality.source_profile(events, "events", props, F.from_json("props", "k bigint").isNull())
+        quality.source_profile(events, "events", framed_row("event_id", "event_type", "props"), _json("props").isNull())
     )
 
 
+@query
+def source_profile(spark, folder):
+    return _profiles(spark, folder, damaged_events(spark, folder))
+
+
+@query
+def verify_sources(spark, folder):
+    """The damaged sources against a lock taken of the sound ones."""
+    lock = _profiles(spark, folder, tables.read(spark, folder, "events"))
+    return quality.verify_sources(_profiles(spark, folder, damaged_events(spark, folder)), lock)
+
+
 @query
 def stage_counts(spark, folder):
     return quality.stage_counts(tables.word_corpus(spark, folder))
@@ -528,8 +555,8 @@ def latency_percentile(spark, folder):
 @query
 def json_rows(spark, folder):
     """Rows, malformed rows and the sum of one field of the events' JSON column."""
-    parsed = tables.read(spark, folder, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
+    parsed = damaged_events(spark, folder).select("event_type", _json("props").alias("p"))
     return parsed.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("row_count"), F.count(F.when(F.col("p").isNull(), 1)).alias("malformed"),
-        F.sum("p.k").alias("k_sum"),
+        F.sum(F.try_variant_get("p", "$.k", "bigint")).alias("k_sum"),
     )

@@ -33,7 +33,7 @@ PROVENANCE = [
     (9, "spelling-sounds"),
 ]
 SPOKEN = 9
-LINE_STEP = 1_000_000
+LINE_STEP = 1 << 31  # line numbers are smaller
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,13 +41,7 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents; input in fewer splits than cores is spread before the costly tokenising.
-
-    On a cluster-sized input the scan has far more splits and nothing is moved.
-    """
-    documents = read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
-    cores = spark.sparkContext.defaultParallelism
-    return documents.repartition(cores) if documents.rdd.getNumPartitions() < cores else documents
+    return read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
 
 
 def provenance(spark: SparkSession) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import request_language
 from ..operators.graph import term_catalogue
 from ..schemas import Corpus
+from ..sources.common import split_hot
 
 INDIVIDUAL_THRESHOLD = 5 * 1024 * 1024
 BUNDLE_TARGET = 40 * 1024 * 1024
@@ -322,6 +323,15 @@ def availability(requests: DataFrame, catalogue: DataFrame, selected: DataFrame)
     )
 
 
+def unexpanded_reasons(missing: DataFrame, catalogue: DataFrame, selected: DataFrame) -> DataFrame:
+    """(request_id, language, reason) of languages that an expansion could not enter."""
+    asked = missing.select("language").distinct().select(
+        F.col("language").alias("request_id"), "language", F.lit("lexical").alias("capability")
+    )
+    why = availability(asked, catalogue, selected).select(F.col("request_id").alias("language"), "reason")
+    return missing.join(why, "language").select("request_id", "language", "reason")
+
+
 def wordplay_partition(corpus: Corpus, language: str) -> dict[str, DataFrame]:
     """Self-contained wordplay subset of one language."""
     terms = corpus.terms.filter(F.col("language") == language)
@@ -331,21 +341,6 @@ def wordplay_partition(corpus: Corpus, language: str) -> dict[str, DataFrame]:
     return {"terms": terms, "entries": entries, "senses": senses, "spoken": spoken}
 
 
-def split_hot(df: DataFrame, key: str, rows_per_file: int) -> DataFrame:
-    """Spread rows for a partitioned write: one task per ``rows_per_file`` rows of a key.
-
-    Keys with more rows are cut into salted slices in proportion to their size, so a
-    language with a third of all rows is written by many tasks.
-    """
-    slices = df.groupBy(key).agg(
-        F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("__slices")
-    )
-    salted = df.join(slices, key).withColumn(
-        "__slice", F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.col("__slices"))
-    )
-    return salted.repartition(key, "__slice").drop("__slice", "__slices")
-
-
 def write_partitions(tables: dict[str, DataFrame], folder: str, rows_per_file: int = 4_000_000) -> None:
     """One Parquet folder per table, partitioned by ``pack_id``."""
     for name, table in tables.items():

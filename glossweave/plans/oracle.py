@@ -240,7 +240,7 @@ _SHARE = """
 DETAILS = r"""
 ex_rows AS (SELECT s.sense_id AS parent, x.line AS value, NULL::VARCHAR AS detail, x.position AS o1, '' AS o2, '' AS o3 FROM senses s JOIN
   (SELECT DISTINCT lang AS language, source, position, line, unnest(regexp_extract_all(line, '\p{L}+')) AS term FROM
-    (SELECT lang, source, doc_id * 1000000 + i - 1 AS position, lines[i] AS line FROM
+    (SELECT lang, source, doc_id * 2147483648 + i - 1 AS position, lines[i] AS line FROM
       (SELECT lang, source, doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))) x
   ON x.language = s.language AND x.source = s.source AND x.term = s.term),
 pr_rows AS (SELECT entry_id AS parent, '/'||norm||'/' AS value, source AS detail, substr(source, 4)::BIGINT AS o1, '' AS o2, '' AS o3 FROM senses),
@@ -399,7 +399,7 @@ hits AS (SELECT r.request_id, n.*, row_number() OVER (PARTITION BY r.request_id
 ORACLES["multi_hop_expand"] = f"""{_with(WORDS, COUNTS, EXPAND)}
 SELECT request_id, rank, vl AS via_language, vw AS via_word, s AS source_term, t AS target_term, tl AS target_language, sc AS target_sense_count,
   vr AS target_variant_rank, prov::BIGINT AS provenance_id FROM hits WHERE rank <= 20"""
-ORACLES["multi_hop_unexpanded"] = f"{_with(WORDS, COUNTS, EXPAND)} SELECT DISTINCT request_id, language FROM fr WHERE language = 'es'"
+ORACLES["multi_hop_unexpanded"] = f"{_with(WORDS, COUNTS, EXPAND)} SELECT DISTINCT request_id, language, 'language_not_installed' AS reason FROM fr WHERE language = 'es'"
 
 # ------------------------------------------------------------------------- vectors
 VECTORS = """
@@ -539,13 +539,31 @@ firsts AS (SELECT w.language, w.word, s.sense_id, row_number() OVER (PARTITION B
 SELECT 'relations' AS kind, language, 12 * count(*) AS checked, 0::BIGINT AS divergent FROM sampled GROUP BY 2
 UNION ALL SELECT 'senses', language, count(*), 0 FROM sampled GROUP BY 2
 UNION ALL SELECT 'translations', language, count(*), 0 FROM firsts WHERE rn <= 3 GROUP BY 2"""
-ORACLES["source_profile"] = f"""
+def _framed(*parts: str) -> str:
+    return "||".join(f"coalesce(length({p}::VARCHAR)||':'||{p}::VARCHAR, '-')" for p in parts)
+
+
+DAMAGED = """
+damaged AS (SELECT event_id, CASE WHEN event_id % 89 <> 0 THEN event_type END AS event_type,
+  CASE WHEN event_id % 97 = 0 THEN substr(props, 1, length(props) - 1) WHEN event_id % 101 <> 0 THEN props END AS props FROM events)"""
+
+
+def _profile(events: str) -> str:
+    return f"""
 SELECT 'documents' AS source, count(*) FILTER (WHERE NOT bad) AS row_count, count(*) FILTER (WHERE bad) AS malformed,
-  (sum({_hash('doc_id::VARCHAR', 'lang', 'n_chars::VARCHAR', 'source', 'text')}::HUGEINT) FILTER (WHERE NOT bad))::VARCHAR AS row_digest
+  (sum({_hash(_framed('doc_id', 'lang', 'n_chars', 'source', 'text'))}::HUGEINT) FILTER (WHERE NOT bad))::VARCHAR AS row_digest
 FROM (SELECT *, text IS NULL OR trim(text) = '' AS bad FROM documents)
 UNION ALL SELECT 'events', count(*) FILTER (WHERE NOT bad), count(*) FILTER (WHERE bad),
-  (sum({_hash('event_id::VARCHAR', 'event_type', 'props')}::HUGEINT) FILTER (WHERE NOT bad))::VARCHAR
-FROM (SELECT *, NOT coalesce(json_valid(props), false) AS bad FROM events)"""
+  (sum({_hash(_framed('event_id', 'event_type', 'props'))}::HUGEINT) FILTER (WHERE NOT bad))::VARCHAR
+FROM (SELECT *, NOT coalesce(json_valid(props), false) AS bad FROM {events})"""
+
+
+ORACLES["source_profile"] = f"WITH {DAMAGED} {_profile('damaged')}"
+ORACLES["verify_sources"] = f"""WITH {DAMAGED}, o AS ({_profile('damaged')}), l AS ({_profile('events')})
+SELECT source, o.row_count AS observed_row_count, o.malformed AS observed_malformed, o.row_digest AS observed_row_digest,
+  l.row_count AS locked_row_count, l.malformed AS locked_malformed, l.row_digest AS locked_row_digest
+FROM o FULL JOIN l USING (source)
+WHERE (o.row_count, o.malformed, o.row_digest) IS DISTINCT FROM (l.row_count, l.malformed, l.row_digest)"""
 STAGES = r"""
 stages AS (SELECT prov AS provenance_id, 'entries' AS metric, count(*) AS observed FROM entries GROUP BY 1
   UNION ALL SELECT e.prov, 'senses', count(*) FROM senses s JOIN entries e USING (entry_id) GROUP BY 1
@@ -567,6 +585,6 @@ ORACLES["latency_percentile"] = """
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events),
 q AS (SELECT unnest([0.5, 0.95, 0.99])::DOUBLE AS quantile)
 SELECT event_type, quantile, n, value FROM r JOIN q ON rn = greatest(1, ceil(n * quantile)::BIGINT)"""
-ORACLES["json_rows"] = """
+ORACLES["json_rows"] = f"""WITH {DAMAGED}
 SELECT event_type, count(*) AS row_count, count(*) FILTER (WHERE NOT coalesce(json_valid(props), false)) AS malformed,
-  sum(CASE WHEN json_valid(props) THEN json_extract(props, '$.k')::BIGINT END)::BIGINT AS k_sum FROM events GROUP BY event_type"""
+  sum(CASE WHEN json_valid(props) THEN json_extract(props, '$.k')::BIGINT END)::BIGINT AS k_sum FROM damaged GROUP BY event_type"""

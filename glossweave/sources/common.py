@@ -80,14 +80,28 @@ def allowed(column: Column, languages: list[str] | None) -> Column:
     return F.lit(True) if languages is None else column.isin(languages)
 
 
-def refresh_source(table: DataFrame, path: str) -> None:
+def split_hot(df: DataFrame, key: str, rows_per_file: int) -> DataFrame:
+    """Spread rows for a partitioned write: one task per ``rows_per_file`` rows of a key.
+
+    Keys with more rows are cut into salted slices in proportion to their size, so a
+    language with a third of all rows is written by many tasks.
+    """
+    slices = df.groupBy(key).agg(
+        F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("__slices")
+    )
+    salted = df.join(slices, key).withColumn(
+        "__slice", F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.col("__slices"))
+    )
+    return salted.repartition(key, "__slice").drop("__slice", "__slices")
+
+
+def refresh_source(table: DataFrame, path: str, rows_per_file: int = 4_000_000) -> None:
     """Replace only the sources present in ``table``; other sources' rows stay as they are.
 
     The table is laid out by ``provenance_id``, so running a source again is idempotent.
     """
     (
-        table.repartition("provenance_id", F.pmod(F.xxhash64(*[c for c in table.columns if c != "provenance_id"]), F.lit(64)))
-        .write.mode("overwrite")
+        split_hot(table, "provenance_id", rows_per_file).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("provenance_id")
         .parquet(path)

@@ -45,7 +45,7 @@ def profile_vectors(spark: SparkSession, path: str, dimensions: int) -> DataFram
         (F.col("line") != "") & ~F.col("line").rlike(r"^\d+ \d+$")
     )
     tokens = F.split("line", " ")
-    unreal = F.exists(F.slice(tokens, 2, 100_000), lambda t: F.lower(t).rlike(r"^[+-]?(nan|inf)$"))
+    unreal = F.exists(F.slice(tokens, 2, dimensions), lambda t: F.lower(t).rlike(r"^[+-]?(nan|inf)$"))
     return source_profile(lines, "vectors", F.col("line"), (F.size(tokens) != dimensions + 1) | unreal)
 
 

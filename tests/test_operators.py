@@ -446,3 +446,35 @@ def test_front_door_rejects_and_answers(spark):
     contexts = spark.createDataFrame([(1, "right", "c" * 513)], "request_id int, text string, context string")
     assert ask("puns", spoken, contexts, spoken_provenance=9)[1].count() == 1
     assert set(OPERATORS) >= {"lookup", "synonyms", "translate", "neighbours", "spoonerisms", "anagrams"}
+
+
+def test_percentile_of_a_value_that_most_rows_share(spark):
+    values = [7.0] * 900 + [float(k) for k in range(100)]
+    rows = [("a", v) for v in values] + [("b", 1.0), (None, 2.0), (None, 3.0)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    found = {(r["k"], r["quantile"]): (r["n"], r["v"]) for r in
+             nearest_rank(frame, "k", "v", [0.05, 0.5, 0.99]).withColumnRenamed("value", "v").collect()}
+    ordered = sorted(values)
+    for q in (0.05, 0.5, 0.99):
+        assert found["a", q] == (1000, ordered[max(1, int(np.ceil(1000 * q))) - 1])
+        assert found["b", q] == (1, 1.0)
+    assert found[None, 0.99] == (2, 3.0)
+
+
+def test_limits_past_the_bound_are_refused(spark):
+    corpus, _ = vector_corpus(spark, n=30)
+    asked = spark.createDataFrame([("1", "w20", "l2", 101)], "request_id string, word string, source_language string, limit int")
+    with pytest.raises(Exception, match="limit must be between"):
+        vectors.neighbours(corpus, asked).collect()
+
+
+def test_prefetch_sees_variants_past_the_scan_ceiling(spark):
+    """600 variants of one target: the sensed ones come last by variant rank but first in the prefetch."""
+    edges = [("en:a", None, 3, "en:b", "s559", 1, 1)]
+    edges += [("en:b", f"s{k}", 3, "en:t", None, 1, 1) for k in range(560)]
+    edges += [("en:b", f"s{k}", 3, "en:t", f"t{k}", 1, 1) for k in range(500, 560)]
+    edges[0] = ("en:a", "sa", 3, "en:b", "s559", 1, 1)
+    corpus = graph_corpus(spark, edges)
+    asked = spark.createDataFrame([("q", "a", "hypernym")], "request_id string, word string, relation string")
+    found = graph.relations(corpus, asked).filter("distance = 2").collect()
+    assert [(r["middle_term"], r["target_term"]) for r in found] == [("b", "t")]
