@@ -469,11 +469,10 @@ def test_limits_past_the_bound_are_refused(spark):
 
 
 def test_prefetch_sees_variants_past_the_scan_ceiling(spark):
-    """600 variants of one target: the sensed ones come last by variant rank but first in the prefetch."""
-    edges = [("en:a", None, 3, "en:b", "s559", 1, 1)]
-    edges += [("en:b", f"s{k}", 3, "en:t", None, 1, 1) for k in range(560)]
-    edges += [("en:b", f"s{k}", 3, "en:t", f"t{k}", 1, 1) for k in range(500, 560)]
-    edges[0] = ("en:a", "sa", 3, "en:b", "s559", 1, 1)
+    """660 variants of one target: the sensed ones come last by variant rank but first in the prefetch."""
+    edges = [("en:a", "sa", 3, "en:b", "s560", 1, 1)]
+    edges += [("en:b", f"s{k:03d}", 3, "en:t", None, 1, 1) for k in range(560)]
+    edges += [("en:b", f"s{k:03d}", 3, "en:t", f"t{k}", 1, 1) for k in range(560, 660)]
     corpus = graph_corpus(spark, edges)
     asked = spark.createDataFrame([("q", "a", "hypernym")], "request_id string, word string, relation string")
     found = graph.relations(corpus, asked).filter("distance = 2").collect()
