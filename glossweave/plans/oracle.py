@@ -588,3 +588,44 @@ SELECT event_type, quantile, n, value FROM r JOIN q ON rn = greatest(1, ceil(n *
 ORACLES["json_rows"] = f"""WITH {DAMAGED}
 SELECT event_type, count(*) AS row_count, count(*) FILTER (WHERE NOT coalesce(json_valid(props), false)) AS malformed,
   sum(CASE WHEN json_valid(props) THEN json_extract(props, '$.k')::BIGINT END)::BIGINT AS k_sum FROM damaged GROUP BY event_type"""
+
+
+# ------------------------------------------------------------------------- loaders
+ASSERTIONS = """
+pairs AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
+said AS (SELECT p, s FROM pairs UNION ALL SELECT p, s FROM pairs WHERE p % 3 = 0),
+judged AS (SELECT *, (p + s) % 29 <> 0 AS shaped, (p + s) % 29 <> 0 AND p % 7 <> 2 AND s % 11 <> 0 AND p % 5 NOT IN (0, 2) AS accepted FROM said),
+linked AS (SELECT DISTINCT 'en' AS source_language, p_name AS source_term,
+    CASE p % 7 WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 3 THEN 12 ELSE 11 END::BIGINT AS relation_code,
+    CASE WHEN s % 3 = 0 THEN 'fr' ELSE 'en' END AS target_language, s_name AS target_term,
+    CASE WHEN p % 7 = 3 THEN 3 ELSE 1 END::BIGINT AS direction_code, 3::BIGINT AS provenance_id
+  FROM judged JOIN part ON p_partkey = p JOIN supplier ON s_suppkey = s WHERE accepted)"""
+ORACLES["loaded_assertions"] = f"WITH {ASSERTIONS} SELECT * FROM linked"
+ORACLES["loaded_assertion_counts"] = f"""WITH {ASSERTIONS}
+SELECT 'source_assertions' AS metric, count(*) FILTER (WHERE shaped) AS observed FROM judged
+UNION ALL SELECT 'assertions', count(*) FILTER (WHERE accepted) FROM judged
+UNION ALL SELECT 'skipped', count(*) FILTER (WHERE shaped AND NOT accepted) FROM judged
+UNION ALL SELECT 'malformed', count(*) FILTER (WHERE NOT shaped) FROM judged
+UNION ALL SELECT 'relations', count(*) FROM linked"""
+ORACLES["loaded_pronunciations"] = f"""{_with(SPOKEN)}
+SELECT DISTINCT 'en' AS language, term, norm AS normalized_term, phonemes, rkey AS rhyme_key FROM sounded WHERE length(term) % 7 <> 0 AND term NOT LIKE 'q%'"""
+ORACLES["loaded_pronunciation_counts"] = f"""{_with(SPOKEN)},
+kept AS (SELECT * FROM sounded WHERE length(term) % 7 <> 0)
+SELECT unnest(['entries', 'pronunciations', 'malformed']) AS metric, unnest([count(*) FILTER (WHERE term NOT LIKE 'q%'),
+  count(*) FILTER (WHERE term NOT LIKE 'q%'), count(*) FILTER (WHERE term LIKE 'q%')]) AS observed FROM kept"""
+LINES = """
+vec AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+sound AS (SELECT * FROM vec WHERE label < 9 AND vec_id % 13 <> 0 AND vec_id % 17 <> 0),
+size AS (SELECT count(*) AS n FROM vec),
+tally AS (SELECT count(*) + count(*) FILTER (WHERE vec_id % 19 = 0) AS lines,
+    count(*) FILTER (WHERE label >= 9) + count(*) FILTER (WHERE label >= 9 AND vec_id % 19 = 0) AS filtered FROM vec)"""
+ORACLES["loaded_vectors"] = f"""WITH {LINES}
+SELECT row_number() OVER (ORDER BY vec_id) - 1 AS semantic_id, '/c/l'||label||'/v_'||vec_id AS concept, 'l'||label AS language, 'v '||vec_id AS term,
+  round((v[1] / sqrt(list_inner_product(v, v)))::FLOAT::DOUBLE, 4) AS first, round((v[len(v)] / sqrt(list_inner_product(v, v)))::FLOAT::DOUBLE, 4) AS last FROM sound"""
+ORACLES["loaded_vector_counts"] = f"""WITH {LINES},
+kept AS (SELECT count(*) AS terms, count(*) + count(*) FILTER (WHERE vec_id % 19 = 0) AS valid FROM sound),
+facts AS (SELECT n + n // 19 + 1 AS expected_rows, (SELECT max(len(v)) FROM vec) AS dimensions, terms, lines - filtered - valid AS malformed, filtered, valid FROM size, tally, kept)
+SELECT 'expected_rows' AS metric, expected_rows AS observed FROM facts UNION ALL SELECT 'dimensions', dimensions FROM facts
+UNION ALL SELECT 'terms', terms FROM facts UNION ALL SELECT 'malformed', malformed FROM facts UNION ALL SELECT 'filtered', filtered FROM facts
+UNION ALL SELECT 'valid', valid FROM facts UNION ALL SELECT 'duplicates', valid - terms FROM facts
+UNION ALL SELECT 'unaccounted', expected_rows - valid - malformed - filtered FROM facts"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.phonetics import rhyme_key
 from ..functions.text import squeeze
@@ -12,8 +12,12 @@ from .text import read_lines
 
 
 def build_cmudict(spark: SparkSession, paths: str | list[str]) -> Built:
+    return load_cmudict(read_lines(spark, paths))
+
+
+def load_cmudict(lines: DataFrame) -> Built:
     """English terms with phonemes and rhyme keys; variant marks such as ``(2)`` are dropped."""
-    lines = read_lines(spark, paths).select(squeeze(F.col("line")).alias("line")).filter(
+    lines = lines.select(squeeze(F.col("line")).alias("line")).filter(
         (F.col("line") != "") & ~F.col("line").startswith(";;;") & ~F.col("line").startswith("#")
     )
     rows = lines.select(
@@ -31,7 +35,8 @@ def build_cmudict(spark: SparkSession, paths: str | list[str]) -> Built:
         ),
         "spoken",
     ).dropDuplicates(["term_id", "phonemes"])
+    heard = F.count(F.when(F.col("phonemes") != "", 1))
     counters = counter_rows(
-        entries=good, pronunciations=good, malformed=(rows, F.count(F.when(F.col("phonemes") == "", 1)))
+        rows, entries=heard, pronunciations=heard, malformed=F.count(F.when(F.col("phonemes") == "", 1))
     )
     return Built({"terms": intern(good), "spoken": spoken}, counters)

@@ -67,13 +67,20 @@ def id_collisions(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term_id").agg(F.count(F.lit(1)).alias("terms")).filter("terms > 1")
 
 
-def counter_rows(**counts: DataFrame | tuple[DataFrame, Column]) -> DataFrame:
-    """(metric, observed) of table row counts, or of an aggregate over a table."""
-    rows = []
+def counter_rows(table: DataFrame, **counts: Column) -> DataFrame:
+    """(metric, observed) of several aggregates over one table, in one pass."""
+    row = table.agg(*[value.cast("bigint").alias(metric) for metric, value in counts.items()])
+    metrics = [F.struct(F.lit(metric).alias("metric"), F.col(metric).alias("observed")) for metric in counts]
+    return row.select(F.inline(F.array(*metrics)))
+
+
+def table_counts(**counts: DataFrame | tuple[DataFrame, Column]) -> DataFrame:
+    """(metric, observed) of the rows of several tables, or of an aggregate over one."""
+    parts = []
     for metric, what in counts.items():
         table, value = what if isinstance(what, tuple) else (what, F.count(F.lit(1)))
-        rows.append(table.agg(value.cast("bigint").alias("observed")).select(F.lit(metric).alias("metric"), "observed"))
-    return reduce(DataFrame.unionByName, rows)
+        parts.append(counter_rows(table, **{metric: value}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def allowed(column: Column, languages: list[str] | None) -> Column:

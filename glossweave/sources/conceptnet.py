@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import concept_parts
 from ..schemas import DIRECTION_CODES, RELATION_CODES, conform
+from ..session import reliable_cut
 from .common import CONCEPTNET, Built, allowed, counter_rows, intern, term_key
 from .text import read_lines
 
@@ -28,11 +29,15 @@ PREDICATES = {
 
 
 def build_conceptnet(spark: SparkSession, paths: str | list[str], languages: list[str] | None = None) -> Built:
+    return load_conceptnet(read_lines(spark, paths), languages)
+
+
+def load_conceptnet(lines: DataFrame, languages: list[str] | None = None) -> Built:
     """One forward relation per accepted assertion; repeats collapse on the unique key."""
     relation_of = F.create_map(*[F.lit(x) for k, (r, _) in PREDICATES.items() for x in (k, RELATION_CODES[r])])
     direction_of = F.create_map(*[F.lit(x) for k, (_, d) in PREDICATES.items() for x in (k, DIRECTION_CODES[d])])
     field = lambda i: F.get("fields", F.lit(i))
-    rows = read_lines(spark, paths).filter(F.col("line") != "").select(F.split("line", "\t", 5).alias("fields"))
+    rows = lines.filter(F.col("line") != "").select(F.split("line", "\t", 5).alias("fields"))
     s_language, s_term = concept_parts(field(2))
     t_language, t_term = concept_parts(field(3))
     predicate = F.regexp_extract(field(1), "([^/]*)$", 1)
@@ -55,7 +60,8 @@ def build_conceptnet(spark: SparkSession, paths: str | list[str], languages: lis
         & allowed(F.col("t_language"), languages)
         & ~F.col("worthless")
     )
-    judged = parsed.withColumn("accepted", F.coalesce(usable, F.lit(False)))
+    # parsed once, read for terms, relations and counters
+    judged = reliable_cut(parsed.withColumn("accepted", F.coalesce(usable, F.lit(False))))
     accepted = judged.filter("accepted")
     terms = intern(
         accepted.select(F.col("s_language").alias("language"), F.col("s_term").alias("term")),
@@ -72,10 +78,10 @@ def build_conceptnet(spark: SparkSession, paths: str | list[str], languages: lis
     ).dropDuplicates()
     count = lambda condition: F.count(F.when(condition, 1))
     counters = counter_rows(
-        source_assertions=(judged, count(F.col("shaped"))),
-        assertions=(judged, count(F.col("accepted"))),
-        relations=relations,
-        skipped=(judged, count(F.col("shaped") & ~F.col("accepted"))),
-        malformed=(judged, count(~F.col("shaped"))),
-    )
+        judged,
+        source_assertions=count(F.col("shaped")),
+        assertions=count(F.col("accepted")),
+        skipped=count(F.col("shaped") & ~F.col("accepted")),
+        malformed=count(~F.col("shaped")),
+    ).unionByName(counter_rows(relations, relations=F.count(F.lit(1))))
     return Built({"terms": terms, "relations": relations}, counters)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import concept_parts
 from ..operators.ranking import first_per, global_index
@@ -16,12 +16,16 @@ _PLACE = ["file", "block", "at"]
 
 
 def build_vectors(spark: SparkSession, path: str, languages: list[str] | None = None) -> Built:
-    """Unit vectors with dense ids in file order; the first row of a repeated concept wins.
+    return load_vectors(read_lines(spark, path), languages)
+
+
+def load_vectors(lines: DataFrame, languages: list[str] | None = None) -> Built:
+    """Unit vectors of ``lines(line, file, block, at)`` with dense ids in file order; the first row of a repeated concept wins.
 
     Rows of a wrong size, with non-finite numbers, of zero length or with a malformed
     concept are counted as malformed; every row of the header's count is accounted for.
     """
-    lines = reliable_cut(read_lines(spark, path))
+    lines = reliable_cut(lines)
     header = lines.orderBy(*_PLACE).limit(1).collect()
     if not header:
         raise ValueError("vector source is empty")
@@ -67,13 +71,13 @@ def build_vectors(spark: SparkSession, path: str, languages: list[str] | None =
     )
     count = lambda name: F.count(F.when(F.col("state") == name, 1))
     counters = counter_rows(
-        expected_rows=(spark.range(1), F.lit(expected)),
-        dimensions=(spark.range(1), F.lit(dimensions)),
-        terms=vectors,
-        malformed=(judged, count("malformed")),
-        filtered=(judged, count("filtered")),
-        valid=(judged, count("valid")),
-    )
+        judged,
+        expected_rows=F.lit(expected) + F.count(F.lit(None)),
+        dimensions=F.lit(dimensions) + F.count(F.lit(None)),
+        malformed=count("malformed"),
+        filtered=count("filtered"),
+        valid=count("valid"),
+    ).unionByName(counter_rows(vectors, terms=F.count(F.lit(1))))
     totals = counters.groupBy().pivot("metric", ["expected_rows", "terms", "malformed", "filtered", "valid"]).agg(
         F.sum("observed")
     )

@@ -9,7 +9,7 @@ from ..functions.text import filled, first_filled, joined_or_null, language_tag,
 from ..operators.ranking import first_per
 from ..schemas import DIRECTION_CODES, RELATION_CODES, conform
 from ..session import reliable_cut
-from .common import WIKTIONARY, Built, allowed, counter_rows, intern, term_key
+from .common import WIKTIONARY, Built, allowed, table_counts, intern, term_key
 from .text import positioned, read_lines
 
 _ITEM = "STRUCT<word: STRING, term: STRING, alt: STRING, code: STRING, lang_code: STRING, pos: STRING, sense: STRING>"
@@ -162,7 +162,7 @@ def build_wiktionary(spark: SparkSession, paths: str | list[str], languages: lis
         "relations": conform(antonyms, "relations").dropDuplicates(),
     }
     nothing = named.filter(F.col("word") == "")
-    counters = counter_rows(
+    counters = table_counts(
         unsensed_senses=unsensed, labeled_senses=labelled, missing_word=nothing,
         malformed_lines=(lines, F.count(F.when(~F.col("valid"), 1))),
         language_codes=(entries, F.countDistinct(F.when(F.col("language") != "und", F.col("language")))),
