@@ -200,6 +200,10 @@ def lookup_details(
         for field, (children, parent, order) in classes.items():
             children = children.select(parent, *dict.fromkeys([*order, "value", "detail"]))
             taken, cut = _share_details(senses, children, parent, order, f"{field}_limit", field)
+            if field == "examples" and corpus.has("example_lines"):
+                # only the places of examples were ranked; their lines are fetched when they are few
+                lines = corpus.example_lines.select("position", F.col("example").alias("__line"))
+                taken = taken.join(lines, "position").withColumn("value", F.col("__line"))
             rows = taken.select(
                 Q, "rank", F.lit(field).alias("field"), F.col("__at").alias("item"), "value", "detail"
             )

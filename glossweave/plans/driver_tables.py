@@ -159,18 +159,19 @@ def word_corpus(spark: SparkSession, folder: str) -> Corpus:
         cased = paired().filter(same_language & (F.col("target_term") == F.col("normalized_term")))
         return edges(shared, "related", "symmetric", 7).unionByName(edges(cased, "derived_from", "outbound", 8))
 
-    def examples() -> DataFrame:
-        """Lines using a word; the place of a line in its document orders them."""
-        lines = read_texts(spark, folder).select(
+    def example_lines() -> DataFrame:
+        """Lines of the documents with a position that orders them."""
+        return read_texts(spark, folder).select(
             F.col("lang").alias("language"), "source", "doc_id",
             F.posexplode(F.split("text", "\n")).alias("line_no", "example"),
+        ).withColumn("position", F.col("doc_id") * LINE_STEP + F.col("line_no"))
+
+    def examples() -> DataFrame:
+        """Uses of a word by the position of their line; the line itself stays where it is."""
+        used = example_lines().select(
+            "language", "source", "position", F.explode(F.array_distinct(_tokens(F.col("example")))).alias("term")
         )
-        used = lines.select(
-            "language", "source", "example",
-            (F.col("doc_id") * LINE_STEP + F.col("line_no")).alias("position"),
-            F.explode(F.array_distinct(_tokens(F.col("example")))).alias("term"),
-        )
-        return conform(used.withColumn("sense_id", _sense_id()), "examples")
+        return conform(used.withColumn("sense_id", _sense_id()).withColumn("example", F.lit(None)), "examples")
 
     def pronunciations() -> DataFrame:
         heard = occurrences(spark, folder).join(corpus.terms, ["language", "term"]).select(
@@ -190,8 +191,8 @@ def word_corpus(spark: SparkSession, folder: str) -> Corpus:
         pronunciations=pronunciations,
         spoken=lambda: spoken(corpus.terms),
     )
-    # examples repeat whole lines per word, so they are read off the texts when needed
-    return corpus.extended(examples=examples)
+    # read off the texts when needed
+    return corpus.extended(examples=examples, example_lines=example_lines)
 
 
 # letters read as sounds: vowels take a token and a stress, these consonants a token

@@ -111,7 +111,9 @@ class Corpus:
     only. A table the corpus lacks reads as None.
     """
 
-    NAMES = (*TABLES, "term_counts")
+    #: ``example_lines``(position, example) may hold the texts of examples by position, so that
+    #: a line is stored once however many senses it illustrates.
+    NAMES = (*TABLES, "term_counts", "example_lines")
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
         unknown = set(tables) - set(self.NAMES)
