@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import space_count
 from ..schemas import (
     DIRECTION_CODES,
+    MAX_BUDGET,
     RELATION_CODES,
     RELATION_SCAN_CEILING,
     RELATION_SCAN_FLOOR,
@@ -505,28 +506,41 @@ def expand_frontier(
     return merged.drop("__head", "limit"), missing
 
 
-def synset_heads(members: DataFrame, ceiling: int) -> DataFrame:
-    """First ``ceiling`` distinct terms of every synset, by term id, with their place."""
+def synset_places(members: DataFrame) -> DataFrame:
+    """Memberships whole: every distinct term of every synset with its 1-based place by term id."""
     distinct = members.select("synset_id", "term_id").distinct()
-    return top_k(distinct, ["synset_id"], ["term_id"], ceiling, rank="place")
+    return top_k(distinct, ["synset_id"], ["term_id"], None, rank="place")
 
 
-def synset_synonyms(members: DataFrame, positions: int = 100) -> DataFrame:
-    """Synonyms of every sense out of its synset, at 0-based positions below ``positions``.
+def synonym_counts(members: DataFrame) -> DataFrame:
+    """(sense_id, synonyms): the other distinct terms of each sense's synset, counted without pairing."""
+    sizes = members.select("synset_id", "term_id").distinct().groupBy("synset_id").agg(
+        F.count(F.lit(1)).alias("__terms")
+    )
+    return members.join(sizes, "synset_id").groupBy("sense_id").agg(
+        F.sum(F.col("__terms") - 1).alias("synonyms")
+    )
+
 
-    ``members``(synset_id, sense_id, term_id, part_of_speech). Only 100 synonyms of a
-    sense can ever be read, so the first 101 terms of a synset answer every sense in
-    it: the output grows with the senses, not with the square of a synset. A target's
-    position is its place in the synset, less one if the sense's own term precedes it.
+def synset_synonyms(members: DataFrame, bound: int = MAX_BUDGET) -> DataFrame:
+    """The synonyms of every sense that an answer can read: 0-based positions below ``bound``.
+
+    ``members``(synset_id, sense_id, term_id, part_of_speech). Memberships themselves are
+    kept whole (``synset_places``); an answer never reads more than ``bound`` synonyms of a
+    sense, so the first ``bound + 1`` terms of a synset answer all its senses and nothing is
+    squared. A target's position is its place in the synset, less one if the sense's own
+    term precedes it. ``synonym_counts`` has the full numbers.
     """
-    heads = synset_heads(members, positions + 1)
-    own = members.join(heads, ["synset_id", "term_id"], "left").withColumnRenamed("place", "own_place")
-    targets = heads.select("synset_id", F.col("term_id").alias("target_term_id"), "place")
-    after_own = F.coalesce(F.col("place") > F.col("own_place"), F.lit(False)).cast("int")
+    places = synset_places(members)
+    own = members.join(places, ["synset_id", "term_id"]).withColumnRenamed("place", "own_place")
+    targets = places.filter(F.col("place") <= bound + 1).select(
+        "synset_id", F.col("term_id").alias("target_term_id"), "place"
+    )
+    after_own = (F.col("place") > F.col("own_place")).cast("int")
     return (
         own.join(targets, "synset_id")
         .filter(F.col("target_term_id") != F.col("term_id"))
         .withColumn("position", (F.col("place") - 1 - after_own).cast("bigint"))
-        .filter(F.col("position") < positions)
+        .filter(F.col("position") < bound)
         .select("sense_id", "target_term_id", "part_of_speech", "position")
     )

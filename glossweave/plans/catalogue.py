@@ -251,6 +251,16 @@ def translate(spark, folder):
     return lookup.translate(corpus, asked, already_distinct=True)
 
 
+@query
+def synset_places(spark, folder):
+    return graph.synset_places(tables.part_members(spark, folder))
+
+
+@query
+def synonym_counts(spark, folder):
+    return graph.synonym_counts(tables.part_members(spark, folder))
+
+
 @query
 def synset_synonyms(spark, folder):
     return graph.synset_synonyms(tables.part_members(spark, folder))

@@ -279,6 +279,10 @@ pt AS (SELECT *, CASE WHEN p_size < 10 THEN 'part:unsensed:' ELSE 'part:' END||p
   {_hash("'en'", "lower(p_name)", "p_name")} AS term_id, p_type||'/'||p_size AS synset_id FROM part),
 syn AS (SELECT a.sense_id, b.term_id AS tid, b.p_name AS tterm, a.p_brand AS pos, row_number() OVER (PARTITION BY a.sense_id ORDER BY b.term_id) - 1 AS position
   FROM pt a JOIN (SELECT DISTINCT synset_id, term_id, p_name FROM pt) b ON a.synset_id = b.synset_id AND a.term_id <> b.term_id)"""
+ORACLES["synset_places"] = f"""{_with(PARTS)}
+SELECT synset_id, term_id, row_number() OVER (PARTITION BY synset_id ORDER BY term_id) AS place FROM (SELECT DISTINCT synset_id, term_id FROM pt)"""
+ORACLES["synonym_counts"] = f"""{_with(PARTS)}
+SELECT pt.sense_id, count(syn.tid) AS synonyms FROM pt LEFT JOIN syn USING (sense_id) GROUP BY 1"""
 ORACLES["synset_synonyms"] = f"""{_with(PARTS)}
 SELECT sense_id, tid AS target_term_id, pos AS part_of_speech, position FROM syn WHERE position < 100"""
 

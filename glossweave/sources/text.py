@@ -2,69 +2,32 @@
 
 from __future__ import annotations
 
-import lzma
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ranking import global_index
 
-_LINE = "line string, file string, block long, at long"
-_XZ = (".xz", ".lzma")
-_BATCH = 10_000
-
 
 def read_lines(spark: SparkSession, paths: str | list[str], spread: int | None = None) -> DataFrame:
     """Lines with their place: (line, file, block, at).
 
-    gz, bz2 and zst are read by suffix, xz by a streaming reader. Bytes that are no UTF-8
-    are replaced. (file, block, at) orders lines as the files do; ``at`` is unique and
-    grows inside a block. ``spread`` redistributes the lines of an unsplittable file
-    before costly parsing.
+    gz, bz2 and zst are read by suffix; other compression has to be undone before. Bytes that
+    are no UTF-8 are replaced. (file, block, at) orders lines as the files do; ``at`` is unique
+    and grows inside a block. ``spread`` redistributes the lines of an unsplittable file before
+    costly parsing.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
-    squeezed = [p for p in listed if p.endswith(_XZ)]
-    plain = [p for p in listed if not p.endswith(_XZ)]
-    parts = []
-    if plain:
-        raw = spark.read.text(plain).select(
-            F.make_valid_utf8("value").alias("line"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-        )
-        parts.append(raw.withColumn("at", F.monotonically_increasing_id()))
-    if squeezed:
-        parts.append(_read_xz(spark, squeezed))
-    lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    closed = [p for p in listed if p.endswith((".xz", ".lzma"))]
+    if closed:
+        raise ValueError(f"no Spark codec for {closed}")
+    raw = spark.read.text(listed).select(
+        F.make_valid_utf8("value").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    lines = raw.withColumn("at", F.monotonically_increasing_id())
     return lines.repartition(spread) if spread else lines
 
 
-def _read_xz(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One task per file, decompressed as a stream; files must be on a shared mount."""
-
-    def lines(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path in frame["file"]:
-                batch: list[str] = []
-                at = 0
-                with lzma.open(path.removeprefix("file://"), "rt", encoding="utf-8", errors="replace", newline="\n") as stream:
-                    for text in stream:
-                        batch.append(text.rstrip("\r\n"))
-                        if len(batch) == _BATCH:
-                            yield _framed(batch, path, at)
-                            at += len(batch)
-                            batch = []
-                if batch:
-                    yield _framed(batch, path, at)
-
-    def _framed(batch: list[str], path: str, at: int) -> pd.DataFrame:
-        return pd.DataFrame({"line": batch, "file": path, "block": 0, "at": range(at, at + len(batch))})
-
-    files = spark.createDataFrame([(p,) for p in paths], "file string").repartition(len(paths))
-    return files.mapInPandas(lines, _LINE)
-
-
 def invalid_bytes(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines per file that are not valid UTF-8."""
     raw = spark.read.text(paths)

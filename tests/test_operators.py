@@ -477,3 +477,13 @@ def test_prefetch_sees_variants_past_the_scan_ceiling(spark):
     asked = spark.createDataFrame([("q", "a", "hypernym")], "request_id string, word string, relation string")
     found = graph.relations(corpus, asked).filter("distance = 2").collect()
     assert [(r["middle_term"], r["target_term"]) for r in found] == [("b", "t")]
+
+
+def test_a_synset_of_150_members_is_kept_whole_and_read_to_the_bound(spark):
+    rows = [("big", f"s{k}", k, "n") for k in range(150)] + [("one", "alone", 7, "n")]
+    members = spark.createDataFrame(rows, "synset_id string, sense_id string, term_id long, part_of_speech string")
+    assert graph.synset_places(members).count() == 151
+    counts = {r["sense_id"]: r["synonyms"] for r in graph.synonym_counts(members).collect()}
+    assert counts == {f"s{k}": 149 for k in range(150)} | {"alone": 0}
+    read = graph.synset_synonyms(members).filter("sense_id = 's120'").orderBy("position").collect()
+    assert [r["target_term_id"] for r in read] == list(range(100))
