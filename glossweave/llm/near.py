@@ -35,7 +35,7 @@ RECALL = 0.999
 HASHES = 160
 SKETCH = 64
 #: Members of a bucket that one task compares with each other; larger buckets are salted.
-BUCKET = 2_000
+BUCKET = 500
 #: Members and n-grams of one block of a coarse group.
 BLOCK_MEMBERS = 512
 BLOCK_GRAMS = 500_000
