@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -13,7 +14,7 @@ from ..operators import graph, lookup, vectors, wordplay
 from ..operators.ranking import nearest_rank
 from ..operators.requests import validate
 from ..schemas import RELATION_CODES, Corpus
-from ..session import stored_table
+from ..session import shared_folder, stored_table
 from . import driver_tables as tables
 from . import layout, quality
 
@@ -456,6 +457,17 @@ def partition_rows(spark, folder):
     return layout.partition_rows(_partitioned(spark, folder)[2])
 
 
+@query
+def partition_files(spark, folder):
+    """Rows per partition and table as written by partition and read back from the files."""
+    parts = _partitioned(spark, folder)[2]
+    place = f"{shared_folder(spark)}/packs-{uuid.uuid4().hex}"
+    layout.write_partitions(parts, place)
+    return layout.partition_rows(
+        {name: spark.read.schema(table.schema).parquet(f"{place}/{name}") for name, table in parts.items()}
+    )
+
+
 @query
 def partition_stubs(spark, folder):
     return _partitioned(spark, folder)[2]["target_catalogue"].drop("term_id")

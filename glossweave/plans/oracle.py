@@ -520,6 +520,7 @@ UNION ALL SELECT pack_id, 'translations', count(*) FROM transl JOIN senses USING
 UNION ALL SELECT pack_id, 'synonyms', count(*) FROM syns JOIN senses USING (sense_id) JOIN plan USING (language) GROUP BY 1
 UNION ALL SELECT pack_id, 'relations', count(*) FROM prel GROUP BY 1
 UNION ALL SELECT pack_id, 'target_catalogue', count(*) FROM stubs GROUP BY 1"""
+ORACLES["partition_files"] = ORACLES["partition_rows"]
 ORACLES["closure_report"] = f"""WITH {PACKED},
 packs AS (SELECT DISTINCT pack_id FROM plan),
 dang AS (SELECT r.pack_id, count(*) AS n FROM refs r WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.pack_id = r.pack_id AND o.term_id = r.term_id)
