@@ -57,7 +57,7 @@ def sense_candidates(corpus: Corpus, requests: DataFrame, scan: Column) -> DataF
         .join(corpus.entries, "term_id")
         .filter(
             F.col("__wanted_pos").isNull()
-            | (F.lower("part_of_speech") == F.col("__wanted_pos"))
+            | (F.lower("part_of_speech") == F.lower("__wanted_pos"))
         )
         .join(corpus.senses, "entry_id")
         .filter(F.col("__wanted_sense").isNull() | (F.col("sense_id") == F.col("__wanted_sense")))

@@ -214,6 +214,20 @@ def sense_lookup(spark, folder):
     return found.drop("etymology")
 
 
+@query
+def lookup_by_part_of_speech(spark, folder):
+    """Every word asked for its names (up to 100 senses) and for its first noun, whatever the case."""
+    corpus = tables.word_corpus(spark, folder)
+    kinds = F.array(
+        F.struct(F.lit("NAME").alias("part_of_speech"), F.lit(100).alias("limit")),
+        F.struct(F.lit("Noun").alias("part_of_speech"), F.lit(1).alias("limit")),
+    )
+    asked = _word_requests(corpus).select("*", F.inline(kinds)).withColumn("translations_limit", F.lit(0)).withColumn(
+        "request_id", F.concat_ws(":", "request_id", "part_of_speech")
+    )
+    return lookup.lookup(corpus, asked, already_distinct=True).select("request_id", "rank", "sense_id", "gloss")
+
+
 def _detail_requests(spark, folder):
     return tables.benchmark_words(spark, folder).withColumn("request_id", F.col("word"))
 

@@ -232,6 +232,11 @@ ORACLES["sense_lookup"] = f"""{_with(WORDS, COVERAGE, _ALL_WORDS, PICKED)}
 SELECT request_id, rank, sense_id, {_SCOPE.format('sense_id')} AS sense_scope, p.term AS word, p.language, e.pos AS part_of_speech, gloss, e.prov::BIGINT AS provenance_id
 FROM picked p JOIN entries e USING (entry_id)"""
 
+ORACLES["lookup_by_part_of_speech"] = f"""{_with(WORDS)}
+SELECT request_id, rank, sense_id, gloss FROM (SELECT s.language||':'||s.norm||':'||k.kind AS request_id, sense_id, gloss, most,
+    row_number() OVER (PARTITION BY s.language, s.norm, k.kind ORDER BY gloss IS NULL, sense_id) AS rank
+  FROM senses s JOIN entries e USING (entry_id) JOIN (VALUES ('NAME', 100), ('Noun', 1)) k(kind, most) ON lower(e.pos) = lower(k.kind)) WHERE rank <= most"""
+
 _SHARE = """
 {c}_all AS (SELECT p.request_id, p.rank, p.sense_id, x.value, x.detail, row_number() OVER (PARTITION BY p.request_id, p.rank ORDER BY x.o1, x.o2, x.o3) AS item
   FROM picked p JOIN {c}_rows x ON x.parent = p.{parent}),
