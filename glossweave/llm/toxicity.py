@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import arrow_map
+from .common import arrow_map, land
 
 THRESHOLD = 0.3
+_HITLESS = math.log(THRESHOLD / (1 - THRESHOLD)) - 0.1  # most that a text without hits scores, in log-odds
 #: Most labelled rows that the lexicon and the score are fitted on, chosen by a hash of their id.
 FIT_ROWS = 20_000
 #: Most lexicon entries.
@@ -28,7 +29,8 @@ ENTRIES = 5_000
 _STEM = range(4, 13)
 _MASS = 30.0  # hits beyond this sum say nothing more
 _COUNTED = 100  # documents whose entries are held at a time
-_CONFIDENT = 14.0  # nats of evidence that an entry must bring
+_FALSE = 0.1  # share of chance finds among the entries, at most
+_SURE = 80.0  # nats beyond which chance finds are not counted
 _LIFT = 2.5  # an entry's share of toxic documents, over that of all documents, at least
 
 #: Phrases in which a lexicon word is no insult (fixed list; matched in folded text).
@@ -177,8 +179,9 @@ def learn_lexicon(
     """Lexicon and score fitted on at most ``rows`` labelled rows that are not held out.
 
     What reaches the driver is bounded: ``ENTRIES`` entries and two features per fitted row.
-    With no labels, or labels of one kind only, the lexicon is empty and every score is the
-    same.
+    Entries are tested against the number of labelled rows and of entries (``_trusted``). With
+    no labels, or labels of one kind only, the lexicon is empty and every score is the same,
+    under ``THRESHOLD``.
     """
     sample = labelled_sample(docs, labels, rows)
     classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -187,33 +190,67 @@ def learn_lexicon(
     if not toxic or not clean:
         return lexicon
     share = toxic / (toxic + clean)
-    counted = sample.transform(arrow_map, _counted, _COUNTS).groupBy("entry").agg(
+    counted = land(sample.transform(arrow_map, _counted, _COUNTS).groupBy("entry").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
-    )
+    ), "entries")
     held = F.col("toxic") + F.col("clean")
     # evidence: log-likelihood ratio of the entry's own share of toxic documents against the overall one
     part = F.col("toxic") / held
     evidence = F.col("toxic") * F.log(part / share) + F.when(
         F.col("clean") > 0, F.col("clean") * F.log((1 - part) / (1 - share))
     ).otherwise(0.0)
-    strong = counted.where((F.col("toxic") > 0) & (part >= F.least(F.lit(_LIFT * share), F.lit((1 + share) / 2)))).withColumn("evidence", evidence).where(
-        F.col("evidence") >= _CONFIDENT
-    )
+    strong = counted.where((F.col("toxic") > 0) & (part >= _least_part(share))).withColumn("evidence", evidence)
     found = strong.orderBy(F.desc("evidence"), F.length("entry").desc(), "entry").limit(ENTRIES).collect()
-    lexicon = Lexicon(_generalised(found, toxic, clean), exceptions)
+    sizes = {r["held"]: r["count"] for r in counted.groupBy(held.alias("held")).count().collect()}
+    sure = _trusted(np.array([r["evidence"] for r in found]), sizes, share)
+    found, sure = found[: len(sure)], dict(zip((r["entry"] for r in found), sure.tolist()))
+    lexicon = Lexicon(_generalised(found, toxic, clean, sure), exceptions)
     lexicon.coefficients = _fit(sample, lexicon)
     return lexicon
 
 
-def _generalised(found: list, toxic: int, clean: int) -> dict[str, float]:
-    """Weights of the entries that say something of their own.
+def _least_part(share: float) -> float:
+    return min(_LIFT * share, (1 + share) / 2)
+
+
+def _trusted(evidence: np.ndarray, sizes: dict[int, int], share: float) -> np.ndarray:
+    """For the leading entries that are kept: one less the share of chance finds down to each.
+
+    ``evidence`` falls; ``sizes`` says how many entries are held by so many rows. If labels were
+    drawn by chance, the entries of each size would reach an evidence with a binomial
+    probability. The sum of these over all entries is compared with the number of entries
+    found, and the list ends where more than ``_FALSE`` of it would be there by chance. So the
+    evidence asked for follows the numbers of rows and entries.
+    """
+    factorials = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, max(sizes, default=0) + 1)))))
+    points, chances = [np.empty(0)], [np.empty(0)]
+    for held, entries in sizes.items():
+        k = np.arange(max(1, math.ceil(_least_part(share) * held - 1e-9)), held + 1)
+        rest = held - k
+        points.append(
+            k * np.log(k / (held * share)) + rest * np.log(np.maximum(rest, 1) / (held * (1 - share)))
+        )
+        near = factorials[held] - factorials[k] - factorials[rest] + k * math.log(share) + rest * math.log1p(-share)
+        chances.append(entries * np.exp(near))
+        points[-1], chances[-1] = points[-1][points[-1] < _SURE], chances[-1][points[-1] < _SURE]
+    point, chance = np.concatenate(points), np.concatenate(chances)
+    order = np.argsort(point)
+    above = np.concatenate((np.cumsum(chance[order][::-1])[::-1], [0.0]))
+    expected = above[np.searchsorted(point[order], evidence - 1e-6)]
+    ties = np.searchsorted(-evidence, -evidence + 1e-6, side="right")  # found with as much evidence, or more
+    false = np.minimum.accumulate((expected / np.maximum(ties, 1))[::-1])[::-1]
+    return 1 - false[false <= _FALSE]
+
+
+def _generalised(found: list, toxic: int, clean: int, sure: dict[str, float]) -> dict[str, float]:
+    """Weights of the entries that say something of their own, shrunken by the chance finds.
 
     A stem goes if a longer entry has nearly all of its toxic documents; an entry goes if a
     stem it begins with weighs about as much. A word counts with its best entry only.
     """
     by = {r["entry"]: (r["toxic"], r["clean"]) for r in found}
     weight = {
-        e: math.log((hits + 0.5) / (toxic + 1)) - math.log((misses + 0.5) / (clean + 1))
+        e: sure[e] * (math.log((hits + 0.5) / (toxic + 1)) - math.log((misses + 0.5) / (clean + 1)))
         for e, (hits, misses) in by.items()
     }
     ordered = sorted(by, key=lambda e: (e.rstrip("*"), e))
@@ -261,12 +298,18 @@ def _fit(sample: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
     x = np.column_stack([np.ones(len(rows)), rows["mass"], rows["density"]])
     y = rows["toxic"].to_numpy(float)
     w, ridge = np.zeros(3), np.diag([1e-3, 0.1, 0.1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+    free = np.ones(3, bool)
+    while True:
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope, bend = x.T @ (y - p) - ridge @ w, x.T @ (x * (p * (1 - p))[:, None]) + ridge
+            step = np.linalg.solve(bend[np.ix_(free, free)], slope[free])
+            w[free] += step
+            if np.abs(step).max() < 1e-8:
+                break
+        if not free[0] or w[0] <= _HITLESS:
             break
+        w, free[0] = np.array([_HITLESS, 0.0, 0.0]), False  # a text without hits stays under the threshold
     # hits never speak for a clean text
     return float(w[0]), float(max(w[1], 0.0)), float(max(w[2], 0.0))
 

@@ -70,6 +70,32 @@ def test_toxicity_without_labels(spark, documents):
     assert toxicity.score_documents(documents([]), lexicon).collect() == []
 
 
+def test_toxicity_learns_from_few_rows(spark, documents):
+    docs, labels = labelled(spark, 3, 70)
+    lexicon = toxicity.learn_lexicon(documents(docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"blorp", "snarfle", "grumbit"} & {e.rstrip("*") for e in lexicon.weights}
+    truth, by = dict(labels), {r["doc_id"]: r for r in toxicity.score_documents(documents(docs), lexicon).collect()}
+    assert sum(by[i]["predicted"] for i, t in truth.items() if t) > sum(truth.values()) / 2
+    assert sum(by[i]["predicted"] for i, t in truth.items() if not t) <= 2
+
+
+def test_toxicity_keeps_texts_without_hits(spark, documents):
+    """Half of the rows are toxic, and no word says which: none may be dropped."""
+    docs = [(i, f"some words {i % 7}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i // 7 % 2) for i, _ in docs], "doc_id long, toxic int")
+    lexicon = toxicity.learn_lexicon(documents(docs), labels)
+    assert {r["predicted"] for r in toxicity.score_documents(documents(docs), lexicon).collect()} == {0}
+    assert toxicity.keep_clean(documents(docs), lexicon).count() == len(docs)
+
+
+def test_toxicity_evidence_follows_rows_and_entries():
+    share = 9 / 64
+    evidence = np.array([4, 4, 4, 4, 3, 3]) * np.log(1 / share)
+    few = toxicity._trusted(evidence, {1: 20_000, 3: 10, 4: 40}, share)
+    many = toxicity._trusted(evidence, {1: 20_000, 3: 10, 4: 40_000}, share)
+    assert len(few) == 6 and all(few > 0.9) and len(many) == 0
+
+
 # -------------------------------------------------------------------- licenses
 def test_licenses_against_all_templates(spark, documents):
     draw = random.Random(5)
