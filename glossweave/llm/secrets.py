@@ -35,8 +35,24 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 _NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
-_CARD = re.compile(r"[^0-9\n]{0,24}?((?:[0-9][ -]?){12,18}[0-9])(?![0-9])")
-_IBAN = re.compile(r"[^A-Z0-9\n]{0,8}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
+_DIGITS = re.compile(r"[0-9]+")
+_JOINED = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
+_LETTER = re.compile(r"[A-Za-z]")
+_COUNTRY = re.compile(r"[A-Z]{2}[0-9]{2}")
+_CARD_LENGTHS = range(13, 20)
+_REACH = 24  # characters outside tried numbers, between a keyword and a number of its own
+# fixed values: characters of an IBAN by country
+_IBAN_LENGTHS = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+_IBAN_ANY = range(35, 11, -1)  # for a country that is not listed
 _WORDS = {
     "password": ASSIGN, "passwd": ASSIGN, "secret": ASSIGN, "token": ASSIGN, "apikey": ASSIGN, "api_key": ASSIGN,
     "akia": ACCESS, "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github",
@@ -78,6 +94,69 @@ def iban_holds(number: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+@cache
+def _iban(size: int) -> re.Pattern:
+    """Groups of four and a rest, ``size`` characters in all, each group after a blank or none."""
+    groups, rest = divmod(size - 4, 4)
+    tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    return re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}(?![A-Za-z0-9])")
+
+
+def _line(text: str, at: int) -> int:
+    end = text.find("\n", at)
+    return len(text) if end < 0 else end
+
+
+def _card_near(text: str, at: int, taken: int) -> tuple[int, int] | None:
+    """The first card number after a keyword that ends at ``at``; of several lengths the longest valid one.
+
+    Each group of digits is tried as the start, and the end of each group that one blank or
+    hyphen joins to it as the end. Digits that go on from a letter, as those of an IBAN do, are
+    tried only right after the keyword.
+    """
+    first, last, reach = True, _line(text, at), _REACH
+    while group := _DIGITS.search(text, at, min(last, at + reach + 1)):
+        start = group.start()
+        reach -= start - at
+        if not first and _LETTER.match(text, start - 1):
+            at = _JOINED.match(text, start).end()
+            continue
+        first = False
+        end = at = _DIGITS.match(text, start).end()
+        if start < taken:
+            continue
+        size, valid = end - start, None
+        while size <= _CARD_LENGTHS[-1]:
+            if size in _CARD_LENGTHS and luhn_holds(text[start:end]):
+                valid = start, end
+            more = _DIGITS.match(text, end + 1) if text[end : end + 1] in (" ", "-") else None
+            if not more:
+                break
+            size, end = size + more.end() - more.start(), more.end()
+        if valid:
+            return valid
+    return None
+
+
+def _iban_near(text: str, at: int, taken: int) -> tuple[int, int] | None:
+    """The first IBAN after a keyword that ends at ``at``, of the length that its country has."""
+    first, last, reach = at, _line(text, at), _REACH
+    while head := _COUNTRY.search(text, at, min(last, at + reach + 4)):
+        start = head.start()
+        reach -= start - at
+        at = start + 4
+        if start < taken or (start > first and re.match("[A-Z0-9]", text[start - 1])):
+            continue
+        known = _IBAN_LENGTHS.get(head[0][:2])
+        for size in [known] if known else _IBAN_ANY:
+            found = _iban(size).match(text, start)
+            if found and iban_holds(found[0]):
+                return start, found.end()
+            if found and known:
+                at = found.end()
+    return None
+
+
 def _forward(raw: bytes, plain: bool) -> Callable[[int], int]:
     """Turns byte positions, asked in ascending order, into code points."""
     place = known = 0
@@ -114,10 +193,10 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
                 taken[kind] = found.end()
                 spans.append((start, found.end(), kind))
         else:
-            found = (_CARD if kind == "card" else _IBAN).match(text, start + 4)
-            if found and found.start(1) >= taken[kind] and (luhn_holds if kind == "card" else iban_holds)(found[1]):
-                taken[kind] = found.end(1)
-                spans.append((found.start(1), found.end(1), kind))
+            found = (_card_near if kind == "card" else _iban_near)(text, start + 4, taken[kind])
+            if found:
+                taken[kind] = found[1]
+                spans.append((*found, kind))
     run = b"h" * _LEAST[HEX]
     letters = raw.translate(_ONE_LETTER)
     points = _forward(raw, len(raw) == len(text))

@@ -223,6 +223,30 @@ def test_checksums():
     assert secrets.find_secrets("card 4111 1111 1111 1112, iban DE89 3704 0044 0532 0130 01") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("card 4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        ("card 4111-1111-1111-1111 737.", ["4111-1111-1111-1111"]),
+        ("card 4111 1111 1111 1111 5500 0000 0000 0004", ["4111 1111 1111 1111"]),
+        ("card 1: 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("card 4111 1111 1111 1112 or 5500 0000 0000 0004", ["5500 0000 0000 0004"]),
+        ("card 4111 1111 1111 1112\n5500 0000 0000 0004", []),
+        ("card " + "x" * 30 + " 4111 1111 1111 1111", []),
+        ("visa card4111111111111111", ["4111111111111111"]),
+        ("iban AT61 1904 3002 3457 3201 BIC OPSKATWW", ["AT61 1904 3002 3457 3201"]),
+        ("iban ES91 2100 0418 4502 0005 1332 EUR", ["ES91 2100 0418 4502 0005 1332"]),
+        ("IBAN No. 1: NO93 8601 1117 947 SWIFT", ["NO93 8601 1117 947"]),
+        ("iban AT61 1904 3002 3457 3202 DE89370400440532013000", ["DE89370400440532013000"]),
+        ("iban DE89 3704 0044 0532 0130 01 EUR", []),
+    ],
+)
+def test_numbers_with_more_behind_them(text, wanted):
+    assert [text[start:end] for start, end, _ in secrets.find_secrets(text)] == wanted
+    masked = secrets._masked(text, "*")
+    assert not any(number in masked for number in wanted)
+
+
 def test_scan_and_mask(spark, documents):
     rows = [*EDGES, (20, "é my token = abcdef123 and 0123456789abcdef0123456789abcdef")]
     scanned = secrets.scan_documents(documents(rows)).collect()
