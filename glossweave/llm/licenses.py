@@ -66,6 +66,8 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
+#: Notices of fewer words than a shingle; one counts as one shingle of all its words.
+SHORT_TEMPLATES = {"All-rights-reserved": "All rights reserved"}
 
 
 def _word_bytes() -> np.ndarray:
@@ -106,7 +108,7 @@ def window_plan(shingles: int, contained: float = CONTAINED, certainty: float =
     stride = max(1, shingles // 4)
     window = shingles + stride - 1
     least = max(1, shingles // 2 + 1) if shingles > 1 else 1
-    similar = contained * least / (window + least - contained * least)
+    similar = contained * least / (window + least - contained * least) if shingles > 1 else 1.0
     bands = 1 if similar >= 1 else math.ceil(math.log(1 - certainty) / math.log1p(-similar))
     return window, stride, bands
 
@@ -119,31 +121,38 @@ class _Class:
     multipliers: np.ndarray
     names: list[str]
     sets: list[np.ndarray]
+    words: int  # of a shingle
 
 
-def _shingles(text: str, words: int) -> np.ndarray:
+def _words(text: str) -> np.ndarray:
     _, hashes, *_ = next(word_spans(pa.array([text])))
     if not len(hashes):
         raise ValueError("a template needs words")
-    return np.unique(shingle_hashes(hashes, words))
+    return hashes
+
+
+def _shingles(text: str, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(_words(text), words))
 
 
 def template_classes(templates: dict[str, str], words: int = WORDS) -> list[_Class]:
-    """Templates grouped by length to powers of two, with their bands."""
+    """Templates grouped by length to powers of two, with their bands.
+
+    A template of fewer than ``words`` words is one shingle of all of them.
+    """
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    by: dict[int, list[tuple[str, np.ndarray]]] = {}
+    by: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
     for name, text in templates.items():
-        grams = _shingles(text, words)
-        if not len(grams):
-            raise ValueError(f"template {name} has fewer than {words} words")
-        by.setdefault(1 << (len(grams) - 1).bit_length(), []).append((name, grams))
+        own = min(words, len(_words(text)))
+        grams = _shingles(text, own)
+        by.setdefault((1 << (len(grams) - 1).bit_length(), own), []).append((name, grams))
     classes = []
-    for size, members in sorted(by.items()):
+    for (size, own), members in sorted(by.items()):
         window, stride, bands = window_plan(size)
         multipliers = mixed(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
         least = np.array([[(m * grams).min() for m in multipliers] for _, grams in members], np.uint64)
-        classes.append(_Class(window, stride, least, multipliers, [n for n, _ in members], [g for _, g in members]))
+        classes.append(_Class(window, stride, least, multipliers, [n for n, _ in members], [g for _, g in members], own))
     return classes
 
 
@@ -172,19 +181,22 @@ def _candidates(group: _Class, grams: np.ndarray, valid: np.ndarray) -> np.ndarr
 
 
 def find_licenses(
-    grams: np.ndarray, bounds: np.ndarray, classes: list[_Class], words: int = WORDS, contained: float = CONTAINED
+    hashes: np.ndarray, bounds: np.ndarray, classes: list[_Class], contained: float = CONTAINED
 ) -> list[tuple[int, str, int, int, float]]:
-    """(row, name, first shingle, last shingle, share of the template) of the spans in a block of texts.
+    """(row, name, first word, last word, share of the template) of the spans in a block of texts.
 
     ``bounds`` says at which word each row starts; shingles that cross it belong to no row.
     Windows of one template that overlap or touch within a row are one span; a span reaches
     from the first to the last of the template's shingles in it.
     """
-    row = np.searchsorted(bounds, np.arange(len(grams)), side="right") - 1
-    ends = np.maximum(bounds[1:] - words + 1, bounds[:-1])
-    valid = np.arange(len(grams)) < ends[row]
-    found = []
+    found, shingled = [], {}
+    for words in {group.words for group in classes}:
+        grams = shingle_hashes(hashes, words)
+        row = np.searchsorted(bounds, np.arange(len(grams)), side="right") - 1
+        ends = np.maximum(bounds[1:] - words + 1, bounds[:-1])
+        shingled[words] = grams, row, ends, np.arange(len(grams)) < ends[row]
     for group in classes:
+        grams, row, ends, valid = shingled[group.words]
         spans: list[list[int]] = []  # template, row, start, stop
         parts = []
         for template, start in _candidates(group, grams, valid).tolist():
@@ -201,7 +213,8 @@ def find_licenses(
             inside = np.flatnonzero(np.isin(grams[start:stop], wanted))
             share = len(np.unique(grams[start:stop][inside])) / len(wanted)
             if share >= contained:
-                found.append((own, group.names[template], start + int(inside[0]), start + int(inside[-1]), share))
+                last = start + int(inside[-1]) + group.words - 1
+                found.append((own, group.names[template], start + int(inside[0]), last, share))
     return sorted(found, key=lambda f: (f[0], f[2], f[1]))
 
 
@@ -219,23 +232,23 @@ _SPANS = T.StructType(
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, words: int = WORDS) -> DataFrame:
     """doc_id, license, start, end, containment of every license passage in ``docs(doc_id, text)``.
 
-    ``start`` and ``end`` are bytes of the UTF-8 text, end exclusive. Null and empty texts and
-    texts of fewer words than a shingle have none. Rows are scanned each by itself, so
+    ``start`` and ``end`` are bytes of the UTF-8 text, end exclusive. Null and empty texts have
+    none. Rows are scanned each by itself, so
     repeated rows give repeated spans; other columns are ignored.
     """
-    classes = template_classes(TEMPLATES if templates is None else templates, words)
+    classes = template_classes(TEMPLATES | SHORT_TEMPLATES if templates is None else templates, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, hashes, starts, ends, bytes_at, split in word_spans(batch.column(1)):
-                found = find_licenses(shingle_hashes(hashes, words), split, classes, words)
+                found = find_licenses(hashes, split, classes)
                 if not found:
                     continue
                 row, name, i, j, share = (np.array(c) for c in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(first + row)), pa.array(name.tolist(), pa.string()),
-                        pa.array(starts[i] - bytes_at[row]), pa.array(ends[j + words - 1] - bytes_at[row]), pa.array(share),
+                        pa.array(starts[i] - bytes_at[row]), pa.array(ends[j] - bytes_at[row]), pa.array(share),
                     ],
                     names=_SPANS.names,
                 )

@@ -127,6 +127,20 @@ def test_licenses_against_all_templates(spark, documents):
     assert licenses.scan_licenses(documents([])).collect() == []
 
 
+def test_notices_shorter_than_a_shingle(spark, documents):
+    rows = [(1, "© Ünal 2024. All rights\n reserved."), (2, "all rights reserved all rights reserved"),
+            (3, "all rights"), (4, "reserved"), (5, "all rights are reserved"), (6, "All Rights Reserved")]
+    found = Counter()
+    for r in licenses.scan_licenses(documents(rows)).collect():
+        assert r["license"] == "All-rights-reserved" and r["containment"] == 1
+        passage = dict(rows)[r["doc_id"]].encode()[r["start"] : r["end"]].decode()
+        assert passage.lower().split() == ["all", "rights", "reserved"]
+        found[r["doc_id"]] += 1
+    assert found == {1: 1, 2: 2, 6: 1}
+    own = licenses.scan_licenses(documents(rows), {"one": "Reserved", "two": "all rights"}).collect()
+    assert Counter(r["license"] for r in own) == {"one": 6, "two": 6}
+
+
 def test_sliding_least():
     values = np.random.default_rng(1).integers(0, 1000, 57).astype(np.uint64)
     for window in (1, 2, 3, 7, 8, 60):
