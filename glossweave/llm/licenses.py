@@ -10,6 +10,7 @@ themselves: a span is reported if it holds enough of the template's distinct shi
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,6 +69,45 @@ TEMPLATES = {
 }
 #: Notices of fewer words than a shingle; one counts as one shingle of all its words.
 SHORT_TEMPLATES = {"All-rights-reserved": "All rights reserved"}
+_GNU_HEADER = (
+    "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {}"
+    " Public License as published by the Free Software Foundation, either version {} of the License,"
+    " or (at your option) any later version"
+)
+#: Licenses and versions that differ from those above in a word or two.
+SIBLING_TEMPLATES = {
+    "GPL-1.0": "licensed under the GNU General Public License, version 1",
+    "GPL-2.0": "licensed under the GNU General Public License, version 2",
+    "LGPL-2.0": "licensed under the GNU Library General Public License, version 2",
+    "LGPL-3.0": "licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "licensed under the GNU Affero General Public License, version 3",
+    "GPL-1.0-or-later": _GNU_HEADER.format("program", "General", "1"),
+    "GPL-2.0-or-later": _GNU_HEADER.format("program", "General", "2"),
+    "LGPL-2.0-or-later": _GNU_HEADER.format("library", "Library General", "2"),
+    "LGPL-2.1-or-later": _GNU_HEADER.format("library", "Lesser General", "2.1"),
+    "LGPL-3.0-or-later": _GNU_HEADER.format("program", "Lesser General", "3"),
+    "AGPL-3.0-or-later": _GNU_HEADER.format("program", "Affero General", "3"),
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1",
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1",
+    "CC-BY-3.0": "licensed under a Creative Commons Attribution 3.0 Unported License",
+    "CC-BY-SA-3.0": "licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License",
+    "CC-BY-NC-3.0": "Licensed under CC BY-NC 3.0",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0",
+}
+
+# fixed values: what tells licenses of nearly the same words apart
+_FAMILIES = tuple(
+    f"{name} license".split()
+    for name in (
+        "gnu general public", "gnu lesser general public", "gnu affero general public", "gnu library general public",
+        "mozilla public", "eclipse public", "apache", "mit",
+    )
+)
+_VERSIONED = frozenset(
+    "version versions v license licence attribution sharealike noncommercial noderivatives by nc sa nd".split()
+)
+_WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
 def _word_bytes() -> np.ndarray:
@@ -122,6 +162,7 @@ class _Class:
     names: list[str]
     sets: list[np.ndarray]
     words: int  # of a shingle
+    marks: list[list[np.ndarray]]  # of each template: shingles of which one must be there
 
 
 def _words(text: str) -> np.ndarray:
@@ -135,6 +176,30 @@ def _shingles(text: str, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(_words(text), words))
 
 
+def _marks(text: str, words: int) -> list[np.ndarray]:
+    """For the license's name and for its version: the shingles that hold it, of which a span needs one."""
+    grams, spelled = shingle_hashes(_words(text), words), _WORD.findall(pc.ascii_lower(pa.scalar(text)).as_py())
+    places: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    for k in range(len(spelled)):
+        for family in _FAMILIES:
+            if spelled[k : k + len(family)] == family:
+                places.setdefault(tuple(family), []).append((k, k + len(family)))
+        if spelled[k] in _VERSIONED:
+            stop = k + 1
+            while stop < len(spelled) and spelled[stop].isdecimal():
+                stop += 1
+            if stop > k + 1:
+                places.setdefault(tuple(spelled[k + 1 : stop]), []).append((k, stop))
+    marks = []
+    for spans in places.values():
+        held = {i for start, stop in spans for i in range(max(stop - words, 0), start + 1) if i < len(grams)}
+        if held:
+            marks.append(grams[sorted(held)])
+        else:  # longer than a shingle: each of its shingles
+            marks += [grams[i : i + 1] for i in range(spans[0][0], spans[0][1] - words + 1)]
+    return marks
+
+
 def template_classes(templates: dict[str, str], words: int = WORDS) -> list[_Class]:
     """Templates grouped by length to powers of two, with their bands.
 
@@ -142,17 +207,18 @@ def template_classes(templates: dict[str, str], words: int = WORDS) -> list[_Cla
     """
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    by: dict[tuple[int, int], list[tuple[str, np.ndarray]]] = {}
+    by: dict[tuple[int, int], list[tuple[str, np.ndarray, list[np.ndarray]]]] = {}
     for name, text in templates.items():
         own = min(words, len(_words(text)))
         grams = _shingles(text, own)
-        by.setdefault((1 << (len(grams) - 1).bit_length(), own), []).append((name, grams))
+        by.setdefault((1 << (len(grams) - 1).bit_length(), own), []).append((name, grams, _marks(text, own)))
     classes = []
     for (size, own), members in sorted(by.items()):
         window, stride, bands = window_plan(size)
         multipliers = mixed(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        least = np.array([[(m * grams).min() for m in multipliers] for _, grams in members], np.uint64)
-        classes.append(_Class(window, stride, least, multipliers, [n for n, _ in members], [g for _, g in members], own))
+        least = np.array([[(m * grams).min() for m in multipliers] for _, grams, _ in members], np.uint64)
+        names, sets, marks = (list(part) for part in zip(*members, strict=True))
+        classes.append(_Class(window, stride, least, multipliers, names, sets, own, marks))
     return classes
 
 
@@ -180,6 +246,34 @@ def _candidates(group: _Class, grams: np.ndarray, valid: np.ndarray) -> np.ndarr
     return np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
 
 
+def _rival(a: np.ndarray, b: np.ndarray, contained: float) -> bool:
+    """Whether a text of one template may be taken for the other; a notice within a longer one is none."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    low, high = common / max(len(a), len(b)), common / min(len(a), len(b))
+    return low >= contained or contained <= high < 1
+
+
+def _best(found: list[tuple], contained: float) -> list[tuple]:
+    """``found`` without what is there only because a rival that overlaps it is.
+
+    A find goes if the rival is contained better and no more than half of the shingles that
+    only the lesser one has are in its span.
+    """
+    found, gone = sorted(found, key=lambda f: (f[0], f[2], f[1])), set()
+    for k, one in enumerate(found):
+        for j in range(k + 1, len(found)):
+            other = found[j]
+            if other[0] != one[0] or other[2] > one[3]:
+                break
+            if one[4] == other[4] or one[1] == other[1] or not _rival(one[5], other[5], contained):
+                continue
+            (low, lesser), (_, better) = sorted(((k, one), (j, other)), key=lambda f: f[1][4])
+            apart = np.setdiff1d(lesser[5], better[5])
+            if 2 * np.isin(apart, lesser[6]).sum() <= len(apart):
+                gone.add(low)
+    return [f[:5] for k, f in enumerate(found) if k not in gone]
+
+
 def find_licenses(
     hashes: np.ndarray, bounds: np.ndarray, classes: list[_Class], contained: float = CONTAINED
 ) -> list[tuple[int, str, int, int, float]]:
@@ -187,7 +281,8 @@ def find_licenses(
 
     ``bounds`` says at which word each row starts; shingles that cross it belong to no row.
     Windows of one template that overlap or touch within a row are one span; a span reaches
-    from the first to the last of the template's shingles in it.
+    from the first to the last of the template's shingles in it. It must hold the license's name
+    and version as the template gives them, and of rivals the best one is reported.
     """
     found, shingled = [], {}
     for words in {group.words for group in classes}:
@@ -212,10 +307,11 @@ def find_licenses(
             wanted = group.sets[template]
             inside = np.flatnonzero(np.isin(grams[start:stop], wanted))
             share = len(np.unique(grams[start:stop][inside])) / len(wanted)
-            if share >= contained:
+            marks = group.marks[template]
+            if share >= contained and all(np.isin(mark, grams[start:stop]).any() for mark in marks):
                 last = start + int(inside[-1]) + group.words - 1
-                found.append((own, group.names[template], start + int(inside[0]), last, share))
-    return sorted(found, key=lambda f: (f[0], f[2], f[1]))
+                found.append((own, group.names[template], start + int(inside[0]), last, share, wanted, grams[start:stop]))
+    return _best(found, contained)
 
 
 _SPANS = T.StructType(
@@ -236,7 +332,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, word
     none. Rows are scanned each by itself, so
     repeated rows give repeated spans; other columns are ignored.
     """
-    classes = template_classes(TEMPLATES | SHORT_TEMPLATES if templates is None else templates, words)
+    classes = template_classes(TEMPLATES | SHORT_TEMPLATES | SIBLING_TEMPLATES if templates is None else templates, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

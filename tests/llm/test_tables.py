@@ -141,6 +141,32 @@ def test_notices_shorter_than_a_shingle(spark, documents):
     assert Counter(r["license"] for r in own) == {"one": 6, "two": 6}
 
 
+def test_sibling_licenses_are_told_apart(spark, documents):
+    every = licenses.TEMPLATES | licenses.SHORT_TEMPLATES | licenses.SIBLING_TEMPLATES
+    names = list(every)
+    rows = [(k, f"before the notice {every[name]} behind it") for k, name in enumerate(names)]
+    both = "licensed under the GNU General Public License, version {}. "
+    header = every["GPL-3.0-or-later"]
+    rows += [
+        (100, both.format(2) + both.format(3)), (101, both.format(9)), (102, header.replace("version 3", "version 9")),
+        (103, every["AGPL-3.0-or-later"] + ". See the GNU General Public License"),
+        (104, header.replace("of the License, or", "or")), (105, "Re" + both.format(3).replace("licensed", "leased")),
+    ]
+    found = defaultdict(set)
+    for r in licenses.scan_licenses(documents(rows)).collect():
+        found[r["doc_id"]].add(r["license"])
+    nested = {"Apache-2.0-header": {"Apache-2.0"}}
+    for k, name in enumerate(names):
+        assert found[k] == {name} | nested.get(name, set())
+    assert found[100] == {"GPL-2.0", "GPL-3.0"} and not found[101] and not found[102]
+    assert found[103] == {"AGPL-3.0-or-later"} and found[104] == {"GPL-3.0-or-later"} and found[105] == {"GPL-3.0"}
+    # templates of names that no list has: the best one of a span
+    given = {"red": "this work may be used under the red terms by all", "blue": "this work may be used under the blue terms by all people who ask for it nicely and in time or later than that if they wish so"}
+    given["green"] = given["blue"].replace("blue", "green")
+    own = licenses.scan_licenses(documents([(1, given["blue"]), (2, given["green"])]), given).collect()
+    assert {(r["doc_id"], r["license"]) for r in own} == {(1, "blue"), (2, "green")}
+
+
 def test_sliding_least():
     values = np.random.default_rng(1).integers(0, 1000, 57).astype(np.uint64)
     for window in (1, 2, 3, 7, 8, 60):
