@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, dedup, licenses, near, packing, secrets, sharding, topk, toxicity
+from . import (
+    alignment, bpe, chat, dedup, licenses, near, packing, pieces, resampling, secrets, sharding, topk, toxicity,
+)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +121,29 @@ def op10_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer("piece_bpe_32k.model")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    encoded = pieces.encode_documents(docs, path, agrees="library_agrees")
+    decoded = pieces.decode_documents(encoded, path, agrees="library_agrees")
+    counted = decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"), "library_agrees",
+    )
+    return pieces.id_digests(counted, pieces.pieces(path).size)
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_documents(
+        table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    )
