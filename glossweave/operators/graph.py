@@ -522,25 +522,21 @@ def synonym_counts(members: DataFrame) -> DataFrame:
     )
 
 
-def synset_synonyms(members: DataFrame, bound: int = MAX_BUDGET) -> DataFrame:
-    """The synonyms of every sense that an answer can read: 0-based positions below ``bound``.
-
-    ``members``(synset_id, sense_id, term_id, part_of_speech). Memberships themselves are
-    kept whole (``synset_places``); an answer never reads more than ``bound`` synonyms of a
-    sense, so the first ``bound + 1`` terms of a synset answer all its senses and nothing is
-    squared. A target's position is its place in the synset, less one if the sense's own
-    term precedes it. ``synonym_counts`` has the full numbers.
+def synset_synonyms(members: DataFrame) -> DataFrame:
+    """All synonyms of every sense: the other distinct terms of its synset, with 0-based positions.
+
+    ``members``(synset_id, sense_id, term_id, part_of_speech). A synset of n terms gives each
+    of its senses n - 1 rows; that is the stored table itself, and nothing bounds it. How many
+    an answer reads is the matter of ``lookup.synonyms``. A target's position is its place in
+    the synset, less one if the sense's own term precedes it.
     """
     places = synset_places(members)
     own = members.join(places, ["synset_id", "term_id"]).withColumnRenamed("place", "own_place")
-    targets = places.filter(F.col("place") <= bound + 1).select(
-        "synset_id", F.col("term_id").alias("target_term_id"), "place"
-    )
+    targets = places.select("synset_id", F.col("term_id").alias("target_term_id"), "place")
     after_own = (F.col("place") > F.col("own_place")).cast("int")
     return (
         own.join(targets, "synset_id")
         .filter(F.col("target_term_id") != F.col("term_id"))
         .withColumn("position", (F.col("place") - 1 - after_own).cast("bigint"))
-        .filter(F.col("position") < bound)
         .select("sense_id", "target_term_id", "part_of_speech", "position")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.ids import framed_row
 from ..functions.phonetics import onset, remainder
 from ..functions.text import language_tag
-from ..operators import graph, lookup, vectors, wordplay
+from ..operators import graph, lookup, vector_index, vectors, wordplay
 from ..operators.ranking import nearest_rank
 from ..operators.requests import validate
 from ..schemas import RELATION_CODES, Corpus
@@ -377,6 +377,46 @@ def knn_approximate(spark, folder):
     return found.select(*_NEIGHBOUR_COLUMNS)
 
 
+@query
+def knn_indexed(spark, folder):
+    """Approximate neighbours by product codes of the trained index."""
+    asked = _vector_requests(tables.vector_corpus(spark, folder))
+    found = vector_index.indexed_neighbours(tables.vector_index(spark, folder), asked, already_distinct=True, decimals=4)
+    return found.select(*_NEIGHBOUR_COLUMNS)
+
+
+@query
+def knn_bounded(spark, folder):
+    """Exact neighbours by byte codes with bounds of their error."""
+    asked = _vector_requests(tables.vector_corpus(spark, folder))
+    found = vector_index.bounded_neighbours(tables.vector_index(spark, folder), asked, already_distinct=True, decimals=4)
+    return found.select(*_NEIGHBOUR_COLUMNS)
+
+
+@query
+def knn_bounded_by_language(spark, folder):
+    asked = _vector_requests(tables.vector_corpus(spark, folder)).withColumn(
+        "target_language", F.col("source_language")
+    ).withColumn("min_similarity", F.lit(0.1))
+    found = vector_index.bounded_neighbours(tables.vector_index(spark, folder), asked, already_distinct=True, decimals=4)
+    return found.select(*_NEIGHBOUR_COLUMNS)
+
+
+@query
+def index_recall(spark, folder):
+    """Whether the trained index meets the bar of recall with at most its share of full scores."""
+    corpus = tables.vector_corpus(spark, folder)
+    shuffled = Corpus(terms=corpus.terms, vectors=corpus.vectors.repartition("term_id"))
+    report = vector_index.index_report(
+        corpus, tables.vector_index(spark, folder), 10, 20, vector_index.build_index(shuffled)
+    )
+    # a language of fewer than 40 / 0.3 vectors is below the floor of twice the limit
+    whole = (F.col("index_scope") == "language") | (F.col("scored_share") <= vector_index.RESCORED)
+    return report.select(
+        "index_scope", "seeds", "passed", whole.alias("within_share"), "deterministic", "strict_language_filtering"
+    )
+
+
 @query
 def ann_recall(spark, folder):
     corpus = tables.vector_corpus(spark, folder)

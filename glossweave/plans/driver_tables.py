@@ -16,6 +16,7 @@ from ..functions.ids import term_id
 from ..functions.phonetics import rhyme_key
 from ..functions.text import is_eligible, lookup_key
 from ..operators.graph import synset_synonyms
+from ..operators.vector_index import VectorIndex, build_index
 from ..schemas import DIRECTION_CODES, RELATION_CODES, Corpus, conform
 from ..session import stored_table
 from ..sources.common import intern
@@ -255,6 +256,17 @@ def benchmark_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumn("request_id", F.concat_ws(" ", "left", "right"))
 
 
+_INDEXES: dict[tuple[str, str], VectorIndex] = {}
+
+
+def vector_index(spark: SparkSession, folder: str) -> VectorIndex:
+    """The trained index over the embeddings, built once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(vector_corpus(spark, folder))
+    return _INDEXES[key]
+
+
 # ----------------------------------------------------------------------- parts
 def _part_sense() -> Column:
     mark = F.when(F.col("p_size") < 10, "part:unsensed:").otherwise("part:")

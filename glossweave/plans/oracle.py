@@ -289,7 +289,7 @@ SELECT synset_id, term_id, row_number() OVER (PARTITION BY synset_id ORDER BY te
 ORACLES["synonym_counts"] = f"""{_with(PARTS)}
 SELECT pt.sense_id, count(syn.tid) AS synonyms FROM pt LEFT JOIN syn USING (sense_id) GROUP BY 1"""
 ORACLES["synset_synonyms"] = f"""{_with(PARTS)}
-SELECT sense_id, tid AS target_term_id, pos AS part_of_speech, position FROM syn WHERE position < 100"""
+SELECT sense_id, tid AS target_term_id, pos AS part_of_speech, position FROM syn"""
 
 ORACLES["synonyms_grouped"] = f"""{_with(PARTS)},
 counts AS (SELECT p_name, count(DISTINCT p_brand) AS ec, count(*) AS sc FROM pt GROUP BY p_name),
@@ -425,6 +425,13 @@ SELECT request_id, rank, semantic_id, language, round(sim, 4) AS similarity FROM
 
 ORACLES["knn_exact"] = _knn("", "")
 ORACLES["knn_by_language"] = _knn("AND a.language = b.language", "AND sim >= 0.1")
+ORACLES["knn_bounded"] = ORACLES["knn_exact"]
+ORACLES["knn_bounded_by_language"] = ORACLES["knn_by_language"]
+ORACLES["index_recall"] = """
+WITH r AS (SELECT row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS spot, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+s AS (SELECT unnest(range(0, 10)) AS stratum)
+SELECT scope AS index_scope, count(*) AS seeds, true AS passed, true AS within_share, true AS deterministic, true AS strict_language_filtering
+FROM r JOIN s ON spot = ((2 * stratum + 1) * n) // 20 CROSS JOIN (SELECT unnest(['global', 'language']) AS scope) WHERE n >= 10 GROUP BY 1"""
 ORACLES["recall_seeds"] = """
 WITH r AS (SELECT 'l'||label AS language, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS spot, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
 s AS (SELECT unnest(range(0, 10)) AS stratum)
