@@ -31,7 +31,9 @@ from .pieces import binary_array, decimals, pieces
 #: Ends that one piece of a merge holds.
 PIECE_ENDS = 256
 #: Links and documents from which on a block of documents is closed.
-BLOCK_LINKS = 1 << 20
+BLOCK_LINKS = 1 << 17
+#: Bytes of text that are aligned in one pass; a longer single text is one pass of its own.
+PASS_BYTES = 1 << 18
 
 
 @cache
@@ -126,7 +128,7 @@ def _aligned(texts: pa.Array, path_a: str, path_b: str):
     """
     a_model, b_model = plain_bpe(path_a), pieces(path_b)
     raw, offsets = text_bytes(pc.binary_join_element_wise(pa.scalar(" "), texts, ""))
-    for first, last in row_slices(offsets):
+    for first, last in row_slices(offsets, PASS_BYTES):
         own, starts = raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         rows = last - first
         column = pa.Array.from_buffers(
