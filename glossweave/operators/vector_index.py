@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ..functions.ids import hash60
 from ..schemas import MAX_BUDGET, Corpus
-from ..session import shared_folder
+from ..session import shared_folder, written
 from .ranking import first_per, top_k
 from .requests import answer_shared, with_defaults
 from .vectors import NEIGHBOUR_DEFAULTS, RECALL_BAR, Q, named_vectors, neighbours, recall_seeds
@@ -142,7 +142,7 @@ def train(vectors: DataFrame, seed: int = 17, rows: int = TRAIN_ROWS, rounds: in
     cells = cells or min(MAX_CELLS, max(1, math.isqrt(count)))
     order = [hash60(F.lit(seed), F.col("semantic_id")), "semantic_id"]
     chosen = vectors.select("semantic_id", "embedding").orderBy(*order).limit(rows)
-    sample = _written(chosen.repartition(_tasks(vectors.sparkSession)), "sample")
+    sample = written(chosen.repartition(_tasks(vectors.sparkSession)), "sample")
     first = sample.orderBy(*order).limit(max(cells, CODES)).collect()
     if not first:
         return Model(np.zeros((1, GROUP)), np.zeros((1, 1, GROUP)))
@@ -164,13 +164,6 @@ def _tasks(spark: SparkSession) -> int:
 
 
 # --------------------------------------------------------------------- building
-def _written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{folder or shared_folder(spark) + '/index-' + uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class VectorIndex:
     """A stored index: named vectors, their packed blocks, how large each scope is, and the model."""
@@ -247,11 +240,11 @@ def build_index(corpus: Corpus, folder: str | None = None, seed: int = 17, model
     that holds much of a language is dealt over several blocks by a hash of the vector ids, so
     no block grows with a cell. Vectors of no length are left out (``named_vectors``).
     """
-    found = _written(named_vectors(corpus), "vectors")
+    found = written(named_vectors(corpus), "vectors")
     folder = folder or f"{shared_folder(found.sparkSession)}/index-{uuid.uuid4().hex}"
     model = model or train(found, seed)
     coded = found.mapInArrow(_coded(model), T.StructType([*found.schema.fields, T.StructField("cell", T.IntegerType())]))
-    coded = _written(coded, "cells")
+    coded = written(coded, "cells")
     # one row per language and cell, at most as many as there are cells in the window
     held = coded.groupBy("language", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("language").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -263,12 +256,12 @@ def build_index(corpus: Corpus, folder: str | None = None, seed: int = 17, model
     filed = coded.join(spans, ["language", "cell"]).withColumn(
         "block", F.col("first") + F.pmod(F.xxhash64("semantic_id"), F.col("last") - F.col("first") + 1)
     ).drop("first", "last")
-    filed = _written(filed, "names", folder)
+    filed = written(filed, "names", folder)
     parts = filed.select("language", "block", "cell", "semantic_id", "identity", "embedding")
-    blocks = _written(parts.groupBy("language", "block").applyInArrow(_pack(model), _PACKED), "blocks", folder)
+    blocks = written(parts.groupBy("language", "block").applyInArrow(_pack(model), _PACKED), "blocks", folder)
     scoped = blocks.select(F.explode(F.array("language", F.lit("*"))).alias("scope"), "rows")
-    sizes = _written(scoped.groupBy("scope").agg(F.sum("rows").alias("size"), F.count(F.lit(1)).alias("blocks")), "sizes", folder)
-    _written(found.sparkSession.createDataFrame(_model_rows(model), _MODEL), "model", folder)
+    sizes = written(scoped.groupBy("scope").agg(F.sum("rows").alias("size"), F.count(F.lit(1)).alias("blocks")), "sizes", folder)
+    written(found.sparkSession.createDataFrame(_model_rows(model), _MODEL), "model", folder)
     return VectorIndex(filed, blocks, sizes, model)
 
 
@@ -463,7 +456,7 @@ def index_report(corpus: Corpus, index: VectorIndex, per_language: int, k: int,
     seeds = recall_seeds(corpus, per_language).select(
         F.col("normalized_term").alias("word"), F.col("language").alias("source_language"), "semantic_id"
     )
-    requests = _written(
+    requests = written(
         seeds.withColumn("index_scope", F.explode(F.array(F.lit("global"), F.lit("language")))).select(
             F.concat_ws("/", "index_scope", "semantic_id").alias(Q), "word", "source_language", "index_scope",
             F.when(F.col("index_scope") == "language", F.col("source_language")).alias("target_language"),
@@ -474,7 +467,7 @@ def index_report(corpus: Corpus, index: VectorIndex, per_language: int, k: int,
     asked = requests.drop("index_scope")
     key = [Q, "language", "normalized_term"]
     truth = neighbours(corpus, asked, already_distinct=True).select(*key)
-    found = _written(indexed_neighbours(index, asked, already_distinct=True).select(*key, "rank", "semantic_id"), "found")
+    found = written(indexed_neighbours(index, asked, already_distinct=True).select(*key, "rank", "semantic_id"), "found")
     sizes = truth.groupBy(Q).agg(F.count(F.lit(1)).alias("truth"))
     shared = found.join(truth, key, "left_semi").groupBy(Q).agg(F.count(F.lit(1)).alias("shared"))
     stray = found.join(asked.select(Q, "target_language"), Q).groupBy(Q).agg(

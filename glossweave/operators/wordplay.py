@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.phonetics import deletions, in_inventory, onset, remainder
-from ..functions.text import is_eligible, is_palindrome, letter_signature, letters_of, like_pattern
+from ..functions.text import is_eligible, is_palindrome, letter_signature, letters_of
 from ..schemas import (
     MAX_BUDGET,
     PUN_SENSE_FETCH,
@@ -19,6 +19,8 @@ from ..schemas import (
     SPOONERISM_RESOLVED_TERMS,
     Corpus,
 )
+from ..session import reliable_cut
+from . import patterns
 from .ranking import count_before, first_per, top_k
 from .requests import answer_shared, with_defaults
 
@@ -190,53 +192,25 @@ def near_rhymes(corpus: Corpus, requests: DataFrame, already_distinct: bool = Fa
 
 
 # ------------------------------------------------------------ spelling patterns
-def _literal_runs(text: Column) -> Column:
-    return F.filter(F.split(text, r"[?*]"), lambda run: run != "")
+def spelling_postings(corpus: Corpus) -> DataFrame:
+    """The posting index of the spoken headwords (see ``patterns``)."""
+    return patterns.postings(_spoken_headwords(corpus))
 
 
 def spelled_like(corpus: Corpus, requests: DataFrame, already_distinct: bool = False) -> DataFrame:
-    """Headwords matching ``?``/``*`` patterns, by equi-joins on what a pattern pins down.
+    """Headwords matching ``?``/``*`` patterns, looked up by the rarest run of letters of each pattern.
 
-    Each pattern is filed under one anchor that all its matches share, most telling
-    first: its literal head, its literal tail, a three-letter piece of an inner run, its
-    exact length, or its least length. A headword is filed under just those anchors of
-    its own that have the shapes in use, then LIKE decides.
+    The corpus may hold the index (``postings``, ``gram_counts``); else it is made.
     """
     requests = with_defaults(requests, _LIMIT)
 
     def answer(questions: DataFrame) -> DataFrame:
-        text = F.col("text")
-        head = F.regexp_extract(text, r"^([^?*]*)", 1)
-        tail = F.regexp_extract(text, r"([^?*]*)$", 1)
-        inner = F.coalesce(
-            F.get(F.array_sort(_literal_runs(text), lambda a, b: F.length(b) - F.length(a)), F.lit(0)),
-            F.lit(""),
-        )
-        least = F.length(F.replace(text, F.lit("*"), F.lit("")))
-        open_ended = text.contains("*")
-        piece = F.substring(inner, 1, 3)
-        kind = (
-            F.when(head != "", "head")
-            .when(tail != "", "tail")
-            .when(piece != "", "piece")
-            .when(~open_ended, "exact")
-            .otherwise("least")
-        )
-        anchor = (
-            F.when(kind == "head", head)
-            .when(kind == "tail", tail)
-            .when(kind == "piece", piece)
-            .otherwise(least.cast("string"))
-        )
-        filed = questions.withColumn("kind", kind).withColumn("anchor", anchor).withColumn(
-            "width", F.when(F.col("kind").isin("exact", "least"), least).otherwise(F.length("anchor"))
-        ).withColumn("pattern", like_pattern(text))
-        headwords = _spoken_headwords(corpus)
-        candidates = _file_under(headwords, filed).join(filed, ["kind", "anchor"])
-        matches = candidates.filter(
-            F.expr("normalized_term LIKE pattern ESCAPE '\\\\'") & (F.col("normalized_term") != text)
-        )
-        return _list_matches(matches, "spelled_like")
+        posted = corpus.postings if corpus.has("postings") else reliable_cut(spelling_postings(corpus))
+        counts = corpus.gram_counts if corpus.has("gram_counts") else patterns.gram_counts(posted)
+        found = patterns.matches(posted, counts, questions.select(Q, "text", "limit"))
+        first = top_k(found, [Q], ["normalized_term"], MAX_BUDGET, F.col("limit"))
+        named = first.drop("rank").join(_spoken_headwords(corpus), "normalized_term")
+        return _list_matches(named, "spelled_like")
 
     return answer_shared(requests, ["text", "limit"], answer, already_distinct)
 
@@ -255,45 +229,6 @@ def _list_matches(matches: DataFrame, mode: str) -> DataFrame:
     )
 
 
-def _widths(filed: DataFrame, kind: str) -> Column:
-    """Anchor widths in use for one kind, as a scalar (texts are at most 256 long)."""
-    return filed.filter(F.col("kind") == kind).agg(F.collect_set("width").alias("w")).scalar()
-
-
-def _file_under(headwords: DataFrame, filed: DataFrame) -> DataFrame:
-    word = F.col("normalized_term")
-    size = F.length(word)
-    kinds = ("head", "tail", "piece", "exact", "least")
-    headwords = headwords.withColumns({f"__{k}": _widths(filed, k) for k in kinds})
-
-    def anchors(kind: str, make) -> Column:
-        fitting = F.filter(F.col(f"__{kind}"), lambda w: w <= size)
-        return F.transform(
-            make(fitting), lambda a: F.struct(F.lit(kind).alias("kind"), a.alias("anchor"))
-        )
-
-    def pieces(widths: Column) -> Column:
-        per_width = F.transform(
-            widths,
-            lambda w: F.transform(
-                F.sequence(F.lit(1), size - w + 1), lambda i: word.substr(i, w)
-            ),
-        )
-        return F.array_distinct(F.flatten(per_width))
-
-    every = F.concat(
-        anchors("head", lambda ws: F.transform(ws, lambda w: word.substr(F.lit(1), w))),
-        anchors("tail", lambda ws: F.transform(ws, lambda w: word.substr(size - w + 1, w))),
-        anchors("piece", pieces),
-        anchors(
-            "exact",
-            lambda ws: F.transform(F.filter(ws, lambda w: w == size), lambda w: w.cast("string")),
-        ),
-        anchors("least", lambda ws: F.transform(ws, lambda w: w.cast("string"))),
-    )
-    return headwords.select("normalized_term", "term", "phonemes", F.inline(every))
-
-
 def prefixed(corpus: Corpus, requests: DataFrame, already_distinct: bool = False) -> DataFrame:
     """Headwords starting with the text; an equi-join on prefixes of the lengths asked for.
 

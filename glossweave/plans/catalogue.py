@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.ids import framed_row
 from ..functions.phonetics import onset, remainder
 from ..functions.text import language_tag
-from ..operators import graph, lookup, vector_index, vectors, wordplay
+from ..operators import graph, lookup, patterns, vector_index, vectors, wordplay
 from ..operators.ranking import nearest_rank
 from ..operators.requests import validate
 from ..schemas import RELATION_CODES, Corpus
@@ -172,6 +172,41 @@ def spelled_like(spark, folder):
     return wordplay.spelled_like(corpus, asked.withColumn("request_id", F.col("text")), already_distinct=True)
 
 
+def _open_patterns(spark, folder) -> DataFrame:
+    """Patterns whose letters many headwords share, and the widest of all."""
+    word = F.col("word")
+    few = tables.benchmark_words(spark, folder).select(
+        F.explode(
+            F.array(
+                F.concat(F.substring(word, 1, 1), F.lit("*")), F.concat(F.lit("*"), F.right(word, F.lit(1))),
+                F.concat(F.lit("*"), F.substring(word, 2, 1), F.lit("*")), F.regexp_replace(word, ".", "?"),
+                F.concat(F.lit("?"), F.substring(word, 2, 1), F.lit("*")), F.lit("*"), F.lit("?*"), F.lit("*e*a*"),
+                F.lit("a*"), F.lit("*e*"), F.lit("?????"),
+            )
+        ).alias("text")
+    ).where("text <> ''").distinct()
+    return few.withColumn("request_id", F.col("text"))
+
+
+@query
+def open_patterns(spark, folder):
+    return wordplay.spelled_like(
+        tables.word_corpus(spark, folder), _open_patterns(spark, folder), already_distinct=True
+    )
+
+
+@query
+def pattern_candidates(spark, folder):
+    """Per open pattern: is what it is compared with within the bound of a round?"""
+    corpus = tables.word_corpus(spark, folder)
+    asked = _open_patterns(spark, folder).withColumn("limit", F.lit(20))
+    met = patterns.candidates_met(corpus.postings, corpus.gram_counts, asked)
+    told = met.groupBy("request_id").agg(
+        F.every(F.col("candidates") <= 2 * patterns.PAGE * F.pow(F.lit(2), F.col("round"))).alias("within")
+    )
+    return asked.join(told, "request_id", "left").select("request_id", F.coalesce("within", F.lit(True)).alias("bounded"))
+
+
 @query
 def spoonerisms(spark, folder):
     corpus = tables.word_corpus(spark, folder)

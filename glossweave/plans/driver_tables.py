@@ -16,7 +16,9 @@ from ..functions.ids import term_id
 from ..functions.phonetics import rhyme_key
 from ..functions.text import is_eligible, lookup_key
 from ..operators.graph import synset_synonyms
+from ..operators.patterns import gram_counts
 from ..operators.vector_index import VectorIndex, build_index
+from ..operators.wordplay import spelling_postings
 from ..schemas import DIRECTION_CODES, RELATION_CODES, Corpus, conform
 from ..session import stored_table
 from ..sources.common import intern
@@ -191,6 +193,8 @@ def word_corpus(spark: SparkSession, folder: str) -> Corpus:
         relations=relations,
         pronunciations=pronunciations,
         spoken=lambda: spoken(corpus.terms),
+        postings=lambda: spelling_postings(corpus),
+        gram_counts=lambda: gram_counts(corpus.postings),
     )
     # read off the texts when needed
     return corpus.extended(examples=examples, example_lines=example_lines)

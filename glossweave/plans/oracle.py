@@ -174,6 +174,15 @@ ORACLES["spelled_like"] = _with(SPOKEN, BENCH, _HEADS, """
 pats AS (SELECT DISTINCT unnest([substr(word,1,2)||'*'||right(word,1), '?'||substr(word,2), '*'||substr(word,2,3)||'*']) AS pat FROM bwords)""") + _spoken_answer("""
   SELECT pat AS request_id, norm, term, phonemes FROM pats JOIN heads ON norm LIKE replace(replace(pat,'?','_'),'*','%') AND norm <> pat""", "spelled_like")
 
+_OPEN = """
+opats AS (SELECT DISTINCT pat FROM (SELECT unnest([substr(word,1,1)||'*', '*'||right(word,1), '*'||substr(word,2,1)||'*', regexp_replace(word,'.','?','g'),
+  '?'||substr(word,2,1)||'*', '*', '?*', '*e*a*', 'a*', '*e*', '?????']) AS pat FROM bwords) WHERE pat <> '')"""
+_MATCHED = """
+  SELECT pat AS request_id, norm, term, phonemes FROM opats JOIN heads ON norm LIKE replace(replace(pat,'?','_'),'*','%') AND norm <> pat"""
+ORACLES["open_patterns"] = _with(SPOKEN, BENCH, _HEADS, _OPEN) + _spoken_answer(_MATCHED, "spelled_like")
+ORACLES["pattern_candidates"] = f"""{_with(SPOKEN, BENCH, _HEADS, _OPEN)}
+SELECT DISTINCT pat AS request_id, true AS bounded FROM opats"""
+
 ORACLES["spoonerisms"] = f"""{_with(SPOKEN)},
 bt AS (SELECT regexp_extract_all(text, '\\p{{L}}+') AS w FROM benchmark),
 bi AS (SELECT DISTINCT replace(lower(w[i]),'ß','ss') AS l, replace(lower(w[i+1]),'ß','ss') AS r

@@ -112,8 +112,9 @@ class Corpus:
     """
 
     #: ``example_lines``(position, example) may hold the texts of examples by position, so that
-    #: a line is stored once however many senses it illustrates.
-    NAMES = (*TABLES, "term_counts", "example_lines")
+    #: a line is stored once however many senses it illustrates. ``postings`` and ``gram_counts``
+    #: may hold the index of spelling patterns.
+    NAMES = (*TABLES, "term_counts", "example_lines", "postings", "gram_counts")
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
         unknown = set(tables) - set(self.NAMES)

@@ -54,6 +54,17 @@ def reliable_cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` (to the shared folder unless told otherwise) and read it back.
+
+    As fixed as a checkpoint, and later joins know how large the table is.
+    """
+    spark = df.sparkSession
+    path = f"{folder or shared_folder(spark) + '/written-' + uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
