@@ -388,6 +388,8 @@ def near_join(
     slot = F.pmod(F.xxhash64("id ", "hash "), F.lit(SLOTS)).alias("slot ")
     slots = wanted.select(slot).distinct()
     asked = asked.withColumn("slot ", slot).join(F.broadcast(slots), "slot ", "left_semi").drop("slot ")
+    # rows that repeat id and hash hold the same text: one of them is enough
+    asked = asked.groupBy("id ", "hash ").agg(F.first("text").alias("text"))
     texts = wanted.join(asked.hint("merge"), ["id ", "hash "])
     paired = texts.select(
         "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.col("rep").alias("row"),
@@ -437,7 +439,8 @@ def near_classes(joined: NearJoin) -> DataFrame:
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class of linked documents; columns stay as they are.
 
-    Documents without links stay. Of a class the document with the least doc_id stays.
+    Documents without links stay, those without a text among them. Of a class the document
+    with the least doc_id stays, null last; of rows that repeat id and text one.
     """
     keep = near_classes(near_join(docs, threshold)).where("kept").select(
         F.col("doc_id").alias("id "), F.col("text_hash").alias("hash ")
