@@ -162,7 +162,8 @@ def pack_pieces(pieces: DataFrame, length: int = SEQUENCE_LENGTH) -> DataFrame:
                 [*columns, pa.array(sequence + nth), pa.array(offset + inside * own)], names=schema.names
             )
 
-    ranked = pieces.join(tally.drop("n"), ["length", "part"]).select(
+    # the table of ranks grows with partitions and lengths, so it is never broadcast
+    ranked = pieces.join(tally.drop("n").hint("merge"), ["length", "part"]).select(
         *[F.col(f.name) for f in kept], (F.col("place") + F.col("before")).alias("rank ")
     )
     return ranked.transform(arrow_map, run, schema)
