@@ -32,14 +32,15 @@ def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and v (floor of scale times each component) of the vectors that take part.
 
     Vectors that are null or hold a null, NaN or infinite component are left out, and so are
-    rows without a vec_id. Rows that repeat id and vector count once.
+    rows without a vec_id. Rows that repeat stay rows of their own. An empty vector takes part;
+    its inner products are 0.
     """
     component = lambda x: x.cast("double")
     sound = F.forall("embedding", lambda x: F.coalesce(F.abs(component(x)) < F.lit(float("inf")), F.lit(False)) & ~F.isnan(component(x)))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound).select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform("embedding", lambda x: F.floor(component(x) * F.lit(float(scale))).cast("long")).alias("v"),
-    ).distinct()
+    )
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -96,8 +97,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, parts: i
 
     ``vectors(vec_id, v)`` and ``queries(query_id, v)`` hold whole-number vectors as made by
     ``whole_numbers``; shorter vectors count as padded with zeros. Ties go to the smaller
-    vec_id; a query does not meet rows with its own id. With fewer candidates all are
-    returned. Scores are exact as long as they fit 64 bits.
+    vec_id; a query meets every row but one that has its own id and vector, which is its own
+    row, so a row that repeats it is met. Queries that repeat are each answered. With fewer
+    candidates all are returned. Scores are exact as long as they fit 64 bits.
     """
     reach = top + 1  # one may be the query itself
     width = vectors.agg(F.max(F.size("v"))).first()[0] or 1
@@ -107,7 +109,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, parts: i
     order = Window.partitionBy("v").orderBy("vec_id")
     first = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= reach)
     classes = land(
-        first.groupBy("v").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("members")),
+        # the least vec_id does not name a class: rows of one id may hold different vectors
+        first.groupBy("v").agg(F.min("vec_id").alias("least"), F.array_sort(F.collect_list("vec_id")).alias("members"))
+        .withColumn("id", F.monotonically_increasing_id()),
         "vector_classes",
     )
     asked = queries.withColumn("v", padded()).join(classes.select("v", F.col("id").alias("qid")), "v")
@@ -149,25 +153,34 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, parts: i
     sums = given.groupBy("qid", "id").agg(F.sum("partial").alias("sum"), F.count(F.lit(1)).alias("seen"))
     # 3: a part that was not given holds less than its share of the cutoff
     share = F.ceil(F.col("cutoff") / F.lit(count)) - 1
-    hopeful = sums.join(queried, "qid").where(
-        F.col("sum") + (F.lit(count) - F.col("seen")) * share >= F.col("cutoff")
+    # written, since what is complete and what is not are both read from it
+    hopeful = land(
+        sums.join(queried, "qid")
+        .where(F.col("sum") + (F.lit(count) - F.col("seen")) * share >= F.col("cutoff"))
+        .select("qid", "id", "sum", "seen", "w"),
+        "hopeful",
     )
     complete = hopeful.where(F.col("seen") == count).select("qid", "id", F.col("sum").alias("score"))
     rest = hopeful.where(F.col("seen") < count).join(classes.select("id", "v"), "id").select(
         "qid", "id", _full_score().alias("score")
     )
-    scored = complete.union(rest)
-    leading = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    scored = complete.union(rest).join(classes.select("id", "least"), "id")
+    leading = Window.partitionBy("qid").orderBy(F.desc("score"), "least")
     leaders = scored.withColumn("nth", F.row_number().over(leading)).where(F.col("nth") <= reach)
-    members = leaders.join(classes.select("id", "members"), "id").select("qid", "score", F.explode("members").alias("vec_id"))
+    members = leaders.join(classes.select("id", "members"), "id").select(
+        "qid", "id", "score", F.explode("members").alias("vec_id")
+    )
     within = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     answers = members.withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= reach).groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("found")
+        F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score", "id"))).alias("found")
     )
-    met = asked.select("query_id", "qid").join(answers, "qid").select(
-        "query_id",
-        F.posexplode(F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, top)).alias("place", "hit"),
+    own = F.array_position(
+        F.transform("found", lambda x: (x["vec_id"] == F.col("query_id")) & (x["id"] == F.col("qid"))), F.lit(True)
+    ).cast("int")
+    others = F.when(own == 0, F.slice("found", 1, top)).otherwise(
+        F.slice(F.concat(F.slice("found", F.lit(1), F.greatest(own - 1, F.lit(0))), F.slice("found", own + 1, F.lit(reach))), 1, top)
     )
+    met = asked.select("query_id", "qid").join(answers, "qid").select("query_id", F.posexplode(others).alias("place", "hit"))
     return met.select(
         "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"),
         F.col("hit.score").alias("score"),
