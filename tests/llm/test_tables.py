@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -91,9 +93,70 @@ def test_toxicity_keeps_texts_without_hits(spark, documents):
 def test_toxicity_evidence_follows_rows_and_entries():
     share = 9 / 64
     evidence = np.array([4, 4, 4, 4, 3, 3]) * np.log(1 / share)
-    few = toxicity._trusted(evidence, {1: 20_000, 3: 10, 4: 40}, share)
-    many = toxicity._trusted(evidence, {1: 20_000, 3: 10, 4: 40_000}, share)
+    one = np.ones(6, int)
+    few = toxicity._trusted(evidence, one, {1: 20_000, 3: 10, 4: 40}, share)
+    many = toxicity._trusted(evidence, one, {1: 20_000, 3: 10, 4: 40_000}, share)
     assert len(few) == 6 and all(few > 0.9) and len(many) == 0
+    # entries of equal counts are one kind, tested as often as they occur
+    kinds = toxicity._trusted(evidence[[0, 4]], np.array([4, 2]), {1: 20_000, 3: 10, 4: 40}, share)
+    assert kinds.tolist() == few[[0, 4]].tolist()
+
+
+def test_toxicity_sample_is_bounded_by_ids(spark, documents):
+    """A third of all rows carry one labelled id: it gives one row, and the bound holds."""
+    hot = next(k for k in range(9) if zlib.crc32(str(k).encode()) % 4 != 2)
+    rows = [(hot, f"text number {k % 5}") for k in range(400)] + [(100 + k, f"other {k}") for k in range(800)]
+    labels = spark.createDataFrame([(hot, 1), (hot, 0)] + [(100 + k, k % 2) for k in range(800)], "doc_id long, toxic int")
+    every = toxicity.labelled_sample(documents(rows), labels).collect()
+    known = [100 + k for k in range(800) if zlib.crc32(str(100 + k).encode()) % 4 != 2]
+    assert len(every) == len(known) + 1
+    assert [r["toxic"] for r in every if r["text"].startswith("text")] == [1]
+    assert [r["text"] for r in every if r["text"].startswith("text")] == ["text number 0"]
+    assert toxicity.labelled_sample(documents(rows), labels, 50).count() <= 50
+
+
+def plain_features(lexicon, text):
+    """Every entry tried at every word, every exception at every place."""
+    folded = toxicity.fold(text) + " "
+    words = [(m.start(), m.group()) for m in re.finditer("[^ ]+", folded)]
+    spared = set()
+    for phrase in map(toxicity.fold, lexicon.exceptions):
+        for start, _ in words:
+            if folded.startswith(phrase + " ", start):
+                spared |= set(range(start, start + len(phrase)))
+    found = {}
+    for start, word in words:
+        weights = [
+            w for e, w in lexicon.weights.items()
+            if (word.startswith(e[:-1]) if e.endswith("*") else word == e)
+        ]
+        if weights and max(weights) > 0 and start not in spared:
+            found[word] = max(weights)
+    total = sum(found.values())
+    return total, (math.log1p(100 * total / folded.count(" ")) if total else 0.0)
+
+
+def test_toxicity_matches_like_a_plain_matcher():
+    draw = random.Random(6)
+    lexicon = toxicity.Lexicon(
+        {"ab": 2.0, "ab*": 1.5, "abc*": 3.0, "cab": 1.0, "b*": 0.5, "ccc": 40.0},
+        ("ab c", "c ab", "ab cab b", "b b b", "cab"),
+    )
+    for _ in range(3000):
+        text = "".join(draw.choices("aAbBc4 8.", k=draw.randint(0, 25)))
+        assert lexicon.features(text) == pytest.approx(plain_features(lexicon, text)), text
+    assert lexicon.features("ccc " * 1000)[0] == 40.0
+
+
+def test_toxicity_learns_exception_phrases(spark, documents):
+    """'blorp' is an insult, but not in 'blorp engine', as the clean rows show."""
+    docs, labels = labelled(spark, 8, 900)
+    truth = dict(labels)
+    docs = [(i, t if truth[i] or i % 12 else t + " the blorp engine runs") for i, t in docs]
+    lexicon = toxicity.learn_lexicon(documents(docs), spark.createDataFrame(labels, "doc_id long, toxic int"), exceptions=())
+    assert any(e.startswith("blorp") for e in lexicon.weights) and "blorp engine" in lexicon.exceptions
+    scored = toxicity.score_documents(documents([(9001, "a blorp engine"), (9002, "you blorp snarfle")]), lexicon)
+    assert {r["doc_id"]: r["predicted"] for r in scored.collect()} == {9001: 0, 9002: 1}
 
 
 # -------------------------------------------------------------------- licenses
@@ -175,15 +238,18 @@ def test_sliding_least():
 
 
 # ----------------------------------------------------------------------- top-k
-def brute_top(vectors, query_ids, top=10):
-    rows = sorted({(i, tuple(int(np.floor(1024 * float(x))) for x in v)) for i, v in vectors
-                   if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)})
-    out = {}
-    for q, v in rows:
-        if q in query_ids:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)
-            out[q] = [(i, -s) for s, i in scored[:top]]
-    return out
+def brute_top(rows, asks):
+    """Answers of every asking row, in the order of its id; a row meets all rows but itself."""
+    whole = [
+        (i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
+    found = []
+    for q, (i, v) in enumerate(whole):
+        if i in asks:
+            scores = [(-sum(a * b for a, b in zip(v, w)), j) for c, (j, w) in enumerate(whole) if c != q]
+            found += [(i, rank, j, -s) for rank, (s, j) in enumerate(sorted(scores)[:10], 1)]
+    return Counter(found)
 
 
 @pytest.mark.parametrize("count", [0, 5, 400])
@@ -194,14 +260,13 @@ def test_top_k(spark, monkeypatch, count):
     rows = [(int(k), [float(x) for x in draw.normal(size=6).round(2)]) for k in range(count)]
     if count:
         rows += [(1000 + k, rows[0][1]) for k in range(30)] + [rows[1], (2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 6), (None, rows[0][1])]
+        # rows that repeat, asking ones too, an id with two vectors, an empty vector
+        rows += [rows[0], rows[0], rows[2], (0, rows[4][1]), (50, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS score")
     vectors = topk.whole_numbers(frame)
     asked = vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    found = defaultdict(list)
-    for r in topk.exact_top_k(vectors, asked).orderBy("query_id", "rank").collect():
-        found[r["query_id"]].append((r["vec_id"], r["score"]))
-        assert r["rank"] == len(found[r["query_id"]])
-    assert found == brute_top(rows, {i for i, _ in rows if i is not None and i % 50 == 0})
+    found = topk.exact_top_k(vectors, asked).select("query_id", "rank", "vec_id", "score").collect()
+    assert Counter(map(tuple, found)) == brute_top(rows, {i for i, _ in rows if i is not None and i % 50 == 0})
 
 
 # ---------------------------------------------------------------------- shards
