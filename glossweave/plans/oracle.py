@@ -655,3 +655,30 @@ SELECT 'expected_rows' AS metric, expected_rows AS observed FROM facts UNION ALL
 UNION ALL SELECT 'terms', terms FROM facts UNION ALL SELECT 'malformed', malformed FROM facts UNION ALL SELECT 'filtered', filtered FROM facts
 UNION ALL SELECT 'valid', valid FROM facts UNION ALL SELECT 'duplicates', valid - terms FROM facts
 UNION ALL SELECT 'unaccounted', expected_rows - valid - malformed - filtered FROM facts"""
+THESAURUS = f"""
+pt AS (SELECT *, 'syn-'||replace(p_type, ' ', '_')||'-'||p_size AS syn, {_hash("'en'", "lower(p_name)", "p_name")} AS term_id FROM part),
+asked AS (SELECT DISTINCT p_type, p_size, syn FROM pt),
+sy AS (SELECT *, p_type||' of size '||p_size||CASE WHEN p_size % 4 = 0 THEN '; a second one' ELSE '' END AS gloss FROM asked WHERE p_size % 11 <> 0 AND p_size % 13 <> 0),
+en AS (SELECT *, CASE WHEN p_partkey % 41 = 0 THEN 'syn-none' ELSE syn END AS member_of, CASE WHEN p_partkey % 2 = 0 THEN 'n' END AS pos
+  FROM pt WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0),
+se AS (SELECT en.p_partkey, 'wordnet:sense:s'||en.p_partkey AS sense_id, en.p_name, en.term_id, en.member_of, en.pos, sy.syn AS known, sy.p_size, sy.p_type,
+    CASE WHEN en.p_partkey % 7 = 0 THEN 'own '||en.p_partkey ELSE sy.gloss END AS gloss, coalesce(en.pos, CASE WHEN sy.syn IS NOT NULL THEN 'n' END) AS member_pos
+  FROM en LEFT JOIN sy ON sy.syn = en.member_of WHERE en.p_partkey % 37 <> 0),
+sl AS (SELECT a.sense_id, b.term_id AS target_term_id, a.member_pos AS part_of_speech, row_number() OVER (PARTITION BY a.sense_id ORDER BY b.term_id) - 1 AS position
+  FROM se a JOIN (SELECT DISTINCT member_of, term_id FROM se) b ON a.member_of = b.member_of AND a.term_id <> b.term_id),
+rl AS (SELECT a.p_name AS source_term, a.sense_id AS source_sense_id, 3::BIGINT AS relation_code, b.p_name AS target_term, b.sense_id AS target_sense_id
+    FROM sy JOIN se a ON a.member_of = sy.syn JOIN se b ON b.member_of = 'syn-'||replace(sy.p_type, ' ', '_')||'-'||(sy.p_size + 1)
+  UNION ALL SELECT a.p_name, a.sense_id, 7, b.p_name, b.sense_id FROM se a JOIN se b ON b.p_partkey = a.p_partkey + 1
+  UNION ALL SELECT a.p_name, a.sense_id, 2, b.p_name, b.sense_id FROM se a JOIN se b ON b.p_partkey = a.p_partkey - 2)"""
+ORACLES["loaded_synsets"] = f"""WITH {THESAURUS}
+SELECT sense_id, 'wordnet:entry:e'||p_partkey AS entry_id, p_name AS term, pos AS part_of_speech, gloss,
+  CASE WHEN known IS NOT NULL AND p_size % 3 = 0 THEN lower(p_type)||' first|second' ELSE '' END AS examples FROM se"""
+ORACLES["loaded_sense_relations"] = f"WITH {THESAURUS} SELECT *, 1::BIGINT AS direction_code FROM rl"
+ORACLES["loaded_wordnet_synonyms"] = f"WITH {THESAURUS} SELECT * FROM sl"
+ORACLES["loaded_wordnet_counts"] = f"""WITH {THESAURUS}
+SELECT 'synsets' AS metric, count(*) AS observed FROM sy UNION ALL SELECT 'synonyms', count(*) FROM sl
+UNION ALL SELECT 'entries', count(*) FROM en UNION ALL SELECT 'senses', count(*) FROM se
+UNION ALL SELECT 'examples', 2 * count(*) FROM se WHERE known IS NOT NULL AND p_size % 3 = 0
+UNION ALL SELECT 'pronunciations', count(*) FROM en WHERE p_partkey % 5 = 0 UNION ALL SELECT 'relations', count(*) FROM rl
+UNION ALL SELECT 'malformed_elements', (SELECT count(*) FROM asked WHERE p_size % 11 = 0) + (SELECT count(*) FROM pt WHERE p_partkey % 29 = 0)
+UNION ALL SELECT 'missing_id', count(*) FROM asked WHERE p_size % 13 = 0 AND p_size % 11 <> 0"""

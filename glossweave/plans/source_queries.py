@@ -8,6 +8,7 @@ from ..sources.cmudict import load_cmudict
 from ..sources.common import Built
 from ..sources.conceptnet import load_conceptnet
 from ..sources.vectors import load_vectors
+from ..sources.wordnet import load_wordnet
 from . import driver_tables as tables
 from .catalogue import query
 
@@ -112,3 +113,74 @@ def loaded_vectors(spark, folder):
 @query
 def loaded_vector_counts(spark, folder):
     return load_vectors(vector_lines(spark, folder), _VECTOR_LANGUAGES).counters
+
+
+def thesaurus_elements(spark, folder) -> DataFrame:
+    """The parts as a thesaurus in XML, one element a row: a synset per type and size, an entry per part.
+
+    Among them elements cut short, without an id, without a word, with senses without an id
+    or a known synset, relations of unknown kinds and to nowhere.
+    """
+    parts = tables.read(spark, folder, "part")
+    names = parts.withColumn(
+        "synset", F.concat(F.lit("syn-"), F.replace("p_type", F.lit(" "), F.lit("_")), F.lit("-"), F.col("p_size").cast("string"))
+    )
+    synsets = names.select("p_type", "p_size", "synset").distinct().selectExpr(
+        """CASE WHEN p_size % 11 = 0 THEN concat('<Synset id="', synset, '"><Definition>cut short')
+          ELSE concat('<Synset', IF(p_size % 13 = 0, '', concat(' id="', synset, '"')), ' partOfSpeech="n">',
+            '<Definition> ', p_type, '  of size ', p_size, ' </Definition>',
+            IF(p_size % 4 = 0, '<Definition>a second one</Definition><Definition> </Definition>', ''),
+            IF(p_size % 3 = 0, concat('<Example>', lower(p_type), ' first</Example><Example/><Example>second</Example>'), ''),
+            '<SynsetRelation relType="hypernym" target="syn-', replace(p_type, ' ', '_'), '-', p_size + 1, '"/>',
+            '<SynsetRelation relType="unheard_of" target="', synset, '"/></Synset>') END AS element"""
+    )
+    entries = names.selectExpr(
+        """CASE WHEN p_partkey % 29 = 0 THEN concat('<LexicalEntry id="e', p_partkey, '"><Lemma writtenForm="', p_name)
+          ELSE concat('<LexicalEntry id="e', p_partkey, '">',
+            IF(p_partkey % 31 = 0, '', concat('<Lemma writtenForm="', p_name, '"', IF(p_partkey % 2 = 0, ' partOfSpeech="n"', ''), '/>')),
+            IF(p_partkey % 5 = 0, '<Pronunciation variety="GB"> saʊnd </Pronunciation><Pronunciation/>', ''),
+            '<Sense', IF(p_partkey % 37 = 0, '', concat(' id="s', p_partkey, '"')),
+            ' synset="', IF(p_partkey % 41 = 0, 'syn-none', synset), '">',
+            IF(p_partkey % 7 = 0, concat('<Definition>own ', p_partkey, '</Definition>'), ''),
+            '<SenseRelation relType="derivation" target="s', p_partkey + 1, '"/>',
+            '<SenseRelation relType="Antonym" target="s', p_partkey - 2, '"/></Sense></LexicalEntry>') END AS element"""
+    )
+    return synsets.union(entries)
+
+
+def _thesaurus(spark, folder) -> Built:
+    return load_wordnet(thesaurus_elements(spark, folder))
+
+
+@query
+def loaded_synsets(spark, folder):
+    """Senses of the thesaurus with their words, glosses and examples."""
+    built = _thesaurus(spark, folder).tables
+    examples = built["examples"].groupBy("sense_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "example"))), lambda x: x["example"]), "|").alias("examples")
+    )
+    entries = built["entries"].join(built["terms"].select("term_id", "term"), "term_id")
+    return built["senses"].join(entries, "entry_id").join(examples, "sense_id", "left").select(
+        "sense_id", "entry_id", "term", "part_of_speech", "gloss", F.coalesce("examples", F.lit("")).alias("examples")
+    )
+
+
+@query
+def loaded_sense_relations(spark, folder):
+    """Relations between all members of related synsets, and between related senses."""
+    built = _thesaurus(spark, folder).tables
+    terms = built["terms"].select("term_id", "term")
+    return built["relations"].join(terms.toDF("source_term_id", "source_term"), "source_term_id").join(
+        terms.toDF("target_term_id", "target_term"), "target_term_id"
+    ).select("source_term", "source_sense_id", "relation_code", "target_term", "target_sense_id", "direction_code")
+
+
+@query
+def loaded_wordnet_synonyms(spark, folder):
+    built = _thesaurus(spark, folder).tables
+    return built["synonyms"].select("sense_id", "target_term_id", "part_of_speech", "position")
+
+
+@query
+def loaded_wordnet_counts(spark, folder):
+    return _thesaurus(spark, folder).counters
