@@ -682,3 +682,49 @@ UNION ALL SELECT 'examples', 2 * count(*) FROM se WHERE known IS NOT NULL AND p_
 UNION ALL SELECT 'pronunciations', count(*) FROM en WHERE p_partkey % 5 = 0 UNION ALL SELECT 'relations', count(*) FROM rl
 UNION ALL SELECT 'malformed_elements', (SELECT count(*) FROM asked WHERE p_size % 11 = 0) + (SELECT count(*) FROM pt WHERE p_partkey % 29 = 0)
 UNION ALL SELECT 'missing_id', count(*) FROM asked WHERE p_size % 13 = 0 AND p_size % 11 <> 0"""
+
+
+def _stable(prefix: str, *parts: str) -> str:
+    """Id over the JSON of parts that are SQL expressions of JSON values."""
+    body = "||','||".join(f"'\"p{k}\":'||{part}" for k, part in enumerate(parts))
+    return f"'{prefix}:'||substr(sha256('{{'||{body}||'}}'), 1, 24)"
+
+
+def _quoted(text: str) -> str:
+    return f"coalesce('\"'||replace(replace({text}, '\"', '\\\"'), chr(10), '\\n')||'\"', 'null')"
+
+
+DICTIONARY = f"""
+ln AS (SELECT *, p_partkey AS k, 'part-'||(p_partkey % 3)||'.jsonl' AS file FROM part WHERE p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 43 <> 0 AND p_partkey % 41 <> 0),
+pl AS (SELECT *, row_number() OVER (ORDER BY file, k) AS place FROM ln),
+de AS (SELECT *, CASE k % 9 WHEN 0 THEN 'fr' WHEN 1 THEN 'de' WHEN 2 THEN 'und' ELSE 'en' END AS language, CASE WHEN k % 2 = 0 THEN 'noun' END AS pos,
+    CASE k % 4 WHEN 0 THEN 'from '||p_type WHEN 1 THEN 'one'||chr(10)||chr(10)||'two' END AS etymology FROM pl WHERE k % 37 <> 0),
+di AS (SELECT *, {_stable("wikt:entry", _quoted("language"), _quoted("p_name"), _quoted("pos"),
+    "CASE WHEN k % 3 = 0 THEN '\"'||(k % 5)||'\"' ELSE 'null' END", _quoted("etymology"), "place")} AS entry_id FROM de),
+na AS (SELECT *, {_stable("wikt:sense", _quoted("entry_id"),
+    _quoted("CASE k % 3 WHEN 0 THEN '[\"a\",\"b\"]' WHEN 1 THEN 's1' ELSE '7' END"), _quoted("'[\"g'||k||'\"]'"), "0")} AS sense_id,
+    {_stable("wikt:sense", _quoted("entry_id"), "'null'", "'null'", "1")} AS raw_sense_id FROM di WHERE k % 6 <> 0),
+lo AS (SELECT *, k % 7 = 0 OR k % 8 = 0 AS labelled, k % 7 = 0 OR k % 8 = 0 AS loose, {_stable("wikt:labeled", _quoted("entry_id"), "'\"label\"'")} AS label_id,
+    replace({_stable("wikt", _quoted("entry_id"))}, 'wikt:', 'wikt:unsensed:') AS unsensed_id FROM di),
+ds AS (SELECT sense_id, entry_id, 'g'||k AS gloss, '0 ex|1 ex2' AS examples FROM na UNION ALL SELECT raw_sense_id, entry_id, 'raw', '' FROM na
+  UNION ALL SELECT label_id, entry_id, 'label', '' FROM lo WHERE labelled
+  UNION ALL SELECT unsensed_id, entry_id, NULL, '' FROM lo WHERE loose OR k % 6 = 0),
+dl AS (SELECT 'synonyms' AS kind, sense_id, pos AS part_of_speech, 0 AS position, language, p_brand AS term FROM na
+  UNION ALL SELECT 'synonyms', sense_id, pos, 1, language, 'a'||p_size FROM na
+  UNION ALL SELECT 'translations', sense_id, pos, 0, 'fr', 'mot '||p_size FROM na
+  UNION ALL SELECT 'translations', label_id, pos, 0, 'de', 'wort' FROM lo WHERE k % 7 = 0
+  UNION ALL SELECT 'translations', unsensed_id, pos, 0, 'de', 'wort' FROM lo WHERE k % 7 = 0
+  UNION ALL SELECT 'antonyms', label_id, NULL, NULL, language, 'not '||p_brand FROM lo WHERE k % 8 = 0
+  UNION ALL SELECT 'antonyms', unsensed_id, NULL, NULL, language, 'not '||p_brand FROM lo WHERE k % 8 = 0)"""
+ORACLES["loaded_dictionary_entries"] = f"""WITH {DICTIONARY}
+SELECT entry_id, language, p_name AS term, pos AS part_of_speech, etymology, CASE WHEN k % 5 = 0 THEN '/p/ UK, old|/q/ ' ELSE '' END AS sounds FROM di"""
+ORACLES["loaded_dictionary_senses"] = f"WITH {DICTIONARY} SELECT * FROM ds"
+ORACLES["loaded_dictionary_links"] = f"WITH {DICTIONARY} SELECT kind, sense_id, part_of_speech, position::BIGINT AS position, language, term FROM dl"
+ORACLES["loaded_dictionary_counts"] = f"""WITH {DICTIONARY}
+SELECT 'entries' AS metric, count(*) AS observed FROM di UNION ALL SELECT 'senses', count(*) FROM ds
+UNION ALL SELECT 'examples', 2 * count(*) FROM na UNION ALL SELECT 'pronunciations', 2 * count(*) FROM di WHERE k % 5 = 0
+UNION ALL SELECT kind, count(*) FROM dl GROUP BY 1
+UNION ALL SELECT 'labeled_senses', count(*) FROM lo WHERE labelled UNION ALL SELECT 'unsensed_senses', count(*) FROM lo WHERE loose OR k % 6 = 0
+UNION ALL SELECT 'missing_word', count(*) FROM pl WHERE k % 37 = 0
+UNION ALL SELECT 'malformed_lines', count(*) FROM part WHERE p_partkey % 29 = 0 OR p_partkey % 31 = 0 OR p_partkey % 43 = 0
+UNION ALL SELECT 'language_codes', count(DISTINCT language) FROM di WHERE language <> 'und'"""

@@ -8,6 +8,7 @@ from ..sources.cmudict import load_cmudict
 from ..sources.common import Built
 from ..sources.conceptnet import load_conceptnet
 from ..sources.vectors import load_vectors
+from ..sources.wiktionary import load_wiktionary
 from ..sources.wordnet import load_wordnet
 from . import driver_tables as tables
 from .catalogue import query
@@ -184,3 +185,84 @@ def loaded_wordnet_synonyms(spark, folder):
 @query
 def loaded_wordnet_counts(spark, folder):
     return _thesaurus(spark, folder).counters
+
+
+def dictionary_lines(spark, folder) -> DataFrame:
+    """The parts as dictionary entries in JSON lines of three files, with fields of every shape.
+
+    Among them lines cut short, blank ones, JSON that is no object, and objects without a word.
+    """
+    return tables.read(spark, folder, "part").selectExpr(
+        r"""CASE WHEN p_partkey % 29 = 0 THEN concat('{"word": "', p_name, '", "senses": [')
+          WHEN p_partkey % 31 = 0 THEN '[1, 2]' WHEN p_partkey % 43 = 0 THEN '"only text"' WHEN p_partkey % 41 = 0 THEN '   '
+          ELSE concat('{"word": "', IF(p_partkey % 37 = 0, '  ', concat(' ', p_name)), '"',
+            CASE p_partkey % 9 WHEN 0 THEN ', "lang_code": "FR"' WHEN 1 THEN ', "language_code": "de"' WHEN 2 THEN ', "lang_code": ["en"]' ELSE ', "lang_code": "en"' END,
+            IF(p_partkey % 2 = 0, ', "pos": "noun"', ''), IF(p_partkey % 3 = 0, concat(', "etymology_number": ', p_partkey % 5), ''),
+            CASE p_partkey % 4 WHEN 0 THEN concat(', "etymology_text": " from ', p_type, '"')
+              WHEN 1 THEN ', "etymology_text": 5, "etymology_texts": [" one ", 5, "", "two"]' ELSE '' END,
+            IF(p_partkey % 5 = 0, ', "sounds": [{"ipa": "/p/", "tags": ["UK", 1, " old "]}, {"ipa": "/p/", "tags": ["UK", "old"]}, "none", {"ipa": 7}, {"ipa": " /q/ "}]', ''),
+            IF(p_partkey % 6 = 0, ', "senses": "none"', concat(', "senses": [{"id": ', CASE p_partkey % 3 WHEN 0 THEN '["b", "a"]' WHEN 1 THEN '"s1"' ELSE '7' END,
+              ', "glosses": [" g', p_partkey, ' ", 3], "examples": [{"text": " ex "}, "no", {"example": "ex2"}, {"text": 4}],',
+              ' "synonyms": [{"word": "', p_brand, '"}, {"word": "', p_name, '"}, {"term": "', upper(p_brand), '", "pos": "x"}, {"alt": " "}, {"alt": "a', p_size, '"}],',
+              ' "translations": [{"word": "mot ', p_size, '", "code": "fr"}, {"word": "lost"}, "x", {"word": "mot ', p_size, '", "lang_code": "fr"}]},',
+              ' "no sense", {"raw_glosses": ["raw"], "glosses": "text"}]')),
+            IF(p_partkey % 7 = 0, ', "translations": [{"word": "wort", "code": "de", "sense": "label"}, {"word": "wort", "code": "de"}, 12]', ''),
+            IF(p_partkey % 8 = 0, concat(', "antonyms": [{"word": "not ', p_brand, '", "sense": "label"}, {"word": "not ', p_brand, '", "sense": " "}]'), ''),
+            IF(p_partkey % 10 = 0, ', "synonyms": {"word": "one"}', ''), '}') END AS line""",
+        "concat('part-', p_partkey % 3, '.jsonl') AS file", "0L AS block", "p_partkey AS at",
+    )
+
+
+def _dictionary(spark, folder) -> Built:
+    return load_wiktionary(dictionary_lines(spark, folder))
+
+
+@query
+def loaded_dictionary_entries(spark, folder):
+    """Entries with their ids, which hold the place of the line over all files, and how they sound."""
+    built = _dictionary(spark, folder).tables
+    sounds = built["pronunciations"].groupBy("entry_id").agg(
+        F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("position", "ipa", "region"))), lambda x: F.concat(x["ipa"], F.lit(" "), x["region"])
+        ), "|").alias("sounds")
+    )
+    terms = built["terms"].select("term_id", "language", "term")
+    return built["entries"].join(terms, "term_id").join(sounds, "entry_id", "left").select(
+        "entry_id", "language", "term", "part_of_speech", "etymology", F.coalesce("sounds", F.lit("")).alias("sounds")
+    )
+
+
+@query
+def loaded_dictionary_senses(spark, folder):
+    """Native, labelled and unsensed senses with their examples."""
+    built = _dictionary(spark, folder).tables
+    examples = built["examples"].groupBy("sense_id").agg(
+        F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("position", "example"))),
+            lambda x: F.concat(x["position"].cast("string"), F.lit(" "), x["example"]),
+        ), "|").alias("examples")
+    )
+    return built["senses"].join(examples, "sense_id", "left").select(
+        "sense_id", "entry_id", "gloss", F.coalesce("examples", F.lit("")).alias("examples")
+    )
+
+
+@query
+def loaded_dictionary_links(spark, folder):
+    """Synonyms, translations and antonyms of every sense with the terms they name."""
+    built = _dictionary(spark, folder).tables
+    terms = built["terms"].select(F.col("term_id").alias("target_term_id"), "language", "term")
+    links = None
+    for kind in ("synonyms", "translations"):
+        rows = built[kind].select(F.lit(kind).alias("kind"), "sense_id", "target_term_id", "part_of_speech", "position")
+        links = rows if links is None else links.unionByName(rows)
+    none = {"part_of_speech": F.lit(None).cast("string"), "position": F.lit(None).cast("long")}
+    opposed = built["relations"].select(
+        F.lit("antonyms").alias("kind"), F.col("source_sense_id").alias("sense_id"), "target_term_id"
+    ).withColumns(none)
+    return links.unionByName(opposed).join(terms, "target_term_id").drop("target_term_id")
+
+
+@query
+def loaded_dictionary_counts(spark, folder):
+    return _dictionary(spark, folder).counters

@@ -8,21 +8,10 @@ from ..functions.ids import stable_id
 from ..functions.text import filled, first_filled, joined_or_null, language_tag, lookup_key, strip
 from ..operators.ranking import first_per
 from ..schemas import DIRECTION_CODES, RELATION_CODES, conform
-from ..session import reliable_cut
+from ..session import written
 from .common import WIKTIONARY, Built, allowed, table_counts, intern, term_key
 from .text import positioned, read_lines
 
-_ITEM = "STRUCT<word: STRING, term: STRING, alt: STRING, code: STRING, lang_code: STRING, pos: STRING, sense: STRING>"
-_LISTS = ", ".join(f"{name}: ARRAY<{_ITEM}>" for name in ("synonyms", "antonyms", "translations"))
-_SENSE = (
-    "STRUCT<id: STRING, senseid: STRING, sense_id: STRING, glosses: ARRAY<STRING>, raw_glosses: ARRAY<STRING>,"
-    f" examples: ARRAY<STRUCT<text: STRING, example: STRING>>, {_LISTS}>"
-)
-_ENTRY = (
-    "STRUCT<word: STRING, lang_code: STRING, language_code: STRING, pos: STRING, etymology_text: STRING,"
-    " etymology_texts: ARRAY<STRING>, etymology_number: INT, sounds: ARRAY<STRUCT<ipa: STRING, tags: ARRAY<STRING>>>,"
-    f" senses: ARRAY<{_SENSE}>, {_LISTS}, _broken: STRING>"
-)
 _KINDS = ("translations", "synonyms", "antonyms")
 
 
@@ -34,24 +23,97 @@ def _unsensed(entry_id: Column) -> Column:
     return F.replace(stable_id("wikt", entry_id), F.lit("wikt:"), F.lit("wikt:unsensed:"))
 
 
-def parse_entries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Parsed lines with a ``valid`` mark: the line is a JSON object."""
-    lines = read_lines(spark, paths).filter(F.trim("line") != "")
-    parsed = lines.withColumn(
-        "e", F.from_json("line", _ENTRY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+# ----------------------------------------------------------- values of any shape
+def _is(value: Column, kind: str) -> Column:
+    return F.schema_of_variant(value).startswith(kind)
+
+
+def _list(value: Column, name: str) -> Column:
+    """Members of a list; null where the field is missing or is no list."""
+    return F.try_variant_get(value, f"$.{name}", "array<variant>")
+
+
+def _objects_of(value: Column, name: str) -> Column:
+    return F.filter(_list(value, name), lambda x: _is(x, "OBJECT"))
+
+
+def _strings_of(value: Column, name: str) -> Column:
+    texts = F.filter(_list(value, name), lambda x: _is(x, "STRING"))
+    return F.transform(texts, lambda x: F.try_variant_get(x, "$", "string"))
+
+
+def _string(value: Column, name: str) -> Column:
+    """A field that is a string; null where it is of another shape."""
+    field = F.try_variant_get(value, f"$.{name}", "variant")
+    return F.when(_is(field, "STRING"), F.try_variant_get(value, f"$.{name}", "string"))
+
+
+def _scalar(value: Column, name: str) -> Column:
+    """A field as text, numbers too; null for lists and objects."""
+    field = F.try_variant_get(value, f"$.{name}", "variant")
+    return F.when(~_is(field, "OBJECT") & ~_is(field, "ARRAY"), F.try_variant_get(value, f"$.{name}", "string"))
+
+
+def _native_id(value: Column) -> Column:
+    """The source's own id, from the first of its fields that is filled; a list of ids is put in order."""
+
+    def one(name: str) -> Column:
+        members = F.transform(_list(value, name), lambda x: F.try_variant_get(x, "$", "string"))
+        listed = F.when(F.size(members) > 0, F.to_json(F.sort_array(members)))
+        return F.coalesce(listed, F.nullif(_scalar(value, name), F.lit("")))
+
+    return F.coalesce(*[one(name) for name in ("id", "senseid", "sense_id")])
+
+
+def _item(value: Column) -> Column:
+    return F.struct(
+        *[_string(value, n).alias(n) for n in ("word", "term", "alt", "sense")],
+        *[_scalar(value, n).alias(n) for n in ("code", "lang_code", "pos")],
+    )
+
+
+def _items(value: Column) -> list[Column]:
+    return [F.transform(_objects_of(value, kind), _item).alias(kind) for kind in _KINDS]
+
+
+def _sense(value: Column) -> Column:
+    example = lambda x: F.struct(_string(x, "text").alias("text"), _string(x, "example").alias("example"))
+    return F.struct(
+        _native_id(value).alias("id"), _strings_of(value, "glosses").alias("glosses"),
+        _strings_of(value, "raw_glosses").alias("raw_glosses"),
+        F.transform(_objects_of(value, "examples"), example).alias("examples"), *_items(value),
     )
-    # a flagged line may only have a field of an unexpected shape: look at it again
-    is_object = F.schema_of_variant(F.try_parse_json("line")).startswith("OBJECT")
-    opens = F.ltrim("line").startswith("{")
-    valid = F.when(F.col("e._broken").isNull(), opens).otherwise(F.coalesce(is_object, F.lit(False)))
-    return parsed.select("file", "block", "at", valid.alias("valid"), "e").withColumn(
-        "e", F.col("e").dropFields("_broken")
+
+
+def _entry(value: Column) -> Column:
+    """The fields in use, each taken in the shapes that it may have; members of other shapes are passed over."""
+    sound = lambda x: F.struct(_string(x, "ipa").alias("ipa"), _strings_of(x, "tags").alias("tags"))
+    return F.struct(
+        *[_scalar(value, n).alias(n) for n in ("word", "lang_code", "language_code", "pos", "etymology_number")],
+        _string(value, "etymology_text").alias("etymology_text"), _strings_of(value, "etymology_texts").alias("etymology_texts"),
+        F.transform(_objects_of(value, "sounds"), sound).alias("sounds"),
+        F.transform(_objects_of(value, "senses"), _sense).alias("senses"), *_items(value),
     )
 
 
+def parse_entries(lines: DataFrame) -> DataFrame:
+    """``lines``(line, file, block, at) parsed, with a ``valid`` mark: the line is a JSON object.
+
+    Blank lines are no lines. An object that repeats a key is not valid.
+    """
+    parsed = lines.filter(F.trim("line") != "").withColumn("v", F.try_parse_json("line"))
+    valid = F.coalesce(_is(F.col("v"), "OBJECT"), F.lit(False))
+    return parsed.select("file", "block", "at", valid.alias("valid"), _entry(F.col("v")).alias("e"))
+
+
 def build_wiktionary(spark: SparkSession, paths: str | list[str], languages: list[str] | None = None) -> Built:
-    """Entries, native and labelled senses, and the links of each sense."""
-    lines = reliable_cut(parse_entries(spark, paths))
+    """Entries, native and labelled senses, and the links of each sense, from files of JSON lines."""
+    return load_wiktionary(read_lines(spark, paths), languages)
+
+
+def load_wiktionary(given: DataFrame, languages: list[str] | None = None) -> Built:
+    """The same from ``given``(line, file, block, at); lines count in the order of file, block and at."""
+    lines = written(parse_entries(given), "lines")
     placed = positioned(lines.filter("valid").drop("valid"))
     word = strip(F.col("e.word"))
     named = placed.withColumn("word", F.coalesce(word, F.lit("")))
@@ -74,8 +136,7 @@ def build_wiktionary(spark: SparkSession, paths: str | list[str], languages: lis
     native = entries.select(*base, F.posexplode(_objects("e.senses")).alias("position", "s")).withColumn(
         "sense_id",
         stable_id(
-            "wikt:sense", "entry_id", F.coalesce("s.id", "s.senseid", "s.sense_id"),
-            F.to_json("s.glosses"), "position",
+            "wikt:sense", "entry_id", "s.id", F.to_json(filled(F.col("s.glosses"))), "position",
         ),
     )
     gloss = F.coalesce(joined_or_null(filled(F.col("s.glosses")), "; "), joined_or_null(filled(F.col("s.raw_glosses")), "; "))
