@@ -6,6 +6,8 @@ compared by plain joins and windows over whole tables.
 
 from __future__ import annotations
 
+from ..sources.ordered import BASES, PRIMES
+
 
 def _hash(*parts: str) -> str:
     joined = "||chr(9)||".join(parts)
@@ -728,3 +730,21 @@ UNION ALL SELECT 'labeled_senses', count(*) FROM lo WHERE labelled UNION ALL SEL
 UNION ALL SELECT 'missing_word', count(*) FROM pl WHERE k % 37 = 0
 UNION ALL SELECT 'malformed_lines', count(*) FROM part WHERE p_partkey % 29 = 0 OR p_partkey % 31 = 0 OR p_partkey % 43 = 0
 UNION ALL SELECT 'language_codes', count(DISTINCT language) FROM di WHERE language <> 'und'"""
+
+
+def _lane(lane: int) -> str:
+    value = f"(('0x'||substr(h, {1 + 15 * lane}, 15))::BIGINT % {PRIMES[lane]})::HUGEINT"
+    return (
+        f"list_reduce(list_prepend(0::HUGEINT, list({value} ORDER BY file, spot)),"
+        f" lambda a, x: (a * {BASES[lane]} + x) % {PRIMES[lane]})::VARCHAR"
+    )
+
+
+_ROWS = "rows_ AS (SELECT lang, source AS file, {at} AS spot, sha256(CASE WHEN text IS NULL THEN '-' ELSE '+'||text END) AS h FROM documents)"
+_LANES = "||'-'||".join(_lane(k) for k in range(len(PRIMES)))
+ORACLES["ordered_digests"] = f"""WITH {_ROWS.format(at='doc_id')}
+SELECT lang AS source, count(*) AS rows, {_LANES} AS digest FROM rows_ GROUP BY lang"""
+ORACLES["changed_orders"] = f"""WITH {_ROWS.format(at='doc_id')},
+sw AS (SELECT lang, file, CASE WHEN lang = 'fr' THEN xor(spot, 64) ELSE spot END AS spot, h FROM rows_),
+a AS (SELECT lang, count(*) AS n, list(h ORDER BY file, spot) AS hs FROM rows_ GROUP BY lang), b AS (SELECT lang, list(h ORDER BY file, spot) AS hs FROM sw GROUP BY lang)
+SELECT a.lang AS source, n AS rows_before, n AS rows_after FROM a JOIN b USING (lang) WHERE a.hs <> b.hs"""

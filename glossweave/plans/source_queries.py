@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..sources.cmudict import load_cmudict
 from ..sources.common import Built
 from ..sources.conceptnet import load_conceptnet
+from ..sources.ordered import changed_sources, ordered_digest
 from ..sources.vectors import load_vectors
 from ..sources.wiktionary import load_wiktionary
 from ..sources.wordnet import load_wordnet
@@ -266,3 +267,25 @@ def loaded_dictionary_links(spark, folder):
 @query
 def loaded_dictionary_counts(spark, folder):
     return _dictionary(spark, folder).counters
+
+
+def _document_rows(spark, folder) -> DataFrame:
+    """The documents as rows of files, one per source, in the order of their ids."""
+    return tables.read(spark, folder, "documents").select(
+        "lang", F.col("source").alias("file"), F.lit(0).alias("block"), F.col("doc_id").alias("at"), "text"
+    )
+
+
+@query
+def ordered_digests(spark, folder):
+    """Per language: a digest of the documents that depends on their order."""
+    return ordered_digest(_document_rows(spark, folder), F.col("text"), F.col("lang"))
+
+
+@query
+def changed_orders(spark, folder):
+    """Which languages' digests notice that French documents changed places within their files."""
+    rows = _document_rows(spark, folder)
+    swapped = rows.withColumn("at", F.when(F.col("lang") == "fr", F.col("at").bitwiseXOR(F.lit(64))).otherwise(F.col("at")))
+    before, after = (ordered_digest(r, F.col("text"), F.col("lang")) for r in (rows, swapped))
+    return changed_sources(before, after).select("source", "rows_before", "rows_after")
