@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.ids import framed_row
 from ..functions.phonetics import onset, remainder
-from ..functions.text import language_tag
+from ..functions.text import language_tag, lookup_key
 from ..operators import graph, lookup, patterns, vector_index, vectors, wordplay
 from ..operators.ranking import nearest_rank
 from ..operators.requests import validate
@@ -172,6 +172,19 @@ def spelled_like(spark, folder):
     return wordplay.spelled_like(corpus, asked.withColumn("request_id", F.col("text")), already_distinct=True)
 
 
+@query
+def search_modes(spark, folder):
+    """Each benchmark word searched in all five modes, by one table of requests."""
+    word = F.col("word")
+    modes = F.array(
+        *[F.struct(F.lit(m).alias("mode"), word.alias("text")) for m in wordplay.SEARCH_MODES if m != "spelled_like"],
+        F.struct(F.lit("spelled_like").alias("mode"), F.concat(F.substring(word, 1, 2), F.lit("*")).alias("text")),
+    )
+    asked = tables.benchmark_words(spark, folder).select(F.inline(modes)).distinct()
+    asked = asked.withColumn("request_id", F.concat_ws("/", "mode", "text"))
+    return wordplay.search(tables.word_corpus(spark, folder), asked, already_distinct=True)
+
+
 def _open_patterns(spark, folder) -> DataFrame:
     """Patterns whose letters many headwords share, and the widest of all."""
     word = F.col("word")
@@ -263,6 +276,18 @@ def lookup_by_part_of_speech(spark, folder):
     return lookup.lookup(corpus, asked, already_distinct=True).select("request_id", "rank", "sense_id", "gloss")
 
 
+@query
+def synonyms_of_sense(spark, folder):
+    """Every sense of a part's name asked for its own synonyms only."""
+    corpus = tables.part_corpus(spark, folder)
+    senses = corpus.senses.join(corpus.entries.select("entry_id", "term_id"), "entry_id").join(
+        corpus.terms.select("term_id", F.col("normalized_term").alias("word"), "language"), "term_id"
+    )
+    asked = senses.select("word", "language", "sense_id", F.col("sense_id").alias("request_id"))
+    found = lookup.synonyms(corpus, asked, already_distinct=True)
+    return found.select("request_id", "group_index", "position", "sense_id", "term")
+
+
 def _detail_requests(spark, folder):
     return tables.benchmark_words(spark, folder).withColumn("request_id", F.col("word"))
 
@@ -332,6 +357,25 @@ def relations_direct(spark, folder):
     return found.drop("middle_term", "middle_sense_id", "distance", "relation_scope")
 
 
+@query
+def relations_into_language(spark, folder):
+    """Every word that is not French asked for the French words it is related to."""
+    corpus = tables.word_corpus(spark, folder)
+    asked = _word_requests(corpus).filter("language <> 'fr'").withColumns(
+        {"relation": F.lit("related"), "target_language": F.lit("fr"), "max_depth": F.lit(1)}
+    )
+    found = graph.relations(corpus, asked, already_distinct=True)
+    return found.select("request_id", "rank", lookup_key(F.col("target_term")).alias("target_word"), "target_language")
+
+
+@query
+def relations_two_hop_into_language(spark, folder):
+    """The two-hop relations once more with a target language, whose first hops are scanned apart."""
+    corpus = tables.graph_corpus(spark, folder)
+    asked = tables.graph_requests(corpus, ["hypernym", "hyponym"]).withColumn("target_language", F.lit("en"))
+    return graph.relations(corpus, asked, already_distinct=True)
+
+
 @query
 def relations_two_hop(spark, folder):
     corpus = tables.graph_corpus(spark, folder)

@@ -748,3 +748,23 @@ ORACLES["changed_orders"] = f"""WITH {_ROWS.format(at='doc_id')},
 sw AS (SELECT lang, file, CASE WHEN lang = 'fr' THEN xor(spot, 64) ELSE spot END AS spot, h FROM rows_),
 a AS (SELECT lang, count(*) AS n, list(h ORDER BY file, spot) AS hs FROM rows_ GROUP BY lang), b AS (SELECT lang, list(h ORDER BY file, spot) AS hs FROM sw GROUP BY lang)
 SELECT a.lang AS source, n AS rows_before, n AS rows_after FROM a JOIN b USING (lang) WHERE a.hs <> b.hs"""
+
+ORACLES["synonyms_of_sense"] = f"""{_with(PARTS)}
+SELECT sense_id AS request_id, 1::BIGINT AS group_index, spot AS position, sense_id, tterm AS term FROM (
+  SELECT sense_id, tterm, row_number() OVER (PARTITION BY sense_id ORDER BY position) AS spot FROM syn WHERE position < 100)
+WHERE spot <= CASE WHEN contains(sense_id, ':unsensed:') THEN 5 ELSE 20 END"""
+ORACLES["relations_into_language"] = f"""{_with(WORDS)}
+SELECT DISTINCT a.language||':'||a.norm AS request_id, 1::BIGINT AS rank, a.norm AS target_word, 'fr' AS target_language
+FROM terms a JOIN terms b ON a.norm = b.norm AND b.language = 'fr' WHERE a.language <> 'fr'"""
+ORACLES["relations_two_hop_into_language"] = ORACLES["relations_two_hop"]
+_SEARCHED = " UNION ALL ".join(
+    f"SELECT '{mode}/'||request_id AS request_id, rank, term, normalized_term, language, '{mode}' AS mode, phonemes"
+    f" FROM ({ORACLES[name]}) WHERE request_id IN (SELECT word FROM bwords)"
+    for mode, name in (("rhyme", "rhymes_exact"), ("near_rhyme", "rhymes_near"), ("sounds_like", "sounds_like"), ("prefix", "prefix_match"))
+)
+_STARTS = "SELECT DISTINCT substr(word, 1, 2)||'*' AS pat FROM bwords"
+_STARTED = f"""
+  SELECT 'spelled_like/'||pat AS request_id, norm, term, phonemes FROM ({_STARTS}) JOIN heads ON norm LIKE replace(pat, '*', '%')"""
+ORACLES["search_modes"] = _with(SPOKEN, BENCH, _HEADS) + f"{_SEARCHED} UNION ALL SELECT * FROM ({_spoken_answer(_STARTED, 'spelled_like')})"
+ORACLES["refreshed_source"] = f"""{_with(GRAPH)}
+SELECT prov::BIGINT AS provenance_id, code::BIGINT AS relation_code, CASE WHEN prov = 2 THEN 3 ELSE dir END::BIGINT AS direction_code, count(*) AS rows FROM rel GROUP BY ALL"""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import shared_folder
 from ..sources.cmudict import load_cmudict
-from ..sources.common import Built
+from ..sources.common import Built, refresh_source
 from ..sources.conceptnet import load_conceptnet
 from ..sources.ordered import changed_sources, ordered_digest
 from ..sources.vectors import load_vectors
@@ -289,3 +292,17 @@ def changed_orders(spark, folder):
     swapped = rows.withColumn("at", F.when(F.col("lang") == "fr", F.col("at").bitwiseXOR(F.lit(64))).otherwise(F.col("at")))
     before, after = (ordered_digest(r, F.col("text"), F.col("lang")) for r in (rows, swapped))
     return changed_sources(before, after).select("source", "rows_before", "rows_after")
+
+
+@query
+def refreshed_source(spark, folder):
+    """The relations as files by source, one source written twice more with other directions, read back."""
+    path = f"{shared_folder(spark)}/refreshed-{uuid.uuid4().hex}"
+    relations = tables.graph_corpus(spark, folder).relations
+    refresh_source(relations, path)
+    changed = relations.filter("provenance_id = 2").withColumn("direction_code", F.lit(3))
+    for _ in range(2):
+        refresh_source(changed, path)
+    return spark.read.schema(relations.schema).parquet(path).groupBy("provenance_id", "relation_code", "direction_code").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
