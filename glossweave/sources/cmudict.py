@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.phonetics import rhyme_key
 from ..functions.text import squeeze
 from ..schemas import conform
-from .common import Built, counter_rows, intern, term_key
+from .common import Built, counter_rows, intern
+from .interning import resolve
 from .text import read_lines
 
 
@@ -28,9 +29,10 @@ def load_cmudict(lines: DataFrame) -> Built:
         F.lit("en").alias("language"),
     )
     good = rows.filter(F.col("phonemes") != "")
+    terms, ids = resolve(intern(good))
     spoken = conform(
         good.select(
-            term_key(F.col("language"), F.col("term")).alias("term_id"), "phonemes",
+            ids.of(F.col("language"), F.col("term")).alias("term_id"), "phonemes",
             rhyme_key(F.col("phonemes")).alias("rhyme_key"),
         ),
         "spoken",
@@ -39,4 +41,4 @@ def load_cmudict(lines: DataFrame) -> Built:
     counters = counter_rows(
         rows, entries=heard, pronunciations=heard, malformed=F.count(F.when(F.col("phonemes") == "", 1))
     )
-    return Built({"terms": intern(good), "spoken": spoken}, counters)
+    return Built({"terms": terms, "spoken": spoken}, counters, ids)

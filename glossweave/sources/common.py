@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.ids import term_id
 from ..functions.text import full_key, is_simple, lookup_key, simple_key
 from ..schemas import TABLES, conform
+from .interning import TermIds, resolve
 
 # --- fixed values: provenance of the public corpora ---------------------------
 PROVENANCE = [
@@ -29,6 +30,7 @@ class Built:
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
     counters: DataFrame | None = None
+    ids: TermIds = field(default_factory=TermIds)
 
 
 def provenance_table(spark: SparkSession) -> DataFrame:
@@ -36,7 +38,7 @@ def provenance_table(spark: SparkSession) -> DataFrame:
 
 
 def term_key(language: Column, term: Column) -> Column:
-    """Id of a term as a fact refers to it; equals the id in the terms table."""
+    """Id of a term by its content alone; equals the id in a terms table in which no hash is shared."""
     return term_id(language, lookup_key(term), term)
 
 
@@ -58,8 +60,8 @@ def intern(*names: DataFrame) -> DataFrame:
 
 
 def merge_terms(*tables: DataFrame) -> DataFrame:
-    """One terms table from several sources (equal content has equal ids)."""
-    return reduce(DataFrame.unionByName, tables).dropDuplicates(["term_id"])
+    """One terms table from several sources: equal content has one row, unlike terms have unlike ids."""
+    return resolve(reduce(DataFrame.unionByName, tables))[0]
 
 
 def id_collisions(terms: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import concept_parts
 from ..schemas import DIRECTION_CODES, RELATION_CODES, conform
 from ..session import reliable_cut
-from .common import CONCEPTNET, Built, allowed, counter_rows, intern, term_key
+from .common import CONCEPTNET, Built, allowed, counter_rows, intern
+from .interning import resolve
 from .text import read_lines
 
 # --- fixed values: predicate -> (relation, direction) ---------------------------
@@ -63,15 +64,15 @@ def load_conceptnet(lines: DataFrame, languages: list[str] | None = None) -> Bui
     # parsed once, read for terms, relations and counters
     judged = reliable_cut(parsed.withColumn("accepted", F.coalesce(usable, F.lit(False))))
     accepted = judged.filter("accepted")
-    terms = intern(
+    terms, ids = resolve(intern(
         accepted.select(F.col("s_language").alias("language"), F.col("s_term").alias("term")),
         accepted.select(F.col("t_language").alias("language"), F.col("t_term").alias("term")),
-    )
+    ))
     none = F.lit(None)
     relations = conform(
         accepted.select(
-            term_key(F.col("s_language"), F.col("s_term")).alias("source_term_id"), none.alias("source_sense_id"),
-            "relation_code", term_key(F.col("t_language"), F.col("t_term")).alias("target_term_id"),
+            ids.of(F.col("s_language"), F.col("s_term")).alias("source_term_id"), none.alias("source_sense_id"),
+            "relation_code", ids.of(F.col("t_language"), F.col("t_term")).alias("target_term_id"),
             none.alias("target_sense_id"), "direction_code", F.lit(CONCEPTNET).alias("provenance_id"),
         ),
         "relations",
@@ -84,4 +85,4 @@ def load_conceptnet(lines: DataFrame, languages: list[str] | None = None) -> Bui
         skipped=count(F.col("shaped") & ~F.col("accepted")),
         malformed=count(~F.col("shaped")),
     ).unionByName(counter_rows(relations, relations=F.count(F.lit(1))))
-    return Built({"terms": terms, "relations": relations}, counters)
+    return Built({"terms": terms, "relations": relations}, counters, ids)

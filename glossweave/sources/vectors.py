@@ -9,7 +9,8 @@ from ..operators.ranking import first_per, global_index
 from ..operators.vectors import norm
 from ..schemas import conform
 from ..session import reliable_cut
-from .common import Built, allowed, counter_rows, intern, term_key
+from .common import Built, allowed, counter_rows, intern
+from .interning import resolve
 from .text import read_lines
 
 _PLACE = ["file", "block", "at"]
@@ -66,8 +67,9 @@ def load_vectors(lines: DataFrame, languages: list[str] | None = None) -> Built:
     numbered = global_index(
         unique.select(*_PLACE, "concept", "language", "term", scaled.alias("embedding")), _PLACE, "semantic_id"
     )
+    terms, ids = resolve(intern(numbered))
     vectors = conform(
-        numbered.withColumn("term_id", term_key(F.col("language"), F.col("term"))), "vectors"
+        numbered.withColumn("term_id", ids.of(F.col("language"), F.col("term"))), "vectors"
     )
     count = lambda name: F.count(F.when(F.col("state") == name, 1))
     counters = counter_rows(
@@ -92,4 +94,4 @@ def load_vectors(lines: DataFrame, languages: list[str] | None = None) -> Built:
             )
         )
     )
-    return Built({"terms": intern(numbered), "vectors": vectors}, counters.unionByName(extra))
+    return Built({"terms": terms, "vectors": vectors}, counters.unionByName(extra), ids)

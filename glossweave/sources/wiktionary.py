@@ -9,7 +9,8 @@ from ..functions.text import filled, first_filled, joined_or_null, language_tag,
 from ..operators.ranking import first_per
 from ..schemas import DIRECTION_CODES, RELATION_CODES, conform
 from ..session import written
-from .common import WIKTIONARY, Built, allowed, table_counts, intern, term_key
+from .common import WIKTIONARY, Built, allowed, table_counts, intern
+from .interning import resolve
 from .text import positioned, read_lines
 
 _KINDS = ("translations", "synonyms", "antonyms")
@@ -173,6 +174,15 @@ def load_wiktionary(given: DataFrame, languages: list[str] | None = None) -> Bui
             )
         )
     links = _resolved(items, languages)
+    terms, ids = resolve(
+        intern(
+            entries.select("language", F.col("word").alias("term")),
+            links.filter("kind <> 'translations' OR target_language <> 'und'").select(
+                F.col("target_language").alias("language"), F.col("target_term").alias("term")
+            ),
+        )
+    )
+    links = links.withColumn("target_term_id", ids.of(F.col("target_language"), F.col("target_term"), F.col("target_norm")))
     translations = _kept(links.filter("kind = 'translations' AND target_language <> 'und'"))
     synonyms = _kept(
         links.filter("kind = 'synonyms'").filter(F.col("target_norm") != lookup_key(F.col("word")))
@@ -181,7 +191,7 @@ def load_wiktionary(given: DataFrame, languages: list[str] | None = None) -> Bui
         links.filter("kind = 'antonyms'"), ["sense_id", "target_language", "target_norm"], ["ord"]
     )
     antonyms = opposed.select(
-        term_key(F.col("language"), F.col("word")).alias("source_term_id"),
+        ids.of(F.col("language"), F.col("word")).alias("source_term_id"),
         F.col("sense_id").alias("source_sense_id"), F.lit(RELATION_CODES["antonym"]).alias("relation_code"),
         "target_term_id", F.lit(None).alias("target_sense_id"),
         F.lit(DIRECTION_CODES["symmetric"]).alias("direction_code"), F.lit(WIKTIONARY).alias("provenance_id"),
@@ -200,15 +210,10 @@ def load_wiktionary(given: DataFrame, languages: list[str] | None = None) -> Bui
         .filter(F.col("ipa").isNotNull())
     )
     tables = {
-        "terms": intern(
-            entries.select("language", F.col("word").alias("term")),
-            links.filter("kind <> 'translations' OR target_language <> 'und'").select(
-                F.col("target_language").alias("language"), F.col("target_term").alias("term")
-            ),
-        ),
+        "terms": terms,
         "entries": conform(
             entries.select(
-                "entry_id", term_key(F.col("language"), F.col("word")).alias("term_id"),
+                "entry_id", ids.of(F.col("language"), F.col("word")).alias("term_id"),
                 F.col("pos").alias("part_of_speech"), "etymology", F.lit(WIKTIONARY).alias("provenance_id"),
             ),
             "entries",
@@ -230,7 +235,7 @@ def load_wiktionary(given: DataFrame, languages: list[str] | None = None) -> Bui
         **{k: v for k, v in tables.items() if k not in ("terms", "relations")},
         antonyms=tables["relations"],
     )
-    return Built(tables, counters)
+    return Built(tables, counters, ids)
 
 
 def _resolved(items: DataFrame, languages: list[str] | None) -> DataFrame:
@@ -247,7 +252,6 @@ def _resolved(items: DataFrame, languages: list[str] | None) -> DataFrame:
     return (
         named.filter(F.col("target_term").isNotNull() & allowed(F.col("target_language"), languages))
         .withColumn("target_norm", lookup_key(F.col("target_term")))
-        .withColumn("target_term_id", term_key(F.col("target_language"), F.col("target_term")))
     )
 
 
