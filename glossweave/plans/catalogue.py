@@ -16,7 +16,7 @@ from ..operators.requests import validate
 from ..schemas import RELATION_CODES, Corpus
 from ..session import shared_folder, stored_table
 from . import driver_tables as tables
-from . import layout, quality
+from . import bucketed, layout, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -262,6 +262,20 @@ def sense_lookup(spark, folder):
     return found.drop("etymology")
 
 
+_BUCKETED: dict[tuple[str, str], Corpus] = {}
+
+
+@query
+def lookup_bucketed(spark, folder):
+    """The first senses of every word once more, out of bucketed tables."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _BUCKETED:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _BUCKETED[key] = bucketed.bucketed_corpus(tables.word_corpus(spark, folder), buckets)
+    corpus = _BUCKETED[key]
+    return lookup.lookup(corpus, _word_requests(corpus), already_distinct=True).drop("etymology")
+
+
 @query
 def lookup_by_part_of_speech(spark, folder):
     """Every word asked for its names (up to 100 senses) and for its first noun, whatever the case."""

@@ -768,3 +768,4 @@ _STARTED = f"""
 ORACLES["search_modes"] = _with(SPOKEN, BENCH, _HEADS) + f"{_SEARCHED} UNION ALL SELECT * FROM ({_spoken_answer(_STARTED, 'spelled_like')})"
 ORACLES["refreshed_source"] = f"""{_with(GRAPH)}
 SELECT prov::BIGINT AS provenance_id, code::BIGINT AS relation_code, CASE WHEN prov = 2 THEN 3 ELSE dir END::BIGINT AS direction_code, count(*) AS rows FROM rel GROUP BY ALL"""
+ORACLES["lookup_bucketed"] = ORACLES["sense_lookup"]
