@@ -7,7 +7,7 @@ and every (part, candidate chunk) holds a local score list.
 2. The cutoff goes out with the query blocks. A candidate that reaches it must have, in some
    part, at least the cutoff divided by the number of parts; lists give all such entries.
 3. Sums of what was given bound every candidate; those whose bound reaches the cutoff and
-   that lack a part are scored in full. The rest cannot be among the k best.
+   that lack a part are resolved by the lists of that part. The rest cannot be among the k best.
 
 Equal vectors are one class, of which only the rows with the smallest ids can matter.
 """
@@ -60,6 +60,7 @@ def _partial_scores(left: pa.Table, right: pa.Table) -> np.ndarray:
 
 _BEST = "qid long, id long"
 _ENOUGH = "qid long, id long, partial long"
+_GIVEN = "qid long, id long, part int, partial long"
 
 
 def _local_best(top: int):
@@ -79,15 +80,36 @@ def _sufficient(parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, qids = left.column("id").to_numpy(), right.column("qid").to_numpy()
         if not len(ids) or not len(qids):
-            return pa.table({k: pa.array([], pa.int64()) for k in ("qid", "id", "partial")})
+            return pa.table({k: pa.array([], pa.int64()) for k in ("qid", "id", "part", "partial")}).cast(
+                pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("part", pa.int32()), ("partial", pa.int64())])
+            )
         scores = _partial_scores(left, right)
         cutoff = right.column("cutoff").to_numpy()
         query, candidate = np.nonzero(scores >= -(-cutoff // parts)[:, None])
-        return pa.table({"qid": qids[query], "id": ids[candidate], "partial": scores[query, candidate]})
+        part = np.full(len(query), left.column("part")[0].as_py(), np.int32)
+        return pa.table({"qid": qids[query], "id": ids[candidate], "part": part, "partial": scores[query, candidate]})
 
     return run
 
 
+def _missing(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Partial scores of the candidates that each query still wants of this list."""
+    if not left.num_rows or not right.num_rows:
+        return pa.table({k: pa.array([], pa.int64()) for k in ("qid", "id", "partial")})
+    ids, wanted = left.column("id").to_numpy(), right.column("wanted").combine_chunks()
+    wanted = wanted if isinstance(wanted, pa.Array) else wanted.chunk(0)
+    order = np.argsort(ids)
+    flat = wanted.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
+    place = order[np.searchsorted(ids, flat, sorter=order)]
+    candidates, queries = _matrix(left.column("x")), _matrix(right.column("x"))
+    partial = np.empty(len(flat), np.int64)
+    for low in range(0, len(flat), CHUNK):
+        part = slice(low, low + CHUNK)
+        partial[part] = np.einsum("ij,ij->i", candidates[place[part]], queries[row[part]])
+    return pa.table({"qid": right.column("qid").to_numpy()[row], "id": flat, "partial": partial})
+
+
 def _full_score() -> Column:
     return F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
 
@@ -149,22 +171,29 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, top: int = TOP, parts: i
         distinct.join(cutoffs, "qid", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(_NOTHING))), "cutoffs"
     )
     # 2: sufficient entries
-    given = held.groupBy(*keys).cogroup(put(queried).groupBy(*keys)).applyInArrow(_sufficient(count), _ENOUGH)
-    sums = given.groupBy("qid", "id").agg(F.sum("partial").alias("sum"), F.count(F.lit(1)).alias("seen"))
+    given = held.groupBy(*keys).cogroup(put(queried).groupBy(*keys)).applyInArrow(_sufficient(count), _GIVEN)
+    sums = given.groupBy("qid", "id").agg(
+        F.sum("partial").alias("sum"), F.count(F.lit(1)).alias("seen"), F.collect_set("part").alias("from")
+    )
     # 3: a part that was not given holds less than its share of the cutoff
     share = F.ceil(F.col("cutoff") / F.lit(count)) - 1
-    # written, since what is complete and what is not are both read from it
+    # written, since known sums and missing parts are both read from it
     hopeful = land(
-        sums.join(queried, "qid")
+        sums.join(queried.select("qid", "cutoff"), "qid")
         .where(F.col("sum") + (F.lit(count) - F.col("seen")) * share >= F.col("cutoff"))
-        .select("qid", "id", "sum", "seen", "w"),
+        .select("qid", "id", "sum", "from"),
         "hopeful",
     )
-    complete = hopeful.where(F.col("seen") == count).select("qid", "id", F.col("sum").alias("score"))
-    rest = hopeful.where(F.col("seen") < count).join(classes.select("id", "v"), "id").select(
-        "qid", "id", _full_score().alias("score")
-    )
-    scored = complete.union(rest).join(classes.select("id", "least"), "id")
+    # the lists themselves tell the missing parts: a query brings along which candidates it wants
+    every = F.sequence(F.lit(0), F.lit(count - 1))
+    lacking = hopeful.select("qid", "id", F.explode(F.array_except(every, "from")).alias("part"))
+    chunk = F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk")
+    wanted = lacking.groupBy("qid", "part", chunk).agg(F.collect_list("id").alias("wanted"))
+    dealt = sliced(queried.select("qid", "w"), "w").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    asking = dealt.join(wanted, ["qid", "part"])
+    resolved = held.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(_missing, _ENOUGH)
+    scored = hopeful.select("qid", "id", "sum").union(resolved).groupBy("qid", "id").agg(F.sum("sum").alias("score"))
+    scored = scored.join(classes.select("id", "least"), "id")
     leading = Window.partitionBy("qid").orderBy(F.desc("score"), "least")
     leaders = scored.withColumn("nth", F.row_number().over(leading)).where(F.col("nth") <= reach)
     members = leaders.join(classes.select("id", "members"), "id").select(
