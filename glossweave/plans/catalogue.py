@@ -16,7 +16,7 @@ from ..operators.requests import validate
 from ..schemas import RELATION_CODES, Corpus
 from ..session import shared_folder, stored_table
 from . import driver_tables as tables
-from . import bucketed, layout, quality
+from . import bucketed, drilldown, layout, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -658,6 +658,29 @@ def differential_check(spark, folder):
     return quality.differential_summary(quality.differential_check(corpus, parts, plan))
 
 
+@query
+def table_differences(spark, folder):
+    """The line items against a copy with rows changed, dropped, added and repeated, found by digests of ranges."""
+    left = tables.read(spark, folder, "lineitem")
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    right = left.where(~((key % 997 == 0) & (line == 1))).withColumn(
+        "l_quantity", F.when((key % 991 == 0) & (line == 2), F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    )
+    added = left.where((key % 983 == 0) & (line == 1)).withColumn("l_orderkey", -key)
+    repeated = left.where((key % 977 == 0) & (line == 1))
+    right = right.unionByName(added).unionByName(repeated)
+    return drilldown.compare_tables(left, right, ["l_orderkey", "l_linenumber"], rows_enough=1000).differences
+
+
+@query
+def table_digest_levels(spark, folder):
+    """Levels and digests that it takes to see that two tables, dealt out in other ways, are equal."""
+    left = tables.read(spark, folder, "lineitem")
+    found = drilldown.compare_tables(left, left.repartition("l_partkey"), ["l_orderkey", "l_linenumber"])
+    told = [(n + 1, compared, differ) for n, (compared, differ) in enumerate(found.levels)]
+    return spark.createDataFrame(told, "level long, compared long, differing long").where("compared > 0")
+
+
 def damaged_events(spark, folder) -> DataFrame:
     """Events as a source with faults: some JSON cut short, some missing, some fields NULL."""
     event = F.col("event_id")

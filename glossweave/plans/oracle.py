@@ -769,3 +769,14 @@ ORACLES["search_modes"] = _with(SPOKEN, BENCH, _HEADS) + f"{_SEARCHED} UNION ALL
 ORACLES["refreshed_source"] = f"""{_with(GRAPH)}
 SELECT prov::BIGINT AS provenance_id, code::BIGINT AS relation_code, CASE WHEN prov = 2 THEN 3 ELSE dir END::BIGINT AS direction_code, count(*) AS rows FROM rel GROUP BY ALL"""
 ORACLES["lookup_bucketed"] = ORACLES["sense_lookup"]
+ORACLES["table_differences"] = """
+WITH r AS (SELECT * REPLACE (CASE WHEN l_orderkey % 991 = 0 AND l_linenumber = 2 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity)
+    FROM lineitem WHERE NOT (l_orderkey % 997 = 0 AND l_linenumber = 1)
+  UNION ALL SELECT * REPLACE (-l_orderkey AS l_orderkey) FROM lineitem WHERE l_orderkey % 983 = 0 AND l_linenumber = 1
+  UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 977 = 0 AND l_linenumber = 1),
+c AS (SELECT COLUMNS(lambda c: NOT contains(c, 'side')), count(*) FILTER (WHERE side = 0) AS times_left, count(*) FILTER (WHERE side = 1) AS times_right
+  FROM (SELECT *, 0 AS side FROM lineitem UNION ALL SELECT *, 1 FROM r) GROUP BY ALL),
+k AS (SELECT *, sum(times_left) OVER w AS lefts, sum(times_right) OVER w AS rights FROM c WINDOW w AS (PARTITION BY l_orderkey, l_linenumber))
+SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN lefts = 0 THEN 'added' WHEN rights = 0 THEN 'removed' ELSE 'changed' END AS state, times_left, times_right
+FROM k WHERE times_left <> times_right"""
+ORACLES["table_digest_levels"] = "SELECT 1::BIGINT AS level, 64::BIGINT AS compared, 0::BIGINT AS differing FROM lineitem LIMIT 1"
