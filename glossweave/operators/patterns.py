@@ -39,19 +39,20 @@ def postings(headwords: DataFrame) -> DataFrame:
 
     def runs(width: int) -> Column:
         starts = F.sequence(F.lit(1), size - width + 1)
+        at = lambda i: framed.substr(i, F.lit(width))
         return F.when(size >= width, F.transform(
-            starts, lambda i: F.struct(framed.substr(i, F.lit(width)).alias("gram"), i.alias("place"))
-        )).otherwise(F.array().cast("array<struct<gram: string, place: int>>"))
+            F.array_distinct(F.transform(starts, at)),
+            lambda g: F.struct(g.alias("gram"), F.filter(starts, lambda i: at(i) == g).alias("places")),
+        )).otherwise(F.array().cast("array<struct<gram: string, places: array<int>>>"))
 
-    none = F.lit(0).alias("place")
+    none = F.array(F.lit(0)).alias("places")
     others = F.array(
         F.struct(_length_key(F.length("normalized_term")).alias("gram"), none), F.struct(F.lit("").alias("gram"), none)
     )
-    filed = placed.select(
-        "normalized_term", F.floor(F.col("place") / PAGE).cast("int").alias("page"), size.alias("size"),
+    return placed.select(
+        F.floor(F.col("place") / PAGE).cast("int").alias("page"), "normalized_term", size.alias("size"),
         F.inline(F.concat(others, *[runs(w) for w in _RUNS])),
     )
-    return filed.groupBy("gram", "page", "normalized_term", "size").agg(F.sort_array(F.collect_list("place")).alias("places"))
 
 
 def gram_counts(posted: DataFrame) -> DataFrame:
