@@ -221,6 +221,18 @@ def relations(
     )
 
 
+def relations_nested(corpus: Corpus, requests: DataFrame) -> DataFrame:
+    """One row per request with its results in order; a result has its path of two or three terms."""
+    path = F.filter(F.array("source_term", "middle_term", "target_term"), lambda t: t.isNotNull()).alias("path")
+    senses = F.struct("source_sense_id", "middle_sense_id", "target_sense_id").alias("senses")
+    result = F.struct(
+        "rank", "relation", "relation_scope", "direction", "distance", path, senses, "target_language", "provenance_id"
+    )
+    return relations(corpus, requests).groupBy(Q).agg(
+        F.transform(F.sort_array(F.collect_list(result)), lambda r: r.dropFields("rank")).alias("results")
+    )
+
+
 def _relations(corpus: Corpus, questions: DataFrame, catalogue: DataFrame | None) -> DataFrame:
     code = F.element_at(
         F.create_map(*[F.lit(x) for kv in RELATION_CODES.items() for x in kv]), F.col("relation")

@@ -271,6 +271,21 @@ def synonyms(corpus: Corpus, requests: DataFrame, already_distinct: bool = False
     return answer_shared(requests, params, lambda q: _synonyms(corpus, q), already_distinct)
 
 
+def synonyms_nested(corpus: Corpus, requests: DataFrame) -> DataFrame:
+    """One row per request with its groups in order, each with its synonyms in order.
+
+    A request's synonyms are bounded by its limits, so its arrays are.
+    """
+    member = F.struct("position", "term", "language", "provenance_id")
+    groups = synonyms(corpus, requests).groupBy(Q, "group_index", "sense_id", "sense_scope", "gloss").agg(
+        F.transform(F.sort_array(F.collect_list(member)), lambda s: s.dropFields("position")).alias("synonyms")
+    )
+    group = F.struct("group_index", "sense_id", "sense_scope", "gloss", "synonyms")
+    return groups.groupBy(Q).agg(
+        F.transform(F.sort_array(F.collect_list(group)), lambda g: g.dropFields("group_index")).alias("groups")
+    )
+
+
 def _synonyms(corpus: Corpus, questions: DataFrame) -> DataFrame:
     asked = questions.withColumn("__open", F.col("sense_id").isNull() & F.col("part_of_speech").isNull())
     senses = sense_candidates(corpus, asked, F.col("max_senses")).select(

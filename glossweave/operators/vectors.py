@@ -24,7 +24,7 @@ from ..schemas import (
     Corpus,
 )
 from ..session import reliable_cut
-from .ranking import first_per, quantile_picks, top_k
+from .ranking import first_per, global_index, quantile_picks, top_k
 from .requests import answer_shared, with_defaults
 
 Q = "request_id"
@@ -450,6 +450,29 @@ def vector_partition_check(corpus: Corpus, declared: DataFrame) -> DataFrame:
     ).withColumn("matches", F.col("declared") == F.col("stored"))
 
 
+def vector_partition(corpus: Corpus, languages: list[str] | None = None) -> DataFrame:
+    """The vectors of some or all languages with their terms, numbered from 0 within each language.
+
+    Numbers follow the term. One total order is sorted for all languages and each takes off
+    what lies before it, so a language that holds most vectors is not one task.
+    """
+    terms = corpus.terms.select("term_id", "term", "normalized_term", "language")
+    if languages is not None:
+        terms = terms.filter(F.col("language").isin(languages))
+    rows = global_index(corpus.vectors.join(terms, "term_id"), ["language", "term", "semantic_id"], "__at")
+    first = rows.groupBy("language").agg(F.min("__at").alias("__first"))
+    return rows.join(first, "language").select(
+        "language", (F.col("__at") - F.col("__first")).alias("local_id"), "semantic_id", "term_id",
+        "term", "normalized_term", "embedding",
+    )
+
+
+def write_vector_partitions(parts: DataFrame, folder: str, rows_per_file: int = 4_000_000) -> None:
+    """``vector_partition`` rows as one Parquet folder per language, files bounded by rows."""
+    file = F.floor(F.col("local_id") / rows_per_file)
+    parts.repartition("language", file).write.mode("overwrite").partitionBy("language").parquet(folder)
+
+
 def vector_integrity(corpus: Corpus) -> DataFrame:
     """One row: are ids dense from 0, does each resolve to a term, do languages add up."""
     dense = corpus.vectors.agg(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.ids import framed_row
 from ..functions.phonetics import onset, remainder
 from ..functions.text import language_tag, lookup_key
-from ..operators import graph, lookup, patterns, vector_index, vectors, wordplay
+from ..operators import graph, lookup, patterns, sets, vector_index, vectors, wordplay
 from ..operators.ranking import nearest_rank
 from ..operators.requests import validate
 from ..schemas import RELATION_CODES, Corpus
@@ -325,6 +325,36 @@ def translation_coverage(spark, folder):
     return lookup.translation_coverage(tables.word_corpus(spark, folder))
 
 
+@query
+def lookup_nested(spark, folder):
+    """Senses with their details as arrays, written as text."""
+    found = lookup.lookup_nested(tables.word_corpus(spark, folder), _detail_requests(spark, folder))
+    parts = {
+        "examples": lambda s: s["example"],
+        "pronunciations": lambda s: F.concat_ws("@", s["ipa"], s["region"]),
+        "translations": lambda s: F.concat_ws("@", s["term"], s["language"]),
+    }
+    return found.select(
+        "request_id", "rank", "sense_id",
+        *[F.coalesce(F.array_join(F.transform(n, member), ";"), F.lit("")).alias(n) for n, member in parts.items()],
+        F.coalesce(F.array_join("truncated_fields", ","), F.lit("")).alias("truncated_fields"),
+    )
+
+
+@query
+def translation_coverage_by_bits(spark, folder):
+    return sets.coverage_by_bits(tables.word_corpus(spark, folder))
+
+
+@query
+def translated_senses(spark, folder):
+    """Distinct translated senses by language and target language, with totals, from merged sets of two parts."""
+    corpus = tables.word_corpus(spark, folder)
+    first = F.pmod(F.xxhash64("sense_id", "target_term_id"), F.lit(2)) == 0
+    parts = [corpus.translations.filter(first), corpus.translations.filter(~first)]
+    return sets.rollup_sizes(sets.translated_senses(corpus, parts), ["language", "target_language"], "senses")
+
+
 @query
 def translate(spark, folder):
     """Every word into every language of the documents."""
@@ -362,7 +392,28 @@ def synonyms_grouped(spark, folder):
     return lookup.synonyms(corpus, words.withColumn("request_id", F.col("word")), already_distinct=True)
 
 
+@query
+def synonyms_nested(spark, folder):
+    """The grouped synonyms as one row per word, written as text."""
+    corpus = tables.part_corpus(spark, folder)
+    words = corpus.terms.select(F.col("normalized_term").alias("word"))
+    found = lookup.synonyms_nested(corpus, words.withColumn("request_id", F.col("word")))
+    terms = F.transform("groups", lambda g: F.concat_ws(
+        "|", F.coalesce(g["sense_id"], F.lit("-")), F.array_join(F.transform(g["synonyms"], lambda s: s["term"]), ",")
+    ))
+    return found.select("request_id", F.size("groups").alias("group_count"), F.array_join(terms, ";").alias("groups"))
+
+
 # --------------------------------------------------------------------------- graph
+@query
+def relations_nested(spark, folder):
+    """The two-hop relations as one row per word and relation, their paths written as text."""
+    corpus = tables.graph_corpus(spark, folder)
+    found = graph.relations_nested(corpus, tables.graph_requests(corpus, ["hypernym", "hyponym"]))
+    paths = F.transform("results", lambda r: F.concat_ws("|", r["relation_scope"], F.array_join(r["path"], ">")))
+    return found.select("request_id", F.size("results").alias("result_count"), F.array_join(paths, ";").alias("paths"))
+
+
 @query
 def relations_direct(spark, folder):
     corpus = tables.graph_corpus(spark, folder)
@@ -542,6 +593,18 @@ def vector_partition(spark, folder):
     return vectors.vector_partition_check(corpus, declared)
 
 
+@query
+def vector_partition_rows(spark, folder):
+    """Every language's vectors with their terms, as written by language and read back."""
+    parts = vectors.vector_partition(tables.vector_corpus(spark, folder))
+    place = f"{shared_folder(spark)}/vector-parts-{uuid.uuid4().hex}"
+    vectors.write_vector_partitions(parts, place)
+    return spark.read.schema(parts.schema).parquet(place).select(
+        "language", "local_id", "semantic_id", "term", F.size("embedding").alias("dimensions"),
+        F.get("embedding", F.lit(0)).cast("double").alias("first_component"),
+    )
+
+
 @query
 def vector_integrity(spark, folder):
     return vectors.vector_integrity(tables.vector_corpus(spark, folder))

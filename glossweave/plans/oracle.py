@@ -780,3 +780,30 @@ k AS (SELECT *, sum(times_left) OVER w AS lefts, sum(times_right) OVER w AS righ
 SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CASE WHEN lefts = 0 THEN 'added' WHEN rights = 0 THEN 'removed' ELSE 'changed' END AS state, times_left, times_right
 FROM k WHERE times_left <> times_right"""
 ORACLES["table_digest_levels"] = "SELECT 1::BIGINT AS level, 64::BIGINT AS compared, 0::BIGINT AS differing FROM lineitem LIMIT 1"
+
+# ------------------------------------------------- nested answers, merged sets, partitions
+ORACLES["translation_coverage_by_bits"] = ORACLES["translation_coverage"]
+ORACLES["translated_senses"] = f"""{_with(WORDS)}
+SELECT (2 - bit_count(GROUPING(s.language, tlang)::BIGINT))::BIGINT AS level, s.language, tlang AS target_language, count(DISTINCT sense_id) AS senses
+FROM transl JOIN senses s USING (sense_id) GROUP BY GROUPING SETS ((s.language, tlang), (s.language), ())"""
+_LISTED = ",\n".join(
+    f"{c}_list AS (SELECT request_id, rank, string_agg({text}, ';' ORDER BY item) AS listed FROM {c}_taken GROUP BY ALL)"
+    for c, text in (("ex", "value"), ("pr", "value||'@'||detail"), ("tl", "value||'@'||detail"))
+)
+ORACLES["lookup_nested"] = f"""{_with(WORDS, COVERAGE, BENCH, _BENCH_WORDS, PICKED, DETAILS, _LISTED)},
+cut AS (SELECT request_id, rank, string_agg(field, ',' ORDER BY field) AS fields FROM ({ORACLES["lookup_truncated"]}) GROUP BY ALL)
+SELECT p.request_id, p.rank, p.sense_id, coalesce(ex_list.listed, '') AS examples, coalesce(pr_list.listed, '') AS pronunciations,
+  coalesce(tl_list.listed, '') AS translations, coalesce(cut.fields, '') AS truncated_fields
+FROM picked p LEFT JOIN ex_list USING (request_id, rank) LEFT JOIN pr_list USING (request_id, rank) LEFT JOIN tl_list USING (request_id, rank)
+  LEFT JOIN cut USING (request_id, rank)"""
+ORACLES["synonyms_nested"] = f"""
+SELECT request_id, count(*) AS group_count, string_agg(coalesce(sense_id, '-')||'|'||terms, ';' ORDER BY group_index) AS groups FROM
+  (SELECT request_id, group_index, sense_id, string_agg(term, ',' ORDER BY position) AS terms FROM ({ORACLES["synonyms_grouped"]}) GROUP BY ALL)
+GROUP BY request_id"""
+ORACLES["relations_nested"] = f"""
+SELECT request_id, count(*) AS result_count,
+  string_agg(relation_scope||'|'||source_term||'>'||CASE WHEN middle_term IS NULL THEN '' ELSE middle_term||'>' END||target_term, ';' ORDER BY rank) AS paths
+FROM ({ORACLES["relations_two_hop"]}) GROUP BY request_id"""
+ORACLES["vector_partition_rows"] = """
+SELECT 'l'||label AS language, row_number() OVER (PARTITION BY label ORDER BY 'v'||vec_id, vec_id) - 1 AS local_id, vec_id AS semantic_id, 'v'||vec_id AS term,
+  len(embedding) AS dimensions, embedding[1]::DOUBLE AS first_component FROM embeddings"""
