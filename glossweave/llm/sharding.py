@@ -4,12 +4,16 @@ Rows are ordered by key and place. Splitters are found by counting: each round t
 keys inside the interval that still holds each splitter and counts the exact bytes below
 every probe over all partitions; the interval shrinks until the bytes below a splitter are
 within tolerance or a single key is left. A key that many rows share is split further by
-the rows' places. Then one exchange sorts the rows, and slots are running counts of the
-sorted partitions.
+the rows' places. Shards are cut into parts by further splitters, found alike with a wider
+tolerance. Then one exchange sends each row to the part that the splitters name, and slots
+are running counts of the sorted parts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import land
@@ -17,6 +21,9 @@ from .common import land
 SHARDS = 8
 TOLERANCE = 0.001
 PROBES = 64
+#: Share of a part's bytes by which a part within a shard may miss its goal, and probes for each.
+PART_TOLERANCE = 0.2
+PART_PROBES = 8
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -31,22 +38,24 @@ def sized_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def _below(probes: list[int]) -> Column:
-    """How many probes are at or below the value of ``at``, by bisection over one literal array."""
-    low, high = F.lit(0), F.lit(len(probes))
-    steps = len(probes).bit_length()
-    sorted_ = F.array(*[F.lit(p).cast("long") for p in probes])
-    state = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(low.alias("low"), high.alias("high")),
-        lambda s, _: F.when(s["low"] >= s["high"], s).otherwise(
-            F.when(
-                F.get(sorted_, F.shiftright(s["low"] + s["high"], 1)) <= F.col("at"),
-                F.struct((F.shiftright(s["low"] + s["high"], 1) + 1).alias("low"), s["high"].alias("high")),
-            ).otherwise(F.struct(s["low"].alias("low"), F.shiftright(s["low"] + s["high"], 1).alias("high")))
-        ),
-    )
-    return state["low"]
+def _longs(values: list[int]) -> Column:
+    """A literal array that stays one literal in the plan, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _below(count: int, reached: Callable[[Column], Column]) -> Column:
+    """How many of ``count`` sorted points are reached, by bisection; ``reached`` tells of the point at a place."""
+    steps = F.sequence(F.lit(1), F.lit(max(1, count.bit_length())))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        return F.when(s["low"] >= s["high"], s).otherwise(
+            F.when(reached(middle), F.struct((middle + 1).alias("low"), s["high"].alias("high"))).otherwise(
+                F.struct(s["low"].alias("low"), middle.alias("high"))
+            )
+        )
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(count).alias("high")), halve)["low"]
 
 
 def _refine(rows: DataFrame, targets: list[float], tolerance: float, probes: int) -> list[tuple[int, float]]:
@@ -70,9 +79,11 @@ def _refine(rows: DataFrame, targets: list[float], tolerance: float, probes: int
         if not asked:
             break
         points = sorted(asked)
+        listed = _longs(points)
+        at = _below(len(points), lambda k: F.get(listed, k) <= F.col("at"))
         tally = {
             r["k"]: r["s"]
-            for r in rows.select(_below(points).alias("k"), "size").groupBy("k").agg(F.sum("size").alias("s")).collect()
+            for r in rows.select(at.alias("k"), "size").groupBy("k").agg(F.sum("size").alias("s")).collect()
         }
         below, total = [], 0
         for k in range(len(points)):
@@ -80,12 +91,12 @@ def _refine(rows: DataFrame, targets: list[float], tolerance: float, probes: int
             below.append(total)
         for n, target in enumerate(targets):
             a, below_a, b, below_b = spans[n]
-            for point, under in zip(points, below, strict=True):
-                if a < point < b:
-                    if under <= target and point > a:
-                        a, below_a = point, under
-                    elif under > target and point < b:
-                        b, below_b = point, under
+            first, last = bisect_right(points, a), bisect_left(points, b)
+            over = min(max(bisect_right(below, target), first), last)  # bytes below points never fall
+            if over > first:
+                a, below_a = points[over - 1], below[over - 1]
+            if over < last:
+                b, below_b = points[over], below[over]
             spans[n] = (a, below_a, b, below_b)
     return [
         (b, below_b) if below_b - target <= tolerance and below_b - target < target - below_a else (a, below_a)
@@ -93,6 +104,20 @@ def _refine(rows: DataFrame, targets: list[float], tolerance: float, probes: int
     ]
 
 
+def _boundaries(rows: DataFrame, goals: list[float], slack: float, probes: int) -> list[tuple[int, int]]:
+    """(key, place) for each goal of bytes below it; the goals that one key's rows cross are found together."""
+    found, crossed = [], {}
+    for n, (key, below) in enumerate(_refine(rows.withColumn("at", F.col("key")), goals, slack, probes)):
+        found.append((key, _LEAST))
+        if goals[n] - below > slack:
+            crossed.setdefault(key, []).append((n, goals[n] - below))
+    for key, wanted in crossed.items():  # each of these keys holds more than ``slack`` bytes
+        inside = rows.where(F.col("key") == key).withColumn("at", F.col("place"))
+        for (n, _), (place, _) in zip(wanted, _refine(inside, [w for _, w in wanted], slack, probes), strict=True):
+            found[n] = (key, place)
+    return found
+
+
 def find_splitters(
     rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, probes: int = PROBES
 ) -> list[tuple[int, int]]:
@@ -103,24 +128,29 @@ def find_splitters(
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     goals = [total * (k + 1) / shards for k in range(shards - 1)]
-    slack = tolerance * total / shards
-    by_key = _refine(rows.withColumn("at", F.col("key")), goals, slack, probes)
-    boundaries = []
-    for (key, below), goal in zip(by_key, goals, strict=True):
-        place = _LEAST
-        if goal - below > slack:  # the rows of this key cross the goal: split them by place
-            inside = rows.where(F.col("key") == key).withColumn("at", F.col("place"))
-            place = _refine(inside, [goal - below], slack, probes)[0][0]
-        boundaries.append((key, place))
-    return boundaries
+    return _boundaries(rows, goals, tolerance * total / shards, probes)
 
 
 def shard_rows(rows: DataFrame, boundaries: list[tuple[int, int]]) -> DataFrame:
-    """``rows`` with shard and slot; ``rows`` has key and place, which name a row.
+    """``rows`` with shard and slot; ``rows`` has key, place and size, and key and place name a row.
 
-    One exchange sorts by key and place. A row's slot is its place in its sorted partition
-    plus the rows of its shard in earlier partitions, counted once per partition.
+    Each shard is cut into as many parts as make up the session's shuffle partitions. One
+    exchange sends each row to its part, where rows are sorted by key and place. A row's slot
+    is its place in its sorted partition plus the rows of its shard in earlier partitions,
+    counted once per partition.
     """
+    shards = len(boundaries) + 1
+    per_shard = -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    cuts = set(boundaries)
+    if per_shard > 1:
+        parts = shards * per_shard
+        cuts |= set(find_splitters(rows, parts, PART_TOLERANCE, PART_PROBES))
+    points = sorted(cuts)
+    keys, places = _longs([key for key, _ in points]), _longs([place for _, place in points])
+    part = _below(
+        len(points),
+        lambda k: (F.get(keys, k) < F.col("key")) | ((F.get(keys, k) == F.col("key")) & (F.get(places, k) <= F.col("place"))),
+    )
     shard = sum(
         (
             ((F.col("key") > key) | ((F.col("key") == key) & (F.col("place") >= place))).cast("int")
@@ -128,10 +158,9 @@ def shard_rows(rows: DataFrame, boundaries: list[tuple[int, int]]) -> DataFrame:
         ),
         F.lit(0),
     )
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exchanged = (
         rows.withColumn("shard", shard)
-        .repartitionByRange(count, "key", "place")
+        .repartitionById(len(points) + 1, part.cast("int"))
         .sortWithinPartitions("key", "place")
         .withColumn("row", F.monotonically_increasing_id())
     )

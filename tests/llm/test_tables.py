@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glossweave.llm import licenses, sharding, topk, toxicity
@@ -287,6 +288,32 @@ def test_shards(spark, documents, hot):
     assert max(sizes.values()) - min(sizes.values()) <= 0.005 * sum(sizes.values()) / 8 + 2 * 201
 
 
+def test_splitters_name_the_parts_of_the_exchange(spark, documents):
+    """A third of all rows share a key; parts within shards are even too, and shards stay as even as before."""
+    draw = random.Random(9)
+    rows = [(k if k % 3 else 77, "x" * draw.randrange(0, 200)) for k in range(6000)]
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = sharding.shard_documents(documents(rows)).collect()
+        sized = sharding.sized_rows(documents(rows)).withColumn("key", F.col("doc_id")).cache()
+        cuts = sharding.find_splitters(sized, 40, sharding.PART_TOLERANCE, sharding.PART_PROBES)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert len(found) == 6000
+    slots, sizes = defaultdict(list), Counter()
+    for r in found:
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 0.005 * sum(sizes.values()) / 8 + 2 * 201
+    parts = Counter()
+    for r in sized.collect():
+        parts[sum((r["key"], r["place"]) >= cut for cut in cuts)] += r["size"]
+    share = sum(sizes.values()) / 40
+    assert len(parts) == 40 and max(parts.values()) <= 1.5 * share
+
+
 def test_shards_of_nothing_and_of_one_giant(spark, documents):
     assert sharding.shard_documents(documents([])).collect() == []
     found = sharding.shard_documents(documents([(1, "a"), (2, "b" * 100_000), (None, None)])).collect()
