@@ -96,6 +96,84 @@ SIBLING_TEMPLATES = {
     "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0",
 }
 
+#: Parts of full texts that are also copied alone.
+FULL_TEXT_TEMPLATES = {
+    "MIT-notice": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial"
+        " portions of the Software"
+    ),
+    "MIT-warranty": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT"
+        " LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"
+    ),
+    "BSD-warranty": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED"
+        " WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A"
+        " PARTICULAR PURPOSE ARE DISCLAIMED"
+    ),
+    "BSD-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or"
+        " promote products derived from this software without specific prior written permission"
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors"
+        " be held liable for any damages arising from the use of this software"
+    ),
+    "GPL-warranty": (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the"
+        " implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
+    ),
+    "EPL-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License",
+}
+# fixed values: usual spellings of licenses' names; {} stands for the version
+_NAMES = {
+    "MIT": (("MIT License", "MIT Licence", "MIT X11 License", "Expat License"), ()),
+    "ISC": (("ISC License",), ()),
+    "Zlib": (("zlib License",), ()),
+    "Unlicense": (("The Unlicense", "Unlicense License"), ()),
+    "BSD-2-Clause": (("BSD 2-Clause", "2-Clause BSD", "Simplified BSD License"), ()),
+    "BSD-3-Clause": (("BSD 3-Clause", "3-Clause BSD", "New BSD License", "Modified BSD License"), ()),
+    "Apache": (("Apache License {}", "Apache Software License {}", "Apache {} License"), ("1.0", "1.1", "2.0")),
+    "GPL": (("GNU General Public License {}", "GNU GPL {}", "GPL {}"), ("1.0", "2.0", "3.0")),
+    "LGPL": (
+        ("GNU Lesser General Public License {}", "GNU Library General Public License {}", "GNU LGPL {}", "LGPL {}"),
+        ("2.0", "2.1", "3.0"),
+    ),
+    "AGPL": (("GNU Affero General Public License {}", "GNU AGPL {}", "AGPL {}"), ("3.0",)),
+    "MPL": (("Mozilla Public License {}", "MPL {}"), ("1.0", "1.1", "2.0")),
+    "EPL": (("Eclipse Public License {}", "EPL {}"), ("1.0", "2.0")),
+    "BSL": (("Boost Software License {}",), ("1.0",)),
+    "Artistic": (("Artistic License {}",), ("1.0", "2.0")),
+    "CC0": (("CC0 {}", "CC0 {} Universal", "Creative Commons Zero {}"), ("1.0",)),
+}
+_CREATIVE_COMMONS = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+_CC_KINDS = ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
+_CC_VERSIONS = ("2.0", "2.5", "3.0", "4.0")
+_NAME = "-name"
+
+
+def license_names() -> dict[str, list[str]]:
+    """Spellings of each license's name: every form with every way to write its version.
+
+    A version is written bare, after 'version' or after 'v', joined to it or not, and a
+    trailing '.0' may be left out. Ids are those of the licenses with ``-name`` behind.
+    """
+    forms = dict(_NAMES)
+    for kind in _CC_KINDS:
+        spelled = "-".join(_CREATIVE_COMMONS[part] for part in kind.split("-"))
+        forms[f"CC-{kind}"] = ((f"CC {kind} {{}}", f"Creative Commons {spelled} {{}}", f"Creative Commons {kind} {{}}"), _CC_VERSIONS)
+    names: dict[str, list[str]] = {}
+    for license_, (spellings, versions) in forms.items():
+        for version in versions or ("",):
+            numbers = dict.fromkeys((version, version.removesuffix(".0")))
+            written = [style.format(n) for n in numbers for style in ("{}", "version {}", "v{}", "v {}")] if version else [""]
+            key = f"{license_}-{version}{_NAME}" if version else license_ + _NAME
+            names[key] = [form.format(w) for form in spellings for w in written]
+            if version and license_.isupper():  # GPLv3
+                names[key] += [f"{license_}v{n}" for n in numbers]
+    return names
+
+
 # fixed values: what tells licenses of nearly the same words apart
 _FAMILIES = tuple(
     f"{name} license".split()
@@ -200,16 +278,20 @@ def _marks(text: str, words: int) -> list[np.ndarray]:
     return marks
 
 
-def template_classes(templates: dict[str, str], words: int = WORDS) -> list[_Class]:
+def template_classes(
+    templates: dict[str, str], words: int = WORDS, names: dict[str, list[str]] | None = None
+) -> list[_Class]:
     """Templates grouped by length to powers of two, with their bands.
 
-    A template of fewer than ``words`` words is one shingle of all of them.
+    A template of fewer than ``words`` words is one shingle of all of them, as is every
+    spelling of ``names``.
     """
-    if len(templates) > MOST_TEMPLATES:
+    spelled = [(name, text) for name, texts in (names or {}).items() for text in texts]
+    if len(templates) + len(spelled) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
     by: dict[tuple[int, int], list[tuple[str, np.ndarray, list[np.ndarray]]]] = {}
-    for name, text in templates.items():
-        own = min(words, len(_words(text)))
+    sized = [(name, text, min(words, len(_words(text)))) for name, text in templates.items()]
+    for name, text, own in sized + [(name, text, len(_words(text))) for name, text in spelled]:
         grams = _shingles(text, own)
         by.setdefault((1 << (len(grams) - 1).bit_length(), own), []).append((name, grams, _marks(text, own)))
     classes = []
@@ -217,8 +299,8 @@ def template_classes(templates: dict[str, str], words: int = WORDS) -> list[_Cla
         window, stride, bands = window_plan(size)
         multipliers = mixed(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
         least = np.array([[(m * grams).min() for m in multipliers] for _, grams, _ in members], np.uint64)
-        names, sets, marks = (list(part) for part in zip(*members, strict=True))
-        classes.append(_Class(window, stride, least, multipliers, names, sets, own, marks))
+        labels, sets, marks = (list(part) for part in zip(*members, strict=True))
+        classes.append(_Class(window, stride, least, multipliers, labels, sets, own, marks))
     return classes
 
 
@@ -274,6 +356,17 @@ def _best(found: list[tuple], contained: float) -> list[tuple]:
     return [f[:5] for k, f in enumerate(found) if k not in gone]
 
 
+def _uncovered(found: list[tuple]) -> list[tuple]:
+    """``found`` without names that a notice or a longer name of the same family covers."""
+    kept, reach = [], {}
+    for one in sorted(found, key=lambda f: (f[0], f[2], -f[3], f[1].endswith(_NAME), f[1])):
+        family = one[0], one[1].split("-")[0]
+        if not one[1].endswith(_NAME) or one[3] > reach.get(family, -1):
+            kept.append(one)
+            reach[family] = max(one[3], reach.get(family, -1))
+    return kept
+
+
 def find_licenses(
     hashes: np.ndarray, bounds: np.ndarray, classes: list[_Class], contained: float = CONTAINED
 ) -> list[tuple[int, str, int, int, float]]:
@@ -311,7 +404,7 @@ def find_licenses(
             if share >= contained and all(np.isin(mark, grams[start:stop]).any() for mark in marks):
                 last = start + int(inside[-1]) + group.words - 1
                 found.append((own, group.names[template], start + int(inside[0]), last, share, wanted, grams[start:stop]))
-    return _best(found, contained)
+    return _uncovered(_best(found, contained))
 
 
 _SPANS = T.StructType(
@@ -325,14 +418,23 @@ _SPANS = T.StructType(
 )
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, words: int = WORDS) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame,
+    templates: dict[str, str] | None = None,
+    words: int = WORDS,
+    names: dict[str, list[str]] | None = None,
+) -> DataFrame:
     """doc_id, license, start, end, containment of every license passage in ``docs(doc_id, text)``.
 
     ``start`` and ``end`` are bytes of the UTF-8 text, end exclusive. Null and empty texts have
-    none. Rows are scanned each by itself, so
-    repeated rows give repeated spans; other columns are ignored.
+    none. Rows are scanned each by itself, so repeated rows give repeated spans; other columns
+    are ignored. Without ``templates`` the usual notices and names are looked for; ``names``
+    are spellings that must stand word by word, reported where no notice covers them.
     """
-    classes = template_classes(TEMPLATES | SHORT_TEMPLATES | SIBLING_TEMPLATES if templates is None else templates, words)
+    if templates is None:
+        templates = TEMPLATES | SHORT_TEMPLATES | SIBLING_TEMPLATES | FULL_TEXT_TEMPLATES
+        names = license_names() if names is None else names
+    classes = template_classes(templates, words, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -231,6 +231,63 @@ def test_sibling_licenses_are_told_apart(spark, documents):
     assert {(r["doc_id"], r["license"]) for r in own} == {(1, "blue"), (2, "green")}
 
 
+def test_usual_notices_and_names(spark, documents):
+    notices = {
+        "licensed under the MIT license": "MIT", "Distributed under the MIT License.": "MIT",
+        "under the Apache License, Version 2.0": "Apache-2.0", "Licensed under the Apache License v2.0": "Apache-2.0",
+        "This is the BSD 3-Clause License": "BSD-3-Clause", "the Apache-2.0 license": "Apache-2.0",
+        "the GNU General Public License version 2 as published": "GPL-2.0", "GPLv3 or later": "GPL-3.0",
+        "Creative Commons Attribution-NonCommercial 4.0": "CC-BY-NC-4.0", "the CC BY-SA 3.0": "CC-BY-SA-3.0",
+        "Eclipse Public License v2.0": "EPL-2.0", "CC0 1.0 Universal": "CC0-1.0", "GNU LGPL v2.1 here": "LGPL-2.1",
+    }
+    rows = list(enumerate(notices))
+    found = defaultdict(list)
+    for r in licenses.scan_licenses(documents(rows)).collect():
+        found[r["doc_id"]].append(r["license"])
+    assert [found[k] for k, _ in rows] == [[f"{n}-name"] for n in notices.values()]
+    plain = ["a licence for MIT students", "apache helicopters, version 2.0", "general public version 3", "cc by mail", "GPL"]
+    assert licenses.scan_licenses(documents(list(enumerate(plain)))).collect() == []
+
+
+def test_names_against_all_spellings(spark, documents):
+    """Brute force: a spelling is found where its words stand, unless a longer passage of its family covers it."""
+    draw = random.Random(11)
+    spellings = [(n, t) for n, texts in licenses.license_names().items() for t in texts]
+    assert len({tuple(licenses._WORD.findall(t.lower())) for _, t in spellings}) == len(spellings)
+    rows = []
+    for i in range(150):
+        words = [draw.choice("abcdefgh") * 3 for _ in range(20)]
+        for _ in range(3):
+            at = draw.randrange(20)
+            words[at:at] = draw.choice(spellings)[1].split()
+        rows.append((i, " ".join(words) + draw.choice(["", " €", " License 2.0", " 1"])))
+    rows.append((900, "x " * 300_000 + "MIT License" + " y" * 300_000))
+    got = Counter((r["doc_id"], r["license"], r["start"]) for r in licenses.scan_licenses(documents(rows), {"none": "qqq"}, names=licenses.license_names()).collect())
+    wanted = Counter()
+    for i, text in rows:
+        marked = [(m.group(), len(text[: m.start()].encode())) for m in licenses._WORD.finditer(text.lower())]
+        whole, spans, places = [w for w, _ in marked], [], defaultdict(list)
+        for k, word in enumerate(whole):
+            places[word].append(k)
+        for name, t in spellings:
+            own = licenses._WORD.findall(t.lower())
+            spans += [(k, k + len(own), name) for k in places[own[0]] if whole[k : k + len(own)] == own]
+        for a, b, name in spans:
+            family = name.split("-")[0]
+            if not any(c <= a and b <= d and d - c > b - a and other.split("-")[0] == family for c, d, other in spans):
+                wanted[i, name, marked[a][1]] += 1
+    assert got == wanted
+
+
+def test_full_text_parts(spark, documents):
+    every = licenses.FULL_TEXT_TEMPLATES
+    rows = [(k, f"text before. {text} and text behind") for k, text in enumerate(every.values())]
+    found = defaultdict(set)
+    for r in licenses.scan_licenses(documents(rows)).collect():
+        found[r["doc_id"]].add(r["license"])
+    assert [found[k] for k in range(len(rows))] == [{name} for name in every]
+
+
 def test_sliding_least():
     values = np.random.default_rng(1).integers(0, 1000, 57).astype(np.uint64)
     for window in (1, 2, 3, 7, 8, 60):
