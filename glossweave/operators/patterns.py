@@ -8,13 +8,15 @@ end is fixed by the pattern must stand at that place.
 
 A run that many headwords hold is read in pages. Headwords are dealt to pages in their order,
 so an answer's first rows are on the first pages: a pattern reads as many pages as it takes
-to find its limit, twice as many in every round. A page holds at most ``PAGE`` headwords,
-which bounds what one pattern meets in one round, however common its letters are.
+to find its limit, as many headwords as a page holds in the first round and twice as many in
+every next one. A page holds at most ``PAGE`` headwords, and how many of them hold the run is
+counted, which bounds what one pattern meets in one round, however common its letters are and
+however close together its headwords lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import like_pattern
 from ..session import written
@@ -115,20 +117,32 @@ def _verified(candidates: DataFrame) -> DataFrame:
     ).select(Q, "limit", "normalized_term")
 
 
+def _page_starts(posted: DataFrame, asked: DataFrame) -> DataFrame:
+    """gram, page, start: how many headwords with the run lie on earlier pages, for the runs in ``asked``.
+
+    A run's headwords may lie close together (all that start with one letter do), so what a
+    round reads is told by these counts. The window holds one row per page of a run.
+    """
+    held = posted.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram", "page").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    before = Window.partitionBy("gram").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    return held.select("gram", "page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+
+
 def _rounds(posted: DataFrame, questions: DataFrame, counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     """Per round: what patterns met (request_id, normalized_term and what is checked), and the matches."""
     asked = written(rarest_runs(questions, counts).withColumn("pattern", like_pattern(F.col("text"))), "patterns")
     few = posted.join(asked.where(F.col("words") <= PAGE), "gram")
     met = [(few, _verified(few))]
-    many = asked.where(F.col("words") > PAGE)
-    bounds = posted.where(F.col("gram") == "").agg(F.count(F.lit(1)), F.max("page")).first()
-    pages = (bounds[1] or 0) + 1
-    # the first round reads pages that hold about PAGE headwords with the run
-    left = many.withColumn("next", F.lit(0)).withColumn("span", F.ceil(F.lit(bounds[0]) / F.col("words")).cast("int"))
-    left = left.withColumn("matched", F.lit(0).cast("long"))
+    left = asked.where(F.col("words") > PAGE).withColumn("next", F.lit(0).cast("long"))
+    left = left.withColumn("span", F.lit(PAGE).cast("long")).withColumn("matched", F.lit(0).cast("long"))
+    starts = None
     while not left.isEmpty():  # rounds double what is read, so there are few
-        last = F.least(F.col("next") + F.col("span"), F.lit(pages)) - 1
-        candidates = left.withColumn("page", F.explode(F.sequence("next", last))).join(posted, ["gram", "page"])
+        if starts is None:
+            starts = written(_page_starts(posted, left), "pages")
+        due = left.join(starts, "gram").where((F.col("start") >= F.col("next")) & (F.col("start") < F.col("next") + F.col("span")))
+        candidates = due.drop("start").join(posted, ["gram", "page"])
         matches = written(_verified(candidates), "matches")
         met.append((candidates, matches))
         more = matches.groupBy(Q).agg(F.count(F.lit(1)).alias("more"))
@@ -136,7 +150,7 @@ def _rounds(posted: DataFrame, questions: DataFrame, counts: DataFrame) -> list[
             *[c for c in left.columns if c not in ("matched", "next", "span")],
             (F.col("matched") + F.coalesce("more", F.lit(0))).alias("matched"),
             (F.col("next") + F.col("span")).alias("next"), (2 * F.col("span")).alias("span"),
-        ).where((F.col("matched") < F.col("limit")) & (F.col("next") < pages))
+        ).where((F.col("matched") < F.col("limit")) & (F.col("next") < F.col("words")))
         left = written(left, "patterns")
     return met
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -76,3 +77,17 @@ def test_no_headwords_and_no_patterns(spark):
     asked = spark.createDataFrame([(1, "*", 5)], "request_id int, text string, limit int")
     assert patterns.matches(posted, patterns.gram_counts(posted), asked).collect() == []
     assert patterns.matches(posted, patterns.gram_counts(posted), asked.limit(0)).collect() == []
+
+
+def test_headwords_close_together_are_read_by_rounds(spark, monkeypatch):
+    """All words with the rarest run of a pattern lie on neighbouring pages."""
+    monkeypatch.setattr(patterns, "PAGE", 20)
+    near = ["a" + "".join(p) for p in itertools.product("bcd", repeat=5)]
+    far = ["z" + "".join(p) for p in itertools.product("bcde", repeat=5)]
+    posted = patterns.postings(spark.createDataFrame([(w,) for w in near + far], "normalized_term string")).cache()
+    counts = patterns.gram_counts(posted)
+    asked = spark.createDataFrame([(1, "a*", 30), (2, "a*e", 5)], "request_id int, text string, limit int")
+    met = patterns.candidates_met(posted, counts, asked).collect()
+    assert met and all(r["candidates"] <= 2 * patterns.PAGE * 2 ** r["round"] for r in met)
+    found = patterns.matches(posted, counts, asked).where("request_id = 1").collect()
+    assert sorted(r["normalized_term"] for r in found)[:30] == sorted(near)[:30]
