@@ -14,6 +14,7 @@ from glossweave.sources.conceptnet import build_conceptnet
 from glossweave.sources.text import invalid_bytes, positioned, read_lines
 from glossweave.sources.vectors import build_vectors
 from glossweave.sources.wiktionary import build_wiktionary
+from glossweave.sources import wordnet
 from glossweave.sources.wordnet import build_wordnet
 from glossweave.session import reliable_cut
 
@@ -215,3 +216,22 @@ def test_profiles_ignore_layout(spark, tmp_path):
     assert digest(profiles.profile_conceptnet(spark, str(tmp_path / "c.tsv")))[:2] == (1, 1)
     (tmp_path / "d.dict").write_text(";;; c\nword  W  ER1 D\nlonely\n")
     assert digest(profiles.profile_cmudict(spark, str(tmp_path / "d.dict")))[:2] == (1, 1)
+
+
+def test_member_relations_repeat_no_row_and_are_counted_without_pairing(spark):
+    """Members of several synsets and sense links that synset links give too, against plain pairing."""
+    members = [("A", "a1", 1), ("A", "a2", 2), ("B", "b1", 3), ("B", "a1", 1), ("C", "c1", 4), ("C", "b1", 3), ("D", "d1", 1)]
+    links = [("A", 1, "B"), ("A", 1, "C"), ("B", 1, "C"), ("A", 2, "A"), ("D", 1, "none"), ("none", 1, "D")]
+    senses = [(2, "a2", 1, 3, "b1"), (2, "a2", 3, 3, "b1"), (2, "a2", 3, 3, "b1"), (4, "c1", 1, 1, "d1")]
+    key = "source_term_id int, source_sense_id string, relation_code int, target_term_id int, target_sense_id string"
+    rows, numbers = wordnet.member_relations(
+        spark.createDataFrame(links, "synset_id string, relation_code int, target string"),
+        spark.createDataFrame(members, "synset_id string, sense_id string, term_id int"),
+        spark.createDataFrame(senses, key),
+    )
+    wanted = set(senses) | {
+        (t, s, code, u, v) for a, code, b in links for m, s, t in members if m == a for n, v, u in members if n == b
+    }
+    got = [tuple(r) for r in rows.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    assert sum(r["n"] for r in numbers.collect()) == len(wanted)
