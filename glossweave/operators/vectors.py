@@ -76,7 +76,10 @@ def _matrix(values: pd.Series) -> np.ndarray:
 
 
 def _score_cell(queries: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-    """Best ``keep`` identities per query within one bounded cell."""
+    """Best ``keep`` identities per query within one bounded cell.
+
+    Where queries name the ``visited`` centres, as bits, vectors of other centres are left out.
+    """
     none = pd.DataFrame(columns=["question", "semantic_id", "identity", "similarity"])
     if queries.empty or stored.empty:
         return none
@@ -86,10 +89,14 @@ def _score_cell(queries: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(np.r_[True, identity[1:] != identity[:-1]])
     ends = np.r_[starts[1:], len(identity)]
     columns = _matrix(stored["embedding"]).T
+    centre = stored["centre"].to_numpy() if "visited" in queries else None
     parts = [none]
     for low in range(0, len(queries), _TILE):
         tile = queries.iloc[low : low + _TILE]
         scores = np.clip(_matrix(tile["embedding"]) @ columns, -1.0, 1.0)
+        if centre is not None:
+            visited = np.stack([np.unpackbits(np.frombuffer(v, np.uint8)) for v in tile["visited"]])
+            scores[visited[:, centre] == 0] = -np.inf
         best = np.maximum.reduceat(scores, starts, axis=1)
         best[tile["identity"].to_numpy()[:, None] == identity[starts][None, :]] = -np.inf
         keep = np.minimum(tile["keep"].to_numpy(), len(starts))
@@ -246,12 +253,26 @@ def pick_centroids(vectors: DataFrame, count: int, seed: int) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def nearest_cells(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
-    """Add ``centre`` and ``nearness`` (0 = nearest): one row per probed centre."""
+def nearest_cells(df: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """Add ``centre``, the nearest one."""
     shared = df.sparkSession.sparkContext.broadcast(centroids)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    @F.pandas_udf(T.IntegerType())
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = shared.value
+        for batch in batches:
+            found = np.argmax(_matrix(batch) @ table.T, axis=1) if len(batch) else []
+            yield pd.Series(found, dtype="int32")
+
+    return df.withColumn("centre", nearest("embedding"))
+
+
+def visited_cells(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
+    """Add ``visited``: the ``probes`` nearest centres of each row as one bit per centre."""
+    shared = df.sparkSession.sparkContext.broadcast(centroids)
+
+    @F.pandas_udf(T.BinaryType())
+    def visited(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = shared.value
         wanted = min(probes, len(table))
         for batch in batches:
@@ -260,9 +281,11 @@ def nearest_cells(df: DataFrame, centroids: np.ndarray, probes: int) -> DataFram
                 continue
             scores = _matrix(batch) @ table.T
             order = np.argsort(-scores, axis=1, kind="stable")[:, :wanted]
-            yield pd.Series(list(order.astype(np.int32)))
+            bits = np.zeros(scores.shape, np.uint8)
+            np.put_along_axis(bits, order, 1, axis=1)
+            yield pd.Series([row.tobytes() for row in np.packbits(bits, axis=1)])
 
-    return df.select("*", F.posexplode(nearest("embedding")).alias("nearness", "centre"))
+    return df.withColumn("visited", visited("embedding"))
 
 
 def approximate_neighbours(
@@ -278,8 +301,10 @@ def approximate_neighbours(
     There are as many cells as the square root of the number of vectors, so centres stay few
     and cells small; a query visits the share ``visited`` of the cells. How many vectors it
     looks at thus follows the corpus; the candidate budget only bounds how many of them are
-    re-ranked. A cell that holds much of the corpus is cut into hash blocks of the usual size
-    and a query visits each block. What share is needed depends on how far the vectors
+    re-ranked. Vectors are filed in blocks of a language and neighbouring cells; a cell that
+    holds much of the corpus is dealt over several blocks. A query is sent once to each block of
+    its scope with its visited cells as bits, and brings back its limit at most: what is shuffled
+    follows blocks, not cells. What share is needed depends on how far the vectors
     cluster: ``recall_summary`` says whether a share meets the bar.
     """
     requests = with_defaults(requests, NEIGHBOUR_DEFAULTS)
@@ -291,15 +316,20 @@ def approximate_neighbours(
         probes = max(1, math.ceil(visited * cells))
         centroids = pick_centroids(vectors, cells, seed)
         # every vector meets the centres once
-        stored = reliable_cut(nearest_cells(vectors, centroids, 1).drop("nearness"))
-        # one row per (language, cell)
-        sizes = stored.groupBy("language", "centre").agg(F.count(F.lit(1)).alias("rows"))
-        scoped = (
-            sizes.withColumn("scope", F.explode(F.array(F.col("language"), F.lit("*"))))
-            .groupBy("scope", "centre").agg(F.sum("rows").alias("held"))
+        stored = reliable_cut(nearest_cells(vectors, centroids))
+        # one row per (language, cell), at most as many as there are cells in the window
+        held = stored.groupBy("language", "centre").agg(F.count(F.lit(1)).alias("rows"))
+        before = Window.partitionBy("language").orderBy("centre").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("rows").over(before), F.lit(0))
+        spans = held.select(
+            "language", "centre", "rows", F.floor(start / STORED_BLOCK).alias("first"),
+            F.floor((start + F.col("rows") - 1) / STORED_BLOCK).alias("last"),
+        )
+        scope = F.explode(F.array("language", F.lit("*"))).alias("scope")
+        totals = held.select(scope, "rows").groupBy("scope").agg(F.sum("rows").alias("size"))
+        blocks = spans.groupBy("language").agg(F.max("last").alias("blocks")).select(
+            "language", F.explode(_numbers(F.col("blocks") + 1)).alias("block")
         )
-        totals = scoped.groupBy("scope").agg(F.sum("held").alias("size"))
-        blocks = sizes.withColumn("blocks", F.ceil(F.col("rows") / STORED_BLOCK)).drop("rows")
 
         asked = _questions(questions, vectors)
         budgeted = (
@@ -310,31 +340,28 @@ def approximate_neighbours(
             .join(totals, "scope")
             .withColumn("keep", candidate_budget(F.col("limit"), F.col("size")))
         )
-        routes = nearest_cells(budgeted, centroids, probes).join(
-            scoped.select("scope", "centre"), ["scope", "centre"]
-        ).select("question", "identity", "embedding", "keep", "scope", "centre")
-        # who meets whom: (scope, slice of its queries) x (language, cell, block)
-        loads = routes.groupBy("scope", "centre").agg(
-            F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("slices")
-        )
+        # who meets whom: (scope, slice of its queries) x (language, block)
+        loads = budgeted.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("slices"))
         visits = (
-            blocks.withColumn("scope", F.explode(F.array(F.col("language"), F.lit("*"))))
-            .join(loads, ["scope", "centre"])
-            .withColumn("block", F.explode(_numbers(F.col("blocks"))))
+            blocks.select("language", "block", scope)
+            .join(loads, "scope")
             .withColumn("slice", F.explode(_numbers(F.col("slices"))))
-            .withColumn("cell", F.concat_ws("/", "scope", "slice", "language", "centre", "block"))
+            .withColumn("cell", F.concat_ws("/", "scope", "slice", "language", "block"))
         )
         query_side = (
-            routes.join(loads, ["scope", "centre"])
+            visited_cells(budgeted, centroids, probes).join(loads, "scope")
             .withColumn("slice", _slot(F.col("question"), F.col("slices")))
-            .join(visits.select("scope", "centre", "slice", "cell"), ["scope", "centre", "slice"])
-            .select("cell", "question", "identity", "embedding", "keep")
+            .join(visits.select("scope", "slice", "cell"), ["scope", "slice"])
+            .select(
+                "cell", "question", "identity", "embedding", "visited",
+                F.greatest(F.lit(1), F.least("limit", "keep")).cast("int").alias("keep"),
+            )
         )
         stored_side = (
-            stored.join(blocks, ["language", "centre"])
-            .withColumn("block", _slot(F.col("semantic_id"), F.col("blocks")))
-            .join(visits.select("language", "centre", "block", "cell"), ["language", "centre", "block"])
-            .select("cell", "semantic_id", "identity", "embedding")
+            stored.join(spans.drop("rows"), ["language", "centre"])
+            .withColumn("block", F.col("first") + _slot(F.col("semantic_id"), F.col("last") - F.col("first") + 1))
+            .join(visits.select("language", "block", "cell"), ["language", "block"])
+            .select("cell", "semantic_id", "identity", "embedding", "centre")
         )
         hits = _score_grid(query_side, stored_side)
         pooled = top_k(

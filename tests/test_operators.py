@@ -508,3 +508,38 @@ def test_request_for_one_sense_meets_that_sense_only(spark):
     assert sum(map(len, got.values())) == 2 * n
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "OR (sense_id" not in plan
+
+
+def test_approximate_neighbours_visit_the_nearest_cells_only(spark, monkeypatch):
+    """Cells as bits, blocks of several cells, and cells cut over blocks, against plain scoring."""
+    monkeypatch.setattr(vectors, "STORED_BLOCK", 16)
+    draw = np.random.default_rng(5)
+    rows = [(i, f"/c/x/{i}", i, [float(x) for x in draw.normal(size=6)]) for i in range(90)]
+    rows += [(90 + i, f"/c/x/{90 + i}", i, [float(x) for x in draw.normal(size=6)]) for i in range(10)]
+    stored = spark.createDataFrame(rows, "semantic_id long, concept string, term_id long, embedding array<float>")
+    terms = spark.createDataFrame(
+        [(i, f"t{i}", f"t{i}", "ab"[i % 2]) for i in range(90)], "term_id long, term string, normalized_term string, language string"
+    )
+    corpus = Corpus(terms=terms, vectors=stored)
+    units = np.array([np.float32(r[3]) for r in rows], np.float64)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    centres = vectors.pick_centroids(vectors.named_vectors(corpus), 10, 17)
+    near = np.argsort(-(units @ centres.T), axis=1, kind="stable")
+    bits = vectors.visited_cells(stored, centres, 3).select("semantic_id", "visited").collect()
+    for r in bits:
+        told = np.flatnonzero(np.unpackbits(np.frombuffer(r["visited"], np.uint8)))
+        assert sorted(near[r["semantic_id"]][:3]) == list(told)
+    asked = spark.createDataFrame(
+        [(i, f"t{i}", "ab"[i % 2], ["a", None][i % 3 == 0], 7) for i in range(90)],
+        "request_id long, word string, source_language string, target_language string, limit int",
+    )
+    got = {}
+    for r in vectors.approximate_neighbours(corpus, asked, 0.3, already_distinct=True).orderBy("request_id", "rank").collect():
+        got.setdefault(r["request_id"], []).append(r["semantic_id"])
+    for i in range(90):
+        best = {}
+        for j, (_, _, term, _) in enumerate(rows):
+            if term != i and near[j][0] in near[i][:3] and (i % 3 == 0 or term % 2 == 0):
+                best[term] = max(best.get(term, (-2, 0)), (round(float(units[i] @ units[j]), 12), -j))
+        wanted = [-j for _, j in sorted(best.values(), key=lambda b: (-b[0], -b[1]))[:7]]
+        assert got.get(i, []) == wanted, i
