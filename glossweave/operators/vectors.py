@@ -30,7 +30,7 @@ from .requests import answer_shared, with_defaults
 Q = "request_id"
 QUERY_BLOCK = 4096
 STORED_BLOCK = 16384
-_TILE = 512
+_TILE = 128
 #: Share of the cells that an approximate search visits unless told otherwise.
 VISITED = 0.1
 #: Mean recall that a scope must reach (fixed value).
