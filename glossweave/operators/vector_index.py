@@ -46,6 +46,8 @@ _FIXED = float(1 << 24)
 # single precision of a dot product of unit vectors of up to some thousand components
 _ROUNDING = 1e-4
 _TILE = 256
+#: Share of a tile's scores above which all are taken by one product.
+_MANY = 0.02
 
 
 @dataclass
@@ -278,9 +280,9 @@ _HITS = "question string, semantic_id long, identity long, similarity double, sc
 
 def _wanted(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Mask of the best ``counts`` finite scores of each row, and all that equal the last of them."""
-    most = min(int(counts.max(initial=1)), scores.shape[1])
-    tail = np.sort(np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most :], axis=1)
-    edge = tail[np.arange(len(scores)), most - np.clip(counts, 1, most)]
+    rows = scores.shape[1]
+    place = rows - np.clip(counts, 1, min(int(counts.max(initial=1)), rows))
+    edge = np.partition(scores, np.unique(place), axis=1)[np.arange(len(scores)), place]
     return (scores >= edge[:, None]) & np.isfinite(scores)
 
 
@@ -330,10 +332,17 @@ def _searched(model: Model, visited: float, rescored: float | None):
                 rows = scores.shape[1]
                 counts = np.maximum(np.floor(rescored * rows), np.ceil(2 * keep * rows / size))
                 chosen = _wanted(scores, counts.astype(np.int64))
+            scored = np.count_nonzero(chosen, axis=1)
+            if scored.sum() > _MANY * chosen.size:
+                # one product for all of them; what cannot be among the best is not put in order
+                exact = np.where(chosen, query @ full.T, -np.inf)
+                best = exact if distinct else np.maximum.reduceat(exact[:, group], heads, axis=1)
+                at = best.shape[1] - min(max(int(keep.max()), 1), best.shape[1])
+                least = np.partition(best, at, axis=1)[:, at]
+                chosen &= exact >= least[:, None] - _ROUNDING
             row, place = np.nonzero(chosen)
             similarity = np.clip(np.einsum("ij,ij->i", query[row], full[place]), -1.0, 1.0)
             ids, identity = own["ids"][place], own["identities"][place]
-            scored = np.bincount(row, minlength=len(query))
             if not distinct:  # the best row of each identity
                 order = np.lexsort((ids, -similarity, identity, row))
                 new = np.concatenate(([True], (np.diff(row[order]) != 0) | (np.diff(identity[order]) != 0)))[: len(order)]

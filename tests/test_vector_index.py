@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,29 @@ def test_empty_corpus(spark, requests):
     empty = vi.build_index(corpus_of(spark, []))
     assert vi.indexed_neighbours(empty, requests).collect() == []
     assert vi.bounded_neighbours(empty, requests).collect() == []
+
+
+def test_rows_scored_in_full_are_not_all_put_in_order(monkeypatch):
+    """Most rows that a share of a block scores cannot be among the best: they are left out before sorting."""
+    draw = np.random.default_rng(3)
+    given = draw.normal(size=(2000, 8)).astype("f4")
+    unit = given / np.linalg.norm(given.astype(float), axis=1, keepdims=True)
+    model = vi.Model(unit[:4].copy(), np.stack(np.split(unit[:64] * 0.5, 2, axis=1)))
+    cells, ids = model.cells(unit).astype("i4"), np.arange(2000).astype("i8")
+    scales = np.abs(unit).max(axis=1) / 127
+    values = {
+        "ids": ids, "identities": ids, "cells": cells, "codes": model.codes(unit - model.centres[cells]).astype("u1"),
+        "bytes": np.rint(unit / scales[:, None]).astype("i1"), "scales": scales, "slack": np.zeros(2000), "full": given,
+    }
+    block = pa.table({n: pa.array([v.tobytes()], pa.binary()) for n, v in values.items()})
+    asked = pa.table({
+        "question": [str(i) for i in range(50)], "identity": ids[:50], "embedding": pa.array(list(given[:50]), pa.list_(pa.float32())),
+        "keep": np.full(50, 5), "size": np.full(50, 2000),
+    })
+    sorted_rows, plain = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or plain(keys))
+    found = vi._searched(model, 1.0, 0.3)(block, asked).to_pylist()
+    assert max(sorted_rows) <= 2 * 5 * 50
+    scores = unit[:50] @ unit.T
+    for r in found:
+        assert abs(r["similarity"] - scores[int(r["question"]), r["semantic_id"]]) < 1e-6 and r["scored"] >= 600
