@@ -235,3 +235,11 @@ def test_member_relations_repeat_no_row_and_are_counted_without_pairing(spark):
     got = [tuple(r) for r in rows.collect()]
     assert len(got) == len(set(got)) and set(got) == wanted
     assert sum(r["n"] for r in numbers.collect()) == len(wanted)
+
+
+def test_lines_of_a_small_file_are_parsed_by_all_cores(spark):
+    from glossweave.plans import source_queries
+
+    cores = spark.sparkContext.defaultParallelism
+    for lines in (source_queries.dictionary_lines, source_queries.thesaurus_elements):
+        assert lines(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= cores
