@@ -36,6 +36,8 @@ def postings(headwords: DataFrame) -> DataFrame:
     ``headwords``(normalized_term) are distinct. Pages follow the order of the headwords.
     """
     placed = global_index(headwords.select("normalized_term"), ["normalized_term"], "place")
+    # a headword is short and gives many rows: by its bytes one task would get them all
+    placed = placed.repartition(2 * headwords.sparkSession.sparkContext.defaultParallelism)
     framed = F.concat(F.lit(_START), "normalized_term", F.lit(_END))
     size = F.length(framed)
 

@@ -91,3 +91,8 @@ def test_headwords_close_together_are_read_by_rounds(spark, monkeypatch):
     assert met and all(r["candidates"] <= 2 * patterns.PAGE * 2 ** r["round"] for r in met)
     found = patterns.matches(posted, counts, asked).where("request_id = 1").collect()
     assert sorted(r["normalized_term"] for r in found)[:30] == sorted(near)[:30]
+
+
+def test_postings_are_made_by_all_cores(spark, words):
+    posted = patterns.postings(spark.createDataFrame([(w,) for w in words], "normalized_term string"))
+    assert posted.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
