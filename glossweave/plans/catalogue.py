@@ -649,33 +649,41 @@ def partition_assignment(spark, folder):
     return layout.assign_partitions(sizes, _ALONE_BYTES, _BUNDLE_BYTES)
 
 
-def _partitioned(spark, folder):
-    """Corpus, plan and tables of the documents cut by language."""
+def _planned(spark, folder):
+    """Corpus of the documents and its plan, one stored row per language."""
     corpus = tables.word_corpus(spark, folder)
-    sizes = layout.language_sizes(corpus.terms)
-    plan = layout.assign_partitions(sizes, 3_000_000, 4_000_000)
+
+    def plan():
+        return layout.assign_partitions(layout.language_sizes(corpus.terms), 3_000_000, 4_000_000)
+
+    return corpus, stored_table(spark, folder, "pack_plan", plan)
+
+
+def _partitioned(spark, folder, *kept, without=("examples", "pronunciations")):
+    """Corpus, plan and tables of the documents cut by language; those that are read several times are kept."""
+    corpus, plan = _planned(spark, folder)
 
     def keep(name: str, table: DataFrame) -> DataFrame:
-        # examples repeat whole lines, so they are not written a second time
-        return table if name == "examples" else stored_table(spark, folder, f"pack_{name}", lambda: table)
+        return stored_table(spark, folder, f"pack_{name}", lambda: table) if name in kept else table
 
-    return corpus, plan, layout.repartition_by_language(corpus, plan, keep)
+    return corpus, plan, layout.repartition_by_language(corpus.without(*without), plan, keep)
 
 
 @query
 def partition_rows(spark, folder):
-    return layout.partition_rows(_partitioned(spark, folder)[2])
+    return layout.partition_rows(_partitioned(spark, folder, "relations", without=())[2])
 
 
 @query
 def partition_files(spark, folder):
     """Rows per partition and table as written by partition and read back from the files."""
-    parts = _partitioned(spark, folder)[2]
     place = f"{shared_folder(spark)}/packs-{uuid.uuid4().hex}"
-    layout.write_partitions(parts, place)
-    return layout.partition_rows(
-        {name: spark.read.schema(table.schema).parquet(f"{place}/{name}") for name, table in parts.items()}
-    )
+
+    def written_out(name: str, table: DataFrame) -> DataFrame:
+        layout.write_partitions({name: table}, place)
+        return spark.read.schema(table.schema).parquet(f"{place}/{name}")
+
+    return layout.partition_rows(layout.repartition_by_language(*_planned(spark, folder), written_out))
 
 
 @query
@@ -685,7 +693,7 @@ def partition_stubs(spark, folder):
 
 @query
 def closure_report(spark, folder):
-    return layout.closure_report(_partitioned(spark, folder)[2])
+    return layout.closure_report(_partitioned(spark, folder, "relations", "target_catalogue")[2])
 
 
 @query
@@ -717,7 +725,7 @@ def sampled_words(spark, folder):
 
 @query
 def differential_check(spark, folder):
-    corpus, plan, parts = _partitioned(spark, folder)
+    corpus, plan, parts = _partitioned(spark, folder, "entries", "relations", "target_catalogue")
     return quality.differential_summary(quality.differential_check(corpus, parts, plan))
 
 

@@ -103,6 +103,10 @@ TABLES: dict[str, T.StructType] = {
     ),
 }
 
+#: Column that examples, pronunciations, translations and synonyms may have: the language of the
+#: headword that a row belongs to. Such rows are dealt to languages without meeting their senses.
+OWNER_LANGUAGE = "owner_language"
+
 
 class Corpus:
     """The tables of one corpus, each a DataFrame or a function that makes one.
@@ -137,6 +141,10 @@ class Corpus:
         """The same corpus with some tables added or replaced."""
         return Corpus(**{**self._tables, **tables})
 
+    def without(self, *names: str) -> Corpus:
+        """The same corpus as if it lacked some tables, which are then not made."""
+        return Corpus(**{k: v for k, v in self._tables.items() if k not in names})
+
 
 def assert_schema(df: DataFrame, table: str) -> DataFrame:
     """Refuse a table whose columns or types differ from the declared schema."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from ..functions.ids import term_id
 from ..functions.text import full_key, is_simple, lookup_key, simple_key
@@ -89,19 +89,14 @@ def allowed(column: Column, languages: list[str] | None) -> Column:
     return F.lit(True) if languages is None else column.isin(languages)
 
 
-def split_hot(df: DataFrame, key: str, rows_per_file: int) -> DataFrame:
-    """Spread rows for a partitioned write: one task per ``rows_per_file`` rows of a key.
+def by_key(df: DataFrame, key: str, rows_per_file: int) -> DataFrameWriter:
+    """A writer of one folder per ``key``, with at most ``rows_per_file`` rows a file.
 
-    Keys with more rows are cut into salted slices in proportion to their size, so a
-    language with a third of all rows is written by many tasks.
+    Rows are moved once, and not counted first: adaptive execution splits the partitions that
+    turn out large, so a language with a third of all rows is written by many tasks.
     """
-    slices = df.groupBy(key).agg(
-        F.ceil(F.count(F.lit(1)) / rows_per_file).cast("int").alias("__slices")
-    )
-    salted = df.join(slices, key).withColumn(
-        "__slice", F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.col("__slices"))
-    )
-    return salted.repartition(key, "__slice").drop("__slice", "__slices")
+    spread = df.hint("rebalance", F.col(key))
+    return spread.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(key)
 
 
 def refresh_source(table: DataFrame, path: str, rows_per_file: int = 4_000_000) -> None:
@@ -109,9 +104,4 @@ def refresh_source(table: DataFrame, path: str, rows_per_file: int = 4_000_000)
 
     The table is laid out by ``provenance_id``, so running a source again is idempotent.
     """
-    (
-        split_hot(table, "provenance_id", rows_per_file).write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("provenance_id")
-        .parquet(path)
-    )
+    by_key(table, "provenance_id", rows_per_file).option("partitionOverwriteMode", "dynamic").parquet(path)
