@@ -10,6 +10,7 @@ from ..functions.ids import hash60, summed_digest
 from ..operators.graph import anchored_edges, scan_order
 from ..operators.ranking import top_k
 from ..schemas import MAX_BUDGET, RELATION_CODES, Corpus
+from ..session import written
 from .layout import resolve_in_partition
 
 # --- fixed values: least rows a complete build must have ----------------------
@@ -160,6 +161,49 @@ def compare_ranked(
     )
 
 
+def _around(
+    corpus: Corpus, tables: dict[str, DataFrame], sampled: DataFrame
+) -> tuple[Corpus, dict[str, DataFrame]]:
+    """Corpus and partitions cut to the sampled words and to what these point to.
+
+    Every cut is written: the next join then knows how few rows it looks for, and the tables
+    are filtered where they lie instead of being shuffled.
+    """
+    asked = sampled.withColumnRenamed("word", "normalized_term")
+    words = written(corpus.terms.join(asked, ["normalized_term", "language"]).select("term_id", "pack_id"), "words")
+    sources = words.withColumnRenamed("term_id", "source_term_id")
+    relations = [
+        written(table.join(sources.select(*on), on, "left_semi"), "relations")
+        for table, on in (
+            (corpus.relations, ["source_term_id"]), (tables["relations"], ["source_term_id", "pack_id"])
+        )
+    ]
+
+    def senses_of(terms: DataFrame, source: Corpus | dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+        entries, senses = (source[n] if isinstance(source, dict) else getattr(source, n) for n in ("entries", "senses"))
+        entries = written(entries.join(terms.select("term_id").distinct(), "term_id", "left_semi"), "entries")
+        return entries, written(senses.join(entries.select("entry_id"), "entry_id", "left_semi"), "senses")
+
+    translations = [
+        written(links.join(senses_of(words, source)[1].select("sense_id"), "sense_id", "left_semi"), "translations")
+        for links, source in ((corpus.translations, corpus), (tables["translations"], tables))
+    ]
+    ids = words.select("term_id")
+    for edges in (*relations, *translations):
+        ids = ids.union(edges.select("target_term_id"))
+    ids = written(ids.distinct(), "ids")
+    kept = lambda table, name: written(table.join(ids, "term_id", "left_semi"), name)
+    whole, parts = senses_of(ids, corpus), senses_of(ids, tables)
+    near = Corpus(
+        terms=kept(corpus.terms, "terms"), term_counts=kept(corpus.term_counts, "term_counts"), entries=whole[0],
+        senses=whole[1], relations=relations[0], translations=translations[0],
+    )
+    return near, {
+        "terms": kept(tables["terms"], "terms"), "entries": parts[0], "senses": parts[1], "relations": relations[1],
+        "translations": translations[1], "target_catalogue": kept(tables["target_catalogue"], "target_catalogue"),
+    }
+
+
 def differential_check(
     corpus: Corpus, tables: dict[str, DataFrame], plan: DataFrame, words: int = 200, limit: int = 25,
     seed: int = 20260816,
@@ -170,6 +214,9 @@ def differential_check(
     all 12 relations, the senses, and the translations of the first three senses.
     """
     sampled = sample_words(corpus, words, seed).join(plan.select("language", "pack_id"), "language")
+    # a bounded number of words per language, read by everything below
+    sampled = written(sampled, "sampled")
+    corpus, tables = _around(corpus, tables, sampled)
     parts = Corpus(**{k: v for k, v in tables.items() if k != "target_catalogue"})
     scans = sampled.withColumn(
         "relation_code", F.explode(F.array(*[F.lit(c) for c in RELATION_CODES.values()]))
