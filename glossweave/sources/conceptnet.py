@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import concept_parts
 from ..schemas import DIRECTION_CODES, RELATION_CODES, conform
-from ..session import reliable_cut
+from ..session import written
 from .common import CONCEPTNET, Built, allowed, counter_rows, intern
 from .interning import resolve
 from .text import read_lines
@@ -62,7 +62,7 @@ def load_conceptnet(lines: DataFrame, languages: list[str] | None = None) -> Bui
         & ~F.col("worthless")
     )
     # parsed once, read for terms, relations and counters
-    judged = reliable_cut(parsed.withColumn("accepted", F.coalesce(usable, F.lit(False))))
+    judged = written(parsed.withColumn("accepted", F.coalesce(usable, F.lit(False))), "judged")
     accepted = judged.filter("accepted")
     terms, ids = resolve(intern(
         accepted.select(F.col("s_language").alias("language"), F.col("s_term").alias("term")),
