@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossweave.plans import layout
+from glossweave.plans import layout, quality
 from glossweave.schemas import OWNER_LANGUAGE, TABLES, Corpus
 from glossweave.sources.common import intern
 
@@ -69,3 +69,17 @@ def test_a_table_is_made_once_when_it_is_written_by_partition(spark, tmp_path):
     assert len(list((tmp_path / "t" / "pack_id=big").glob("*.parquet"))) >= 5
     again = spark.read.schema(rows.schema).parquet(str(tmp_path / "t"))
     assert sorted(map(tuple, again.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_differential_tables_are_cut_to_the_sample(spark):
+    corpus = corpus_of(spark)
+    plan = spark.createDataFrame(PLAN, "language string, pack_id string")
+    tables = layout.repartition_by_language(corpus, plan)
+    sampled = spark.createDataFrame([("en", "w3", "p1"), ("fr", "w25", "p2")], "language string, word string, pack_id string")
+    near, parts = quality._around(corpus, tables, sampled)
+    # w3 in three languages; w25 in French and, as its translation, in English
+    wanted = {("en", "w3"), ("fr", "w3"), ("de", "w3"), ("fr", "w25"), ("en", "w25")}
+    for terms in (near.terms, parts["terms"]):
+        assert {(r["language"], r["term"]) for r in terms.collect()} == wanted
+    assert near.entries.count() == near.senses.count() == parts["senses"].count() == 5
+    assert near.translations.count() == parts["translations"].count() == 3
