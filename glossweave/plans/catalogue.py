@@ -788,13 +788,13 @@ def verify_sources(spark, folder):
 
 @query
 def stage_counts(spark, folder):
-    return quality.stage_counts(tables.word_corpus(spark, folder))
+    return quality.stage_counts(tables.word_corpus(spark, folder, read_once=True))
 
 
 @query
 def floor_report(spark, folder):
     """Floors set from the number of documents, against the dictionary's row counts."""
-    corpus = tables.word_corpus(spark, folder)
+    corpus = tables.word_corpus(spark, folder, read_once=True)
     counts = quality.stage_counts(corpus).join(corpus.provenance.select("provenance_id", "source"), "provenance_id")
     metrics = counts.select(F.col("source").alias("stage"), "metric", "observed")
     documents = tables.read(spark, folder, "documents").agg(F.count(F.lit(1)).alias("documents"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ids import hash60, summed_digest
 from ..operators.graph import anchored_edges, scan_order
 from ..operators.ranking import top_k
-from ..schemas import MAX_BUDGET, RELATION_CODES, Corpus
+from ..schemas import MAX_BUDGET, OWNER_PROVENANCE, RELATION_CODES, Corpus
 from ..session import written
 from .layout import resolve_in_partition
 
@@ -74,8 +74,8 @@ def verify_sources(profiles: DataFrame, lock: DataFrame) -> DataFrame:
 def stage_counts(corpus: Corpus) -> DataFrame:
     """Rows of every table per provenance: (provenance_id, metric, observed).
 
-    Child tables are counted per parent first and then carried up, so the joins move one
-    row per parent.
+    Child tables that tell their entry's provenance are counted as they are read. Others are
+    counted per parent first and then carried up, so the joins move one row per parent.
     """
     entry_source = corpus.entries.select("entry_id", "provenance_id")
     sense_source = corpus.senses.select("sense_id", "entry_id").join(entry_source, "entry_id")
@@ -83,19 +83,22 @@ def stage_counts(corpus: Corpus) -> DataFrame:
         corpus.entries.groupBy("provenance_id").agg(F.count(F.lit(1)).alias("observed")).withColumn(
             "metric", F.lit("entries")
         ),
-        sense_source.groupBy("provenance_id").agg(F.count(F.lit(1)).alias("observed")).withColumn(
-            "metric", F.lit("senses")
-        ),
     ]
     for name, parents, key in (
+        ("senses", entry_source, "entry_id"),
         ("examples", sense_source.select("sense_id", "provenance_id"), "sense_id"),
         ("pronunciations", entry_source, "entry_id"),
     ):
         if corpus.has(name):
-            per_parent = getattr(corpus, name).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+            rows = getattr(corpus, name)
+            if OWNER_PROVENANCE in rows.columns:
+                per_parent = rows.filter(F.col(key).isNotNull()).groupBy(
+                    F.col(OWNER_PROVENANCE).alias("provenance_id")
+                ).agg(F.count(F.lit(1)).alias("n"))
+            else:
+                per_parent = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(parents, key)
             counted.append(
-                per_parent.join(parents, key).groupBy("provenance_id")
-                .agg(F.sum("n").alias("observed")).withColumn("metric", F.lit(name))
+                per_parent.groupBy("provenance_id").agg(F.sum("n").alias("observed")).withColumn("metric", F.lit(name))
             )
     for name in ("translations", "synonyms", "relations"):
         if corpus.has(name):

@@ -106,6 +106,9 @@ TABLES: dict[str, T.StructType] = {
 #: Column that examples, pronunciations, translations and synonyms may have: the language of the
 #: headword that a row belongs to. Such rows are dealt to languages without meeting their senses.
 OWNER_LANGUAGE = "owner_language"
+#: Column that senses, examples and pronunciations may have: the provenance of their entry. Such
+#: rows are counted by provenance without meeting their parents.
+OWNER_PROVENANCE = "owner_provenance"
 
 
 class Corpus:
