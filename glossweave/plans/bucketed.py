@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from ..schemas import Corpus
+from ..schemas import TABLES, Corpus
 from ..session import shared_folder
 
 #: Keys of the tables that lookups join in this order.
@@ -38,5 +38,8 @@ def bucketed(table: DataFrame, name: str, keys: list[str], buckets: int) -> Data
 def bucketed_corpus(corpus: Corpus, buckets: int) -> Corpus:
     """The corpus with its headwords, entries and senses laid out for lookups."""
     return corpus.extended(
-        **{name: bucketed(getattr(corpus, name), name, keys, buckets) for name, keys in LAYOUT.items() if corpus.has(name)}
+        **{
+            name: bucketed(getattr(corpus, name).select(*TABLES[name].fieldNames()), name, keys, buckets)
+            for name, keys in LAYOUT.items() if corpus.has(name)
+        }
     )

@@ -258,7 +258,7 @@ def _word_requests(corpus: Corpus) -> DataFrame:
 def sense_lookup(spark, folder):
     """First senses of every word of every language."""
     corpus = tables.word_corpus(spark, folder)
-    found = lookup.lookup(corpus, _word_requests(corpus), already_distinct=True)
+    found = lookup.lookup(corpus, _word_requests(corpus), already_distinct=True, all_words=True)
     return found.drop("etymology")
 
 
@@ -271,9 +271,9 @@ def lookup_bucketed(spark, folder):
     key = (spark.sparkContext.applicationId, folder)
     if key not in _BUCKETED:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        _BUCKETED[key] = bucketed.bucketed_corpus(tables.word_corpus(spark, folder), buckets)
+        _BUCKETED[key] = bucketed.bucketed_corpus(tables.word_corpus(spark, folder, read_once=True), buckets)
     corpus = _BUCKETED[key]
-    return lookup.lookup(corpus, _word_requests(corpus), already_distinct=True).drop("etymology")
+    return lookup.lookup(corpus, _word_requests(corpus), already_distinct=True, all_words=True).drop("etymology")
 
 
 @query
@@ -287,7 +287,7 @@ def lookup_by_part_of_speech(spark, folder):
     asked = _word_requests(corpus).select("*", F.inline(kinds)).withColumn("translations_limit", F.lit(0)).withColumn(
         "request_id", F.concat_ws(":", "request_id", "part_of_speech")
     )
-    return lookup.lookup(corpus, asked, already_distinct=True).select("request_id", "rank", "sense_id", "gloss")
+    return lookup.lookup(corpus, asked, already_distinct=True, all_words=True).select("request_id", "rank", "sense_id", "gloss")
 
 
 @query

@@ -109,6 +109,9 @@ OWNER_LANGUAGE = "owner_language"
 #: Column that senses, examples and pronunciations may have: the provenance of their entry. Such
 #: rows are counted by provenance without meeting their parents.
 OWNER_PROVENANCE = "owner_provenance"
+#: Column that translations may have: the language of the headword that a row points to. Such rows
+#: are counted by language without meeting their targets.
+TOLD_LANGUAGE = "told_language"
 
 
 class Corpus:

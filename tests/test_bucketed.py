@@ -64,3 +64,41 @@ def test_bucketed_lookup(spark):
     finally:
         for key, value in kept.items():
             spark.conf.set(key, value)
+
+
+def told_corpus(spark):
+    """Senses that tell their provenance, translations that tell their target's language."""
+    corpus = corpus_of(spark)
+    targets = corpus.terms.select(F.col("term_id").alias("target_term_id"), F.col("language").alias("told_language"), "term")
+    pairs = corpus.terms.select(F.concat("language", F.lit(":"), "term", F.lit("/b")).alias("sense_id"), "term_id").crossJoin(
+        targets.filter("term in ('W3', 'W4', 'w5')")
+    ).filter("term_id <> target_term_id and pmod(term_id + target_term_id, 3) <> 0")
+    translations = pairs.select(
+        "sense_id", "target_term_id", F.lit(None).cast("string").alias("part_of_speech"), F.lit(1).alias("provenance_id"),
+        F.lit(0).cast("bigint").alias("position"), "told_language",
+    )
+    return corpus.extended(translations=translations, senses=corpus.senses.withColumn("owner_provenance", F.lit(1)))
+
+
+def test_translations_that_tell_their_language_do_not_meet_their_targets(spark):
+    told = told_corpus(spark)
+    plain = told.extended(translations=told.translations.drop("told_language"))
+    got, wanted = (lookup.translation_coverage(c) for c in (told, plain))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    assert {r["language_count"] for r in got.collect()} == {1, 2}
+    joins = [f._jdf.queryExecution().optimizedPlan().toString().count("Join ") for f in (got, wanted)]
+    assert joins[0] == joins[1] - 1, joins
+
+
+def test_lookup_of_all_words_finds_them_once(spark):
+    laid = bucketed_corpus(told_corpus(spark), 3)
+    assert laid.senses.columns == TABLES["senses"].fieldNames()
+    asked = laid.terms.select(F.col("normalized_term").alias("word"), "language").distinct().withColumn(
+        "request_id", F.concat_ws(":", "language", "word")
+    ).withColumn("limit", F.lit(1))
+    some, every = (lookup.lookup(laid, asked, True, all_words=flag) for flag in (False, True))
+    assert sorted(map(str, every.collect())) == sorted(map(str, some.collect()))
+    # the reserved place goes to a translated sense
+    assert every.count() == asked.count()
+    scans = [len(re.findall(r"Relation spark_catalog\.default\.senses_", f._jdf.queryExecution().optimizedPlan().toString())) for f in (some, every)]
+    assert scans == [2, 1], scans
