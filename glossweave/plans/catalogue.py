@@ -14,7 +14,7 @@ from ..operators import graph, lookup, patterns, sets, vector_index, vectors, wo
 from ..operators.ranking import nearest_rank
 from ..operators.requests import validate
 from ..schemas import RELATION_CODES, Corpus
-from ..session import shared_folder, stored_table
+from ..session import shared_folder, stored_table, written
 from . import driver_tables as tables
 from . import bucketed, drilldown, layout, quality
 
@@ -649,9 +649,9 @@ def partition_assignment(spark, folder):
     return layout.assign_partitions(sizes, _ALONE_BYTES, _BUNDLE_BYTES)
 
 
-def _planned(spark, folder):
+def _planned(spark, folder, read_once=False):
     """Corpus of the documents and its plan, one stored row per language."""
-    corpus = tables.word_corpus(spark, folder)
+    corpus = tables.word_corpus(spark, folder, read_once)
 
     def plan():
         return layout.assign_partitions(layout.language_sizes(corpus.terms), 3_000_000, 4_000_000)
@@ -693,7 +693,24 @@ def partition_stubs(spark, folder):
 
 @query
 def closure_report(spark, folder):
-    return layout.closure_report(_partitioned(spark, folder, "relations", "target_catalogue")[2])
+    """Whether partitions know all terms that their edges point at; how many senses these have is not asked."""
+    corpus, plan = _planned(spark, folder, read_once=True)
+    corpus = corpus.without("examples", "pronunciations").extended(
+        term_counts=lambda: corpus.terms.limit(0).selectExpr("term_id", "0L AS entry_count", "0L AS sense_count")
+    )
+    held = {}
+
+    def shared(referenced):
+        held["referenced"] = written(referenced, "referenced")
+        return held["referenced"]
+
+    def keep(name, table):
+        # read again by the report, which asks for no other columns
+        asked = {"synonyms": layout.pointed, "target_catalogue": lambda stubs: stubs.select("pack_id", "term_id")}
+        return written(asked[name](table), name) if name in asked else table
+
+    parts = layout.repartition_by_language(corpus, plan, keep, shared)
+    return layout.closure_report(parts, held["referenced"])
 
 
 @query

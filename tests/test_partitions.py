@@ -83,3 +83,26 @@ def test_differential_tables_are_cut_to_the_sample(spark):
         assert {(r["language"], r["term"]) for r in terms.collect()} == wanted
     assert near.entries.count() == near.senses.count() == parts["senses"].count() == 5
     assert near.translations.count() == parts["translations"].count() == 3
+
+
+def test_closure_reads_what_edges_point_at_once(spark):
+    corpus = corpus_of(spark)
+    plan = spark.createDataFrame(PLAN, "language string, pack_id string")
+    # every link stands as a synonym too, so that those to the other partition are foreign, each row of them
+    twice = corpus.translations.unionByName(corpus.translations)
+    seen = []
+
+    def shared(referenced):
+        seen.append(referenced.cache())
+        return seen[0]
+
+    parts = layout.repartition_by_language(corpus.extended(synonyms=twice), plan, shared=shared)
+    report = layout.closure_report(parts, seen[0])
+    rows = sorted(map(tuple, report.collect()))
+    assert rows == sorted(map(tuple, layout.closure_report(parts).collect()))
+    # p1: 30 French and 20 German targets; p2: 30 and 20 English ones, each from rows that stand twice
+    assert rows == [("p1", 0, 100, 0, False), ("p2", 0, 100, 0, False)]
+    broken = {**parts, "target_catalogue": parts["target_catalogue"].filter("term <> 'w3'")}
+    assert {r["pack_id"]: r["dangling"] for r in layout.closure_report(broken, seen[0]).collect()} == {"p1": 2, "p2": 1}
+    counted = {**parts, "synonyms": layout.pointed(parts["synonyms"])}
+    assert sorted(map(tuple, layout.closure_report(counted, seen[0]).collect())) == rows
