@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.ids import hash60
 from ..schemas import MAX_BUDGET, Corpus
@@ -39,7 +39,11 @@ ROUNDS = 6
 GROUP = 4
 CODES = 256
 BLOCK_ROWS = 16_384
+#: Queries of a slice: the fewer while there are few slices, so that all tasks have work; the more
+#: then, since every block is shipped to every slice.
 QUERY_ROWS = 2_048
+MOST_QUERY_ROWS = 16_384
+FEW_SLICES = 8
 #: Share of a block that is scored in full in an approximate search, at most.
 RESCORED = 0.3
 _FIXED = float(1 << 24)
@@ -364,6 +368,11 @@ def _searched(model: Model, visited: float, rescored: float | None):
     return run
 
 
+def _slices(queries: Column) -> Column:
+    few = F.least(F.ceil(queries / QUERY_ROWS), F.lit(FEW_SLICES).cast("long"))
+    return F.greatest(few, F.ceil(queries / MOST_QUERY_ROWS))
+
+
 def _hits(index: VectorIndex, questions: DataFrame, visited: float, rescored: float | None) -> tuple[DataFrame, DataFrame]:
     """Best rows per question and block, with how many rows of the block were scored in full; the questions."""
     seeds = first_per(
@@ -379,7 +388,7 @@ def _hits(index: VectorIndex, questions: DataFrame, visited: float, rescored: fl
     )
     scoped = asked.join(index.sizes.drop("blocks"), "scope")
     # slices of the queries of a scope, each for every block of the scope
-    loads = asked.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("slices"))
+    loads = asked.groupBy("scope").agg(_slices(F.count(F.lit(1))).alias("slices"))
     met = index.blocks.select("language", "block").withColumn(
         "scope", F.explode(F.array("language", F.lit("*")))
     ).join(loads, "scope").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
@@ -404,9 +413,10 @@ def _search(
         found, asked = _hits(index, questions, visited, rescored)
         order = [F.desc("similarity"), "semantic_id"]
         limits = asked.select("question", F.col("asked").alias(Q), "keep", "min_similarity")
-        # identities differ between languages, so one lies in blocks of one language only
-        unique = first_per(found.drop("scored"), ["question", "identity"], order)
-        ranked = top_k(unique.join(limits, "question"), [Q], order, MAX_BUDGET, F.col("keep")).filter(
+        # identities differ between languages, so one lies in blocks of one language only;
+        # a question's hits are shuffled once for all that follows
+        unique = first_per(found.drop("scored").repartition("question"), ["question", "identity"], order)
+        ranked = top_k(unique.join(limits, "question"), ["question"], order, MAX_BUDGET, F.col("keep")).filter(
             F.col("min_similarity").isNull() | (F.col("similarity") >= F.col("min_similarity"))
         )
         names = index.names.select("semantic_id", "concept", "term", "normalized_term", "language")

@@ -151,3 +151,19 @@ def test_rows_scored_in_full_are_not_all_put_in_order(monkeypatch):
     scores = unit[:50] @ unit.T
     for r in found:
         assert abs(r["similarity"] - scores[int(r["question"]), r["semantic_id"]]) < 1e-6 and r["scored"] >= 600
+
+
+def test_blocks_are_shipped_to_few_slices(spark, corpus, requests, index, monkeypatch):
+    monkeypatch.setattr(vi, "QUERY_ROWS", 2_048)
+    counts = spark.createDataFrame([(n,) for n in (0, 1, 2_048, 10_256, 51_282, 615_384)], "n long")
+    assert [r[0] for r in counts.select(vi._slices(F.col("n"))).collect()] == [0, 1, 1, 6, 8, 38]
+    wanted = rows_of(vectors.neighbours(corpus, requests, decimals=4))
+    monkeypatch.setattr(vi, "QUERY_ROWS", 5)
+    monkeypatch.setattr(vi, "MOST_QUERY_ROWS", 60)
+    monkeypatch.setattr(vi, "FEW_SLICES", 2)
+    found = vi.bounded_neighbours(index, requests, decimals=4)
+    assert rows_of(found) == wanted
+    # hits are dealt by their question alone
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "identity#" in line]
+    assert not dealt, dealt
