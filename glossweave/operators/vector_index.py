@@ -49,7 +49,9 @@ RESCORED = 0.3
 _FIXED = float(1 << 24)
 # single precision of a dot product of unit vectors of up to some thousand components
 _ROUNDING = 1e-4
-_TILE = 256
+#: Rows whose scores are held at once: queries by a block, and vectors by all centres.
+_TILE = 64
+_POINTS = 1_024
 #: Share of a tile's scores above which all are taken by one product.
 _MANY = 0.02
 
@@ -66,7 +68,7 @@ class Model:
         return self.books.shape[0] * self.books.shape[2]
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
-        return np.argmax(unit @ self.centres.T - 0.5 * (self.centres**2).sum(axis=1), axis=1)
+        return _nearest(unit, self.centres)
 
     def codes(self, rest: np.ndarray) -> np.ndarray:
         return np.column_stack([_nearest(part, book) for part, book in zip(_grouped(rest, self), self.books, strict=True)])
@@ -83,7 +85,9 @@ def _grouped(vectors: np.ndarray, model: Model) -> list[np.ndarray]:
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmax(points @ centres.T - 0.5 * (centres**2).sum(axis=1), axis=1)
+    half = 0.5 * (centres**2).sum(axis=1)
+    lows = range(0, max(len(points), 1), _POINTS)
+    return np.concatenate([np.argmax(points[low : low + _POINTS] @ centres.T - half, axis=1) for low in lows])
 
 
 def _rows(column: pa.Array) -> np.ndarray:

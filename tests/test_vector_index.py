@@ -167,3 +167,17 @@ def test_blocks_are_shipped_to_few_slices(spark, corpus, requests, index, monkey
     plan = found._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "identity#" in line]
     assert not dealt, dealt
+
+
+def test_memory_of_cells_does_not_grow_with_the_rows_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    points, centres = rng.normal(size=(10_000, 8)), rng.normal(size=(1_000, 8))
+    tracemalloc.start()
+    got = vi._nearest(points, centres)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40_000_000, most  # 10,000 x 1,000 scores are 80 MB
+    assert np.array_equal(got[::97], [np.argmin(((centres - p) ** 2).sum(axis=1)) for p in points[::97]])
+    assert len(vi._nearest(points[:0], centres)) == 0
