@@ -243,3 +243,25 @@ def test_lines_of_a_small_file_are_parsed_by_all_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     for lines in (source_queries.dictionary_lines, source_queries.thesaurus_elements):
         assert lines(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= cores
+
+
+def test_rows_of_member_relations_are_named_without_a_join_by_the_row(spark):
+    """Names come along with the ends: no row of the product is shuffled or looked up for its names."""
+    from glossweave.plans import source_queries
+
+    members = [("A", "a1", 1, "one"), ("A", "a2", 2, "two"), ("B", "b1", 3, "three"), ("B", "a1", 1, "one"), ("C", "c1", 4, "four")]
+    links = [("A", 1, "B"), ("B", 1, "C"), ("A", 2, "A")]
+    senses = [(2, "a2", 1, 3, "b1", "two", "three"), (4, "c1", 1, 1, "a1", "four", "one")]
+    key = "source_term_id int, source_sense_id string, relation_code int, target_term_id int, target_sense_id string"
+    rows, _ = wordnet.member_relations(
+        spark.createDataFrame(links, "synset_id string, relation_code int, target string"),
+        spark.createDataFrame(members, "synset_id string, sense_id string, term_id int, term string"),
+        spark.createDataFrame(senses, f"{key}, source_term string, target_term string"),
+    )
+    name = {1: "one", 2: "two", 3: "three", 4: "four"}
+    got = rows.collect()
+    assert len(got) == 4 + 2 + 4 + 1 and ("four", "one") in {(r["source_term"], r["target_term"]) for r in got}
+    assert all((r["source_term"], r["target_term"]) == (name[r["source_term_id"]], name[r["target_term_id"]]) for r in got)
+    plan = source_queries.loaded_sense_relations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # above the union of the products there is no join
+    assert "Join" not in plan[: plan.index("Union")], plan
