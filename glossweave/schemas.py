@@ -123,8 +123,12 @@ class Corpus:
 
     #: ``example_lines``(position, example) may hold the texts of examples by position, so that
     #: a line is stored once however many senses it illustrates. ``postings`` and ``gram_counts``
-    #: may hold the index of spelling patterns.
-    NAMES = (*TABLES, "term_counts", "example_lines", "postings", "gram_counts")
+    #: may hold the index of spelling patterns. ``synset_members``(synset_id, sense_id, term_id,
+    #: provenance_id; a row per sense) and ``synset_places``(synset_id, term_id, place) may hold
+    #: synonyms as memberships, so that a synset's terms are stored once however many senses it has.
+    NAMES = (
+        *TABLES, "term_counts", "example_lines", "postings", "gram_counts", "synset_members", "synset_places",
+    )
 
     def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
         unknown = set(tables) - set(self.NAMES)

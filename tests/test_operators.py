@@ -543,3 +543,41 @@ def test_approximate_neighbours_visit_the_nearest_cells_only(spark, monkeypatch)
                 best[term] = max(best.get(term, (-2, 0)), (round(float(units[i] @ units[j]), 12), -j))
         wanted = [-j for _, j in sorted(best.values(), key=lambda b: (-b[0], -b[1]))[:7]]
         assert got.get(i, []) == wanted, i
+
+
+def test_synonyms_of_memberships_are_not_paired(spark):
+    """Synsets hold their terms once; senses of one word or another read them there, and take turns as before."""
+    rng = random.Random(8)
+    names = [(k, w, w.lower(), "en") for k, w in enumerate(w for i in range(60) for w in (f"w{i}", f"W{i}"))]
+    senses = [(f"s{':unsensed:' if n % 5 == 0 else ''}{n}", f"e{rng.randrange(len(names))}", "g" if n % 3 else None) for n in range(300)]
+    members = spark.createDataFrame(
+        [(f"y{rng.choice([0, 0, 1, 2])}", s, int(e[1:]), "n", 2) for s, e, _ in senses],
+        "synset_id string, sense_id string, term_id long, part_of_speech string, provenance_id int",
+    )
+    whole = Corpus(
+        provenance=spark.createDataFrame([(2, "p", "l", None)], TABLES["provenance"]), terms=spark.createDataFrame(names, TABLES["terms"]),
+        entries=spark.createDataFrame([(f"e{k}", k, "noun", None, 2) for k, *_ in names], TABLES["entries"]),
+        senses=spark.createDataFrame(senses, TABLES["senses"]),
+        relations=spark.createDataFrame([(k, None, 1, k + 7, None, 3, 2) for k in range(0, 100, 3)], TABLES["relations"]),
+        synonyms=graph.synset_synonyms(members).withColumn("provenance_id", F.lit(2)),
+    )
+    whole = whole.extended(term_counts=layout.term_counts(whole))
+    held = whole.without("synonyms").extended(synset_members=members, synset_places=graph.synset_places(members))
+    word = {f"e{k}": n for k, _, n, _ in names}
+    asked = spark.createDataFrame(
+        [(s, word[e], s, rng.choice([1, 20, 100])) for s, e, _ in senses] + [(f"all {n}", n, None, rng.choice([3, 20, 100])) for n in set(word.values())],
+        "request_id string, word string, sense_id string, limit int",
+    )
+    columns = ["request_id", "group_index", "position", "sense_id", "sense_scope", "gloss", "term", "provenance_id"]
+    plain, found = (sorted(map(repr, lookup.synonyms(c, asked).select(*columns).collect())) for c in (whole, held))
+    assert found == plain and len(found) > 2_000
+    # the links of one sense, in order: the first terms of its synset by id, one per normalised form
+    synset = {r["sense_id"]: r["synset_id"] for r in members.collect()}
+    ids = {y: sorted({r["term_id"] for r in members.collect() if r["synset_id"] == y}) for y in set(synset.values())}
+    sense, entry, _ = senses[1]
+    others = [names[k] for k in ids[synset[sense]] if k != int(entry[1:])][:100]
+    firsts = {n: t for _, t, n, _ in reversed(others) if n != word[entry]}
+    order = list(dict.fromkeys(n for _, _, n, _ in others if n != word[entry]))
+    limit = asked.filter(F.col("request_id") == sense).first()["limit"]
+    got = lookup.synonyms(held, asked.filter(F.col("request_id") == sense)).orderBy("position").collect()
+    assert [r["term"] for r in got] == [firsts[n] for n in order][:limit]
