@@ -44,6 +44,10 @@ BLOCK_ROWS = 16_384
 QUERY_ROWS = 2_048
 MOST_QUERY_ROWS = 16_384
 FEW_SLICES = 8
+#: Most blocks of a cell, which meet its queries one after another: a query has hits once per cell,
+#: and what it has found in one block bounds what the next must score. Fewer while cells are few.
+MOST_BLOCKS = 8
+_CELLS_PER_TASK = 4
 #: Share of a block that is scored in full in an approximate search, at most.
 RESCORED = 0.3
 _FIXED = float(1 << 24)
@@ -276,9 +280,12 @@ def build_index(corpus: Corpus, folder: str | None = None, seed: int = 17, model
 
 
 # -------------------------------------------------------------------- searching
-def _unpacked(block: pa.Table) -> dict[str, np.ndarray]:
-    kinds = {"ids": "<i8", "identities": "<i8", "cells": "<i4", "codes": "u1", "bytes": "i1", "scales": "<f8", "slack": "<f8", "full": "<f4"}
-    own = {n: np.frombuffer(block.column(n)[0].as_py(), k) for n, k in kinds.items()}
+_KINDS = {"ids": "<i8", "identities": "<i8", "cells": "<i4", "codes": "u1", "bytes": "i1", "scales": "<f8", "slack": "<f8", "full": "<f4"}
+_READ = {True: ["ids", "identities", "cells", "codes", "full"], False: ["ids", "identities", "bytes", "scales", "slack", "full"]}
+
+
+def _unpacked(block: pa.Table, at: int, names: list[str]) -> dict[str, np.ndarray]:
+    own = {n: np.frombuffer(block.column(n)[at].as_py(), _KINDS[n]) for n in names}
     rows = len(own["ids"])
     return {n: v.reshape(rows, -1) if n in ("codes", "bytes", "full") else v for n, v in own.items()}
 
@@ -294,79 +301,175 @@ def _wanted(scores: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (scores >= edge[:, None]) & np.isfinite(scores)
 
 
-def _searched(model: Model, visited: float, rescored: float | None):
-    """Best neighbours of the queries of a tile within one block.
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few places where a mask is set, found by eight at a time."""
+    flat = np.ascontiguousarray(mask).reshape(-1)
+    even = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:even].view(np.uint64))
+    near = (words[:, None] * 8 + np.arange(8)).reshape(-1)
+    at = np.concatenate((near[flat[near]], even + np.flatnonzero(flat[even:])))
+    return np.divmod(at, mask.shape[1])
+
+
+def _counts(mask: np.ndarray) -> np.ndarray:
+    return np.array([np.count_nonzero(row) for row in mask], np.int64)
+
+
+class _Block:
+    """The rows of one block, ready to be scored by tiles of queries."""
+
+    def __init__(self, own: dict[str, np.ndarray], model: Model, by_codes: bool) -> None:
+        self.ids, self.identities, self.cells = own["ids"], own["identities"], own.get("cells")
+        self.full = own["full"].astype(np.float64)
+        self.full /= np.linalg.norm(self.full, axis=1, keepdims=True)
+        self.single = self.full.astype(np.float32)
+        if by_codes:
+            self.coded = model.decoded(own["cells"], own["codes"]).astype(np.float32)
+        else:
+            self.coded = (own["bytes"] * own["scales"][:, None]).astype(np.float32)
+            self.slack = (own["slack"] + _ROUNDING).astype(np.float32)
+        self.order = np.argsort(self.identities, kind="stable")
+        self.sorted = self.identities[self.order]
+        heads = np.flatnonzero(np.diff(self.sorted, prepend=self.sorted[0] - 1))
+        self.heads = None if len(heads) == len(self.ids) else heads
+
+    def own_places(self, identity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tile rows and block places that have the identity of the row's query."""
+        first = np.searchsorted(self.sorted, identity)
+        many = np.searchsorted(self.sorted, identity, "right") - first
+        row = np.repeat(np.arange(len(identity)), many)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        return row, self.order[first[row] + nth]
+
+    def least(self, scores: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        """The ``keep``-th best score of each row, every identity counted once."""
+        best = scores if self.heads is None else np.maximum.reduceat(scores[:, self.order], self.heads, axis=1)
+        most = min(max(int(keep.max(initial=1)), 1), best.shape[1])
+        tail = np.sort(np.partition(best, best.shape[1] - most, axis=1)[:, best.shape[1] - most :], axis=1)
+        return np.where(keep <= most, tail[np.arange(len(best)), most - np.clip(keep, 1, most)], -np.inf)
+
+    def hopeful(self, exact: np.ndarray, floor: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        """Mask of what single-precision scores leave open: no less than ``floor`` or, without one, than the last of the best."""
+        low = floor - _ROUNDING
+        new = ~np.isfinite(floor)
+        if new.any():
+            low[new] = self.least(exact[new], keep[new]) - 2 * _ROUNDING
+        mask = exact >= low.astype(np.float32)[:, None]
+        if not np.isfinite(low).all():
+            mask &= np.isfinite(exact)
+        return mask
+
+
+def _searched(model: Model, visited: float, rescored: float | None, counted: bool = True):
+    """Best neighbours of the queries of a slice within the blocks of a cell.
 
     With ``rescored`` the product codes of the visited cells choose what is scored in full;
     without it all rows whose bytes, within their bound of error, may be among the best.
+    Codes and full vectors are multiplied alike where a block is mostly chosen, so a share is
+    chosen the other way round: rows whose full score is among the best are put in order if
+    their codes are among the chosen. A query's best so far bounds what later blocks look at.
+    How many rows were chosen is told if they are to be ``counted``, which takes one block a cell.
     """
     probes = max(1, math.ceil(visited * len(model.centres)))
 
-    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
-        if not block.num_rows or not asked.num_rows:
-            return pa.table({n.split()[0]: [] for n in _HITS.split(", ")})
-        own = _unpacked(block)
-        full = own["full"].astype(np.float64)
-        full /= np.linalg.norm(full, axis=1, keepdims=True)
-        if rescored is None:
-            coded = (own["bytes"] * own["scales"][:, None]).astype(np.float32)
+    def by_codes(block: _Block, query: np.ndarray, tile: dict[str, np.ndarray], floor: np.ndarray) -> tuple:
+        keep, rows = tile["keep"], len(block.ids)
+        single = query.astype(np.float32)
+        coded, exact = single @ block.coded.T, single @ block.single.T
+        own = block.own_places(tile["identity"])
+        coded[own] = exact[own] = -np.inf
+        if probes < len(model.centres):
+            near = query @ model.centres.T
+            cut = np.partition(near, near.shape[1] - probes, axis=1)[:, near.shape[1] - probes]
+            unseen = (near < cut[:, None])[:, block.cells]
+            coded[unseen] = exact[unseen] = -np.inf
+        counts = np.maximum(np.floor(rescored * rows), np.ceil(2 * keep * rows / tile["size"])).astype(np.int64)
+        counts = np.clip(counts, 1, rows)
+        scored = np.zeros(len(query), np.int64)
+        mask = block.hopeful(exact, floor, keep)
+        row, place = _places(mask)
+        if counted:
+            doubt = np.arange(len(query))
         else:
-            coded = model.decoded(own["cells"], own["codes"]).astype(np.float32)
-        distinct = len(np.unique(own["identities"])) == len(own["identities"])
-        group = None
-        if not distinct:
-            group = np.argsort(own["identities"], kind="stable")
-            heads = np.flatnonzero(np.diff(own["identities"][group], prepend=own["identities"][group[0]] - 1))
-        parts = []
+            # where no more rows than are chosen reach the lowest code score of these, all of these are chosen
+            lowest = np.full(len(query), np.inf, np.float32)
+            np.minimum.at(lowest, row, coded[row, place])
+            doubt = np.flatnonzero(_counts(coded >= lowest[:, None]) > counts)
+        if len(doubt):
+            chosen = _wanted(coded[doubt], counts[doubt])
+            scored[doubt] = _counts(chosen)
+            left = np.where(chosen, exact[doubt], np.float32(-np.inf))
+            mask[doubt] = block.hopeful(left, floor[doubt], keep[doubt]) & chosen
+            row, place = _places(mask)
+        return row, place, scored
+
+    def by_bytes(block: _Block, query: np.ndarray, tile: dict[str, np.ndarray], floor: np.ndarray) -> tuple:
+        single = query.astype(np.float32)
+        scores = single @ block.coded.T
+        scores[block.own_places(tile["identity"])] = -np.inf
+        low = floor.copy()
+        new = ~np.isfinite(floor)
+        if new.any():
+            low[new] = block.least(scores[new] - block.slack[None, :], tile["keep"][new])
+        mask = scores + block.slack[None, :] >= (low - _ROUNDING).astype(np.float32)[:, None]
+        if not np.isfinite(low).all():
+            mask &= np.isfinite(scores)
+        scored = _counts(mask)
+        if scored.sum() > _MANY * mask.size:
+            # one product for all of them; what cannot be among the best is not put in order
+            exact = np.where(mask, single @ block.single.T, np.float32(-np.inf))
+            mask &= block.hopeful(exact, floor, tile["keep"])
+        return *_places(mask), scored
+
+    choose = by_bytes if rescored is None else by_codes
+
+    def better(best: dict[str, np.ndarray], keep: np.ndarray) -> dict[str, np.ndarray]:
+        """The ``keep`` best of each row, the best of every identity."""
+        row, ids, identity, similarity = (best[n] for n in ("row", "ids", "identity", "similarity"))
+        order = np.lexsort((ids, -similarity, identity, row))
+        new = np.concatenate(([True], (np.diff(row[order]) != 0) | (np.diff(identity[order]) != 0)))[: len(order)]
+        order = order[new]
+        order = order[np.lexsort((ids[order], -similarity[order], row[order]))]
+        nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        kept = order[nth < keep[row[order]]]
+        return {n: v[kept] for n, v in best.items()}
+
+    def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not asked.num_rows:
+            return pa.table({n.split()[0]: [] for n in _HITS.split(", ")})
+        tiles = []
         for low in range(0, asked.num_rows, _TILE):
-            tile = asked.slice(low, _TILE).combine_chunks()
-            column = lambda n: tile.column(n).chunk(0)
-            query = _units(column("embedding"))
-            keep, size = column("keep").to_numpy(), column("size").to_numpy()
-            scores = query.astype(np.float32) @ coded.T
-            scores[column("identity").to_numpy()[:, None] == own["identities"][None, :]] = -np.inf
-            if rescored is None:
-                sure = scores - (own["slack"] + _ROUNDING)[None, :].astype(np.float32)
-                best = sure if distinct else np.maximum.reduceat(sure[:, group], heads, axis=1)
-                most = min(int(keep.max()), best.shape[1])
-                tail = np.sort(np.partition(best, best.shape[1] - most, axis=1)[:, best.shape[1] - most :], axis=1)
-                least = tail[np.arange(len(query)), most - np.minimum(keep, most)]
-                chosen = (scores + (own["slack"] + _ROUNDING)[None, :] >= least[:, None]) & np.isfinite(scores)
-            else:
-                if probes < len(model.centres):
-                    near = query @ model.centres.T
-                    cut = np.partition(near, near.shape[1] - probes, axis=1)[:, near.shape[1] - probes]
-                    scores[(near < cut[:, None])[:, own["cells"]]] = -np.inf
-                rows = scores.shape[1]
-                counts = np.maximum(np.floor(rescored * rows), np.ceil(2 * keep * rows / size))
-                chosen = _wanted(scores, counts.astype(np.int64))
-            scored = np.count_nonzero(chosen, axis=1)
-            if scored.sum() > _MANY * chosen.size:
-                # one product for all of them; what cannot be among the best is not put in order
-                exact = np.where(chosen, query @ full.T, -np.inf)
-                best = exact if distinct else np.maximum.reduceat(exact[:, group], heads, axis=1)
-                at = best.shape[1] - min(max(int(keep.max()), 1), best.shape[1])
-                least = np.partition(best, at, axis=1)[:, at]
-                chosen &= exact >= least[:, None] - _ROUNDING
-            row, place = np.nonzero(chosen)
-            similarity = np.clip(np.einsum("ij,ij->i", query[row], full[place]), -1.0, 1.0)
-            ids, identity = own["ids"][place], own["identities"][place]
-            if not distinct:  # the best row of each identity
-                order = np.lexsort((ids, -similarity, identity, row))
-                new = np.concatenate(([True], (np.diff(row[order]) != 0) | (np.diff(identity[order]) != 0)))[: len(order)]
-                kept = order[new]
-                row, similarity, ids, identity = row[kept], similarity[kept], ids[kept], identity[kept]
-            order = np.lexsort((ids, -similarity, row))
-            nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
-            kept = order[nth < keep[row[order]]]
-            parts.append(
-                pa.table(
-                    {
-                        "question": column("question").take(pa.array(row[kept])), "semantic_id": ids[kept],
-                        "identity": identity[kept], "similarity": similarity[kept], "scored": scored[row[kept]],
-                    }
-                )
+            part = asked.slice(low, _TILE).combine_chunks()
+            tile = {n: part.column(n).chunk(0).to_numpy() for n in ("identity", "keep", "size")}
+            none = {"row": np.zeros(0, np.int64), "ids": np.zeros(0, np.int64), "identity": np.zeros(0, np.int64)}
+            tile["best"] = none | {"similarity": np.zeros(0), "scored": np.zeros(0, np.int64)}
+            tiles.append(tile | {"query": _units(part.column("embedding").chunk(0)), "question": part.column("question").chunk(0)})
+        for at in range(blocks.num_rows):
+            block = _Block(_unpacked(blocks, at, _READ[rescored is not None]), model, rescored is not None)
+            for tile in tiles:
+                query, keep, best = tile["query"], tile["keep"], tile["best"]
+                # the last of the best so far, where there are as many as are to be kept
+                ends = np.searchsorted(best["row"], np.arange(len(query)), "right")
+                full = (np.bincount(best["row"], minlength=len(query)) >= keep) & (keep > 0)
+                floor = np.full(len(query), -np.inf)
+                floor[full] = best["similarity"][ends[full] - 1]
+                row, place, scored = choose(block, query, tile, floor)
+                similarity = np.clip(np.einsum("ij,ij->i", query[row], block.full[place]), -1.0, 1.0)
+                new = {
+                    "row": row, "ids": block.ids[place], "identity": block.identities[place],
+                    "similarity": similarity, "scored": scored[row],
+                }
+                if len(row):
+                    tile["best"] = better({n: np.concatenate((best[n], new[n])) for n in best}, keep)
+        parts = [
+            pa.table(
+                {
+                    "question": t["question"].take(pa.array(t["best"]["row"])), "semantic_id": t["best"]["ids"],
+                    **{n: t["best"][n] for n in ("identity", "similarity", "scored")},
+                }
             )
+            for t in tiles
+        ]
         return pa.concat_tables(parts)
 
     return run
@@ -377,8 +480,10 @@ def _slices(queries: Column) -> Column:
     return F.greatest(few, F.ceil(queries / MOST_QUERY_ROWS))
 
 
-def _hits(index: VectorIndex, questions: DataFrame, visited: float, rescored: float | None) -> tuple[DataFrame, DataFrame]:
-    """Best rows per question and block, with how many rows of the block were scored in full; the questions."""
+def _hits(
+    index: VectorIndex, questions: DataFrame, visited: float, rescored: float | None, counted: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Best rows per question and cell; the questions. Counted, a cell has one block and hits tell how many of its rows were scored in full."""
     seeds = first_per(
         index.names.select(
             F.col("normalized_term").alias("word"), F.col("language").alias("source_language"),
@@ -391,19 +496,24 @@ def _hits(index: VectorIndex, questions: DataFrame, visited: float, rescored: fl
         "min_similarity", F.coalesce("target_language", F.lit("*")).alias("scope"), F.col(Q).alias("asked"),
     )
     scoped = asked.join(index.sizes.drop("blocks"), "scope")
-    # slices of the queries of a scope, each for every block of the scope
-    loads = asked.groupBy("scope").agg(_slices(F.count(F.lit(1))).alias("slices"))
+    # slices of the queries of a scope, each for every block of the scope; the blocks (a short row each) by so many a cell
+    loads = asked.groupBy("scope").agg(_slices(F.count(F.lit(1))).alias("slices")).join(index.sizes.drop("size"), "scope")
+    many = F.floor(F.col("slices") * F.col("blocks") / (_CELLS_PER_TASK * _tasks(index.blocks.sparkSession)))
+    some = F.lit(1) if counted else F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), many))
+    nth = F.row_number().over(Window.partitionBy("scope").orderBy("language", "block"))
     met = index.blocks.select("language", "block").withColumn(
         "scope", F.explode(F.array("language", F.lit("*")))
-    ).join(loads, "scope").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    cell = F.concat_ws("/", "scope", "slice", "language", "block").alias("cell")
+    ).withColumn("nth", nth).join(loads, "scope").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    cell = F.concat_ws("/", "scope", "slice", F.floor((F.col("nth") - 1) / some)).alias("cell")
     met = met.select("scope", "slice", "language", "block", cell)
-    queries = scoped.join(loads, "scope").withColumn("slice", F.pmod(F.xxhash64("question"), F.col("slices"))).join(
-        met.select("scope", "slice", "cell"), ["scope", "slice"]
+    queries = scoped.join(loads.drop("blocks"), "scope").withColumn("slice", F.pmod(F.xxhash64("question"), F.col("slices"))).join(
+        met.select("scope", "slice", "cell").distinct(), ["scope", "slice"]
     ).select(F.col("cell").alias("of_cell"), "question", "identity", "embedding", "keep", "size")
-    stored = index.blocks.join(met.select("language", "block", "cell"), ["language", "block"]).select("cell", *_PACKED.names[3:])
+    stored = index.blocks.join(met.select("language", "block", "cell"), ["language", "block"]).select(
+        "cell", *_READ[rescored is not None]
+    )
     found = stored.groupBy("cell").cogroup(queries.groupBy("of_cell")).applyInArrow(
-        _searched(index.model, visited, rescored), _HITS
+        _searched(index.model, visited, rescored, counted), _HITS
     )
     return found, asked
 
@@ -459,7 +569,7 @@ def bounded_neighbours(
 
 def scored_share(index: VectorIndex, requests: DataFrame, rescored: float | None, visited: float = 1.0) -> DataFrame:
     """Per question: rows scored in full and rows of its scope."""
-    found, asked = _hits(index, with_defaults(requests, NEIGHBOUR_DEFAULTS), visited, rescored)
+    found, asked = _hits(index, with_defaults(requests, NEIGHBOUR_DEFAULTS), visited, rescored, counted=True)
     told = found.join(index.names.select("semantic_id", "language", "block"), "semantic_id").groupBy(
         "question", "language", "block"
     ).agg(F.max("scored").alias("scored"))

@@ -181,3 +181,61 @@ def test_memory_of_cells_does_not_grow_with_the_rows_at_once():
     assert most < 40_000_000, most  # 10,000 x 1,000 scores are 80 MB
     assert np.array_equal(got[::97], [np.argmin(((centres - p) ** 2).sum(axis=1)) for p in points[::97]])
     assert len(vi._nearest(points[:0], centres)) == 0
+
+
+@pytest.mark.parametrize("rescored,visited,good", [(0.3, 1.0, True), (0.05, 1.0, False), (0.3, 0.4, False), (None, 1.0, True)])
+def test_blocks_of_a_cell_give_what_each_gives_alone(rescored, visited, good):
+    """Best of several blocks, small ones and repeated identities among them, by good codes and by poor ones, against plain scoring."""
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(10, 8))
+    model = vi.Model(centres / np.linalg.norm(centres, axis=1, keepdims=True), 0.5 * draw.normal(size=(2, 64, 4)))
+    sizes, packed, plain, start = [900, 5, 1200, 300], [], [], 0
+    for n in sizes:
+        given = draw.normal(size=(n, 8)).astype("f4")
+        unit = given / np.linalg.norm(given.astype(float), axis=1, keepdims=True)
+        cells, ids = model.cells(unit).astype("i4"), np.arange(start, start + n).astype("i8")
+        codes = (model.codes(unit - model.centres[cells]) if good else draw.integers(0, 64, (n, 2))).astype("u1")
+        scales = np.abs(unit).max(axis=1) / 127
+        small = np.rint(unit / scales[:, None])
+        values = {
+            "ids": ids, "identities": ids // 2, "cells": cells, "codes": codes, "bytes": small.astype("i1"), "scales": scales,
+            "slack": np.linalg.norm(unit - small * scales[:, None], axis=1), "full": given,
+        }
+        packed.append({k: v.tobytes() for k, v in values.items()})
+        plain.append((ids, cells, unit, model.decoded(cells, codes).astype(np.float32)))
+        start += n
+    asked = draw.normal(size=(90, 8)).astype("f4")
+    query = asked / np.linalg.norm(asked.astype(float), axis=1, keepdims=True)
+    keep = draw.integers(1, 12, 90)
+    table = pa.table({
+        "question": [str(i) for i in range(90)], "identity": np.arange(90) * 7, "embedding": pa.array(list(asked), pa.list_(pa.float32())),
+        "keep": keep, "size": np.full(90, start),
+    })
+    found = vi._searched(model, visited, rescored, False)(pa.Table.from_pylist(packed), table).to_pylist()
+    assert len(found) == keep.sum()
+    for q in range(90):
+        best = {}
+        near = query[q] @ model.centres.T
+        seen = np.argsort(-near)[: max(1, int(np.ceil(visited * 10)))]
+        for ids, cells, unit, coded in plain:
+            scores, exact = query[q].astype(np.float32) @ coded.T, query[q] @ unit.T
+            barred = (ids // 2 == 7 * q) | ~np.isin(cells, seen)
+            scores[barred] = -np.inf
+            if rescored is not None:
+                count = max(int(rescored * len(ids)), int(np.ceil(2 * keep[q] * len(ids) / start)), 1)
+                barred |= scores < np.sort(scores)[-min(count, len(ids))]
+            for at in np.flatnonzero(~barred):
+                best[ids[at] // 2] = min(best.get(ids[at] // 2, (9.0, 0)), (-exact[at], ids[at]))
+        wanted = [int(i) for _, i in sorted(best.values())[: keep[q]]]
+        got = [r for r in found if r["question"] == str(q)]
+        assert [r["semantic_id"] for r in got] == wanted
+
+
+def test_a_question_has_hits_once_per_cell(corpus, requests, index, monkeypatch):
+    asked = vi.with_defaults(requests, vi.NEIGHBOUR_DEFAULTS)
+    rows, hits = [], []
+    for cells_per_task in (1_000_000, 0.000001):
+        monkeypatch.setattr(vi, "_CELLS_PER_TASK", cells_per_task)
+        rows.append(rows_of(vi.indexed_neighbours(index, requests)) + rows_of(vi.bounded_neighbours(index, requests)))
+        hits.append(vi._hits(index, asked, 1.0, vi.RESCORED)[0].count())
+    assert rows[0] == rows[1] and hits[1] < hits[0] / 3
